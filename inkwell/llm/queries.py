@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module that holds it; a module may also hold its SQL as ``ORACLE_SQL``.
 MODULES = {
     "op1_best_fit_packing": "packing",
+    "op2_token_files": "token_store",
 }
 
 
