@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "op1_best_fit_packing": "packing",
     "op2_token_files": "token_store",
+    "op4_url_filter": "url_filter",
+    "op6_html_text": "html_text",
 }
 
 
