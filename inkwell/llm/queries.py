@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_best_fit_packing": "packing",
     "op2_token_files": "token_store",
+    "op3_exact_top_k": "topk",
     "op4_url_filter": "url_filter",
     "op6_html_text": "html_text",
 }
