@@ -10,6 +10,7 @@ MODULES = {
     "op2_token_files": "token_store",
     "op3_exact_top_k": "topk",
     "op4_url_filter": "url_filter",
+    "op5_ngram_jaccard_join": "setjoin",
     "op6_html_text": "html_text",
 }
 
