@@ -2,8 +2,9 @@
 
 A shard is two files in a shared folder:
 
-* ``<name>.ids``: raw little-endian uint32 ids of its documents, one after another in ascending key order;
-* ``<name>.idx``: a minimal perfect hash over the shard's distinct keys; each slot holds a 64-bit fingerprint of the key,
+* ``<name>.ids``: raw little-endian ids of its documents, one after another in ascending key order: two bytes each if the
+  vocabulary has at most 65,536 ids, else four;
+* ``<name>.idx``: the width of an id; a minimal perfect hash over the shard's distinct keys; each slot holds a 64-bit fingerprint of the key,
   the number of its first row and how many rows have that key; then the rows' offsets in the ids file.
 
 Shards are written under a name of their own for each attempt, and only the names that came back from finished tasks are
@@ -28,7 +29,7 @@ from .common import mix, scratch, slices, table, written
 from .tokens import encoder, with_end
 
 END_ID = 2
-MAGIC = b"INKTOK01"
+MAGIC = b"INKTOK02"
 #: Stands for a null key; null keys sort first.
 NULL_KEY = -(1 << 63)
 
@@ -76,7 +77,7 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return mix(keys ^ np.uint64(0xA24BAED4963EE407))
 
 
-def index_bytes(keys: np.ndarray, offsets: np.ndarray) -> bytes:
+def index_bytes(keys: np.ndarray, offsets: np.ndarray, width: int) -> bytes:
     """The index of a shard: ``keys`` (sorted int64, a row each, may repeat) and the rows' offsets (one more)."""
     distinct, first, number = np.unique(keys, return_index=True, return_counts=True)
     distinct = distinct.view(np.uint64)
@@ -85,7 +86,7 @@ def index_bytes(keys: np.ndarray, offsets: np.ndarray) -> bytes:
     stored = np.zeros((len(distinct), 3), np.uint64)
     stored[slot] = np.stack([fingerprints(distinct), first.astype(np.uint64), number.astype(np.uint64)], axis=1)
     out = io.BytesIO()
-    out.write(MAGIC + struct.pack("<III", len(hashed.levels), len(distinct), len(keys)))
+    out.write(MAGIC + struct.pack("<IIII", width, len(hashed.levels), len(distinct), len(keys)))
     for bits in hashed.levels:
         out.write(struct.pack("<I", len(bits)) + np.packbits(bits).tobytes())
     out.write(stored.astype("<u8").tobytes() + offsets.astype("<u8").tobytes())
@@ -99,8 +100,8 @@ class Shard:
         data = files.open_input_stream(f"{path}.idx").read()
         if data[:8] != MAGIC:
             raise ValueError(f"not a token index: {path}.idx")
-        number, n, rows = struct.unpack_from("<III", data, 8)
-        at, levels = 20, []
+        self.width, number, n, rows = struct.unpack_from("<IIII", data, 8)
+        at, levels = 24, []
         for _ in range(number):
             (bits,) = struct.unpack_from("<I", data, at)
             size = -(-bits // 8)
@@ -123,7 +124,12 @@ class Shard:
 
     def ids(self, row: int) -> np.ndarray:
         begin, end = self.offsets[row], self.offsets[row + 1]
-        return np.frombuffer(self.payload.read_at(4 * (end - begin), 4 * begin), "<u4")
+        return self.read(int(begin), int(end))
+
+    def read(self, begin: int, end: int) -> np.ndarray:
+        """Ids by their places in the shard, as uint32."""
+        data = self.payload.read_at(self.width * (end - begin), self.width * begin)
+        return np.frombuffer(data, f"<u{self.width}").astype("<u4")
 
     def get(self, key: int) -> list[np.ndarray]:
         first, number = self.rows(np.array([key], np.int64))
@@ -152,13 +158,14 @@ def write_tokens(docs: DataFrame, path: str, *, folder: str, key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
-        encode, name = encoder(path, leading_space).encode, f"{root}/{uuid.uuid4().hex}"
+        vocabulary, name = encoder(path, leading_space), f"{root}/{uuid.uuid4().hex}"
+        width = 2 if max(vocabulary.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         keys, sizes = [], []
         payload = None
         for batch in slices(batches, text):
             payload = payload or files.open_output_stream(f"{name}.ids")
-            ids, offsets = with_end(*encode(batch.column(text)), end_id)
-            payload.write(memoryview(ids).cast("B"))
+            ids, offsets = with_end(*vocabulary.encode(batch.column(text)), end_id)
+            payload.write(ids.astype(f"<u{width}").tobytes())
             keys.append(batch.column(key).to_numpy(zero_copy_only=False))
             sizes.append(np.diff(offsets))
         if payload is None:
@@ -166,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, *, folder: str, key: str = "doc_id"
         payload.close()
         keys, offsets = np.concatenate(keys), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         with files.open_output_stream(f"{name}.idx") as out:
-            out.write(index_bytes(keys, offsets))
+            out.write(index_bytes(keys, offsets, width))
         yield pa.RecordBatch.from_pydict({"shard": [name], "first_key": [keys[0]], "last_key": [keys[-1]], "n_rows": [len(keys)], "n_ids": [offsets[-1]]}, schema=pa.schema([("shard", pa.string()), *[(x, pa.int64()) for x in ("first_key", "last_key", "n_rows", "n_ids")]]))
 
     made = written(rows.mapInArrow(run, schema), "manifest")
@@ -210,7 +217,7 @@ def read_tokens(keys: DataFrame, manifest: DataFrame, *, folder: str, key: str =
                     j = i + 1
                     while j < len(row) and begin[j] == end[j - 1] and end[j] - begin[i] <= 1 << 20:
                         j += 1
-                    block = memoryview(here.payload.read_at(4 * int(end[j - 1] - begin[i]), 4 * int(begin[i])))
+                    block = memoryview(here.read(int(begin[i]), int(end[j - 1]))).cast("B")
                     out += [block[4 * int(a - begin[i]) : 4 * int(b - begin[i])] for a, b in zip(begin[i:j], end[i:j], strict=True)]
                     i = j
                 columns = [pa.array(np.repeat(own, number)), pa.array(begin + known.value[shard][3]), pa.array(end - begin), pa.array([zlib.crc32(x) for x in out], pa.int64())]
