@@ -12,6 +12,7 @@ MODULES = {
     "op4_url_filter": "url_filter",
     "op5_ngram_jaccard_join": "setjoin",
     "op6_html_text": "html_text",
+    "op7_fingerprints": "fingerprints",
     "op8_lm_scores": "lm",
     "op9_language_id": "langid",
 }
