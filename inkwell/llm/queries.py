@@ -15,6 +15,7 @@ MODULES = {
     "op7_fingerprints": "fingerprints",
     "op8_lm_scores": "lm",
     "op9_language_id": "langid",
+    "op10_mix_sources": "mixing",
 }
 
 
@@ -33,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
     return found
 
 
-PIPELINES: tuple[str, ...] = ()
+PIPELINES: tuple[str, ...] = ("pipeline",)

@@ -399,7 +399,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     links = classes.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("u"), F.col("class_id").alias("v"))
     if total:
         limit = boundary(sizes, rule)
-        shards = max(1, int(total * 0.21 + 3 * sum(sizes.values())) // SHARD_ROWS)
+        shards = max(1, int(total * 4 * (100 - percent) / (100 + percent) + 3 * sum(sizes.values())) // SHARD_ROWS)
         lists = shared_signatures(docs, key, text, width, rule, limit, largest, shards).distinct()
         # Equal sets count as their class; one member of each is enough.
         heads = classes.select(F.col(key), "class_id")
