@@ -28,7 +28,7 @@ from .common import mix, slices, table, text_bytes, words, written
 
 MU = 200.0
 #: Text bytes of a block, and n-grams that a shard should hold.
-BLOCK_BYTES, SHARD_ROWS = 12 << 20, 1_500_000
+BLOCK_BYTES, SHARD_ROWS = 5 << 20, 1_500_000
 #: Stored bytes of a bigram's hash besides its shard; of a word's hash all eight are stored.
 BIGRAM_BYTES = 6
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -54,13 +54,11 @@ class Block:
     """The tokens of a block's texts and its distinct words and bigrams, in the order of shards."""
 
     def __init__(self, texts: pa.ChunkedArray, shards: int):
-        hashes, rows, counts, done = [], [], [], 0
+        hashes, counts = [], []
         for chunk in texts.chunks:
-            h, row, count = words(*text_bytes(chunk))
+            h, _, count = words(*text_bytes(chunk))
             hashes.append(h)
-            rows.append(row + done)
             counts.append(count)
-            done += len(chunk)
         count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.sizes = count + 1
         last = np.cumsum(self.sizes) - 1
@@ -69,6 +67,7 @@ class Block:
         inner[last] = False
         token[inner] = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         token[last] = END
+        del hashes, inner
         self.row = np.repeat(np.arange(len(count)), self.sizes)
         history = np.empty_like(token)
         history[1:] = token[:-1]
@@ -76,7 +75,9 @@ class Block:
         history[self.first] = START
         with np.errstate(over="ignore"):
             bigram = mix(history * np.uint64(0x9E3779B97F4A7C15) + token)
+        del history
         self.word, self.word_at, self.word_edges = self._distinct(token, shards)
+        del token
         self.pair, self.pair_at, self.pair_edges = self._distinct(bigram, shards)
 
     @staticmethod
