@@ -76,8 +76,10 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     Rows with a null key have no place in the order: they are their own next document.  Rows that repeat a key are kept;
     the next document of the key above is the one with the smallest text.  Other columns are not looked at.
     """
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
     low, high, filled, distinct, nulls = docs.agg(F.min(key), F.max(key), F.count(key), F.count_distinct(F.col(key)), F.count(F.when(F.col(key).isNull(), 1))).first()
+    # Where keys tell rows apart, both sides of the join below are the same dealt-out table, and Spark shuffles it once.
+    apart = F.lit(0).cast("long") if filled == distinct and nulls < 2 else F.monotonically_increasing_id()
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rid", apart)
     if nulls:
         alone = rows.where(F.col(key).isNull()).withColumn("next_text", F.col("text"))
         rows = rows.where(F.col(key).isNotNull())
