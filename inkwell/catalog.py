@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from inkwell.plans.queries import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

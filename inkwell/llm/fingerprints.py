@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-SLOTS = 24
+SLOTS = 36
 #: Keys that share a bucket, on average, when each key looks for the next lower one.
 PER_BUCKET = 2048
 
