@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.operators.grouping import map_groups
+
 MOST_PAGES, MOST_CHARS, FAN_IN = 8, 60_000, 10
 
 
@@ -64,12 +65,12 @@ def chunk_documents(pages: DataFrame, most_pages: int = MOST_PAGES, most_chars:
     """
     schema = "doc_id string, chunk_no int, markdown string, line_ids array<string>, pages array<int>"
 
-    def one(doc: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(r.page), r.markdown or "", r.catalog or "", [(x["id"], x["text"]) for x in (r.lines if r.lines is not None else [])]) for r in doc.sort_values("page").itertuples()]
-        chunks = split_document(rows, most_pages, most_chars)
-        return pd.DataFrame([(str(doc.doc_id.iloc[0]), i, *c) for i, c in enumerate(chunks)], columns=["doc_id", "chunk_no", "markdown", "line_ids", "pages"])
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
+        pages = [(int(page), markdown or "", catalog or "", [(x["id"], x["text"]) for x in (own if own is not None else [])]) for page, markdown, catalog, own in rows]
+        return [(*key, i, *c) for i, c in enumerate(split_document(pages, most_pages, most_chars))]
 
-    return pages.groupBy("doc_id").applyInPandas(one, schema)
+    named = pages.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return map_groups(named, ["doc_id"], ["page"], one, schema, ["page", "markdown", "catalog", "lines"])
 
 
 def merge_levels(counts: DataFrame, fan_in: int = FAN_IN) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import geometry as G
 from inkwell.functions import text as X
+from inkwell.operators.grouping import map_groups
 
 
 def precision_recall(matched: Column, candidate: Column, reference: Column) -> Column:
@@ -33,23 +33,24 @@ def greedy_matches(candidate: DataFrame, reference: DataFrame, keys: list[str])
     """
     group = [*keys, "text"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reference.select(*group).schema.fields)
+    box = ["x1", "y1", "x2", "y2"]
 
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = list(left.sort_values("line_no").itertuples())
-        rows = []
-        for r in right.sort_values("line_no").itertuples():
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
+        free, out = [r for r in rows if r[0] == 0], []
+        for r in (r for r in rows if r[0] == 1):
             best, at = -1.0, -1
             for i, c in enumerate(free):
-                wide, high = min(r.x2, c.x2) - max(r.x1, c.x1), min(r.y2, c.y2) - max(r.y1, c.y1)
+                wide, high = min(r[4], c[4]) - max(r[2], c[2]), min(r[5], c[5]) - max(r[3], c[3])
                 both = wide * high if wide > 0 and high > 0 else 0.0
-                iou = both / ((r.x2 - r.x1) * (r.y2 - r.y1) + (c.x2 - c.x1) * (c.y2 - c.y1) - both) if both else 0.0
+                iou = both / ((r[4] - r[2]) * (r[5] - r[3]) + (c[4] - c[2]) * (c[5] - c[3]) - both) if both else 0.0
                 if iou > best:
                     best, at = iou, i
             if at >= 0:
-                rows.append((*key, r.line_no, free.pop(at).line_no, best))
-        return pd.DataFrame(rows, columns=[*group, "ref_no", "cand_no", "iou"])
+                out.append((*key, r[1], free.pop(at)[1], best))
+        return out
 
-    return candidate.groupBy(*group).cogroup(reference.groupBy(*group)).applyInPandas(one, f"{kinds}, ref_no int, cand_no int, iou double")
+    both = candidate.select(*group, F.lit(0).alias("side"), F.col("line_no").cast("int").alias("line_no"), *box).unionByName(reference.select(*group, F.lit(1).alias("side"), F.col("line_no").cast("int").alias("line_no"), *box))
+    return map_groups(both, group, ["side", "line_no"], one, f"{kinds}, ref_no int, cand_no int, iou double", ["side", "line_no", *box])
 
 
 def weighted_iou(pages: DataFrame, keys: list[str], matched: str = "matched", mean: str = "mean_iou") -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import geometry as G
 from inkwell.functions import text as X
+from inkwell.operators.grouping import map_groups
 
 GAP_SHARE, REASON_LENGTH = 0.01, 200
 PER_PAGE, PER_DOCUMENT = 8, 64
@@ -73,16 +73,12 @@ def merge_regions(regions: DataFrame, width: str = "shot_w", height: str = "shot
     """Merge the regions of each page; a page's regions are one small group."""
     schema = "doc_id string, page int, x1 double, y1 double, x2 double, y2 double, reason string"
 
-    def one(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(list(order), kind="stable")
-        gap = GAP_SHARE * max(page[width].iloc[0], page[height].iloc[0])
-        merged = merge_page(list(zip(page.x1, page.y1, page.x2, page.y2, page.reason, strict=True)), gap)
-        out = pd.DataFrame(merged, columns=[*_BOX, "reason"])
-        out.insert(0, "doc_id", str(page.doc_id.iloc[0]))
-        out.insert(1, "page", page.page.iloc[0])
-        return out
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
+        gap = GAP_SHARE * max(rows[0][5], rows[0][6])
+        return [(*key, *b) for b in merge_page([r[:5] for r in rows], gap)]
 
-    return regions.groupBy("doc_id", "page").applyInPandas(one, schema)
+    named = regions.withColumns({"doc_id": F.col("doc_id").cast("string"), "page": F.col("page").cast("int")})
+    return map_groups(named, ["doc_id", "page"], list(order), one, schema, [*_BOX, "reason", width, height])
 
 
 def budget(regions: DataFrame, per_page: int = PER_PAGE, per_document: int = PER_DOCUMENT) -> DataFrame:
@@ -140,21 +136,23 @@ def replace_lines(base: DataFrame, regions: DataFrame, reads: DataFrame) -> Data
 def repair_pages(base: DataFrame, reads: DataFrame) -> DataFrame:
     """As ``replace_lines``, but a page's regions are applied one after another, each seeing what the earlier ones changed.
 
-    reads carry the region's box (rx1..ry2) and region_no.  A page's lines are one small group.
+    reads carry the region's box (rx1..ry2) and region_no (from 1).  A page's lines are one small group.
     """
     schema = "doc_id string, page int, x1 double, y1 double, x2 double, y2 double, text string, repaired boolean"
-
-    def one(key: tuple, lines: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
-        held = [(r.x1, r.y1, r.x2, r.y2, r.text, False) for r in lines.sort_values("line_no").itertuples()]
-        for _, part in fresh.sort_values(["region_no", "line_no"], kind="stable").groupby("region_no", sort=True):
-            a = part[["rx1", "ry1", "rx2", "ry2"]].iloc[0].tolist()
-            within = lambda b, a=a: a[0] <= (b[0] + b[2]) / 2 <= a[2] and a[1] <= (b[1] + b[3]) / 2 <= a[3]
-            new = [(r.x1, r.y1, r.x2, r.y2, r.text, True) for r in part.itertuples() if within((r.x1, r.y1, r.x2, r.y2))]
+    area = ["rx1", "ry1", "rx2", "ry2"]
+
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
+        held = [(*r[1:6], False) for r in rows if r[0] == 0]
+        for number in sorted({r[0] for r in rows if r[0] > 0}):
+            part = [r for r in rows if r[0] == number]
+            x1, y1, x2, y2 = part[0][6:10]
+            within = lambda b: x1 <= (b[0] + b[2]) / 2 <= x2 and y1 <= (b[1] + b[3]) / 2 <= y2  # noqa: B023, E731
+            new = [(*r[1:6], True) for r in part if within(r[1:6])]
             if new:
                 held = sorted([b for b in held if not within(b)] + new, key=lambda b: (b[1], b[0]))
-        out = pd.DataFrame(held, columns=[*_BOX, "text", "repaired"])
-        out.insert(0, "doc_id", str(key[0]))
-        out.insert(1, "page", key[1])
-        return out
+        return [(*key, *b) for b in held]
 
-    return base.groupBy("doc_id", "page").cogroup(reads.groupBy("doc_id", "page")).applyInPandas(one, schema)
+    keys = [F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page")]
+    old = base.select(*keys, F.lit(0).alias("region_no"), *_BOX, "text", "line_no", *[F.lit(None).cast("double").alias(c) for c in area])
+    new = reads.select(*keys, F.col("region_no").cast("int").alias("region_no"), *_BOX, "text", "line_no", *area)
+    return map_groups(old.unionByName(new), ["doc_id", "page"], ["region_no", "line_no"], one, schema, ["region_no", *_BOX, "text", *area])

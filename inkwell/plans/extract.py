@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from inkwell.operators.chunking import FAN_IN
 from inkwell.operators.evidence import validate_extractions
 
+from inkwell.sources.store import stored
+
 from .providers import Provider, call_provider
 
 
 def _answers(requests: DataFrame, provider: Provider, lines: DataFrame, schema: dict | None) -> DataFrame:
     """unit, result, errors for requests (unit, request)."""
-    got = call_provider(requests.withColumnRenamed("unit", "doc_id"), provider, "doc_id").persist()
+    got = stored(call_provider(requests.withColumnRenamed("unit", "doc_id"), provider, "doc_id"), "answers")
     checked = validate_extractions(got.select("doc_id", F.col("response").alias("result")), lines, schema)
     both = got.join(checked, "doc_id").withColumn("errors", F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.col("errors")))
     return both.select(F.col("doc_id").alias("unit"), F.col("response").alias("result"), "errors", "trusted", "has_data")
@@ -25,7 +27,7 @@ def call_checked(units: DataFrame, provider: Provider, lines: DataFrame, schema:
     An answer with errors is asked for once more, with the errors told; if that fails too, what has data counts as
     partial and all else as failed, with the code ``unsupported``.  Only units with errors are asked again.
     """
-    first = _answers(units, provider, lines, schema).persist()
+    first = stored(_answers(units, provider, lines, schema), "checked")
     again = first.where(F.size("errors") > 0).select("unit", "errors").join(units, "unit")
     told = again.withColumn("request", F.concat(F.lit('{"feedback":'), F.to_json("errors"), F.lit(","), F.substring("request", 2, 1 << 30))).drop("errors")
     second = _answers(told, provider, lines, schema)
@@ -41,6 +43,7 @@ def extract_chunks(chunks: DataFrame, lines: DataFrame, provider: Provider, sche
     unit = F.concat_ws("#", "doc_id", "chunk_no")
     own = cited.withColumn("unit", unit)
     request = own.groupBy("doc_id", "chunk_no", "unit").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id", "text"))), lambda s: F.struct(s["id"].alias("id"), s["text"].alias("text"))).alias("lines"))).alias("request"))
+    request = stored(request, "requests")
     done = call_checked(request.select("unit", "request"), provider, own.select(F.col("unit").alias("doc_id"), "id", "text"), schema)
     return request.select("doc_id", "chunk_no", "unit").join(done, "unit").drop("unit")
 
@@ -51,16 +54,18 @@ def merge_tree(results: DataFrame, merge: Provider, fan_in: int = FAN_IN) -> Dat
 
     results: doc_id, chunk_no, result, status.  The levels grow with the logarithm of the most chunks of a document.
     """
+    results = stored(results, "results")
     usable = results.where("status <> 'failed'").select("doc_id", F.row_number().over(_by_chunk()).alias("n"), "result", F.lit(False).alias("degraded"))
     most = usable.agg(F.max("n")).first()[0] or 0
     now = usable
     while most > 1:
         grouped = now.withColumn("g", F.floor((F.col("n") - 1) / fan_in).cast("int") + 1).groupBy("doc_id", "g").agg(F.sort_array(F.collect_list(F.struct("n", "result"))).alias("parts"), F.max("degraded").alias("degraded"))
-        grouped = grouped.withColumn("unit", F.concat_ws("#", "doc_id", "g")).persist()
+        grouped = grouped.withColumn("unit", F.concat_ws("#", "doc_id", "g"))
+        grouped = stored(grouped, "groups")
         body = F.concat(F.lit('{"results":['), F.array_join(F.transform("parts", lambda p: p["result"]), ","), F.lit("]}"))
         merged = call_provider(grouped.where(F.size("parts") > 1).select("unit", body.alias("request")), merge, "unit")
         now = grouped.join(merged, "unit", "left").select("doc_id", F.col("g").alias("n"), F.coalesce("response", F.col("parts")[0]["result"]).alias("result"), (F.col("degraded") | F.col("error").isNotNull()).alias("degraded"))
-        now = now.withColumn("degraded", F.coalesce("degraded", F.lit(False))).persist()
+        now = stored(now.withColumn("degraded", F.coalesce("degraded", F.lit(False))), "merged")
         most = -(-most // fan_in)
     whole = results.groupBy("doc_id").agg(F.bool_and(F.col("status") == "complete").alias("clean"))
     out = whole.join(now.select("doc_id", "result", "degraded"), "doc_id", "left")
