@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_written, table, written
@@ -19,6 +19,10 @@ from .common import drop_written, table, written
 NONE = "\0"
 #: Fitting ends when no share is further from its target than this, relative to the target, or after so many rounds.
 TOLERANCE, ROUNDS = 1e-4, 40
+#: Sweeps over all margins between two looks at the shares.
+SWEEPS = 6
+#: Up to so many cells, fitting goes on in one task without shuffles; beyond that the same steps are distributed.
+ONE_TASK = 200_000
 #: Target shares of the query's margins; a number tempers the actual shares (share ** number, normalised).
 TARGETS: dict[str, Mapping[str, float] | float] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
@@ -26,14 +30,13 @@ TARGETS: dict[str, Mapping[str, float] | float] = {"source": 0.5, "lang": 0.7, "
 def topic_of(text: Column) -> Column:
     """A coarse topic by the form of a text: tables and lists, records with many figures, passages of code or markup, prose."""
     size = F.greatest(F.char_length(text), F.lit(1))
-    share = lambda chars: (size - F.char_length(F.translate(text, chars, ""))) / size
-    return F.when(text.isNull() | (F.trim(text) == ""), "empty").when(share("|\t") > 0.02, "table").when(share("0123456789") > 0.02, "record").when(share("#$%&*<>{}[]=") > 0.02, "markup").otherwise("prose")
+    share = lambda chars: F.regexp_count(text, F.lit(chars)) / size
+    return F.when(text.isNull() | (F.trim(text) == ""), "empty").when(share(r"[|\t]") > 0.02, "table").when(share("[0-9]") > 0.02, "record").when(share(r"[#$%&*<>{}\[\]=]") > 0.02, "markup").otherwise("prose")
 
 
 def token_count(text: Column) -> Column:
     """Words of a text; null counts as empty."""
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(flat == "", 0).otherwise(1 + F.char_length(flat) - F.char_length(F.translate(flat, " ", ""))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def target_shares(cells: DataFrame, margin: str, target: Mapping[str, float] | float) -> DataFrame:
@@ -62,28 +65,33 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], t
     last margin is met exactly and the others as nearly as ``rounds`` rounds bring them.
     """
     cells = written(cells, "cells")
-    wanted = {m: written(target_shares(cells, m, t), "targets") for m, t in targets.items()}
-    now = cells.withColumn("weight", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0))
+    few = cells.count() <= ONE_TASK
     total = cells.agg(F.sum("tokens")).first()[0] or 0
+    now = cells.withColumn("weight", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0))
     if not total:
         return now
-    held = None
-    for _ in range(rounds):
-        for margin, target in wanted.items():
-            have = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
-            factor = have.join(target, margin, "left").select(margin, F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) * F.lit(float(total)) / F.col("have")).otherwise(0.0).alias("factor"))
-            now = now.join(factor, margin).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        now = written(now.select(*cells.columns, "weight"), "cells")
-        off = 0.0
-        for margin, target in list(wanted.items())[:-1]:
-            have = now.groupBy(margin).agg((F.sum(F.col("tokens") * F.col("weight")) / F.lit(float(total))).alias("have"))
-            off = max(off, have.join(target, margin).agg(F.max(F.abs(F.col("have") / F.col("target") - 1))).first()[0] or 0.0)
+    for margin, target in targets.items():
+        shares = target_shares(cells, margin, target).withColumnRenamed("target", f"_to_{margin}")
+        now = now.join(shares, margin, "left").withColumn(f"_to_{margin}", F.coalesce(f"_to_{margin}", F.lit(0.0)) * F.lit(float(total)))
+    now, held = written(now, "cells"), None
+    have = lambda m: F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(m))
+    for _ in range(0, rounds, SWEEPS):
+        now = now.coalesce(1) if few else now
+        for _ in range(SWEEPS):
+            for margin in targets:
+                now = now.withColumn("_have", have(margin)).withColumn("weight", F.when(F.col("_have") > 0, F.col("weight") * F.col(f"_to_{margin}") / F.col("_have")).otherwise(0.0))
+        now = written(now.drop("_have"), "cells")
+        off = F.lit(0.0)
+        looked = now.coalesce(1) if few else now
+        for margin in list(targets)[:-1]:
+            looked = looked.withColumn(f"_have_{margin}", have(margin))
+            off = F.greatest(off, F.when(F.col(f"_to_{margin}") > 0, F.abs(F.col(f"_have_{margin}") / F.col(f"_to_{margin}") - 1)).otherwise(0.0))
         if held is not None:
             drop_written(held)
         held = now
-        if off < tolerance:
+        if (looked.agg(F.max(off)).first()[0] or 0.0) < tolerance:
             break
-    return now
+    return now.select(*cells.columns, "weight")
 
 
 def mix_documents(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *, key: str = "doc_id", text: str = "text", topic: Column | None = None, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
@@ -96,6 +104,9 @@ def mix_documents(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | f
     margins = list(targets)
     topics = topic_of(F.col(text)) if topic is None else topic
     marked = docs.select(*dict.fromkeys([key, *(keep or [])]), *[F.coalesce(topics if m == "topic" else F.col(m).cast("string"), F.lit(NONE)).alias(f"_{m}") for m in margins], token_count(F.col(text)).alias("n_tokens"))
+    if not keep:
+        marked = written(marked, "marked")
+    # A row for each combination of the margins' values that occurs.
     cells = marked.groupBy(*[f"_{m}" for m in margins]).agg(F.sum("n_tokens").alias("tokens"))
     fitted = rake(cells.select(*[F.col(f"_{m}").alias(m) for m in margins], "tokens"), targets)
     most = fitted.agg(F.max("weight")).first()[0] or 1.0
