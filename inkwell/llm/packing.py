@@ -73,28 +73,19 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
         while left:
+            # The tightest open bins that fit (or new ones) take as many pieces of this length as they hold, bin by bin:
+            # a bin that has just taken one is tighter than those it was like before.
             room = bins.tightest(length)
-            if room is None:
-                # Nothing open fits: as many new bins as the pieces of this length need, each filled with them.
-                each = capacity // length
-                full, rest = divmod(left, each)
-                for i in range(each if full else 0):
-                    steps.append((length, rank, full, opened, i * length))
-                    rank += full
-                bins.add(capacity - each * length, opened, full)
-                opened += full
-                if rest:
-                    for i in range(rest):
-                        steps.append((length, rank, 1, opened, i * length))
-                        rank += 1
-                    bins.add(capacity - rest * length, opened, 1)
-                    opened += 1
-                left = 0
-            else:
-                first, number = bins.take(room, left)
-                steps.append((length, rank, number, first, capacity - room))
-                rank, left = rank + number, left - number
-                bins.add(room - length, first, number)
+            each = (capacity if room is None else room) // length
+            wanted = max(1, left // each)
+            first, number = (opened, wanted) if room is None else bins.take(room, wanted)
+            opened += number if room is None else 0
+            filled = min(each, left)
+            for i in range(filled):
+                steps.append((length, rank, number, first, capacity - (room or capacity) + i * length))
+                rank += number
+            left -= filled * number
+            bins.add((room or capacity) - filled * length, first, number)
     return steps
 
 
