@@ -168,16 +168,16 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     """
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == 0, F.lit(True))
-    docs = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out).withColumn("has_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    model = fit(docs.where(~F.col("held_out") & F.col("has_letters") & F.col(lang).isNotNull()).select(key, text, lang), text, lang, key)
+    docs = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out).withColumn("_has_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    model = fit(docs.where(~F.col("held_out") & F.col("_has_letters") & F.col(lang).isNotNull()).select(key, text, lang), text, lang, key)
     shared = spark.sparkContext.broadcast(model)  # its size depends on the number of languages only
-    names = [c for c in docs.columns if c != "has_letters"]
+    names = [c for c in docs.columns if c != "_has_letters"]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            found = batch.column("has_letters").to_numpy(zero_copy_only=False).astype(bool)
+            found = batch.column("_has_letters").to_numpy(zero_copy_only=False).astype(bool)
             if shared.value is None:
                 found = np.zeros(batch.num_rows, bool)
                 lang_pred, score = np.empty(batch.num_rows, object), np.zeros(batch.num_rows)

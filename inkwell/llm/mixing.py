@@ -99,23 +99,25 @@ def mix_documents(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | f
 
     ``targets`` names the margins: columns of ``docs``, or ``topic``, which is worked out from the text unless ``topic`` is
     given.  Null is a category of its own.  A row is kept or not by a hash of its key, so rows that repeat a key go the
-    same way if they are in the same cell.  Documents without tokens have no weight and are left out.
+    same way if they are in the same cell.  Documents without tokens have no weight and are left out.  A column of ``keep`` takes
+    precedence over an added one of its name.
     """
-    margins = list(targets)
+    margins, kept = list(targets), dict.fromkeys([key, *(keep or [])])
     topics = topic_of(F.col(text)) if topic is None else topic
-    marked = docs.select(*dict.fromkeys([key, *(keep or [])]), *[F.coalesce(topics if m == "topic" else F.col(m).cast("string"), F.lit(NONE)).alias(f"_{m}") for m in margins], token_count(F.col(text)).alias("n_tokens"))
+    value = {m: F.coalesce(topics if m == "topic" else F.col(m).cast("string"), F.lit(NONE)) for m in margins}
+    marked = docs.select(*kept, *[v.alias(f"_margin_{m}") for m, v in value.items()], token_count(F.col(text)).alias("_tokens"))
     if not keep:
         marked = written(marked, "marked")
     # A row for each combination of the margins' values that occurs.
-    cells = marked.groupBy(*[f"_{m}" for m in margins]).agg(F.sum("n_tokens").alias("tokens"))
-    fitted = rake(cells.select(*[F.col(f"_{m}").alias(m) for m in margins], "tokens"), targets)
+    cells = marked.groupBy(*[f"_margin_{m}" for m in margins]).agg(F.sum("_tokens").alias("tokens"))
+    fitted = rake(cells.select(*[F.col(f"_margin_{m}").alias(m) for m in margins], "tokens"), targets)
     most = fitted.agg(F.max("weight")).first()[0] or 1.0
-    fitted = fitted.select(*[F.col(m).alias(f"_{m}") for m in margins], (F.col("weight") / F.lit(most)).alias("probability"))
+    fitted = fitted.select(*[F.col(m).alias(f"_margin_{m}") for m in margins], (F.col("weight") / F.lit(most)).alias("_probability"))
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") / float(1 << 53)
     # Few cells, so Spark hands them to every task when they are small enough, and splits hot cells when they are not.
-    kept = marked.join(fitted, [f"_{m}" for m in margins]).where(uniform < F.col("probability"))
-    names = [F.when(F.col(f"_{m}") != NONE, F.col(f"_{m}")).alias(m) for m in margins if m not in (keep or [])]
-    return kept.select(*dict.fromkeys([key, *(keep or [])]), *names, "n_tokens", "probability")
+    sample = marked.join(fitted, [f"_margin_{m}" for m in margins]).where(uniform < F.col("_probability"))
+    added = {m: F.when(F.col(f"_margin_{m}") != NONE, F.col(f"_margin_{m}")) for m in margins} | {"n_tokens": F.col("_tokens"), "probability": F.col("_probability")}
+    return sample.select(*kept, *[c.alias(n) for n, c in added.items() if n not in kept])
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,8 @@ def top_k(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     """The k highest integer inner products of each query among all other rows: query_id, rank, vec_id, score.
 
     Queries are the rows whose key is divisible by ``every``; candidates are all rows but the query's own.  Ties go to the
-    smaller key.  A repeated row is one candidate for each time it stands there, but rows with a query's key are its own.
+    smaller key.  A repeated row is one candidate for each time it stands there, but rows with a query's key are its
+    own; of several vectors with a query's key the smallest asks.
     Vectors of a length other than the most common one take no part.
     """
     spark = vectors.sparkSession
@@ -116,7 +117,7 @@ def top_k(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = rows.where(F.size(vector) == width)
     # The query set meets all rows in blocks: each shard of about SHARD rows meets each group of about GROUP queries.
-    queries = rows.where(F.col(key) % every == 0)
+    queries = rows.where(F.col(key) % every == 0).groupBy(key).agg(F.min(vector).alias(vector))
     shards = shards or max(1, rows.count() // SHARD)
     groups = max(1, queries.count() // GROUP)
     queries = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("query"), F.pmod(F.xxhash64(F.lit(2), key), F.lit(groups)).alias("group"))
