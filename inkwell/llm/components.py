@@ -12,15 +12,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``edges``: columns u, v (long).  Gives node, component (smallest node that can be reached), a row a node.
 
     Each step rewires every node to the smallest node it sees; the number of edges never grows, and the rounds grow with
-    the logarithm of the size of a component.  Minima are pre-aggregated before each shuffle; the join that hands them back
-    is an ordinary one, which Spark splits when a node has very many edges.
+    the logarithm of the size of a component.  Minima are pre-aggregated before each shuffle.
     """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     mark = _mark(now)
     for _ in range(rounds):
-        large = _star(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), large=True)
-        next_ = written(_star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), large=False), "edges")
-        drop_written(now)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = written(_least(both), "least")
+        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        low = written(_least(large), "least")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        next_ = written(small.where("u <> v").distinct(), "edges")
+        for old in (now, near, large, low):
+            drop_written(old)
         now, before, mark = next_, mark, _mark(next_)
         if mark == before:
             break
@@ -29,14 +34,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    seen = edges.join(least, "u")
-    if large:
-        out = seen.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = seen.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+def _least(edges: DataFrame) -> DataFrame:
+    """The smallest node that each node sees.  It is stored before it is joined, so that Spark can split the join where a node
+    has very many edges."""
+    return edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -395,7 +395,9 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     full = sets.where((F.col("n") > 0) & F.col(key).isNotNull())
     sizes = {r["n"]: r["count"] for r in full.where(F.col("n") <= 2 * LIGHT_LIMIT).groupBy("n").count().collect()}  # a row a small size
     total, largest = full.agg(F.sum("n"), F.max("n")).first()
-    classes = written(full.join(full.groupBy("one", "two", "n").agg(F.min(key).alias("class_id")), ["one", "two", "n"]).select(key, "class_id", "n", "bitmap"), "classes")
+    # Stored first, so that Spark can split the join where very many rows have one set.
+    distinct = written(full.groupBy("one", "two", "n").agg(F.min(key).alias("class_id")), "classes")
+    classes = written(full.join(distinct, ["one", "two", "n"]).select(key, "class_id", "n", "bitmap"), "classes")
     links = classes.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("u"), F.col("class_id").alias("v"))
     if total:
         limit = boundary(sizes, rule)
