@@ -28,7 +28,7 @@ from .common import mix, slices, table, text_bytes, words, written
 
 MU = 200.0
 #: Text bytes of a block, and n-grams that a shard should hold.
-BLOCK_BYTES, SHARD_ROWS = 5 << 20, 1_500_000
+BLOCK_BYTES, SHARD_ROWS = 4 << 20, 1_500_000
 #: Stored bytes of a bigram's hash besides its shard; of a word's hash all eight are stored.
 BIGRAM_BYTES = 6
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
