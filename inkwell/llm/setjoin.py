@@ -33,7 +33,9 @@ from .components import components
 
 #: Signatures of a shard, members of a list that meet at once, what a list entry costs in enumerated subsets, and bits of
 #: the filter that tells which documents a verification needs (more of them only make it pass more rows).
-SHARD_ROWS, CHUNK, LIST_COST, FILTER_BITS = 1_000_000, 512, 4.0, 1 << 24
+SHARD_ROWS, CHUNK, LIST_COST, FILTER_BITS = 400_000, 512, 4.0, 1 << 24
+#: Text bytes that a task turns into sets at once.
+AT_ONCE = (1 << 20) - 64
 #: Subsets are only ever weighed for sets up to this size; larger ones are heavy in any case.
 LIGHT_LIMIT = 40
 
@@ -139,7 +141,7 @@ def describe_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame
     """A row for each row of ``docs``: key, n (size), two 64-bit hashes of the set, and its parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, AT_ONCE):
             values, offsets = shingle_sets(*text_bytes(batch.column(text)), width)
             n = np.diff(offsets)
             bits = bitmap_bits(n)
@@ -192,7 +194,7 @@ def shared_signatures(docs: DataFrame, key: str, text: str, width: int, rule: Ru
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets of this input partition; equal ones are entered once
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, AT_ONCE):
             batch = batch.filter(batch.column(key).is_valid())
             values, offsets = shingle_sets(*text_bytes(batch.column(text)), width)
             whole = row_sums(mix(values), offsets).tolist()
@@ -358,7 +360,7 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, r
     shared = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, AT_ONCE):
             s = batch.column("s").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(shared.value[s >> 6] >> (s & 63) & 1 == 1))
             if batch.num_rows:
