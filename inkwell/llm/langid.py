@@ -37,6 +37,8 @@ _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = 32 + (np.arange(128, 256) & 31)
 PAIRS, TRIPLES = 4096, 8192
 SCALE = 12.0
+#: Text bytes whose margins a task works out at once.
+AT_ONCE = 1 << 20
 
 
 def features(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,17 +61,19 @@ def vectors(column: pa.Array) -> np.ndarray:
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 12) -> np.ndarray:
-    """A linear support vector machine with squared hinge loss, by dual coordinate descent.  y: +1 or -1."""
-    weights, alpha = np.zeros(x.shape[1], np.float64), np.zeros(len(x))
-    diagonal = (x.astype(np.float64) ** 2).sum(1) + 0.5 / cost
+def fit_svm(x: np.ndarray, of: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 12) -> np.ndarray:
+    """A linear support vector machine with squared hinge loss, by dual coordinate descent, on the rows ``of`` of ``x`` (read in
+    place: a copy would weigh as much as the sample).  y: +1 or -1."""
+    weights, alpha = np.zeros(x.shape[1], np.float64), np.zeros(len(of))
+    diagonal = np.array([float(x[row] @ x[row]) for row in of]) + 0.5 / cost
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            gradient = y[i] * (x[i] @ weights) - 1 + 0.5 / cost * alpha[i]
+        for i in order.permutation(len(of)):
+            row = x[of[i]]
+            gradient = y[i] * (row @ weights) - 1 + 0.5 / cost * alpha[i]
             new = max(0.0, alpha[i] - gradient / diagonal[i])
             if new != alpha[i]:
-                weights += (new - alpha[i]) * y[i] * x[i]
+                weights += (new - alpha[i]) * y[i] * row
                 alpha[i] = new
     return weights
 
@@ -77,13 +81,13 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 12) -
 class Discriminator:
     """Machines for each pair of classes; a class's confidence is the mean of its pairwise ones."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray):
-        self.classes = sorted(set(labels.tolist()))
+    def __init__(self, x: np.ndarray, labels: np.ndarray, rows: np.ndarray):
+        self.classes = sorted(set(labels[rows].tolist()))
         self.pairs = list(combinations(range(len(self.classes)), 2))
         self.weights = np.zeros((len(self.pairs), x.shape[1]), np.float32)
         for k, (i, j) in enumerate(self.pairs):
-            of = np.flatnonzero((labels == self.classes[i]) | (labels == self.classes[j]))
-            self.weights[k] = fit_svm(x[of], np.where(labels[of] == self.classes[i], 1.0, -1.0))
+            of = rows[(labels[rows] == self.classes[i]) | (labels[rows] == self.classes[j])]
+            self.weights[k] = fit_svm(x, of, np.where(labels[of] == self.classes[i], 1.0, -1.0))
 
     def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best class and its confidence for rows of margins (one column a pair)."""
@@ -101,8 +105,8 @@ class Discriminator:
 class Identifier:
     def __init__(self, x: np.ndarray, langs: np.ndarray):
         families = np.array([FAMILY.get(x, x) for x in langs.tolist()], dtype=object)
-        self.family = Discriminator(x, families)
-        self.within = [Discriminator(x[families == f], langs[families == f]) for f in self.family.classes]
+        self.family = Discriminator(x, families, np.arange(len(x)))
+        self.within = [Discriminator(x, langs, np.flatnonzero(families == f)) for f in self.family.classes]
         machines = [self.family, *self.within]
         self.starts = np.cumsum([0, *[len(m.pairs) for m in machines]])
         self.weights = np.ascontiguousarray(np.concatenate([m.weights for m in machines]).T)
@@ -176,7 +180,7 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, AT_ONCE):
             found = batch.column("_has_letters").to_numpy(zero_copy_only=False).astype(bool)
             if shared.value is None:
                 found = np.zeros(batch.num_rows, bool)
