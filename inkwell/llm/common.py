@@ -47,7 +47,7 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = (4 << 20) - 64) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = (1 << 20) - 64) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of whole rows of about ``most`` bytes of ``text``: memory stays bounded."""
     for batch in batches:
         if not batch.num_rows:

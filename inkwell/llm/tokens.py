@@ -99,8 +99,8 @@ class PieceEncoder:
             blob = raw.tobytes()
             texts = [blob[a:b].decode() for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]
             found: list[list[int]] = []
-            for i in range(0, len(texts), 20_000):
-                found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+            for i in range(0, len(texts), 4_000):
+                found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 4_000], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
             place = len(self.starts) - 1 + np.arange(len(new))
