@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, mix, slices, table, text_bytes, words, written
+from .common import drop_written, give_back, mix, slices, table, text_bytes, words, written
 from .components import components
 
 #: Signatures of a shard, members of a list that meet at once, what a list entry costs in enumerated subsets, and bits of
@@ -238,7 +238,10 @@ def shared_signatures(docs: DataFrame, key: str, text: str, width: int, rule: Ru
                 both = np.concatenate([chunks[i], chunks[j]])
                 buckets.append(np.full(len(both), mix(b + np.uint64(i << 32 | j))))
                 members.append(both)
-        return pa.table({"bucket": np.concatenate(buckets).view(np.int64), key: np.concatenate(members)})
+        out = pa.table({"bucket": np.concatenate(buckets).view(np.int64), key: np.concatenate(members)})
+        del sig, ids, order, keep, sums, buckets, members
+        give_back()
+        return out
 
     return docs.select(key, text).mapInArrow(emit, "shard int, sigs binary, ids binary").groupBy("shard").applyInArrow(gather, f"bucket long, {key} long")
 
