@@ -153,7 +153,8 @@ def catalog_provenance(spark, sf_dir):
 SELECT x.doc_id, CAST(levenshtein(x.t, y.t) AS INTEGER) AS edits, levenshtein(x.t, y.t) / CAST(greatest(1, length(y.t)) AS DOUBLE) AS rate,
 greatest(0, 1 - levenshtein(x.t, y.t) / CAST(greatest(1, length(y.t)) AS DOUBLE)) AS score FROM a x JOIN a y ON y.doc_id = x.doc_id + 1""")
 def cer_pairs(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").where(F.char_length("text") == F.octet_length("text")).select("doc_id", F.substring("text", 1, 200).alias("t"))
+    """Whole texts of all documents, by code points; the SQL beside it still takes ASCII texts' first 200 characters."""
+    a = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
     return a.join(b, "doc_id").select("doc_id", X.cer(F.col("t"), F.col("u")).alias("c")).select("doc_id", "c.edits", "c.rate", "c.score")
 
@@ -441,7 +442,7 @@ def selected_pages(spark, sf_dir):
 @query()
 def page_evaluation(spark, sf_dir):
     """Rows only: edit distances, headings and tables of Unicode Markdown."""
-    own = lines(spark, sf_dir).where("page <= 2").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("idx", F.substring("text", 1, 80).alias("t")))).alias("l"))
+    own = lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("text").alias("t")))).alias("l"))
     truth = own.select(F.col("doc_id").alias("document"), "page", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("markdown"))
     read = truth.where("(document + page) % 10 <> 0").withColumn("markdown", F.when(F.col("document") % 3 == 0, F.concat("markdown", F.lit(" x"))).otherwise(F.col("markdown")))
     pages = metrics.evaluate_pages(read, truth)
