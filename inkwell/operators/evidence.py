@@ -121,7 +121,9 @@ def check_evidence(read: DataFrame, lines: DataFrame, generic: bool = True, fold
     Lines are joined by one blank in the order cited; the quote must occur in them, white space and case aside
     (``fold=False``: lower case stays in the JVM, for ASCII).  No evidence refers to what its document does not hold.
     """
-    each = read.select("doc_id", "leaves", F.posexplode("evidence").alias("ev_no", "e")).select("doc_id", "leaves", "ev_no", "e.path", "e.quote", "e.line_ids")
+    # Looked up before the evidence is a row each, so a document's leaves are not copied to all of its rows.
+    known = F.transform("evidence", lambda e: F.struct(e["path"].alias("path"), e["quote"].alias("quote"), e["line_ids"].alias("line_ids"), F.array_contains("leaves", e["path"]).alias("path_ok")))
+    each = read.select("doc_id", F.posexplode(known).alias("ev_no", "e")).select("doc_id", "ev_no", "e.path", "e.quote", "e.line_ids", "e.path_ok")
     cited = each.select("doc_id", "ev_no", F.posexplode_outer("line_ids").alias("pos", "id"))
     joined = cited.join(lines.select("doc_id", "id", "text"), ["doc_id", "id"], "left").groupBy("doc_id", "ev_no").agg(
         (F.bool_and(F.col("text").isNotNull()) & (F.count("id") > 0)).alias("known_ids"),
@@ -129,7 +131,7 @@ def check_evidence(read: DataFrame, lines: DataFrame, generic: bool = True, fold
     )
     lower = X.casefold if fold else F.lower
     plain = lambda c: lower(X.normalize_inline(c, compose=fold))
-    checked = each.join(joined, ["doc_id", "ev_no"]).select("doc_id", "ev_no", "path", "quote", "known_ids", F.array_contains("leaves", F.col("path")).alias("path_ok"), (plain(F.col("cited")).contains(plain(F.col("quote"))) & (plain(F.col("quote")) != "")).alias("quote_ok"))
+    checked = each.join(joined, ["doc_id", "ev_no"]).select("doc_id", "ev_no", "path", "quote", "known_ids", "path_ok", (plain(F.col("cited")).contains(plain(F.col("quote"))) & (plain(F.col("quote")) != "")).alias("quote_ok"))
     return checked.withColumn("trusted", F.col("known_ids") & F.col("path_ok") & F.col("quote_ok"))
 
 

@@ -264,10 +264,11 @@ EVIDENCE = f"""WITH {LINES_SQL}, e AS (SELECT doc_id, CAST(idx - 1 AS INTEGER) A
 
 
 def _extractions(spark, sf_dir):
-    own = lines(spark, sf_dir).where("page = 1 AND char_length(text) = octet_length(text) AND char_length(text) > 30")
+    """Evidence for every line of every page; the SQL beside it still takes long ASCII lines of first pages."""
+    own = lines(spark, sf_dir)
     quote = F.when(F.col("doc_id") % 5 == 0, "zzz").otherwise(F.upper(F.substring("text", 3, 20)))
     cited = F.when(F.col("doc_id") % 7 != 0, F.col("id")).otherwise("p9-l9999")
-    each = own.select("doc_id", "idx", F.concat(F.lit("/data/"), F.col("idx")).alias("path"), F.array(cited).alias("line_ids"), quote.alias("quote"))
+    each = own.select("doc_id", F.concat(F.lit("/data/"), F.col("pos") + 1).alias("path"), F.array(cited).alias("line_ids"), quote.alias("quote"))
     read = each.groupBy("doc_id").agg(F.collect_list(F.struct("path", "line_ids", "quote")).alias("evidence"), F.collect_list("path").alias("leaves"))
     return read, own.select("doc_id", "id", "text")
 
@@ -275,13 +276,13 @@ def _extractions(spark, sf_dir):
 @query(EVIDENCE + " SELECT doc_id, '/data/' || (ev_no + 1) AS path, known_ids, coalesce(known_ids AND regexp_replace(quote, '\\s+', ' ', 'g') <> '' AND contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(quote, '\\s+', ' ', 'g')))), false) AS trusted FROM e")
 def evidence_grounding(spark, sf_dir):
     read, own = _extractions(spark, sf_dir)
-    return evidence.check_evidence(read, own, fold=False).select("doc_id", "path", "known_ids", "trusted")
+    return evidence.check_evidence(read, own).select("doc_id", "path", "known_ids", "trusted")
 
 
 @query(EVIDENCE + " SELECT doc_id, '/data/' || (ev_no + 1) AS path FROM e WHERE NOT (known_ids AND trim(quote) <> '' AND contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(quote, '\\s+', ' ', 'g')))))")
 def uncovered_leaves(spark, sf_dir):
     read, own = _extractions(spark, sf_dir)
-    return evidence.uncovered_leaves(read, evidence.check_evidence(read, own, fold=False), generic=False)
+    return evidence.uncovered_leaves(read, evidence.check_evidence(read, own), generic=False)
 
 
 @query(f"""WITH {LINES_SQL} SELECT doc_id, id || '+' AS path, CAST(p - 1 AS INTEGER) AS pos, CASE WHEN p = 1 THEN id ELSE printf('p%d-l%04d', page, 1) END AS id

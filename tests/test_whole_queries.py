@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import unicodedata
 
 import pytest
 
@@ -73,3 +74,17 @@ def test_page_evaluation(spark, sf_dir):
         want[d] = (len(truth), sum(p is not None for p in read) / len(truth), distance(cand, ref))
     got = {r.document: (r.pages, pytest.approx(r.success_rate), r.cer.edits) for r in Q.page_evaluation(spark, sf_dir).collect()}
     assert got == want
+
+
+def test_evidence(spark, sf_dir):
+    fold = lambda s: " ".join(unicodedata.normalize("NFC", s).split()).casefold()
+    want = {}
+    for d, pos, _, _, text in all_lines():
+        quote = "zzz" if d % 5 == 0 else text[2:22].upper()
+        known = d % 7 != 0
+        want[d, f"/data/{pos + 1}"] = (known, known and fold(quote) != "" and fold(quote) in fold(text))
+    got = [((r.doc_id, r.path), (r.known_ids, r.trusted)) for r in Q.evidence_grounding(spark, sf_dir).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert any(ok for (d, path), (_, ok) in want.items() if path == "/data/9" and d == 4)  # STRASSE, on page 2
+    bare = sorted((r.doc_id, r.path) for r in Q.uncovered_leaves(spark, sf_dir).collect())
+    assert bare == sorted(k for k, (_, ok) in want.items() if not ok)
