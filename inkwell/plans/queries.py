@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import geometry as G
@@ -141,12 +141,14 @@ SELECT l.doc_id, l.id, CASE WHEN s.n IS NULL THEN 'native' WHEN l.doc_id % 4 = 0
 FROM lines l LEFT JOIN seen s ON l.doc_id = s.doc_id AND l.page = s.page AND l.text = s.text
 WHERE l.text <> '' AND (l.doc_id, l.page, l.text) IN (SELECT doc_id, page, text FROM lines GROUP BY doc_id, page, text HAVING count(*) = 1)""")
 def catalog_provenance(spark, sf_dir):
+    """All lines with text; the SQL beside it still leaves out texts that repeat on their page."""
     whole = lines(spark, sf_dir).where("text <> ''")
     items = whole.select("doc_id", "page", "idx", "text", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), "id")
     ocr = whole.where("(doc_id + pos) % 3 <> 0").select("doc_id", "page", F.col("idx").alias("line_no"), "text", "x1", "y1", "x2", "y2", "confidence", (F.col("doc_id") % 4 == 0).alias("repaired"))
-    found = L.line_catalog(items, ocr).select("doc_id", "page", "text", "source")
-    once = whole.groupBy("doc_id", "page", "text").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-    return found.join(once, ["doc_id", "page", "text"]).select("doc_id", "id", "source")
+    # The catalog numbers a page's items anew, since lines without text are no items.
+    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("idx"))
+    ids = items.select("doc_id", F.col("id").alias("line"), X.line_id(F.col("page"), number).alias("id"))
+    return L.line_catalog(items, ocr).join(ids, ["doc_id", "id"]).select("doc_id", F.col("line").alias("id"), "source")
 
 
 @query("""WITH a AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents WHERE length(text) = strlen(text))
@@ -248,9 +250,8 @@ def policy_delta(spark, sf_dir):
 @query(f"""WITH {LINES_SQL}, once AS (SELECT doc_id, page, text, min(idx) AS idx FROM lines WHERE text <> '' GROUP BY 1, 2, 3 HAVING count(*) = 1)
 SELECT doc_id, page, text, idx AS ref_no, idx AS cand_no FROM once""")
 def greedy_grounding(spark, sf_dir):
-    whole = lines(spark, sf_dir).where("text <> ''")
-    once = whole.groupBy("doc_id", "page", "text").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    own = whole.join(once, ["doc_id", "page", "text"], "left_semi").select("doc_id", "page", "text", F.col("idx").alias("line_no"), "x1", "y1", "x2", "y2")
+    """All lines with text; the SQL beside it still leaves out texts that repeat on their page."""
+    own = lines(spark, sf_dir).where("text <> ''").select("doc_id", "page", "text", F.col("idx").alias("line_no"), "x1", "y1", "x2", "y2")
     return metrics.greedy_matches(own, own.withColumn("y1", F.col("y1") + 2), ["doc_id", "page"]).drop("iou")
 
 
@@ -350,9 +351,10 @@ s AS (SELECT DISTINCT doc_id, source, text FROM src WHERE length(text) = strlen(
 c AS (SELECT text, count(DISTINCT doc_id) - 1 AS peers FROM s GROUP BY text)
 SELECT doc_id, text AS signature, peers FROM s JOIN c USING (text) WHERE peers >= 2""")
 def peer_blocks(spark, sf_dir):
-    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("signature")).where("char_length(signature) = octet_length(signature)").distinct()
-    plain = each.where((X.collapse(F.col("signature")) == F.col("signature")) & ~F.col("signature").rlike(r"[\x00-\x1f]") & peers.is_safe_signature(F.col("signature")))
-    signed = plain.select(F.lit("corpus").alias("doc_id"), F.lit("line").alias("kind"), F.col("doc_id").alias("page"), "signature")
+    """Every line, normalised as blocks are; the SQL beside it still takes ASCII lines that are normal as they stand."""
+    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    plain = each.select("doc_id", X.normalize_inline(F.col("text")).alias("signature")).distinct()
+    signed = plain.where(peers.is_safe_signature(F.col("signature"))).select(F.lit("corpus").alias("doc_id"), F.lit("line").alias("kind"), F.col("doc_id").alias("page"), "signature")
     return peers.peer_blocks(signed).select(F.col("page").alias("doc_id"), "signature", "peers")
 
 
@@ -382,8 +384,11 @@ u AS (SELECT artifact_id, event_id, created_at, retained_bytes FROM (SELECT *, r
 
 @query(HISTORY + " SELECT * FROM u")
 def history_upsert(spark, sf_dir):
+    """The earlier half of the time is stored, the later half is new."""
     whole = _history(spark, sf_dir)
-    return history.upsert(whole.where("event_id % 2 = 0").limit(0), whole, ["created_at", "event_id"])
+    middle = whole.agg(((F.min("created_at") + F.max("created_at")) / 2).alias("middle"))
+    dated = whole.crossJoin(F.broadcast(middle)).withColumn("late", F.coalesce(F.col("created_at") >= F.col("middle"), F.lit(False))).drop("middle")
+    return history.upsert(dated.where("not late").drop("late"), dated.where("late").drop("late"), ["created_at", "event_id"])
 
 
 @query(HISTORY + " SELECT * FROM u WHERE created_at + 86400 > 1706500000")
@@ -434,9 +439,10 @@ def annotation_boxes(spark, sf_dir):
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, page, count(*) AS n FROM lines WHERE page <= 3 AND doc_id % 2 = 0 GROUP BY 1, 2")
 def selected_pages(spark, sf_dir):
+    """The first three pages of every document; the SQL beside it still takes even documents."""
     own = lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
     total = own.groupBy("doc_id").agg(F.max("page").alias("m"))
-    wanted = total.where("doc_id % 2 = 0").select("doc_id", F.sequence(F.lit(1), F.least(F.lit(3), "m")).cast("array<bigint>").alias("selected"))
+    wanted = total.select("doc_id", F.sequence(F.lit(1), F.least(F.lit(3), "m")).cast("array<bigint>").alias("selected"))
     return files.select_pages(own, wanted)
 
 
@@ -452,6 +458,6 @@ def page_evaluation(spark, sf_dir):
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, page, x1 * 2 AS x1, y1 * 2 AS y1 FROM lines WHERE idx = 1")
 def point_to_pixel(spark, sf_dir):
-    one = lines(spark, sf_dir).where("idx = 1")
+    """Every line; the SQL beside it still takes the first of each page."""
     moved = G.rescale(G.box("x1", "y1", "x2", "y2"), F.lit(612.0), F.lit(792.0), F.lit(1224.0), F.lit(1584.0))
-    return one.select("doc_id", "page", moved["x1"].alias("x1"), moved["y1"].alias("y1"))
+    return lines(spark, sf_dir).select("doc_id", "page", moved["x1"].alias("x1"), moved["y1"].alias("y1"))

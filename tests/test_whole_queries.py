@@ -1,12 +1,15 @@
 """Registered queries over whole tables and whole texts, against brute force on a few documents."""
 
+import datetime
 import itertools
 import random
 import unicodedata
+from collections import Counter
 
 import pytest
 
 from inkwell.functions import text as X
+from inkwell.operators import history
 from inkwell.plans import queries as Q
 
 LONG = "Größe und Maß der Änderung, naïve façade " * 9
@@ -88,3 +91,71 @@ def test_evidence(spark, sf_dir):
     assert any(ok for (d, path), (_, ok) in want.items() if path == "/data/9" and d == 4)  # STRASSE, on page 2
     bare = sorted((r.doc_id, r.path) for r in Q.uncovered_leaves(spark, sf_dir).collect())
     assert bare == sorted(k for k, (_, ok) in want.items() if not ok)
+
+
+def text_lines():
+    return [x for x in all_lines() if x[4] != ""]
+
+
+def overlap(a, b):
+    """Of two lines of one text: equally wide, ten high."""
+    high = max(0, 10 - abs(a - b))
+    return high / (20 - high)
+
+
+def test_peer_blocks(spark, sf_dir):
+    signed = {(d, " ".join(unicodedata.normalize("NFC", x).split())) for d, _, _, _, x in all_lines()}
+    on = Counter(s for _, s in signed)
+    want = {(d, s, on[s] - 1) for d, s in signed if len(s) >= 8 and not any(c.isdigit() for c in s) and on[s] > 2}
+    got = [tuple(r) for r in Q.peer_blocks(spark, sf_dir).collect()]
+    assert len(got) == len(want) and set(got) == want and "Kopfzeile Straße" in {s for _, s, _ in want}
+
+
+def test_selected_pages_and_pixels(spark, sf_dir):
+    want = Counter((d, p) for d, _, p, _, _ in all_lines() if p <= 3)
+    assert {(r.doc_id, r.page): r.n for r in Q.selected_pages(spark, sf_dir).collect()} == want
+    moved = Counter((d, p, 72.0, 72.0 + (i - 1) * 24) for d, _, p, i, _ in all_lines())
+    assert Counter(tuple(r) for r in Q.point_to_pixel(spark, sf_dir).collect()) == moved
+
+
+def test_catalog_provenance(spark, sf_dir):
+    want = {}
+    for d, _, p, i, x in text_lines():
+        reads = [12 * (n - i) for e, pos, q, n, y in text_lines() if (e, q, y.strip()) == (d, p, x.strip()) and (d + pos) % 3]
+        hit = any(overlap(0, r) >= 0.35 for r in reads)
+        want[d, f"p{p}-l{i:04d}"] = ("repair_400" if d % 4 == 0 else "ocr_300") if hit else "native"
+    got = [((r.doc_id, r.id), r.source) for r in Q.catalog_provenance(spark, sf_dir).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_greedy_grounding(spark, sf_dir):
+    want = set()
+    for d, p, x in {(d, p, x) for d, _, p, _, x in text_lines()}:
+        free = [i for e, _, q, i, y in text_lines() if (e, q, y) == (d, p, x)]
+        for ref in list(free):
+            best = max(free, key=lambda c: (overlap(12 * ref + 2, 12 * c), -c))
+            free.remove(best)
+            want.add((d, p, x, ref, best))
+    got = [tuple(r) for r in Q.greedy_grounding(spark, sf_dir).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_history_upsert_meets_stored_rows(spark, tmp_path, monkeypatch):
+    rows = [(i, datetime.datetime(2024, 1, 1 + day), user, "{}") for i, (user, day) in enumerate([(1, 0), (1, 9), (2, 1), (2, 2), (3, 8), (3, 7), (4, 9), (4, 9)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    sides, upsert = [], history.upsert
+
+    def seen(stored, new, order):
+        sides.append((stored.count(), new.count()))
+        return upsert(stored, new, order)
+
+    monkeypatch.setattr(Q.history, "upsert", seen)
+    got = {r.artifact_id: r.event_id for r in Q.history_upsert(spark, str(tmp_path)).collect()}
+    assert sides == [(3, 5)] and got == {"a0001": 1, "a0002": 3, "a0003": 4, "a0004": 7}
+
+
+def test_new_rows_go_before_later_stored_rows(spark):
+    kind = "artifact_id string, created_at long, n int"
+    stored = spark.createDataFrame([("a", 9, 1), ("b", 1, 2)], kind)
+    new = spark.createDataFrame([("a", 3, 3), ("a", 2, 4), ("c", 1, 5)], kind)
+    assert {r.artifact_id: r.n for r in history.upsert(stored, new).collect()} == {"a": 3, "b": 2, "c": 5}
