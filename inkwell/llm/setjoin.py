@@ -4,17 +4,18 @@ Two sets of sizes a and b link when their overlap reaches ``o(a, b) = ceil(t (a
 
 * *Light* sets (below the boundary) enumerate their subsets of the fixed sizes o that a partner may ask for; two light sets
   that link share one.
-* *Heavy* sets, and the light ones just below the boundary that may link with them, are entered in inverted lists.  The
-  tokens are dealt by hash to d + 1 parts, d being the most that two linked sets of these sizes can differ by, so a linked
-  pair has at least one part in common; a list holds the sets that agree on one whole part.
+* *Heavy* sets, and the light ones just below the boundary that may link with them, are entered in inverted lists of
+  elements.  A set of n elements is entered under its ``n - ceil(t n) + 1`` rarest ones only: two linked sets share one of
+  these, whatever order of the elements is used, as long as it is the same for all.  The order is by the number of sets
+  that hold an element, counted over the whole corpus; one that no other set holds needs no list.
 * The boundary is the one with the least cost over the whole table's histogram of set sizes.
 
-Sets that share a subset or a list are compared by parity bitmaps first (their distance never exceeds the sets' symmetric
-difference, so nothing is lost), and what remains is verified on the sets themselves.  Only links that connect something
-new are verified: inside a list a pair is looked at only while its two sets are not yet connected, and a list in which a
-comparison fails is searched again for all its other pairs.  So components are those of all links, without all pairs.
-
-Rows travel as packed arrays for each pair of input slice and shard, so Spark shuffles a few large rows.
+Lists are scanned with a filter on sizes and places: if the element is the first that two sets share, what follows it in
+both must still hold the overlap they need.  Every member of a list is compared with its first member (so a list costs as
+many pairs as it has members), and only lists whose members are not all connected by then are scanned for their other pairs,
+those of different components.  Pairs are held against each other by parity bitmaps first (the distance of these never
+exceeds the sets' symmetric difference, so nothing is lost) and what remains is verified on the sets themselves.  So
+components are those of all links, without all pairs.
 """
 
 from __future__ import annotations
@@ -25,17 +26,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, give_back, mix, slices, table, text_bytes, words, written
+from .common import drop_written, give_back, mix, table, text_bytes, words, written
 from .components import components
+from .ngram_counts import SHORT, block_counts, blocks, shards_for, told
 
-#: Signatures of a shard, members of a list that meet at once, what a list entry costs in enumerated subsets, and bits of
-#: the filter that tells which documents a verification needs (more of them only make it pass more rows).
-SHARD_ROWS, CHUNK, LIST_COST, FILTER_BITS = 400_000, 512, 4.0, 1 << 24
+#: Members of a list that meet in one group, and what an entry in a list costs in enumerated subsets.
+CHUNK, LIST_COST = 512, 4.0
 #: Subsets are only ever weighed for sets up to this size; larger ones are heavy in any case.
 LIGHT_LIMIT = 40
+#: Elements whose hash lies in the lower half are counted over the corpus and come first in the order, by their number; the
+#: others follow by their hash.  A set seldom needs these: its rarest elements are a tenth or a fifth of all.
+COUNTED = np.uint64(1 << 63)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +78,11 @@ def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+def set_names(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set."""
+    return mix(row_sums(mix(values), offsets)), mix(row_sums(mix(values ^ np.uint64(0x5851F42D4C957F2D)), offsets))
+
+
 class Rule:
     """The arithmetic of one threshold, in per cent."""
 
@@ -84,22 +93,15 @@ class Rule:
         """Least overlap of two linked sets whose sizes add up to ``total``."""
         return -(-self.percent * total // (100 + self.percent))
 
-    def least(self, n: int) -> int:
+    def least(self, n):
         return -(-self.percent * n // 100)
 
     def most(self, n: int) -> int:
         return 100 * n // self.percent
 
-    def bands(self, largest: int) -> tuple[np.ndarray, np.ndarray]:
-        """First sizes of the bands (a set links only within its band and its neighbours), and the parts of each."""
-        first, parts, low = [], [], 1
-        while low <= largest:
-            high = self.most(low)
-            first.append(low)
-            parts.append(2 * high - 2 * (-(-self.percent * 2 * high // (100 + self.percent))) + 2)
-            low = high + 1
-        high = self.most(low)
-        return np.array([*first, low], np.int64), np.array([*parts, 2 * high - 2 * (-(-self.percent * 2 * high // (100 + self.percent))) + 2], np.int64)
+    def entered(self, n):
+        """Elements under which a set of n is entered: it shares one of them with each set that it links with."""
+        return n - self.least(n) + 1
 
     def subset_sizes(self, n: int) -> list[int]:
         """The overlaps that a set of n elements may be asked for, by partners of any size (equal sets aside)."""
@@ -111,12 +113,18 @@ class Rule:
     def light_cost(self, n: int) -> float:
         return float(sum(math.comb(n, c) for c in self.subset_sizes(n)))
 
+    def may_link(self, n: Column, place: Column, other: Column, other_place: Column) -> Column:
+        """Whether two members of a list can reach the overlap they need, if they share nothing before its element."""
+        need = F.ceil(F.lit(self.percent) * (n + other) / F.lit(float(100 + self.percent)) - 1e-9)
+        return F.least(n - place, other - other_place) >= need
+
 
 def boundary(sizes: dict[int, int], rule: Rule) -> int:
-    """Sets below it are light: the value of the least total cost, by the histogram of the small sizes."""
-    first, parts = rule.bands(LIGHT_LIMIT * 2)
-    band = lambda n: int(np.searchsorted(first, n, side="right") - 1)
-    heavy = {n: LIST_COST * float(parts[band(n)] + parts[band(n) + 1]) for n in sizes}
+    """Sets below it are light: the value of the least total cost, by the histogram of the small sizes.
+
+    A light set costs its subsets; a set in lists costs the counting of its elements and its entries.
+    """
+    heavy = {n: n + LIST_COST * rule.entered(n) for n in sizes}
     best, least = 1, math.inf
     for x in range(1, LIGHT_LIMIT + 1):
         cost = sum(c * rule.light_cost(n) for n, c in sizes.items() if n < x) + sum(c * heavy[n] for n, c in sizes.items() if n >= rule.least(x))
@@ -125,307 +133,327 @@ def boundary(sizes: dict[int, int], rule: Rule) -> int:
     return best
 
 
-def bitmap_bits(n: np.ndarray) -> np.ndarray:
-    """Bits of the parity bitmap of a set: a power of two of at least twice its size, 64 to 32,768."""
-    return (1 << np.clip(np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), 6, 15)).astype(np.int64)
+def parity(values: np.ndarray) -> bytes:
+    """The parity bitmap of a set: a power of two of at least twice its size in bits, 64 to 32,768."""
+    bits = 1 << min(15, max(6, (2 * len(values) - 1).bit_length()))
+    odd = np.bincount((values >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
 
 
-def parity(values: np.ndarray, bits: int) -> np.ndarray:
-    odd = np.bincount((values >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1
-    return np.packbits(odd, bitorder="little")
+def mark_fresh(key: str):
+    """Adds a column ``fresh`` to batches: whether the row has a key and no earlier row of the partition has its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            fresh = np.zeros(batch.num_rows, bool)
+            keyed = batch.column(key).is_valid().to_pylist()
+            for i, name in enumerate(zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True)):
+                if keyed[i] and name not in seen:
+                    seen.add(name)
+                    fresh[i] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fresh)], names=[*batch.schema.names, "fresh"])
+
+    return run
+
+
+def whole_text(part: pa.Table, text: str) -> tuple[np.ndarray, np.ndarray]:
+    return text_bytes(part[text].combine_chunks())
 
 
 def describe_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """A row for each row of ``docs``: key, n (size), two 64-bit hashes of the set, and its parity bitmap."""
+    """A row for each row of ``docs``: key, n (size), two hashes of the set, and the number of its block if it is fresh."""
+    fresh = mark_fresh(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            values, offsets = shingle_sets(*text_bytes(batch.column(text)), width)
-            n = np.diff(offsets)
-            bits = bitmap_bits(n)
-            maps = [parity(values[a:b], k).tobytes() if b > a else None for a, b, k in zip(offsets[:-1], offsets[1:], bits.tolist(), strict=True)]
-            one, two = mix(row_sums(mix(values), offsets)), mix(row_sums(mix(values ^ np.uint64(0x5851F42D4C957F2D)), offsets))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(maps, pa.binary())], names=[key, "n", "one", "two", "bitmap"])
+        for number, part in blocks(fresh(batches), text):
+            values, offsets = shingle_sets(*whole_text(part, text), width)
+            one, two = set_names(values, offsets)
+            own = part["fresh"].to_numpy()
+            yield pa.RecordBatch.from_arrays([part[key].combine_chunks(), pa.array(np.diff(offsets)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(own), number), mask=~own)], names=[key, "n", "one", "two", "block"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} long, n long, one long, two long, bitmap binary")
+    return docs.mapInArrow(run, f"{key} long, n long, one long, two long, block long")
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, rule: Rule, limit: int, first: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of all sets: subsets of the light ones, parts of the heavy ones and their light neighbours."""
-    n = np.diff(offsets)
-    keys, owners = [], []
-    with np.errstate(over="ignore"):
-        spread = mix(values ^ np.uint64(0xD1B54A32D192ED03))
-        heavy = np.flatnonzero(n >= max(1, rule.least(limit)))
-        if len(heavy):
-            band = np.searchsorted(first, n[heavy], side="right") - 1
-            of = np.repeat(np.arange(len(heavy)), n[heavy])
-            at = np.arange(len(of)) + np.repeat(offsets[heavy] - np.concatenate([[0], np.cumsum(n[heavy])[:-1]]), n[heavy])
-            own, low = spread[at], (values[at] >> np.uint64(8)).astype(np.uint64)
-            for step in (0, 1):
-                number = parts[band + step]
-                start = np.concatenate([[0], np.cumsum(number)])
-                sums = np.zeros(start[-1], np.uint64)
-                np.add.at(sums, start[of] + (low % number[of].astype(np.uint64)).astype(np.int64), own)
-                row = np.repeat(np.arange(len(heavy)), number)
-                part = np.arange(len(row)) - start[row]
-                keys.append(mix(sums + mix((np.uint64(1 << 40) + ((band[row] + step) << 20) + part).astype(np.uint64))))
-                owners.append(heavy[row])
-        for row in np.flatnonzero((n > 0) & (n < limit)).tolist():
-            own = spread[offsets[row] : offsets[row + 1]]
-            total = own.sum(dtype=np.uint64)
-            for c in rule.subset_sizes(len(own)):
-                left_out = np.array([own[list(x)].sum(dtype=np.uint64) for x in combinations(range(len(own)), len(own) - c)], np.uint64)
-                keys.append(mix(total - left_out + mix(np.full(1, c, np.uint64))))
-                owners.append(np.full(len(left_out), row))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
-
-
-def shared_signatures(docs: DataFrame, key: str, text: str, width: int, rule: Rule, limit: int, largest: int, shards: int) -> DataFrame:
-    """Lists with at least two documents, as rows (bucket, key).
-
-    Lists with the same members become one; a list of more than CHUNK members is split into pairs of chunks.
+class BlockSets:
+    """The sets of a block's texts (each distinct one once), and which of their elements are counted over the corpus."""
+
+    def __init__(self, part: pa.Table, text: str, width: int, smallest: int):
+        values, offsets = shingle_sets(*whole_text(part, text), width)
+        self.one = set_names(values, offsets)[0]
+        _, first = np.unique(self.one, return_index=True)
+        self.rows = np.sort(first)
+        self.values, self.offsets = values, offsets
+        heavy = np.zeros(len(offsets) - 1, bool)
+        heavy[first] = np.diff(offsets)[first] >= smallest
+        of_heavy = np.repeat(heavy, np.diff(offsets))
+        self.counted = values[of_heavy & (values < COUNTED)] << np.uint64(1)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.counted, return_counts=True)
+
+
+def enter_sets(docs: DataFrame, heads: DataFrame, answers: DataFrame, key: str, text: str, width: int, rule: Rule, limit: int, shards: int) -> DataFrame:
+    """A row for each distinct set that may have a partner: key (its class), n, the lists it is entered in and its places in
+    the order of its elements there, its bitmap and its elements.
+
+    ``heads``: block, ids and names (hashes) of the classes that are entered from that block.
     """
-    first, parts = rule.bands(largest)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # sets of this input partition; equal ones are entered once
-        for batch in slices(batches, text):
-            batch = batch.filter(batch.column(key).is_valid())
-            values, offsets = shingle_sets(*text_bytes(batch.column(text)), width)
-            whole = row_sums(mix(values), offsets).tolist()
-            new = []
-            for row, h in enumerate(whole):
-                if h not in seen:
-                    seen.add(h)
-                    new.append(row)
-            sig, row = signatures(values, offsets, rule, limit, first, parts)
-            mark = np.zeros(len(offsets) - 1, bool)
-            mark[new] = True
-            sig, row = sig[mark[row]], row[mark[row]]
-            ids = batch.column(key).to_numpy(zero_copy_only=False)[row]
-            shard = (sig >> np.uint64(33)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")
-            edge = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-            sig, ids = sig[order], ids[order]
-            full = np.flatnonzero(np.diff(edge))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([sig[edge[s] : edge[s + 1]].tobytes() for s in full], pa.binary()), pa.array([ids[edge[s] : edge[s + 1]].tobytes() for s in full], pa.binary())], names=["shard", "sigs", "ids"])
-
-    def gather(held: pa.Table) -> pa.Table:
-        sig = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in held["sigs"]])
-        ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in held["ids"]])
-        order = np.lexsort((ids, sig))
-        sig, ids = sig[order], ids[order]
-        keep = np.ones(len(sig), bool)
-        keep[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-        sig, ids = sig[keep], ids[keep]
-        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(begin, append=len(sig))
-        begin, size = begin[size > 1], size[size > 1]
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(ids.view(np.uint64)), dtype=np.uint64)])
-            bucket = mix(sums[begin + size] - sums[begin] + size.astype(np.uint64))
-        bucket, one = np.unique(bucket, return_index=True)
-        begin, size = begin[one], size[one]
-        small = size <= CHUNK
-        at = np.repeat(begin[small] - np.concatenate([[0], np.cumsum(size[small])[:-1]]), size[small]) + np.arange(size[small].sum())
-        buckets, members = [np.repeat(bucket[small], size[small])], [ids[at]]
-        for b, start, m in zip(bucket[~small], begin[~small], size[~small], strict=True):
-            chunks = [ids[start + i : start + min(m, i + CHUNK)] for i in range(0, m, CHUNK)]
-            for i, j in combinations(range(len(chunks)), 2):
-                both = np.concatenate([chunks[i], chunks[j]])
-                buckets.append(np.full(len(both), mix(b + np.uint64(i << 32 | j))))
-                members.append(both)
-        out = pa.table({"bucket": np.concatenate(buckets).view(np.int64), key: np.concatenate(members)})
-        del sig, ids, order, keep, sums, buckets, members
+    fresh, smallest = mark_fresh(key), max(1, rule.least(limit))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part in blocks(fresh(batches), text):
+            own = part.filter(part["fresh"]).select([text])
+            for batch in own.to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block)), batch.column(0)], names=["block", text])
+
+    names = [key, "n", "lists", "places", "bitmap", "elements"]
+
+    def enter(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {x: [] for x in names}
+        kinds = np.array(right["kind"].to_pylist(), np.int64)
+        if left.num_rows and (kinds < 0).any():
+            own = BlockSets(left, text, width, smallest)
+            counted, _ = own.keys()
+            held = told(right.filter(pa.array(kinds >= 0)), 0, counted, shards)
+            at = int(np.flatnonzero(kinds < 0)[0])
+            ids = dict(zip(right["names"][at].as_py(), right["ids"][at].as_py(), strict=True))
+            for row in own.rows.tolist():
+                mine = ids.get(int(own.one[row : row + 1].view(np.int64)[0]))
+                values = own.values[own.offsets[row] : own.offsets[row + 1]]
+                n = len(values)
+                if mine is None or not n:
+                    continue
+                lists, places = [], []
+                if n >= smallest:
+                    cut = int(np.searchsorted(values, COUNTED))
+                    low = values[:cut] << np.uint64(1)
+                    often = held[np.searchsorted(counted, low)]
+                    order = np.argsort(often, kind="stable")[: rule.entered(n)]
+                    place = np.flatnonzero(often[order] > 1)
+                    lists.append(low[order[place]] >> np.uint64(1))
+                    places.append(place)
+                    rest = rule.entered(n) - cut
+                    if rest > 0:
+                        lists.append((values[cut : cut + rest] << np.uint64(1)) >> np.uint64(1) | np.uint64(1 << 62))
+                        places.append(np.arange(cut, cut + rest))
+                if n < limit:
+                    subsets = light_subsets(values, rule)
+                    lists.append(subsets | np.uint64(1 << 63))
+                    places.append(np.zeros(len(subsets), np.int64))
+                lists, places = np.concatenate(lists), np.concatenate(places)
+                if len(lists):
+                    for column, value in zip(out.values(), (mine, n, lists.view(np.int64), places.astype(np.int32), parity(values), values.tobytes()), strict=True):
+                        column.append(value)
+        kinds_ = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        made = pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds_, strict=True)], names=names)
         give_back()
-        return out
-
-    return docs.select(key, text).mapInArrow(emit, "shard int, sigs binary, ids binary").groupBy("shard").applyInArrow(gather, f"bucket long, {key} long")
-
-
-class Links:
-    """Union-find over the members of one list."""
-
-    def __init__(self, m: int):
-        self.label = np.arange(m)
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.label[i], self.label[j]
-        if a != b:
-            self.label[self.label == max(a, b)] = min(a, b)
-
-
-def compare_members(ids: np.ndarray, n: np.ndarray, maps: list[bytes], known: list[tuple[int, int, bool]], rule: Rule) -> list[tuple[int, int]]:
-    """Pairs of one list that the bitmaps don't rule out.  At first those that connect something new, as if all were
-    links; once outcomes are known and some failed, all pairs of sets that are still unconnected."""
-    links, at = Links(len(ids)), {}
-    for i, x in enumerate(ids.tolist()):
-        at.setdefault(x, []).append(i)
-    for same in at.values():
-        for other in same[1:]:
-            links.join(same[0], other)
-    failed = set()
-    for u, v, ok in known:
-        if u in at and v in at:
-            if ok:
-                links.join(at[u][0], at[v][0])
-            else:
-                failed.add((u, v))
-    width = min(map(len, maps))
-    grid = np.zeros((len(ids), width), np.uint8)
+        return made
+
+    texts = docs.mapInArrow(number, f"block long, {text} string")
+    none = lambda kind: F.lit(None).cast(kind)
+    right = answers.select("block", "shard", "kind", "totals", none("array<long>").alias("ids"), none("array<long>").alias("names"))
+    right = right.unionByName(heads.select("block", F.lit(-1).alias("shard"), F.lit(-1).alias("kind"), none("binary").alias("totals"), "ids", "names"))
+    return texts.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(enter, f"{key} long, n long, lists array<long>, places array<int>, bitmap binary, elements binary")
+
+
+def light_subsets(values: np.ndarray, rule: Rule) -> np.ndarray:
+    """Hashes of a light set's subsets of the sizes that partners may ask for."""
+    with np.errstate(over="ignore"):
+        spread = mix(values ^ np.uint64(0xD1B54A32D192ED03))
+        total, out = spread.sum(dtype=np.uint64), [np.zeros(0, np.uint64)]
+        for c in rule.subset_sizes(len(values)):
+            left_out = np.array([spread[list(x)].sum(dtype=np.uint64) for x in combinations(range(len(values)), len(values) - c)], np.uint64)
+            out.append(mix(total - left_out + mix(np.full(1, c, np.uint64))))
+        return np.concatenate(out)
+
+
+def shared_lists(entries: DataFrame, key: str) -> DataFrame:
+    """bucket, key, n, place, first, first_n, first_place: the members of lists with at least two, beside the list's first
+    member.  Lists with the same members become one, with the earliest place of each."""
+    members = entries.select(key, "n", F.explode(F.arrays_zip("lists", "places")).alias("e")).select(key, "n", F.col("e.lists").alias("list"), F.col("e.places").alias("place"))
+    other = F.xxhash64(F.lit(3), key).bitwiseAND(F.lit((1 << 30) - 1))
+    known = members.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64(F.lit(2), key)).alias("x"), F.sum(other).alias("s"), F.min(F.struct(key, "n", "place")).alias("first"))
+    known = written(known.where("m > 1").select("list", "first", F.xxhash64("m", "x", "s").alias("bucket")), "lists")
+    held = members.join(known, "list").groupBy("bucket", key, "n").agg(F.min("place").alias("place"), F.min("first").alias("first"))
+    held = written(held.select("bucket", key, "n", "place", F.col(f"first.{key}").alias("first"), F.col("first.n").alias("first_n"), F.col("first.place").alias("first_place")), "members")
+    drop_written(known)
+    return held
+
+
+def verify(pairs: DataFrame, entries: DataFrame, key: str, rule: Rule, mapped: bool) -> DataFrame:
+    """(u, v, ok) for distinct pairs: by the bitmaps (unless ``mapped``: they were looked at), then by the sets themselves."""
+
+    def beside(pairs: DataFrame, column: str) -> DataFrame:
+        left = entries.select(F.col(key).alias("u"), F.col("n").alias("n_u"), F.col(column).alias("a"))
+        right = entries.select(F.col(key).alias("v"), F.col("n").alias("n_v"), F.col(column).alias("b"))
+        return pairs.join(left, "u").join(right, "v").select("u", "v", "n_u", "n_v", "a", "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n_u").to_numpy(), batch.column("n_v").to_numpy()
+            allowed = n + m - 2 * rule.overlap(n + m)
+            may = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
+                x, y = fold([a.as_buffer(), b.as_buffer()])
+                may[i] = np.bitwise_count(x ^ y).sum() <= allowed[i]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(may)], names=["u", "v", "may"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= rule.percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
+
+    refused = None
+    if not mapped:
+        looked = written(beside(pairs, "bitmap").mapInArrow(near, "u long, v long, may boolean").groupBy("u", "v").agg(F.bool_or("may").alias("may")), "looked")
+        pairs, refused = looked.where("may").select("u", "v"), looked.where("NOT may").select("u", "v", F.lit(False).alias("ok"))
+    known = beside(pairs, "elements").mapInArrow(count, "u long, v long, ok boolean").groupBy("u", "v").agg(F.bool_or("ok").alias("ok"))
+    return written(known.unionByName(refused) if refused is not None else known, "known")
+
+
+def fold(maps: list) -> np.ndarray:
+    """Parity bitmaps, cut down to the size of the smallest, as rows of 64-bit words."""
+    width = min(len(m) for m in maps)
+    grid = np.zeros((len(maps), width), np.uint8)
     for i, m in enumerate(maps):
         grid[i] = np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, width), axis=0)
-    grid = grid.view(np.uint64)
-    out = []
-    for i in range(len(ids) - 1):
-        rest = np.flatnonzero(links.label[i + 1 :] != links.label[i]) + i + 1
-        if not len(rest):
-            continue
-        total = n[i] + n[rest]
-        allowed = total - 2 * rule.overlap(total)
-        rest = rest[(np.abs(n[rest] - n[i]) <= allowed) & (np.bitwise_count(grid[rest] ^ grid[i]).sum(1) <= allowed)]
-        for j in rest.tolist():
-            pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
-            if pair in failed or (not known and links.label[i] == links.label[j]):
-                continue
-            out.append(pair)
-            if not known:
-                links.join(i, j)
+    return grid.view(np.uint64)
+
+
+def open_groups(held: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """bucket, g, key, n, place, label, major: the groups in which members of lists meet that are not all connected.
+
+    The first member has met all others and is left out.  In each list, the component with most members is its major one,
+    whose members need not meet each other.  Those of the other components and of the major one are dealt to chunks of about
+    CHUNK by a hash, and a group is a pair of chunks; so no group grows with its list.
+    """
+    rest = held.where((F.col(key) != F.col("first")) | (F.col("n") != F.col("first_n"))).select("bucket", key, "n", "place")
+    rest = rest.join(labels.select(F.col("node").alias(key), "component"), key, "left").withColumn("label", F.coalesce("component", key)).drop("component")
+    rest = written(rest, "labelled")
+    per_label = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    shape = per_label.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    shape = shape.select("bucket", F.col("most.label").alias("major_label"), F.ceil((F.col("m") - F.col("most.c")) / CHUNK).cast("long").alias("A"), F.ceil(F.col("most.c") / CHUNK).cast("long").alias("B"))
+    rows = rest.join(written(shape, "open"), "bucket").withColumn("major", F.col("label") == F.col("major_label"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), key), F.when(F.col("major"), F.col("B")).otherwise(F.col("A"))))
+    # Group a * B + b: chunk a of the others with chunk b of the major ones; for b = 0 the others meet among themselves, too.
+    # Group A * B + a * A + c (a < c): two chunks of the others.
+    of_major = F.transform(F.sequence(F.lit(0).cast("long"), F.col("A") - 1), lambda a: a * F.col("B") + F.col("chunk"))
+    with_major = F.transform(F.sequence(F.lit(0).cast("long"), F.col("B") - 1), lambda b: F.col("chunk") * F.col("B") + b)
+    with_others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("A") - 1), lambda a: a != F.col("chunk")), lambda a: F.col("A") * F.col("B") + F.least(a, F.col("chunk")) * F.col("A") + F.greatest(a, F.col("chunk")))
+    groups = F.when(F.col("major"), of_major).otherwise(F.concat(with_major, with_others))
+    return rows.withColumn("g", F.explode(groups)).withColumn("within", (F.col("g") < F.col("A") * F.col("B")) & (F.col("g") % F.col("B") == 0)).select("bucket", "g", key, "n", "place", "label", "major", "within", "chunk")
+
+
+def compare_members(held: dict[str, np.ndarray], maps: list, rule: Rule) -> list[tuple[int, int]]:
+    """Pairs of one group, of different components, that sizes, places and bitmaps don't rule out."""
+    grid, out = fold(maps), []
+    ids, n, place, label, major, chunk = (held[c] for c in ("ids", "n", "place", "label", "major", "chunk"))
+    left = n - place
+    for i in np.flatnonzero(~major).tolist():
+        # Major ones come after; others of the same chunk meet in one group only.
+        after = np.arange(len(ids)) > i
+        with_ = (label != label[i]) & (major | (after & ((chunk != chunk[i]) | held["within"][i])))
+        rest = np.flatnonzero(with_)
+        need = rule.overlap(n[i] + n[rest])
+        rest = rest[np.minimum(left[i], left[rest]) >= need]
+        if len(rest):
+            total = n[i] + n[rest]
+            rest = rest[np.bitwise_count(grid[rest] ^ grid[i]).sum(1) <= total - 2 * rule.overlap(total)]
+            out += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in rest.tolist() if ids[i] != ids[j]]
     return out
 
 
-def candidate_links(members: DataFrame, outcomes: DataFrame | None, key: str, rule: Rule) -> DataFrame:
-    """(bucket, u, v) to be verified, from members (bucket, key, n, bitmap) and what is known of the same lists."""
-    rows = members.select("bucket", F.lit(1).alias("kind"), F.col(key).alias("u"), F.lit(None).cast("long").alias("v"), "n", "bitmap", F.lit(None).cast("boolean").alias("ok"))
-    if outcomes is not None:
-        rows = rows.unionByName(outcomes.select("bucket", F.lit(0).alias("kind"), "u", "v", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("bitmap"), "ok"))
+def other_pairs(groups: DataFrame, entries: DataFrame, key: str, rule: Rule) -> DataFrame:
+    """(u, v), distinct, to be verified: from ``open_groups``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
-
-        def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             own = pa.Table.from_batches(parts).combine_chunks()
-            kind = own["kind"].to_numpy()
-            bucket, u, v, ok, n, maps = own["bucket"].to_numpy(), own["u"].to_numpy(), own["v"], own["ok"], own["n"], own["bitmap"]
-            begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            out: list[tuple[int, int, int]] = []
+            columns = {c: own[name].to_numpy() for c, name in (("ids", key), ("n", "n"), ("place", "place"), ("label", "label"), ("major", "major"), ("within", "within"), ("chunk", "chunk"))}
+            bucket, g, maps = own["bucket"].to_numpy(), own["g"].to_numpy(), own["bitmap"]
+            begin = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (g[1:] != g[:-1])]))
+            found: list[tuple[int, int]] = []
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True):
-                cut = a + int((kind[a:b] == 0).sum())
-                if b - cut > 1:
-                    known = list(zip(u[a:cut].tolist(), v[a:cut].to_pylist(), ok[a:cut].to_pylist(), strict=True))
-                    pairs = compare_members(u[cut:b], n[cut:b].to_numpy(), maps[cut:b].to_pylist(), known, rule)
-                    out += [(int(bucket[a]), *p) for p in pairs]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], schema=schema) if out else None
+                if b - a > 1:
+                    found += compare_members({c: x[a:b] for c, x in columns.items()}, [m.as_buffer() for m in maps[a:b]], rule)
+            found = list(dict.fromkeys(found))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            # All but the last list of a batch are complete; lists hold at most 2 CHUNK members and their outcomes.
-            bucket = batch.column("bucket").to_numpy()
-            last = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if (bucket != bucket[-1]).any() else 0
-            if last:
-                found = finish([*held, batch.slice(0, last)])
+            # All but the last group of a batch are complete; a group holds about 2 CHUNK members at most.
+            at = [(int(x), int(y)) for x, y in zip(batch.column("bucket").to_numpy()[[0, -1]], batch.column("g").to_numpy()[[0, -1]], strict=True)]
+            same = (batch.column("bucket").to_numpy() == at[1][0]) & (batch.column("g").to_numpy() == at[1][1])
+            last = int(np.flatnonzero(same)[0])
+            if held and (held[-1].column("bucket")[-1].as_py(), held[-1].column("g")[-1].as_py()) != at[0]:
+                yield finish(held)
                 held = []
-                if found is not None:
-                    yield found
-            elif held and held[-1].column("bucket")[-1].as_py() != bucket[0]:
-                found = finish(held)
+            if last:
+                yield finish([*held, batch.slice(0, last)])
                 held = []
-                if found is not None:
-                    yield found
             held.append(batch.slice(last))
         if held:
-            found = finish(held)
-            if found is not None:
-                yield found
-
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "u").mapInArrow(run, "bucket long, u long, v long")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, rule: Rule) -> DataFrame:
-    """(u, v, ok) for distinct pairs, by the sets themselves.
-
-    The sets of the documents concerned are made again from the texts; a filter of fixed size keeps most others back.
-    """
-    spark = docs.sparkSession
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
-    wanted = pairs.select(slot(F.col("u")).alias("s")).unionByName(pairs.select(slot(F.col("v")).alias("s")))
-    marks = wanted.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("b"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for part in marks.toArrow().to_batches():  # at most FILTER_BITS / 64 rows
-        bits[part.column("w").to_numpy()] = part.column("b").to_numpy()
-    shared = spark.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            s = batch.column("s").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(shared.value[s >> 6] >> (s & 63) & 1 == 1))
-            if batch.num_rows:
-                values, offsets = shingle_sets(*text_bytes(batch.column(text)), width)
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=[key, "set"])
-
-    sets = docs.where(F.col(key).isNotNull()).select(key, text, slot(F.col(key)).alias("s")).mapInArrow(run, f"{key} long, set binary")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("set_u"), batch.column("set_v"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= rule.percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
+            yield finish(held)
 
-    left = sets.select(F.col(key).alias("u"), F.col("set").alias("set_u"))
-    right = sets.select(F.col(key).alias("v"), F.col("set").alias("set_v"))
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v")
-    return joined.mapInArrow(count, "u long, v long, ok boolean").groupBy("u", "v").agg(F.bool_or("ok").alias("ok"))
+    rows = groups.join(entries.select(key, "n", "bitmap"), [key, "n"])
+    return rows.repartition("bucket", "g").sortWithinPartitions("bucket", "g").mapInArrow(run, "u long, v long").distinct()
 
 
 def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links), a row for each row of ``docs``.
 
     Rows with a null or wordless text have no shingles and link with nothing.  A row without key is not linked either; its
-    component is null.  Rows that repeat a key are one document: what links with one of them links with all.  Other columns
-    are not looked at.
+    component is null.  Rows that repeat a key are one document: what links with one of them links with all.  A text of any
+    length is one set; a block of texts holds it whole.  An empty table gives no rows.  Other columns are not looked at.
+    ``docs`` is read three times and must give the same rows in the same order each time, as stored tables do.
     """
     rule = Rule(percent)
-    docs = docs.select(F.col(key).cast("long").alias(key), text)
+    docs = docs.select(F.col(key).cast("long").alias(key), text, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     sets = written(describe_sets(docs, key, text, width), "sets")
     full = sets.where((F.col("n") > 0) & F.col(key).isNotNull())
     sizes = {r["n"]: r["count"] for r in full.where(F.col("n") <= 2 * LIGHT_LIMIT).groupBy("n").count().collect()}  # a row a small size
-    total, largest = full.agg(F.sum("n"), F.max("n")).first()
+    total = full.agg(F.sum("n")).first()[0]
     # Stored first, so that Spark can split the join where very many rows have one set.
-    distinct = written(full.groupBy("one", "two", "n").agg(F.min(key).alias("class_id")), "classes")
-    classes = written(full.join(distinct, ["one", "two", "n"]).select(key, "class_id", "n", "bitmap"), "classes")
-    links = classes.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("u"), F.col("class_id").alias("v"))
+    distinct = written(full.groupBy("one", "two", "n").agg(F.min(key).alias("class_id"), F.min("block").alias("block")), "classes")
+    classes = full.join(distinct.drop("block"), ["one", "two", "n"]).where(F.col(key) != F.col("class_id"))
+    links = classes.select(F.col(key).alias("u"), F.col("class_id").alias("v"))
+    made = [sets, distinct]
     if total:
         limit = boundary(sizes, rule)
-        shards = max(1, int(total * 4 * (100 - percent) / (100 + percent) + 3 * sum(sizes.values())) // SHARD_ROWS)
-        lists = shared_signatures(docs, key, text, width, rule, limit, largest, shards).distinct()
-        # Equal sets count as their class; one member of each is enough.
-        heads = classes.select(F.col(key), "class_id")
-        lists = written(lists.join(heads, key).select("bucket", F.col("class_id").alias(key)).distinct(), "lists")
-        described = classes.where(F.col(key) == F.col("class_id")).select(key, "n", "bitmap")
-        members = written(lists.join(described, key), "members")
-        drop_written(lists)
-        asked = written(candidate_links(members, None, key, rule), "links")
-        known = written(verify(asked.select("u", "v").distinct(), docs, key, text, width, rule), "known")
-        bad = known.where(~F.col("ok"))
-        if bad.limit(1).count():
-            # Lists in which a comparison failed: all their other unconnected pairs, in one more pass.
-            lists = asked.join(bad, ["u", "v"]).select("bucket").distinct()
-            told = asked.join(known, ["u", "v"]).join(lists, "bucket", "left_semi")
-            again = candidate_links(members.join(lists, "bucket", "left_semi"), told, key, rule).select("u", "v").distinct()
-            again = written(again.join(known, ["u", "v"], "left_anti"), "links")
-            known = known.unionByName(written(verify(again, docs, key, text, width, rule), "known"))
-        links = links.unionByName(known.where("ok").select("u", "v"))
+        shards, smallest = shards_for(total / 2), max(1, rule.least(limit))
+        fresh = mark_fresh(key)
+
+        def counted(part: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+            return [BlockSets(part.filter(part["fresh"]), text, width, smallest).keys()]
+
+        answers = block_counts(docs, text, counted, [SHORT], shards, "counts", prepare=fresh)
+        # Distinct sets of a block: as many as the block has rows at most.
+        heads = distinct.groupBy("block").agg(F.collect_list(F.struct("one", "class_id")).alias("c")).select("block", F.col("c.class_id").alias("ids"), F.col("c.one").alias("names"))
+        entries = written(enter_sets(docs, heads, answers, key, text, width, rule, limit, shards), "entries")
+        drop_written(answers)
+        held = shared_lists(entries, key)
+        first = held.where((F.col(key) != F.col("first")) & rule.may_link(F.col("n"), F.col("place"), F.col("first_n"), F.col("first_place")))
+        known = verify(first.select(F.col("first").alias("u"), F.col(key).alias("v")).distinct(), entries, key, rule, mapped=False)
+        good = known.where("ok").select("u", "v")
+        # Lists in which not all are connected by now: their other pairs.
+        labels = written(components(good), "labels")
+        links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        again = other_pairs(open_groups(held, labels, key), entries, key, rule).join(known, ["u", "v"], "left_anti")
+        again = verify(written(again, "pairs"), entries, key, rule, mapped=True).where("ok").select("u", "v")
+        links = links.unionByName(again)
+        made += [entries, held]
     found = components(links)
     out = sets.select(key, F.col("n").alias("n_shingles"))
     out = out.join(found.withColumnRenamed("node", key), key, "left").withColumn("component_id", F.coalesce("component", key))
+    for old in made[2:]:
+        drop_written(old)
     return out.select(key, "n_shingles", "component_id")
 
 
