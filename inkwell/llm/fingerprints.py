@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SLOTS = 36
-#: Keys that share a bucket, on average, when each key looks for the next lower one.
-PER_BUCKET = 2048
+#: Keys of a range in which each key looks for the next lower one.
+PER_BUCKET = 50_000
 
 
 def _log_a(term: Column, log_weight: Column, slot: int) -> Column:
@@ -55,17 +55,17 @@ def as_hex(slots: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(slots, lambda x: F.lpad(F.hex(F.shiftleft(x.cast("long"), 32)), 16, "0").substr(1, 8)), ""), F.lit(""))
 
 
-def next_lower(keys: DataFrame, key: str, low: int, width: int, levels: int) -> DataFrame:
-    """key and ``next_key``, the next lower key (null for the lowest), for distinct keys.
+def next_lower(keys: DataFrame, key: str, number: int) -> DataFrame:
+    """key and ``next_key``, the next lower key (null for the lowest), for ``number`` distinct keys.
 
-    Keys look for it within buckets of ``width`` values; the highest key of each bucket is a key of the level above.
+    Spark deals the keys to ranges of about PER_BUCKET by a sample of them, so no range grows with gaps between keys; each
+    looks within its range, and the lowest key of a range looks at the highest of the range below.
     """
-    if not levels:
-        return keys.select(key, F.lead(key).over(Window.orderBy(F.desc(key))).alias("next_key"))
-    placed = keys.withColumn("bucket", F.floor((F.col(key) - F.lit(low)) / F.lit(width)))
+    ranges = max(1, number // PER_BUCKET)
+    placed = written(keys.repartitionByRange(ranges, key).select(key, F.spark_partition_id().alias("bucket")), "ranges")
     inner = placed.withColumn("next_key", F.lead(key).over(Window.partitionBy("bucket").orderBy(F.desc(key))))
-    tops = next_lower(placed.groupBy("bucket").agg(F.max(key).alias(key)).select(key), key, low, width * PER_BUCKET, levels - 1)
-    tops = tops.select(F.floor((F.col(key) - F.lit(low)) / F.lit(width)).alias("bucket"), F.col("next_key").alias("next_top"))
+    # A row a range.
+    tops = placed.groupBy("bucket").agg(F.max(key).alias("top")).select("bucket", F.lead("top").over(Window.orderBy(F.desc("top"))).alias("next_top"))
     return inner.join(tops, "bucket").select(key, F.coalesce("next_key", "next_top").alias("next_key"))
 
 
@@ -74,9 +74,10 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
 
     The next document is the one with the next lower key (after the lowest: the highest).  A null text counts as empty.
     Rows with a null key have no place in the order: they are their own next document.  Rows that repeat a key are kept;
-    the next document of the key above is the one with the smallest text.  Other columns are not looked at.
+    the next document of the key above is the one with the smallest text.  A text of any length is sampled whole.  An
+    empty table gives no rows.  Other columns are not looked at.
     """
-    low, high, filled, distinct, nulls = docs.agg(F.min(key), F.max(key), F.count(key), F.count_distinct(F.col(key)), F.count(F.when(F.col(key).isNull(), 1))).first()
+    high, filled, distinct, nulls = docs.agg(F.max(key), F.count(key), F.count_distinct(F.col(key)), F.count(F.when(F.col(key).isNull(), 1))).first()
     # Where keys tell rows apart, both sides of the join below are the same dealt-out table, and Spark shuffles it once.
     apart = F.lit(0).cast("long") if filled == distinct and nulls < 2 else F.monotonically_increasing_id()
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rid", apart)
@@ -86,9 +87,8 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     first = rows
     if filled > distinct:
         first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("text", "rid"))).where("nth = 1").drop("nth")
-    width = max(1, (high - low + 1) * PER_BUCKET // distinct) if distinct else 1
     sizes = docs.where(F.col(key).isNotNull()).select(key, (F.char_length(F.coalesce(F.col(text), F.lit(""))) / 2).cast("long").alias("half"))
-    order = next_lower(sizes.select(key).distinct(), key, low or 0, width, 2).withColumn("next_key", F.coalesce("next_key", F.lit(high)))
+    order = next_lower(sizes.select(key).distinct(), key, distinct).withColumn("next_key", F.coalesce("next_key", F.lit(high)))
     order = written(order.join(sizes.groupBy(key).agg(F.max("half").alias("half")), key), "order")
     # Only as much of the next text travels as is needed.
     wanted = order.select(F.col(key).alias("target"), F.col("next_key").alias(key), "half")

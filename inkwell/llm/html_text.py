@@ -1,10 +1,14 @@
 """Main text of web pages.
 
 One pass of the standard library's parser over a page gives its lines (blocks of text between block-level tags), each with
-the number of characters and of tags that it took.  The ratio of text to tags of each line is smoothed over its
-neighbours with a Gaussian, and lines are clustered by a threshold; the containers that hold the dense lines are the content
-regions.  A region is kept whole: short paragraphs between long ones stay.  Containers that the page itself marks as
-something else (menus, headers, footers, sidebars, notices, adverts, forms, comments) never count.
+its text, the part of it that is links, and the number of tags that it took.  The ratio of unlinked text to tags of each
+line is smoothed over its neighbours with a Gaussian, and a threshold between the two clusters of ratios tells dense lines.
+The content region is the innermost container that holds nearly all dense text, widened to what belongs to it; a region is
+kept whole, so short paragraphs and sections between long ones stay.
+
+Tags are evidence: lines in an ``article`` or ``main`` count a few times over, so they win unless their text is much
+thinner than text elsewhere.  Containers that the page itself marks as something else (menus, headers, footers, sidebars,
+notices, adverts, forms, comments) never count.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -38,35 +43,54 @@ MARKED = re.compile(
 _WHITE = re.compile(r"[ \t\n\r\f\v\x1c-\x1f\x85\xa0  -     　]+")
 
 
+#: How many times over the ratio of a line in an article or main counts, the part of the dense text that a region must hold,
+#: and the part of links from which a container is a list of links.
+EVIDENCE, HOLDS, LINKS = 4.0, 0.9, 0.5
+
+
+@dataclass(frozen=True)
+class Line:
+    text: str
+    linked: int
+    tags: int
+    container: int
+
+
+@dataclass(frozen=True)
+class Open:
+    """An open element: what holds for the text in it.  ``article``: the outermost article or main around it, or -1."""
+
+    tag: str = ""
+    hidden: bool = False
+    container: int = 0
+    article: int = -1
+    link: bool = False
+
+
 class PageLines(HTMLParser):
-    """Lines of a page: [text, tags, container number, inside an article or main]."""
+    """Lines of a page, and its containers by number: each one's parent and outermost article or main (-1 for none)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, hidden, container, in article
-        self.containers = 1
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.stack = [Open()]
+        self.parent, self.article = [-1], [-1]
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
-
-    def _state(self) -> tuple[bool, int, bool]:
-        return self.stack[-1][1:] if self.stack else (False, 0, False)
+        self.linked = self.tags = 0
 
     def _end_line(self) -> None:
         text = _WHITE.sub(" ", "".join(self.parts)).strip(" ")
         if text:
-            _, container, article = self._state()
-            self.lines.append((text, self.tags, container, article))
-        if self.parts:
-            self.parts = []
-        self.tags = 0
+            self.lines.append(Line(text, min(self.linked, len(text)), self.tags, self.stack[-1].container))
+        self.parts = []
+        self.linked = self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._end_line()
             # An open paragraph (or item, cell) ends here, with whatever inline elements were left open in it.
-            for i in range(len(self.stack) - 1, -1, -1):
-                open_ = self.stack[i][0]
+            for i in range(len(self.stack) - 1, 0, -1):
+                open_ = self.stack[i].tag
                 if tag in ENDED_BY.get(open_, ()):
                     del self.stack[i:]
                 elif open_ in BLOCKS:
@@ -76,7 +100,8 @@ class PageLines(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
-        hidden, container, article = self._state()
+        around = self.stack[-1]
+        hidden, container, article = around.hidden, around.container, around.article
         if not hidden:
             marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label"))
             hidden = tag in SILENT or tag in ASIDE or (tag not in ("article", "main", "body", "html") and bool(marks) and bool(MARKED.search(marks))) or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
@@ -84,19 +109,22 @@ class PageLines(HTMLParser):
             if hidden:
                 self.parts.append(" ")
         if tag in CONTAINERS:
-            container, self.containers = self.containers, self.containers + 1
-        self.stack.append((tag, hidden, container, article or tag in ("article", "main")))
+            article = len(self.parent) if tag in ("article", "main") and article < 0 else article
+            self.parent.append(container)
+            self.article.append(article)
+            container = len(self.parent) - 1
+        self.stack.append(Open(tag, hidden, container, article, around.link or tag == "a"))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self._end_line()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag == tag:
                 del self.stack[i:]
                 break
             # An inline end tag does not close the block around it.
-            if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
+            if tag not in BLOCKS and self.stack[i].tag in BLOCKS:
                 break
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -105,8 +133,10 @@ class PageLines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if not self._state()[0]:
+        now = self.stack[-1]
+        if not now.hidden:
             self.parts.append(data)
+            self.linked += len(data.strip()) * now.link
 
 
 def smoothed(values: list[float], sigma: float = 1.0, reach: int = 2) -> list[float]:
@@ -123,36 +153,86 @@ def smoothed(values: list[float], sigma: float = 1.0, reach: int = 2) -> list[fl
     return out
 
 
-def main_text(html: str | None) -> str:
-    """Blocks of the main text in page order, joined by an empty line; empty if there is none.
-
-    If the page marks an article (or main) that has text, the lines elsewhere are left out before clustering.
-    """
+def threshold(values: list[float]) -> float:
+    """The value midway between the means of the two clusters that it parts (by its own repeated correction)."""
+    at = sum(values) / len(values)
+    for _ in range(50):
+        low, high = [v for v in values if v < at], [v for v in values if v >= at]
+        if not low or not high:
+            break
+        new = (sum(low) / len(low) + sum(high) / len(high)) / 2
+        if abs(new - at) < 1e-9:
+            break
+        at = new
+    return at
+
+
+def line_ratios(page: PageLines) -> list[float]:
+    """Unlinked text to tags of each line; lines in an article or main count EVIDENCE times over."""
+    return [(len(x.text) - x.linked) / max(1, x.tags) * (EVIDENCE if page.article[x.container] >= 0 else 1.0) for x in page.lines]
+
+
+def dense_lines(ratios: list[float]) -> list[bool]:
+    """Which lines belong to the denser cluster, by the logarithms of their smoothed ratios."""
+    logs = [math.log1p(r) for r in smoothed(ratios)]
+    least = threshold(logs)
+    return [x >= least for x in logs]
+
+
+def content_lines(page: PageLines, ratios: list[float]) -> list[Line]:
+    """The lines of the content region."""
+    lines, chains = page.lines, {}
+    for x in lines:
+        if x.container not in chains:
+            chain, at = [], x.container
+            while at >= 0:
+                chain.append(at)
+                at = page.parent[at]
+            chains[x.container] = chain  # the container and all around it, innermost first
+    # The innermost container that holds nearly all dense text.
+    held: dict[int, int] = {}
+    for x, dense in zip(lines, dense_lines(ratios), strict=True):
+        for c in chains[x.container] if dense else ():
+            held[c] = held.get(c, 0) + len(x.text)
+    depth = {c: len(chain) - i for chain in chains.values() for i, c in enumerate(chain)}
+    region = max((c for c, n in held.items() if n >= HOLDS * held[0]), key=lambda c: depth[c])
+    if page.article[region] >= 0:
+        region = page.article[region]  # a headline may stand in a box of its own
+    # Widen the region as long as what is added to it isn't mostly links.
+    while page.parent[region] >= 0 and page.article[region] < 0:
+        added = [x for x in lines if page.parent[region] in chains[x.container] and region not in chains[x.container]]
+        if sum(x.linked for x in added) > LINKS * sum(len(x.text) for x in added):
+            break
+        region = page.parent[region]
+    inside = [x for x in lines if region in chains[x.container]]
+    # Lists of links next to the content are menus; within an article they are part of it.
+    size, linked = {}, {}
+    for x in inside:
+        size[x.container] = size.get(x.container, 0) + len(x.text)
+        linked[x.container] = linked.get(x.container, 0) + x.linked
+    menus = {c for c, n in size.items() if c != region and page.article[c] < 0 and linked[c] > LINKS * n}
+    return [x for x in inside if x.container not in menus]
+
+
+def page_lines(html: str | None) -> PageLines:
     page = PageLines()
     page.feed(html or "")
     page.close()
     page._end_line()
-    lines = [x for x in page.lines if x[3]] or page.lines
-    if not lines:
-        return ""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    mean = sum(ratios) / len(ratios)
-    spread = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    dense = [r >= mean - spread for r in ratios]
-    # Cluster: a container's weight is the text of its dense lines; content containers carry a fair part of the most.
-    weight: dict[int, int] = {}
-    for (text, _, container, _), d in zip(lines, dense, strict=True):
-        weight[container] = weight.get(container, 0) + len(text) * d
-    most = max(weight.values())
-    marked = lines[0][3]
-    chosen = {c for c, w in weight.items() if marked or w >= most / 4}
-    return "\n\n".join(text for text, _, container, _ in lines if container in chosen)
+    return page
+
+
+def main_text(html: str | None) -> str:
+    """Blocks of the main text in page order, joined by an empty line; empty if there is none."""
+    page = page_lines(html)
+    return "\n\n".join(x.text for x in content_lines(page, line_ratios(page))) if page.lines else ""
 
 
 def extract_text(pages: DataFrame, *, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """key, the columns ``keep``, text and n_chars (code points) for every row; no shuffle.
 
-    A null or empty page, and one without main text, gives an empty text.  Repeated rows are kept as they are.
+    A null or empty page, and one without main text, gives an empty text; a page of any length is read whole.  Null keys and
+    repeated rows are kept as they are, an empty table gives no rows, and other columns are not looked at.
     """
     fields = [pages.schema[c] for c in (key, *keep)]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", text string, n_chars long"

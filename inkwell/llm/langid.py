@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, text_bytes
 
-#: Most labelled rows that the machines are fitted on (chosen by a hash of the key); predictions cover all rows.
-SAMPLE = 2500
+#: Labelled rows that the machines are fitted on, about as many of each language (all of a language that has no more), and
+#: the least that a language gets of them when there are very many.  Rows are chosen by a hash; predictions cover all rows.
+SAMPLE, LEAST = 2500, 20
 UNDETERMINED = "und"
 #: Families of languages by ISO 639-1 code; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -138,23 +139,38 @@ class Identifier:
         return names, score
 
 
+def choose(labelled: DataFrame, text: str, lang: str, key: str) -> DataFrame | None:
+    """lang, text and h of about SAMPLE rows, split evenly over the languages; None if there are no rows.
+
+    A row is chosen by a hash of its key and text, with the chance that its language needs, so no language is missed at any
+    size of the table; rows that repeat are one.
+    """
+    held = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}  # a row a language
+    if not held:
+        return None
+    each = max(LEAST, SAMPLE // len(held))
+    chance = F.coalesce(*[F.when(F.col(lang) == k, F.lit(min(1.0, each / n))) for k, n in held.items()])
+    h = F.xxhash64(F.lit(11), key, text)
+    uniform = F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+    picked = labelled.where(uniform < chance).select(h.alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    return picked.groupBy("h", "lang").agg(F.min("text").alias("text"))
+
+
 def fit(labelled: DataFrame, text: str, lang: str, key: str) -> Identifier | None:
-    """Fit on at most SAMPLE rows of ``labelled`` (or a few more, by chance of the hash); None if there are none."""
-    rows = labelled.count()
-    if not rows:
+    """Fit on the rows that ``choose`` picks; None if there are none."""
+    picked = choose(labelled, text, lang, key)
+    if picked is None:
         return None
-    picked = labelled.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(rows)) < SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                x = vectors(part.column(text))
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column(lang), pa.array([np.flatnonzero(r).astype(np.int32) for r in x], pa.list_(pa.int32())), pa.array([r[r != 0] for r in x], pa.list_(pa.float32()))], names=["key", "lang", "at", "x"])
+                x = vectors(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("lang"), pa.array([np.flatnonzero(r).astype(np.int32) for r in x], pa.list_(pa.int32())), pa.array([r[r != 0] for r in x], pa.list_(pa.float32()))], names=["key", "lang", "at", "x"])
 
-    kind = labelled.schema[key].dataType.simpleString()
     # Sparse vectors of the sample, in a fixed order so that the fit is always the same.
-    got = picked.select(key, text, lang).mapInArrow(run, f"key {kind}, lang string, at array<int>, x array<float>").limit(2 * SAMPLE).toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
+    got = picked.mapInArrow(run, "key long, lang string, at array<int>, x array<float>").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
     x = np.zeros((got.num_rows, PAIRS + TRIPLES + 1), np.float32)
     for i, (at, values) in enumerate(zip(got["at"], got["x"], strict=True)):
         x[i, at.values.to_numpy()] = values.values.to_numpy()
@@ -166,7 +182,8 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
 
     Learns from rows with a text, a language and a key whose crc32 (as text) modulo ``folds`` is not 0; a row with a null
     key is held out.  ``und`` with score 0: null texts, texts without letters, and all texts if there is nothing to learn
-    from.  Repeated rows are kept.  Columns of the names that are added are replaced.
+    from.  A text of any length is read whole.  Repeated rows are kept, and an empty table gives no rows.  Columns of the
+    names that are added are replaced.
     """
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == 0, F.lit(True))

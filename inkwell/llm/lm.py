@@ -1,195 +1,207 @@
 """Language-model scores from a weighted backoff automaton that is learned on Spark.
 
-The model is a bigram model smoothed towards an add-one unigram model with a Dirichlet prior of weight MU:
+The model is a trigram model, each order smoothed towards the one below with a Dirichlet prior:
 
-    P(w)     = (c(w) + 1) / (N + V + 1)
-    P(w | h) = (c(h w) + MU P(w)) / (c(h) + MU)
+    P(w)       = (c(w) + 1) / (N + V + 1)
+    P(w | v)   = (c(v w) + MU[0] P(w)) / (c(v) + MU[0])
+    P(w | u v) = (c(u v w) + MU[1] P(w | v)) / (c(u v) + MU[1])
 
-As an automaton: the root has an arc for every word; each known history h is a state whose arcs are the bigrams h w that
-were seen; all else takes the state's failure arc, of weight MU / (c(h) + MU), to the root.  One left-to-right traversal of a
-text carries the state and adds up log-probabilities.
+As an automaton: the root has an arc for every word; each known word v and each known pair u v is a state; its arcs are the
+n-grams seen after it, each with the smoothed log-probability of its word, and they lead to the state of the longest known
+history.  For any other word a state has a failure arc, of weight MU / (c + MU), to the state with one word less.  One
+left-to-right traversal of a text carries the state, follows arcs and failure arcs, and adds up log-probabilities.
 
-Counts cover all training documents and are never cut.  Texts are handled in blocks.  A block sends each distinct n-gram it
-holds once, with its training count (0 for what only other documents hold), packed for each shard of n-grams; shards add
-up and answer in the same order, so each block gets the slice of the model that its own texts need.  Nothing is
-broadcast, and an n-gram in every text is one entry for each block.
+Counts cover all training documents and are never cut.  Texts are handled in blocks; each gets the whole-corpus counts of
+its own n-grams (see ``ngram_counts``) and builds the part of the automaton that its texts can reach.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, slices, table, text_bytes, words, written
+from .common import give_back, mix, table, text_bytes, words
+from .ngram_counts import SHORT, WHOLE, block_counts, numbered, shards_for, told, total_of
 
-MU = 200.0
-#: Text bytes of a block, and n-grams that a shard should hold.
-BLOCK_BYTES, SHARD_ROWS = 4 << 20, 1_500_000
-#: Stored bytes of a bigram's hash besides its shard; of a word's hash all eight are stored.
-BIGRAM_BYTES = 6
+#: Weights of the priors: of words in histories of one word, of those in histories of two.
+MU = (30.0, 4.0)
+#: Tokens that one walker reads; a longer text is read by several at once.
+WALK = 512
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 START = np.uint64(0x57A27B0057A27B00)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.Table]]:
-    """Numbered blocks of whole rows of an input partition."""
-    from pyspark import TaskContext
-
-    number, held, size = TaskContext.get().partitionId() << 32, [], 0
-    for batch in slices(batches, text, BLOCK_BYTES // 4):
-        held.append(batch)
-        size += batch.column(text).nbytes
-        if size >= BLOCK_BYTES:
-            yield number, pa.Table.from_batches(held)
-            number, held, size = number + 1, [], 0
-    if held:
-        yield number, pa.Table.from_batches(held)
+class Block:
+    """The tokens of a block's texts and its distinct words, pairs and triples (by sorted hashes).
 
+    A text's tokens are its words and one end; its first history is a start.  ``word_at`` and so on tell, for each token, the
+    word, pair or triple that ends with it; the first token of a text has no triple (-1).
+    """
 
-class Block:
-    """The tokens of a block's texts and its distinct words and bigrams, in the order of shards."""
-
-    def __init__(self, texts: pa.ChunkedArray, shards: int):
-        hashes, counts = [], []
-        for chunk in texts.chunks:
-            h, _, count = words(*text_bytes(chunk))
-            hashes.append(h)
-            counts.append(count)
-        count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    def __init__(self, texts: pa.ChunkedArray):
+        h, _, count = words(*text_bytes(texts.combine_chunks()))
         self.sizes = count + 1
-        last = np.cumsum(self.sizes) - 1
+        self.last = np.cumsum(self.sizes) - 1
+        self.first = self.last - self.sizes + 1
         token = np.empty(int(self.sizes.sum()), np.uint64)
         inner = np.ones(len(token), bool)
-        inner[last] = False
-        token[inner] = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        token[last] = END
-        del hashes, inner
+        inner[self.last] = False
+        token[inner], token[self.last] = h, END
         self.row = np.repeat(np.arange(len(count)), self.sizes)
         history = np.empty_like(token)
         history[1:] = token[:-1]
-        self.first = last - self.sizes + 1
         history[self.first] = START
+        self.opens = np.zeros(len(token), bool)
+        self.opens[self.first] = True
         with np.errstate(over="ignore"):
-            bigram = mix(history * np.uint64(0x9E3779B97F4A7C15) + token)
-        del history
-        self.word, self.word_at, self.word_edges = self._distinct(token, shards)
-        del token
-        self.pair, self.pair_at, self.pair_edges = self._distinct(bigram, shards)
-
-    @staticmethod
-    def _distinct(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # The shard is read off the highest bits, so shards are ranges of the sorted keys.
-        keys, at = np.unique(keys, return_inverse=True)
-        edges = np.searchsorted(keys, (np.arange(shards + 1, dtype=object) * (1 << 64) // shards)[:-1].astype(np.uint64))
-        return keys, at, np.append(edges, len(keys))
-
-
-def _requests(key: str, text: str, folds: int, held: int, shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in blocks(batches, text):
-            block = Block(part[text], shards)
-            training = ~part["held_out"].to_numpy().astype(bool)[block.row]
-            out = {"shard": [], "kind": [], "keys": [], "counts": []}
-            for kind, keys, at, edges, width in ((0, block.word, block.word_at, block.word_edges, 8), (1, block.pair, block.pair_at, block.pair_edges, BIGRAM_BYTES)):
-                counts = np.bincount(at, weights=training, minlength=len(keys)).astype("<u4")
-                packed = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-                for s in range(shards):
-                    a, b = edges[s], edges[s + 1]
-                    out["shard"].append(2 * s + kind)
-                    out["kind"].append(kind)
-                    out["keys"].append(packed[a:b].tobytes())
-                    out["counts"].append(counts[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([number] * len(out["shard"])), pa.array(out["shard"], pa.int32()), pa.array(out["kind"], pa.int32()), pa.array(out["keys"], pa.binary()), pa.array(out["counts"], pa.binary())], names=["block", "shard", "kind", "keys", "counts"])
-
-    return run
-
-
-def _totals(part: pa.Table) -> pa.Table:
-    """Add up a shard's counts and answer each block in the order of its request."""
-    part = part.combine_chunks()
-    kind = part["kind"][0].as_py()
-    width = BIGRAM_BYTES if kind else 8
-    counts = [np.frombuffer(x.as_buffer(), "<u4") for x in part["counts"]]
-    packed = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width) for x in part["keys"]])
-    keys = np.zeros((len(packed), 8), np.uint8)
-    keys[:, :width] = packed
-    keys, at = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(keys))
-    edges = np.cumsum([0, *map(len, counts)])
-    answers = [total[at[a:b]].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    n = part.num_rows
-    first = np.zeros(n, np.int64)
-    known, tokens = first.copy(), first.copy()
-    if not kind:
-        known[0], tokens[0] = int((total > 0).sum()), int(total.sum())
-    return pa.table({"block": part["block"], "shard": part["shard"], "totals": pa.array(answers, pa.binary()), "known": known, "tokens": tokens})
+            pair = mix(history * np.uint64(0x9E3779B97F4A7C15) + token)
+            before = np.empty_like(pair)
+            before[1:] = pair[:-1]
+            triple = mix(before * np.uint64(0xD6E8FEB86659FD93) + token)[~self.opens]
+        del history, before
+        self.words, self.word_at = np.unique(token, return_inverse=True)
+        self.pairs, self.pair_first, self.pair_at = np.unique(pair, return_index=True, return_inverse=True)
+        self.triples, where, at = np.unique(triple, return_index=True, return_inverse=True)
+        self.triple_at = np.full(len(token), -1, np.int64)
+        self.triple_at[~self.opens] = at
+        self.triple_first = np.flatnonzero(~self.opens)[where]
+
+    def kinds(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.words, self.word_at), (self.pairs, self.pair_at), (self.triples, self.triple_at)]
+
+
+def training_counts(part: pa.Table, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A block's distinct n-grams with their counts in training texts (0: only other texts of the block hold it)."""
+    block = Block(part[text])
+    training = ~part["held_out"].to_numpy().astype(bool)[block.row]
+    out = []
+    for keys, at in block.kinds():
+        whole = at >= 0
+        out.append((keys, np.bincount(at[whole], weights=training[whole], minlength=len(keys)).astype(np.int64)))
+    return out
 
 
 class Automaton:
-    """The slice of the automaton that a block needs: log10 weights of arcs and failure arcs."""
-
-    def __init__(self, word: np.ndarray, pair: np.ndarray, tokens: int, vocabulary: int, documents: int, mu: float):
-        self.word, self.pair, self.documents, self.mu = word, pair, documents, mu
-        self.root = (word + 1) / (tokens + vocabulary + 1)
-
-    def traverse(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token by the root alone, and along the automaton's path."""
-        root = self.root[block.word_at]
-        seen = np.empty(len(root))  # how often the state's history was seen in training
-        seen[1:] = self.word[block.word_at[:-1]]
-        seen[block.first] = self.documents
-        arc = self.pair[block.pair_at]
-        # No arc: the failure arc's weight times the root's; a history never seen is the root itself (weight 1).
-        along = (arc + self.mu * root) / (seen + self.mu)
-        return np.log10(root), np.log10(along)
+    """The part of the automaton that a block's texts can reach.
 
+    States: 0 is the root, then the start, the words and the pairs that training texts hold.  ``fail`` and ``fail_weight``
+    are the failure arcs (the root has none); the other arcs are sorted by (state, word).  All weights are log10.
+    """
 
-def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, mu: float = MU) -> DataFrame:
+    def __init__(self, block: Block, words_: np.ndarray, pairs: np.ndarray, triples: np.ndarray, tokens: int, vocabulary: int, documents: int, mu: tuple[float, float]):
+        self.width = len(words_)
+        root = (words_ + 1) / (tokens + vocabulary + 1)
+        self.root_weight = np.log10(root)
+        # States: which words and pairs are known.
+        known_word, known_pair = np.flatnonzero(words_ > 0), np.flatnonzero(pairs > 0)
+        self.of_word = np.zeros(len(words_), np.int64)
+        self.of_word[known_word] = 2 + np.arange(len(known_word))
+        of_pair = np.zeros(len(pairs), np.int64)
+        of_pair[known_pair] = 2 + len(known_word) + np.arange(len(known_pair))
+        self.start = 1
+        seen = np.concatenate([[0, documents], words_[known_word], pairs[known_pair]]).astype(np.float64)
+        self.fail = np.zeros(len(seen), np.int64)
+        ends = block.word_at[block.pair_first]  # last word of each pair
+        self.fail[2 + len(known_word) :] = self.of_word[ends[known_pair]]
+        prior = np.concatenate([np.full(2 + len(known_word), mu[0]), np.full(len(known_pair), mu[1])])
+        self.fail_weight = np.log10(prior / (seen + prior))
+        # Arcs: pairs leave the state of their first word, triples that of their first pair; both lead to a pair's state.
+        at = block.pair_first[known_pair]
+        opens = block.opens[at]
+        source = np.where(opens, self.start, self.of_word[block.word_at[at - 1]])
+        chance = np.zeros(len(pairs))
+        chance[known_pair] = (pairs[known_pair] + mu[0] * root[ends[known_pair]]) / (seen[source] + mu[0])
+        known_triple = np.flatnonzero(triples > 0)
+        last = block.triple_first[known_triple]
+        source2, then = of_pair[block.pair_at[last - 1]], block.pair_at[last]
+        chance2 = (triples[known_triple] + mu[1] * chance[then]) / (seen[source2] + mu[1])
+        keys = np.concatenate([source * self.width + ends[known_pair], source2 * self.width + block.word_at[last]])
+        order = np.argsort(keys)
+        self.arcs = keys[order]
+        self.arc_weight = np.log10(np.concatenate([chance[known_pair], chance2]))[order]
+        self.arc_to = np.concatenate([of_pair[known_pair], of_pair[then]])[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read one word from each state: the states reached and the weights of the arcs taken."""
+        weight, to = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            own = state[left]
+            key = own * self.width + word[left]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = (self.arcs[at] == key) & (own > 0) if len(self.arcs) else np.zeros(len(left), bool)
+            weight[left[hit]] += self.arc_weight[at[hit]]
+            to[left[hit]] = self.arc_to[at[hit]]
+            root = left[own == 0]
+            weight[root] += self.root_weight[word[root]]
+            to[root] = self.of_word[word[root]]
+            left = left[~hit & (own > 0)]
+            weight[left] += self.fail_weight[state[left]]
+            state = state.copy()
+            state[left] = self.fail[state[left]]
+        return to, weight
+
+    def traverse(self, block: Block) -> np.ndarray:
+        """log10 probability of each text.
+
+        All texts are read at once, one token of each in a step.  A long text is read by several walkers: a state tells no
+        more than the last two tokens, so one that starts two tokens ahead of its part, at the root, is in the right state
+        when it gets there.
+        """
+        runs = -(-block.sizes // WALK)
+        row = np.repeat(np.arange(len(runs)), runs)
+        part = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
+        begin = block.first[row] + part * WALK
+        stop = np.minimum(begin + WALK, block.last[row] + 1)
+        at = np.where(part > 0, begin - 2, begin)
+        order = np.argsort(at - stop, kind="stable")  # longest first, so that those still walking are a prefix
+        row, begin, stop, at = row[order], begin[order], stop[order], at[order]
+        state, total = np.where(part[order] > 0, 0, self.start), np.zeros(len(row))
+        length = stop - at
+        for i in range(int(length.max(initial=0))):
+            on = int(np.searchsorted(-length, -i, side="left"))
+            state[:on], weight = self.step(state[:on], block.word_at[at[:on] + i])
+            total[:on] += np.where(at[:on] + i >= begin[:on], weight, 0.0)
+        return np.bincount(row, weights=total, minlength=len(runs))
+
+
+def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, mu: tuple[float, float] = MU) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Learns from rows whose crc32 (of the key as text) modulo ``folds`` is not ``held``; a row with a null key is held out.
-    A null or empty text is its end token alone.  Repeated rows count as often as they stand there.  If nothing is left
-    to learn from, every token has the probability 1 (N = V = 0).  Other columns are not looked at.
+    A null or empty text is its end token alone; a text of any length is read whole.  Repeated rows count as often as they
+    stand there.  If nothing is left to learn from, every token has the probability 1 (N = V = 0).  An empty table gives
+    no rows.  Other columns are not looked at.  ``docs`` is read twice and must give the same rows in the same order each
+    time, as stored tables do.
     """
     held_out = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == held, F.lit(True))
     docs = docs.select(key, text, held_out.alias("held_out"))
     size, documents = docs.agg(F.sum(F.octet_length(text)), F.count(F.when(~F.col("held_out"), 1))).first()
-    shards = max(1, int((size or 0) * 0.12) // SHARD_ROWS)  # about an n-gram for each eight bytes
+    shards = shards_for((size or 0) * 0.12)  # about an n-gram of each kind for eight bytes
     kind = docs.schema[key].dataType.simpleString()
-    asked = docs.mapInArrow(_requests(key, text, folds, held, shards), "block long, shard int, kind int, keys binary, counts binary")
-    told = written(asked.groupBy("shard").applyInArrow(_totals, "block long, shard int, totals binary, known long, tokens long"), "counts")
-    vocabulary, tokens = (x or 0 for x in told.agg(F.sum("known"), F.sum("tokens")).first())
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, part in blocks(batches, text):
-            for batch in part.to_batches():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block)), *batch.columns], names=["block", *batch.schema.names])
+    answers = block_counts(docs, text, lambda part: training_counts(part, text), [WHOLE, SHORT, SHORT], shards, "counts")
+    vocabulary, tokens = total_of(answers, 0)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             raise RuntimeError("the input changed while it was read")
-        block = Block(left[text], shards)
-        got: list[list] = [[b""] * shards, [b""] * shards]
-        for s, x in zip(right["shard"].to_pylist(), right["totals"], strict=True):
-            got[s % 2][s // 2] = x.as_buffer()
-        word, pair = (np.concatenate([np.frombuffer(x, "<u4") for x in g]) for g in got)
-        if len(word) != len(block.word) or len(pair) != len(block.pair):
-            raise RuntimeError("the input changed while it was read")
-        base, along = Automaton(word, pair, tokens, vocabulary, documents, mu).traverse(block)
+        block = Block(left[text])
+        word, pair, triple = (told(right, i, keys, shards) for i, (keys, _) in enumerate(block.kinds()))
+        automaton = Automaton(block, word, pair, triple, tokens, vocabulary, documents, mu)
         rows = len(block.sizes)
+        base = np.bincount(block.row, weights=automaton.root_weight[block.word_at], minlength=rows)
         known = np.bincount(block.row, weights=word[block.word_at] > 0, minlength=rows).astype(np.int64)
-        add = lambda x: np.bincount(block.row, weights=x, minlength=rows)
-        return pa.table({key: left[key], "held_out": left["held_out"], "n_tokens": block.sizes, "n_known": known, "train_tokens": np.full(rows, tokens), "base_score": add(base), "score": add(along)})
+        out = pa.table({key: left[key], "held_out": left["held_out"], "n_tokens": block.sizes, "n_known": known, "train_tokens": np.full(rows, tokens), "base_score": base, "score": automaton.traverse(block)})
+        del block, automaton
+        give_back()
+        return out
 
-    numbered = docs.mapInArrow(number, f"block long, {key} {kind}, {text} string, held_out boolean")
-    return numbered.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    right = answers.select("block", "shard", "kind", "totals")
+    texts = numbered(docs, text).groupBy("block").cogroup(right.groupBy("block"))
+    return texts.applyInArrow(score, f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
-
-

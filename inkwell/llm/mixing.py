@@ -1,13 +1,16 @@
 """Mixing sources to target weights: raking to source, language and topic marginals, in built-in functions only.
 
 Documents are reduced to cells (source, language, topic) with their tokens.  Iterative proportional fitting scales the
-cells' weights until the weighted tokens have the target share for every source, language and topic.  A document is then
-kept with a probability in proportion to its cell's weight (the largest is 1), by a hash of its key, so the kept tokens
-have the target shares in expectation.
+cells' weights until the weighted tokens have the target share for every source, language and topic.  Fitting is bounded: the
+weights are the probabilities of keeping a document, so they add up to the wanted part of all tokens and none is above 1; a
+cell that would pass 1 is held there and the others make up for it.  A document is then kept or not by a hash of its key.
+So the size of the result is what was asked for, whatever the rarest cell is; where targets ask for more tokens than
+there are, all that there are is kept, and ``reached`` tells the gap.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,12 +20,11 @@ from .common import drop_written, table, written
 
 #: Stands for null in a margin, so that null is a category like any other.
 NONE = "\0"
-#: Fitting ends when no share is further from its target than this, relative to the target, or after so many rounds.
-TOLERANCE, ROUNDS = 1e-4, 40
-#: Sweeps over all margins between two looks at the shares.
-SWEEPS = 6
-#: Up to so many cells, fitting goes on in one task without shuffles; beyond that the same steps are distributed.
-ONE_TASK = 200_000
+#: Part of all tokens that a mixture keeps.
+SIZE = 0.5
+#: Fitting ends when no share is further from its target than this, relative to the target, when a round of SWEEPS over all
+#: margins brings the worst one no nearer than this, or after ROUNDS rounds.
+TOLERANCE, ROUNDS, SWEEPS = 1e-4, 10, 4
 #: Target shares of the query's margins; a number tempers the actual shares (share ** number, normalised).
 TARGETS: dict[str, Mapping[str, float] | float] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
@@ -58,49 +60,63 @@ def target_shares(cells: DataFrame, margin: str, target: Mapping[str, float] | f
     return raw.select(margin, (F.col("raw") / F.lit(total)).alias("target")).where("target > 0")
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], size: float | None = None, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """cells (the margins' columns and tokens) with a weight: weighted tokens have the target shares.
 
-    Cells of categories with a target of 0 get the weight 0.  If the margins contradict each other (empty cells), the
-    last margin is met exactly and the others as nearly as ``rounds`` rounds bring them.
+    With a ``size``, weights add up to that part of all tokens and none is above 1; else they average 1 and have no bound.
+    Cells of categories with a target of 0 get the weight 0.  Targets that can't be met (they contradict each other in
+    empty cells, or ask for more tokens than there are) are met as nearly as fitting brings them, with a warning.
     """
     cells = written(cells, "cells")
-    few = cells.count() <= ONE_TASK
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = cells.withColumn("weight", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0))
+    now = cells.withColumn("weight", F.when(F.col("tokens") > 0, float(size or 1.0)).otherwise(0.0))
     if not total:
         return now
     for margin, target in targets.items():
         shares = target_shares(cells, margin, target).withColumnRenamed("target", f"_to_{margin}")
-        now = now.join(shares, margin, "left").withColumn(f"_to_{margin}", F.coalesce(f"_to_{margin}", F.lit(0.0)) * F.lit(float(total)))
-    now, held = written(now, "cells"), None
+        now = now.join(shares, margin, "left").withColumn(f"_to_{margin}", F.coalesce(f"_to_{margin}", F.lit(0.0)) * F.lit(float(total * (size or 1.0))))
+    now, before = written(now, "cells"), None
     have = lambda m: F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(m))
-    for _ in range(0, rounds, SWEEPS):
-        now = now.coalesce(1) if few else now
-        for _ in range(SWEEPS):
+    for _ in range(rounds):
+        held, now = now, now.withColumn("_off", F.lit(0.0))
+        for sweep in range(SWEEPS):
             for margin in targets:
-                now = now.withColumn("_have", have(margin)).withColumn("weight", F.when(F.col("_have") > 0, F.col("weight") * F.col(f"_to_{margin}") / F.col("_have")).otherwise(0.0))
+                scaled = F.when(F.col("_have") > 0, F.col("weight") * F.col(f"_to_{margin}") / F.col("_have")).otherwise(0.0)
+                now = now.withColumn("_have", have(margin))
+                if sweep == SWEEPS - 1:
+                    gap = F.abs(F.col("_have") / F.col(f"_to_{margin}") - 1)
+                    now = now.withColumn("_off", F.greatest("_off", F.when(F.col(f"_to_{margin}") > 0, gap).otherwise(0.0)))
+                now = now.withColumn("weight", F.least(scaled, F.lit(1.0)) if size else scaled)
         now = written(now.drop("_have"), "cells")
-        off = F.lit(0.0)
-        looked = now.coalesce(1) if few else now
-        for margin in list(targets)[:-1]:
-            looked = looked.withColumn(f"_have_{margin}", have(margin))
-            off = F.greatest(off, F.when(F.col(f"_to_{margin}") > 0, F.abs(F.col(f"_have_{margin}") / F.col(f"_to_{margin}") - 1)).otherwise(0.0))
-        if held is not None:
-            drop_written(held)
-        held = now
-        if (looked.agg(F.max(off)).first()[0] or 0.0) < tolerance:
+        drop_written(held)
+        off = now.agg(F.max("_off")).first()[0] or 0.0
+        if off < tolerance or (before is not None and before - off < tolerance):
             break
+        before = off
+    if off >= tolerance:
+        warnings.warn(f"raking leaves a share {100 * off:.2f} per cent from its target", stacklevel=2)
     return now.select(*cells.columns, "weight")
 
 
-def mix_documents(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *, key: str = "doc_id", text: str = "text", topic: Column | None = None, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
+def reached(fitted: DataFrame, targets: Mapping[str, Mapping[str, float] | float]) -> DataFrame:
+    """margin, category, target and share: what each share of the weighted tokens should be and is."""
+    out = None
+    for margin, target in targets.items():
+        whole = fitted.agg(F.sum(F.col("tokens") * F.col("weight"))).first()[0] or 1.0
+        got = fitted.groupBy(margin).agg((F.sum(F.col("tokens") * F.col("weight")) / F.lit(whole)).alias("share"))
+        rows = target_shares(fitted, margin, target).join(got, margin).select(F.lit(margin).alias("margin"), F.col(margin).alias("category"), "target", "share")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def mix_documents(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float], *, size: float = SIZE, key: str = "doc_id", text: str = "text", topic: Column | None = None, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
     """The documents that the mixture keeps: key, the columns ``keep``, the margins' values, n_tokens and probability.
 
     ``targets`` names the margins: columns of ``docs``, or ``topic``, which is worked out from the text unless ``topic`` is
-    given.  Null is a category of its own.  A row is kept or not by a hash of its key, so rows that repeat a key go the
-    same way if they are in the same cell.  Documents without tokens have no weight and are left out.  A column of ``keep`` takes
-    precedence over an added one of its name.
+    given; ``size`` is the part of all tokens to keep.  Null is a category of its own.  A row is kept or not by a hash of its
+    key (null keys alike), so rows that repeat a key go the same way if they are in the same cell.  Documents without
+    tokens have no weight and are left out; a text of any length counts whole.  An empty table gives no rows.  A column of
+    ``keep`` takes precedence over an added one of its name.
     """
     margins, kept = list(targets), dict.fromkeys([key, *(keep or [])])
     topics = topic_of(F.col(text)) if topic is None else topic
@@ -110,12 +126,11 @@ def mix_documents(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | f
         marked = written(marked, "marked")
     # A row for each combination of the margins' values that occurs.
     cells = marked.groupBy(*[f"_margin_{m}" for m in margins]).agg(F.sum("_tokens").alias("tokens"))
-    fitted = rake(cells.select(*[F.col(f"_margin_{m}").alias(m) for m in margins], "tokens"), targets)
-    most = fitted.agg(F.max("weight")).first()[0] or 1.0
-    fitted = fitted.select(*[F.col(m).alias(f"_margin_{m}") for m in margins], (F.col("weight") / F.lit(most)).alias("_probability"))
+    fitted = rake(cells.select(*[F.col(f"_margin_{m}").alias(m) for m in margins], "tokens"), targets, size)
+    fitted = fitted.select(*[F.col(m).alias(f"_margin_{m}") for m in margins], F.col("weight").alias("_probability"))
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11).cast("double") / float(1 << 53)
     # Few cells, so Spark hands them to every task when they are small enough, and splits hot cells when they are not.
-    sample = marked.join(fitted, [f"_margin_{m}" for m in margins]).where(uniform < F.col("_probability"))
+    sample = marked.join(fitted, [f"_margin_{m}" for m in margins]).where((F.col("_tokens") > 0) & (uniform < F.col("_probability")))
     added = {m: F.when(F.col(f"_margin_{m}") != NONE, F.col(f"_margin_{m}")) for m in margins} | {"n_tokens": F.col("_tokens"), "probability": F.col("_probability")}
     return sample.select(*kept, *[c.alias(n) for n, c in added.items() if n not in kept])
 

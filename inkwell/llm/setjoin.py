@@ -268,7 +268,23 @@ def light_subsets(values: np.ndarray, rule: Rule) -> np.ndarray:
         return np.concatenate(out)
 
 
-def shared_lists(entries: DataFrame, key: str) -> DataFrame:
+class Store:
+    """Writes intermediate tables to the shared folder and deletes them once nothing reads them any more."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, what: str) -> DataFrame:
+        self.held.append(written(df, what))
+        return self.held[-1]
+
+    def clear(self) -> None:
+        for df in self.held:
+            drop_written(df)
+        self.held = []
+
+
+def shared_lists(entries: DataFrame, key: str, store: Store) -> DataFrame:
     """bucket, key, n, place, first, first_n, first_place: the members of lists with at least two, beside the list's first
     member.  Lists with the same members become one, with the earliest place of each."""
     members = entries.select(key, "n", F.explode(F.arrays_zip("lists", "places")).alias("e")).select(key, "n", F.col("e.lists").alias("list"), F.col("e.places").alias("place"))
@@ -276,12 +292,12 @@ def shared_lists(entries: DataFrame, key: str) -> DataFrame:
     known = members.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64(F.lit(2), key)).alias("x"), F.sum(other).alias("s"), F.min(F.struct(key, "n", "place")).alias("first"))
     known = written(known.where("m > 1").select("list", "first", F.xxhash64("m", "x", "s").alias("bucket")), "lists")
     held = members.join(known, "list").groupBy("bucket", key, "n").agg(F.min("place").alias("place"), F.min("first").alias("first"))
-    held = written(held.select("bucket", key, "n", "place", F.col(f"first.{key}").alias("first"), F.col("first.n").alias("first_n"), F.col("first.place").alias("first_place")), "members")
+    held = store(held.select("bucket", key, "n", "place", F.col(f"first.{key}").alias("first"), F.col("first.n").alias("first_n"), F.col("first.place").alias("first_place")), "members")
     drop_written(known)
     return held
 
 
-def verify(pairs: DataFrame, entries: DataFrame, key: str, rule: Rule, mapped: bool) -> DataFrame:
+def verify(pairs: DataFrame, entries: DataFrame, key: str, rule: Rule, store: Store, mapped: bool) -> DataFrame:
     """(u, v, ok) for distinct pairs: by the bitmaps (unless ``mapped``: they were looked at), then by the sets themselves."""
 
     def beside(pairs: DataFrame, column: str) -> DataFrame:
@@ -310,10 +326,10 @@ def verify(pairs: DataFrame, entries: DataFrame, key: str, rule: Rule, mapped: b
 
     refused = None
     if not mapped:
-        looked = written(beside(pairs, "bitmap").mapInArrow(near, "u long, v long, may boolean").groupBy("u", "v").agg(F.bool_or("may").alias("may")), "looked")
+        looked = store(beside(pairs, "bitmap").mapInArrow(near, "u long, v long, may boolean").groupBy("u", "v").agg(F.bool_or("may").alias("may")), "looked")
         pairs, refused = looked.where("may").select("u", "v"), looked.where("NOT may").select("u", "v", F.lit(False).alias("ok"))
     known = beside(pairs, "elements").mapInArrow(count, "u long, v long, ok boolean").groupBy("u", "v").agg(F.bool_or("ok").alias("ok"))
-    return written(known.unionByName(refused) if refused is not None else known, "known")
+    return store(known.unionByName(refused) if refused is not None else known, "known")
 
 
 def fold(maps: list) -> np.ndarray:
@@ -325,7 +341,7 @@ def fold(maps: list) -> np.ndarray:
     return grid.view(np.uint64)
 
 
-def open_groups(held: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+def open_groups(held: DataFrame, labels: DataFrame, key: str, store: Store) -> DataFrame:
     """bucket, g, key, n, place, label, major: the groups in which members of lists meet that are not all connected.
 
     The first member has met all others and is left out.  In each list, the component with most members is its major one,
@@ -334,11 +350,11 @@ def open_groups(held: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """
     rest = held.where((F.col(key) != F.col("first")) | (F.col("n") != F.col("first_n"))).select("bucket", key, "n", "place")
     rest = rest.join(labels.select(F.col("node").alias(key), "component"), key, "left").withColumn("label", F.coalesce("component", key)).drop("component")
-    rest = written(rest, "labelled")
+    rest = store(rest, "labelled")
     per_label = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
     shape = per_label.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     shape = shape.select("bucket", F.col("most.label").alias("major_label"), F.ceil((F.col("m") - F.col("most.c")) / CHUNK).cast("long").alias("A"), F.ceil(F.col("most.c") / CHUNK).cast("long").alias("B"))
-    rows = rest.join(written(shape, "open"), "bucket").withColumn("major", F.col("label") == F.col("major_label"))
+    rows = rest.join(store(shape, "open"), "bucket").withColumn("major", F.col("label") == F.col("major_label"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), key), F.when(F.col("major"), F.col("B")).otherwise(F.col("A"))))
     # Group a * B + b: chunk a of the others with chunk b of the major ones; for b = 0 the others meet among themselves, too.
     # Group A * B + a * A + c (a < c): two chunks of the others.
@@ -414,46 +430,40 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     length is one set; a block of texts holds it whole.  An empty table gives no rows.  Other columns are not looked at.
     ``docs`` is read three times and must give the same rows in the same order each time, as stored tables do.
     """
-    rule = Rule(percent)
+    rule, store = Rule(percent), Store()
     docs = docs.select(F.col(key).cast("long").alias(key), text, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     sets = written(describe_sets(docs, key, text, width), "sets")
     full = sets.where((F.col("n") > 0) & F.col(key).isNotNull())
     sizes = {r["n"]: r["count"] for r in full.where(F.col("n") <= 2 * LIGHT_LIMIT).groupBy("n").count().collect()}  # a row a small size
     total = full.agg(F.sum("n")).first()[0]
     # Stored first, so that Spark can split the join where very many rows have one set.
-    distinct = written(full.groupBy("one", "two", "n").agg(F.min(key).alias("class_id"), F.min("block").alias("block")), "classes")
+    distinct = store(full.groupBy("one", "two", "n").agg(F.min(key).alias("class_id"), F.min("block").alias("block")), "classes")
     classes = full.join(distinct.drop("block"), ["one", "two", "n"]).where(F.col(key) != F.col("class_id"))
     links = classes.select(F.col(key).alias("u"), F.col("class_id").alias("v"))
-    made = [sets, distinct]
     if total:
         limit = boundary(sizes, rule)
         shards, smallest = shards_for(total / 2), max(1, rule.least(limit))
-        fresh = mark_fresh(key)
 
         def counted(part: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
             return [BlockSets(part.filter(part["fresh"]), text, width, smallest).keys()]
 
-        answers = block_counts(docs, text, counted, [SHORT], shards, "counts", prepare=fresh)
+        answers = block_counts(docs, text, counted, [SHORT], shards, "counts", prepare=mark_fresh(key))
         # Distinct sets of a block: as many as the block has rows at most.
         heads = distinct.groupBy("block").agg(F.collect_list(F.struct("one", "class_id")).alias("c")).select("block", F.col("c.class_id").alias("ids"), F.col("c.one").alias("names"))
-        entries = written(enter_sets(docs, heads, answers, key, text, width, rule, limit, shards), "entries")
+        entries = store(enter_sets(docs, heads, answers, key, text, width, rule, limit, shards), "entries")
         drop_written(answers)
-        held = shared_lists(entries, key)
+        held = shared_lists(entries, key, store)
         first = held.where((F.col(key) != F.col("first")) & rule.may_link(F.col("n"), F.col("place"), F.col("first_n"), F.col("first_place")))
-        known = verify(first.select(F.col("first").alias("u"), F.col(key).alias("v")).distinct(), entries, key, rule, mapped=False)
-        good = known.where("ok").select("u", "v")
+        known = verify(first.select(F.col("first").alias("u"), F.col(key).alias("v")).distinct(), entries, key, rule, store, mapped=False)
         # Lists in which not all are connected by now: their other pairs.
-        labels = written(components(good), "labels")
-        links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        again = other_pairs(open_groups(held, labels, key), entries, key, rule).join(known, ["u", "v"], "left_anti")
-        again = verify(written(again, "pairs"), entries, key, rule, mapped=True).where("ok").select("u", "v")
-        links = links.unionByName(again)
-        made += [entries, held]
+        labels = store(components(known.where("ok").select("u", "v")), "labels")
+        again = other_pairs(open_groups(held, labels, key, store), entries, key, rule).join(known, ["u", "v"], "left_anti")
+        again = verify(store(again, "pairs"), entries, key, rule, store, mapped=True).where("ok").select("u", "v")
+        links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))).unionByName(again)
     found = components(links)
+    store.clear()
     out = sets.select(key, F.col("n").alias("n_shingles"))
     out = out.join(found.withColumnRenamed("node", key), key, "left").withColumn("component_id", F.coalesce("component", key))
-    for old in made[2:]:
-        drop_written(old)
     return out.select(key, "n_shingles", "component_id")
 
 

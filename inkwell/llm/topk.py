@@ -1,14 +1,15 @@
 """Exact top-k by inner product: ball trees, branch and bound.
 
 Candidates are dealt into shards; each shard builds a ball tree over its rows.  A block of queries visits a tree's nodes in
-the order of the upper bound ``q.center + |q| * radius`` of their inner products, and skips a node for every query whose
-current k-th score is above the node's bound.  The k-th score goes on from leaf to leaf.
-Scores are integers and exact: vectors are small integers held as float64 in matrix products.
+the order of their upper bounds ``q.center + |q| * radius`` of the inner product, highest first, and a query takes no part
+in a node whose bound is below its current k-th score.  That score is shared: each query first searches one shard, its home,
+and takes the k-th score it finds there along to all others, so most of their nodes are never opened and they return only
+rows that reach it.  Scores are integers and exact: vectors are small integers held as float64 in matrix products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -55,40 +56,53 @@ class BallTree:
         self.center = np.stack([self.vectors[b:e].mean(0) for b, e in zip(self.begin, self.end, strict=True)])
         self.radius = np.array([np.sqrt(((self.vectors[b:e] - c) ** 2).sum(1).max()) for b, e, c in zip(self.begin, self.end, self.center, strict=True)])
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k best (score, key) of each query, best first, ties to smaller keys; a query's own key doesn't count.
-        Missing ones have score -inf."""
+        Rows that score below a query's ``floor`` may be missing; missing ones have score -inf."""
         n = len(queries)
         score, key = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        least = floor.copy()  # the k-th score of each query by now
         # Bounds are rounded up a little, so that rounding in them can't hide a row that ties.
         bound = queries @ self.center.T + np.sqrt((queries**2).sum(1))[:, None] * self.radius
         bound += 1e-6 * (1 + np.abs(bound))
-        stack = [(0, np.arange(n))]
-        while stack:
-            node, who = stack.pop()
-            who = who[bound[who, node] >= score[who, -1]]
+        heap = [(-np.inf, 0, np.arange(n))]
+        while heap:
+            _, node, who = heapq.heappop(heap)
+            who = who[bound[who, node] >= least[who]]
             if not len(who):
                 continue
             if self.children[node]:
-                # The child with the higher bound (for most of these queries) first.
-                first, second = self.children[node]
-                if (bound[who, first] < bound[who, second]).sum() * 2 > len(who):
-                    first, second = second, first
-                stack += [(second, who), (first, who)]
+                for child in self.children[node]:
+                    open_ = who[bound[who, child] >= least[who]]
+                    if len(open_):
+                        heapq.heappush(heap, (-float(bound[open_, child].max()), child, open_))
                 continue
             begin, end = self.begin[node], self.end[node]
             found = queries[who] @ self.vectors[begin:end].T
             keys = np.broadcast_to(self.keys[begin:end], found.shape)
             found = np.where(keys == own[who][:, None], -np.inf, found)
             # Only rows that reach the current k-th score can enter.
-            some = (found >= score[who, -1:]).any(1)
+            some = (found >= least[who][:, None]).any(1)
             who, found, keys = who[some], found[some], keys[some]
             if len(who):
                 both, names = np.concatenate([score[who], found], 1), np.concatenate([key[who], keys], 1)
                 best = np.lexsort((names, -both), axis=1)[:, :k]
                 score[who], key[who] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+                least[who] = np.maximum(floor[who], score[who, -1])
         return score, key
 
+    def alike(self, queries: np.ndarray) -> np.ndarray:
+        """An order of the queries in which those that head for the same leaves stand together."""
+        node = np.zeros(len(queries), np.int64)
+        moving = np.arange(len(queries)) if self.children[0] else np.zeros(0, np.int64)
+        pairs = np.array([c if c else [i, i] for i, c in enumerate(self.children)])
+        while len(moving):
+            first, second = pairs[node[moving]].T
+            closer = ((queries[moving] * (self.center[first] - self.center[second])).sum(1)) > 0
+            node[moving] = np.where(closer, first, second)
+            moving = moving[pairs[node[moving], 0] != node[moving]]
+        return np.argsort(self.begin[node], kind="stable")
+
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
@@ -106,22 +120,17 @@ def top_k(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
 
     Queries are the rows whose key is divisible by ``every``; candidates are all rows but the query's own.  Ties go to the
     smaller key.  A repeated row is one candidate for each time it stands there, but rows with a query's key are its
-    own; of several vectors with a query's key the smallest asks.
-    Vectors of a length other than the most common one take no part.
+    own; of several vectors with a query's key the smallest asks.  Rows with a null key, null or empty vectors and those that
+    hold null or non-finite components take no part.  Vectors only meet vectors of their own length.  An empty table
+    gives no rows.  Other columns are not looked at.
     """
-    spark = vectors.sparkSession
-    rows = written(integer_vectors(vectors, key, vector, scale), "vectors")
-    common = rows.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    width = common[0]["n"] if common else 0
-    if not width:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.where(F.size(vector) == width)
+    rows = integer_vectors(vectors, key, vector, scale).where(F.size(vector) > 0).withColumn("width", F.size(vector))
+    rows = written(rows, "vectors")
     # The query set meets all rows in blocks: each shard of about SHARD rows meets each group of about GROUP queries.
-    queries = rows.where(F.col(key) % every == 0).groupBy(key).agg(F.min(vector).alias(vector))
-    shards = shards or max(1, rows.count() // SHARD)
-    groups = max(1, queries.count() // GROUP)
-    queries = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("query"), F.pmod(F.xxhash64(F.lit(2), key), F.lit(groups)).alias("group"))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    queries = rows.where(F.col(key) % every == 0).groupBy(key).agg(F.min(F.struct("width", vector)).alias("v"))
+    number, asked = rows.count(), rows.where(F.col(key) % every == 0).count()
+    shards, groups = shards or max(1, number // SHARD), max(1, asked // GROUP)
+    queries = queries.select(F.col(key).alias("query_id"), F.col(f"v.{vector}").alias("query"), "v.width", F.pmod(F.xxhash64(F.lit(2), key), F.lit(groups)).alias("group"), F.pmod(F.xxhash64(F.lit(7), key), F.lit(shards)).cast("int").alias("home"))
     # A row is dealt by all it holds, so repeated keys spread as well.
     candidates = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), key, vector), F.lit(shards)).cast("int"))
     candidates = candidates.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
@@ -130,20 +139,32 @@ def top_k(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
         out = {"query_id": [], "vec_id": [], "score": []}
         if asked.num_rows and held.num_rows:
             held, asked = held.combine_chunks(), asked.combine_chunks()
-            keys = held[key].to_numpy()
-            tree = BallTree(_matrix(held[vector].chunk(0), width), keys)
-            names = asked["query_id"].to_numpy()
+            width = held["width"][0].as_py()
+            tree = BallTree(_matrix(held[vector].chunk(0), width), held[key].to_numpy())
             points = _matrix(asked["query"].chunk(0), width)
+            order = tree.alike(points)
+            points, names = points[order], asked["query_id"].to_numpy()[order]
+            floor = asked["floor"].fill_null(-np.inf).to_numpy()[order]
             for i in range(0, len(names), BLOCK):
                 part = slice(i, i + BLOCK)
-                score, found = tree.search(points[part], names[part], k)
-                real = score > -np.inf
+                score, found = tree.search(points[part], names[part], k, floor[part])
+                real = (score > -np.inf) & (score >= floor[part][:, None])
                 out["query_id"].append(np.broadcast_to(names[part][:, None], real.shape)[real])
                 out["vec_id"].append(found[real])
                 out["score"].append(score[real].astype(np.int64))
         return pa.table({n: np.concatenate(v) if v else np.zeros(0, np.int64) for n, v in out.items()})
 
-    found = queries.groupBy("shard", "group").cogroup(candidates.groupBy("shard", "group")).applyInArrow(run, "query_id long, vec_id long, score long")
+    by = ("shard", "group", "width")
+
+    def search(asked: DataFrame) -> DataFrame:
+        return asked.groupBy(*by).cogroup(candidates.groupBy(*by)).applyInArrow(run, "query_id long, vec_id long, score long")
+
+    found = written(search(queries.withColumn("shard", F.col("home")).withColumn("floor", F.lit(None).cast("double"))), "home")
+    if shards > 1:
+        # A query that found k rows at home needs no row that scores below the last of these.
+        floors = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor"))
+        others = queries.join(floors, "query_id", "left").withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home"))))
+        found = found.unionByName(search(others))
     # Each shard gives k rows a query at most.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

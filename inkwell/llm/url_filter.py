@@ -45,12 +45,30 @@ def place_rule(verdict: str, place: str) -> Rule:
     return Rule(verdict, pattern, tuple(dict.fromkeys([*_TOKEN.findall(host), *of_path])), place, len(place))
 
 
+#: Words that stand for unwanted sites as a whole part of a host name (parts end at dots and dashes), by subject.
+HOST_WORDS = {
+    "adult": "adult escort hentai nude porn sexcam webcam xxx",
+    "gambling": "betting bingo casino jackpot lottery poker roulette slots",
+    "pharmacy": "cheap-meds cheap-pills cialis online-pharmacy pills viagra",
+    "piracy": "crack free-download keygen torrent warez",
+    "spam": "article-spinner buy-followers content-farm link-farm payday-loan seo-links spam-farm",
+}
+#: Paths that hold no text of a site: programs, archives, logins, search results, feeds, endless calendars.
+PATHS = {
+    r"\.(?:apk|exe|msi)$": (),
+    r"\.(?:gz|iso|rar|zip)$": (),
+    r"/wp-(?:admin|login)": ("wp",),
+    r"/cgi-bin/": ("cgi", "bin"),
+    r"/xmlrpc\.php$": ("xmlrpc", "php"),
+    r"/(?:search|suche|recherche|buscar)/?$": (),
+    r"/feed/?$": ("feed",),
+    r"/calendar/[0-9]{4}/[0-9]{1,2}/": ("calendar",),
+    r";jsessionid=": ("jsessionid",),
+}
 #: The method's own rules, for URLs that no given rule fits.
 OWN_RULES = (
-    Rule("block", r"^(?:[^/]*[.-])?spam-farm[.-]", ("spam", "farm")),
-    Rule("block", r"^(?:[^/]*[.-])?cheap-pills[.-]", ("cheap", "pills")),
-    Rule("block", r"^(?:[^/]*[.-])?adult-[a-z0-9-]*\.", ("adult",)),
-    Rule("block", r"^(?:[^/]*[.-])?casino[.-]", ("casino",)),
+    *(Rule("block", rf"^(?:[^/]*[.-])?{word}[.-]", tuple(word.split("-"))) for words in HOST_WORDS.values() for word in words.split()),
+    *(Rule("block", pattern, literals) for pattern, literals in PATHS.items()),
 )
 
 
@@ -90,7 +108,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], *, key: str = "page_id
     """key, host, path, rule, verdict for every row; no shuffle.
 
     A null URL or one without ``://`` has an empty host and path, so only a rule without literals could fit it; it is
-    allowed.  Null keys and repeated rows are kept as they are; other columns are not looked at.
+    allowed.  A URL of any length is judged whole.  Null keys and repeated rows are kept as they are, an empty table gives no
+    rows, and other columns are not looked at.
     """
     schema = f"{key} {pages.schema[key].dataType.simpleString()}, host string, path string, rule string, verdict string"
 
@@ -113,7 +132,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), (*(place_rule(*g) for g in GIVEN), *OWN_RULES))
 
 
-ORACLE_SQL = r"""
+ORACLE_SQL = (
+    r"""
 WITH rest AS (
   SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
 ), cut AS (
@@ -132,8 +152,10 @@ WITH rest AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block'
   WHEN rule IS NOT NULL THEN 'allow'
-  WHEN regexp_matches(u, '^([^/]*[.-])?spam-farm[.-]') OR regexp_matches(u, '^([^/]*[.-])?cheap-pills[.-]')
-    OR regexp_matches(u, '^([^/]*[.-])?adult-[a-z0-9-]*\.') OR regexp_matches(u, '^([^/]*[.-])?casino[.-]') THEN 'block'
+  WHEN """
+    + " OR ".join(f"regexp_matches(u, '{r.pattern}')" for r in OWN_RULES)
+    + """ THEN 'block'
   ELSE 'allow' END AS verdict
 FROM fits
 """
+)

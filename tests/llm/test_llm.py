@@ -146,6 +146,33 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_repeats_ties_and_lengths(spark):
+    """Against brute force: repeated rows and keys, ties, vectors of two lengths, vectors without components."""
+    rng = np.random.default_rng(15)
+    rows = [(int(i) % 150, [float(x) for x in rng.integers(-2, 3, 4 if i % 5 else 3) / 64], 1, "s") for i in range(400)]
+    rows += [rows[3], rows[40], (20, [], 1, "s")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, width int, shard string")
+    got = {}
+    for r in topk.top_k(df, k=7, shards=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    points = [(i, np.floor(64 * np.array(v, np.float32)).astype(int)) for i, v, *_ in rows if v]
+    for q in range(0, 150, 20):
+        own = min(((len(v), v.tolist()) for i, v in points if i == q), default=None)
+        want = sorted((-int(v @ own[1]), i) for i, v in points if i != q and len(v) == own[0])[:7]
+        assert sorted(got[q]) == [(n, -s, i) for n, (s, i) in enumerate(want, 1)]
+
+
+def test_ball_tree_visits_by_bound_and_heeds_the_floor():
+    rng = np.random.default_rng(16)
+    points, queries = rng.integers(-9, 10, (3000, 6)).astype(float), rng.integers(-9, 10, (40, 6)).astype(float)
+    tree, none = topk.BallTree(points, np.arange(3000), leaf=32), np.full(40, -1)
+    whole = np.sort(queries @ points.T, 1)[:, ::-1]
+    score, _ = tree.search(queries, none, 5, np.full(40, -np.inf))
+    assert (score == whole[:, :5]).all()
+    score, _ = tree.search(queries, none, 5, whole[:, 2])
+    assert (np.where(score >= whole[:, 2:3], score, 0) == np.where(whole[:, :5] >= whole[:, 2:3], whole[:, :5], 0)).all()
+
+
 def test_url_rules(spark):
     urls = ["https://a.example.com/en/7x", "http://EXAMPLE.com/en/8", "http://xcom/en/1", "http://b.net/de/?q", "http://b.net/de", "http://example.net/de/80", "ftp://x.org/es/#f", None, "", "nonsense", "http://org/es/", "http://spam-farm.example.org/fr/", "x://h?y://z"]
     rules = (*(url_filter.place_rule(*g) for g in url_filter.GIVEN), *url_filter.OWN_RULES)
@@ -159,6 +186,23 @@ def test_url_rules(spark):
     assert out[7] == out[8] == out[9] == ("", "", None, "allow")
     assert out[10][2:] == ("org/es/", "block") and out[11][2:] == (None, "block") and out[12][:2] == ("h", "")
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
+    odd = spark.createDataFrame([(None, urls[1]), (None, urls[1]), (5, "http://a.net/de/" + "x" * 300_000)], "page_id long, url string")
+    assert sorted((r.page_id is None, r.verdict) for r in url_filter.judge_urls(odd, rules).collect()) == [(False, "allow"), (True, "block"), (True, "block")]
+
+
+def test_own_url_rules():
+    """The index finds what trying every rule finds."""
+    index, rng = url_filter.RuleIndex(url_filter.OWN_RULES), np.random.default_rng(12)
+    parts = ["casino", "cheap-pills", "pills", "example", "xxx", "spam-farm", "spam", "link", "farm", "www", "news"]
+    paths = ["", "/", "/a.exe", "/exe", "/wp-login.php", "/cgi-bin/x", "/feed/", "/feeds", "/calendar/2024/01/", "/calendar/24", "/x;jsessionid=1", "/search", "/search/a", "/a.zip"]
+    seen = set()
+    for _ in range(3000):
+        host = ".".join(rng.choice(parts, int(rng.integers(1, 4)))) + rng.choice([".com", "-shop.org", ".net"])
+        url = host + rng.choice(paths)
+        want = "block" if any(re.search(r.pattern, url) for r in url_filter.OWN_RULES) else "allow"
+        assert index.judge(host, url[len(host) :]) == (None, want)
+        seen.add(want)
+    assert seen == {"allow", "block"}
 
 
 def test_html(spark):
@@ -174,11 +218,106 @@ def test_html(spark):
     assert got[4].text == ("Long text. " * 30).strip() + "\n\nShort." and len(out) == 5
 
 
+LONG = "Plain words that tell a story, one after another, without any links between them. " * 4
+MENU = "".join(f"<li><a href='/{i}'>Entry {i}</a></li>" for i in range(12))
+
+
+def test_html_region_without_article():
+    """One long section and several short ones, a headline in a box of its own, and a menu that nothing marks as one."""
+    short = "".join(f"<section><h2>Part {i}</h2><p>Short part {i}.</p></section>" for i in range(3))
+    page = f"<body><div><ul>{MENU}</ul></div><div><div><h1>Headline</h1></div><section><p>{LONG}</p><p>{LONG}</p></section>{short}</div></body>"
+    want = ["Headline", LONG.strip(), LONG.strip(), *(x for i in range(3) for x in (f"Part {i}", f"Short part {i}."))]
+    assert html_text.main_text(page).split("\n\n") == want
+
+
+def test_html_headline_beside_the_body_of_an_article():
+    page = f"<body><article><div><h1>Headline</h1></div><div><p>{LONG}</p><p>Short.</p><div>{MENU}</div></div></article><div><p>Teaser beside it.</p></div></body>"
+    got = html_text.main_text(page).split("\n\n")
+    assert got == ["Headline", LONG.strip(), "Short.", *(f"Entry {i}" for i in range(12))]
+
+
+def test_html_ratios_decide_on_marked_pages():
+    """An article element that only lists links loses to dense text elsewhere; other ratios give another region."""
+    page = html_text.page_lines(f"<body><article><ul>{MENU}</ul></article><div><p>{LONG}</p><p>{LONG}</p><p>End.</p></div></body>")
+    ratios = html_text.line_ratios(page)
+    assert [x.text for x in html_text.content_lines(page, ratios)] == [LONG.strip(), LONG.strip(), "End."]
+    turned = [max(ratios) - r for r in ratios]
+    assert [x.text for x in html_text.content_lines(page, turned)] == [f"Entry {i}" for i in range(12)]
+
+
+def test_html_ratios_smoothing_and_clusters():
+    rng = np.random.default_rng(6)
+    values = rng.gamma(1.0, 20.0, 30).tolist()
+    kernel = np.exp(-(np.arange(-2, 3) ** 2) / 2)
+    want = np.convolve(values, kernel, "same") / np.convolve(np.ones(30), kernel, "same")
+    assert np.allclose(html_text.smoothed(values), want)
+    logs = np.log1p(want)
+    cut = logs.mean()
+    for _ in range(50):
+        cut = (logs[logs < cut].mean() + logs[logs >= cut].mean()) / 2
+    assert html_text.dense_lines(values) == (logs >= cut - 1e-9).tolist()
+    page = html_text.page_lines("<p>abcd <a>ef</a></p><article><p><b>12345678</b></p></article>")
+    assert [(x.text, x.linked, x.tags) for x in page.lines] == [("abcd ef", 2, 4), ("12345678", 0, 4)]
+    assert html_text.line_ratios(page) == [5 / 4, 2 * html_text.EVIDENCE]
+
+
+def test_html_edges(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    long = "<body><article><p>" + "word " * 200_000 + "</p></article>"
+    df = spark.createDataFrame([(None, "u", "<p>a</p>", "x", "y"), (None, "u", "<p>a</p>", "x", "y"), (1, "u", long, "x", "y"), (2, "u", "<b>&amp;&nbsp;x", "x", "y"), (3, "u", "<p", "x", "y")], schema)
+    out = html_text.extract_text(df).collect()
+    assert [r.text for r in out if r.page_id is None] == ["a", "a"] and {r.page_id: r.n_chars for r in out}[1] == 5 * 200_000 - 1
+    assert {r.page_id: r.text for r in out}[2] == "& x" and out[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
 def shingles(text, width):
     w = word_list(text)
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
+def jaccard_brute(sets, percent):
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("chunk", [4, 512])
+def test_jaccard_long_lists(spark, monkeypatch, chunk):
+    """Lists whose members share nearly all elements and mostly don't link: pairs of chunks, all components found."""
+    monkeypatch.setattr(setjoin, "CHUNK", chunk)
+    rng = np.random.default_rng(21)
+    texts = []
+    for i in range(110):
+        group = int(rng.integers(0, 3))
+        own = rng.choice(48, int(rng.integers(34, 44)), replace=False)
+        texts.append((i, " ".join(f"g{group if x < 8 else 0}x{x}" for x in own)))
+    texts += [(200 + i, texts[i][1]) for i in range(40)] + [(3, "another text of a key that is there already")]
+    df = make(spark, texts[:-1])
+    sets = {i: shingles(t, 1) for i, t in texts[:-1]}
+    want = jaccard_brute(sets, 80)
+    assert 3 < len(set(want.values())) < 100
+    got = {r.doc_id: r.component_id for r in setjoin.jaccard_components(df, width=1, percent=80).collect()}
+    assert got == want
+
+
+def test_jaccard_repeated_keys(spark):
+    """Rows of one key are one document: what links with one of them links with all."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a + " tail"), (9, b + " tail"), (9, b + " tail"), (11, "alone " * 3), (None, a)]
+    out = [(r.doc_id, r.component_id) for r in setjoin.jaccard_components(make(spark, rows), width=3, percent=80).collect()]
+    assert sorted(out, key=str) == sorted([(5, 5), (5, 5), (7, 5), (9, 5), (9, 5), (11, 11), (None, None)], key=str)
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (1, 90)])
 def test_jaccard_components(spark, docs, empty, width, percent):
     rng = np.random.default_rng(8)
@@ -192,18 +331,8 @@ def test_jaccard_components(spark, docs, empty, width, percent):
             texts.append((len(texts) + 20, " ".join(own[int(rng.integers(0, 2)) :])))
     df = make(spark, texts)
     out = {r.doc_id: r for r in setjoin.jaccard_components(df, width=width, percent=percent).collect()}
-    sets, root = {i: shingles(t, width) for i, t in texts}, {i: i for i, _ in texts}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in combinations(sorted(sets), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-    assert {i: r.component_id for i, r in out.items()} == {i: find(i) for i in sets}
+    sets = {i: shingles(t, width) for i, t in texts}
+    assert {i: r.component_id for i, r in out.items()} == jaccard_brute(sets, percent)
     assert {i: r.n_shingles for i, r in out.items()} == {i: len(s) for i, s in sets.items()}
     if width == 3:
         assert setjoin.jaccard_components(docs).where("doc_id IS NULL").first().component_id is None
@@ -235,39 +364,92 @@ def test_fingerprints(spark, empty):
     assert len(again) == len(texts) + 2 and again[again.doc_id.isna()].near_next.tolist() == [1.0]
 
 
-def test_next_lower(spark):
-    keys = sorted({int(x) for x in np.random.default_rng(4).integers(-(10**6), 10**6, 500)})
+def test_next_lower(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "PER_BUCKET", 40)
+    keys = sorted({*(int(x) for x in np.random.default_rng(4).integers(-1000, 1000, 500)), 1 << 62, -(1 << 62)})
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    got = dict(fingerprints.next_lower(df, "k", keys[0], 3000, 2).collect())
+    got = dict(fingerprints.next_lower(df, "k", len(keys)).collect())
     assert got == dict(zip(keys, [None, *keys[:-1]]))
 
 
-def test_lm_scores(spark, docs, empty):
-    out = {r.doc_id: r for r in lm.score_texts(docs, mu=3.0).collect()}
-    tokens = {i: [*word_list(t), "</>"] for i, t in ODD}
-    held = {i: i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    uni, bi, starts = Counter(), Counter(), 0
+def test_fingerprints_estimate_jaccard(spark):
+    """Over many pairs, likeness has the mean and the spread of a binomial share of the true weighted Jaccard similarity."""
+    rng = np.random.default_rng(11)
+    texts = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(20, 200))) % (30 + i % 50))) for i in range(500)]
+    out = {r.doc_id: r for r in fingerprints.fingerprint_edits(make(spark, texts)).collect()}
+    off, spread = [], []
+    for i, text in texts:
+        for name, other in (("near_edited", text[: len(text) - len(text) // 2] + texts[i - 1][1][: len(text) // 2]), ("near_next", texts[i - 1][1])):
+            a, b = Counter(text.split()), Counter(other.split())
+            true = sum((a & b).values()) / sum((a | b).values())
+            off.append(getattr(out[i], name) - true)
+            spread.append(true * (1 - true) / fingerprints.SLOTS)
+    assert abs(np.mean(off)) < 4 * (np.mean(spread) / len(off)) ** 0.5 + 0.004
+    assert 0.85 < np.mean(np.square(off)) / np.mean(spread) < 1.15
+
+
+def lm_brute(texts, held, mu):
+    """Scores by the model's formulas on plain counters: no states, no arcs."""
+    tokens = {i: [*word_list(t), "</>"] for i, t in texts}
+    uni, bi, tri, starts = Counter(), Counter(), Counter(), 0
     for i, w in tokens.items():
         if not held[i]:
             uni.update(w)
             bi.update(zip(["<>", *w], w))
+            tri.update(zip(["<>", *w], w, w[1:]))
             starts += 1
-    total = sum(uni.values())
+    total, out = sum(uni.values()), {}
     for i, w in tokens.items():
-        r = out[i]
         base = [(uni[t] + 1) / (total + len(uni) + 1) for t in w]
-        path = [(bi[h, t] + 3.0 * p) / ((starts if h == "<>" else uni[h]) + 3.0) for h, t, p in zip(["<>", *w], w, base)]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(uni[t] > 0 for t in w), total)
-        assert abs(r.base_score - np.log10(base).sum()) < 1e-6 and abs(r.score - np.log10(path).sum()) < 1e-6
+        path = []
+        for n, t in enumerate(w):
+            h = w[n - 1] if n else "<>"
+            p = (bi[h, t] + mu[0] * base[n]) / ((uni[h] if n else starts) + mu[0])
+            if n:
+                g = w[n - 2] if n > 1 else "<>"
+                p = (tri[g, h, t] + mu[1] * p) / (bi[g, h] + mu[1])
+            path.append(p)
+        out[i] = (len(w), sum(uni[t] > 0 for t in w), total, np.log10(base).sum(), np.log10(path).sum())
+    return out
+
+
+def test_lm_scores(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(lm, "WALK", 7)  # walkers that start within a text must reach the state of one that reads it all
+    rng = np.random.default_rng(9)
+    texts = [*ODD, *[(100 + i, " ".join(f"v{int(x)}" for x in rng.zipf(1.3, int(rng.integers(0, 90))) % 40)) for i in range(60)], (30, BASE), (31, "Unseen words only here")]
+    out = {r.doc_id: r for r in lm.score_texts(make(spark, texts), mu=(3.0, 2.0)).collect()}
+    held = {i: i is None or zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts}
+    for i, (n, known, total, base, score) in lm_brute(texts, held, (3.0, 2.0)).items():
+        r = out[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], n, known, total)
+        assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6
     assert lm.score_texts(empty).count() == 0
+    # Nothing to learn from: every token has probability 1.
+    only = lm.score_texts(docs.where("doc_id IS NULL")).first()
+    assert only.train_tokens == 0 and only.base_score == only.score == 0.0
+
+
+def test_lm_repeated_rows_and_keys(spark):
+    rows = [(1, "a b a b"), (1, "a b a b"), (1, "b a"), (3, None)]
+    out = lm.score_texts(make(spark, rows)).collect()
+    assert len(out) == 4 and len({r.score for r in out if r.n_tokens == 5}) == 1
+    assert {r.train_tokens for r in out} == {sum(r.n_tokens for r in out if not r.held_out)}
+
 
+def test_lm_states_are_distributions():
+    """From any state, the probabilities of all words (and of one unknown word) add up to 1."""
+    import pyarrow as pa
 
-def test_lm_is_a_distribution():
-    """From any state the probabilities of all words and of one unknown word add up to 1 at most."""
-    uni, bi, mu = {"a": 5, "b": 3, "e": 2}, {("a", "a"): 2, ("a", "b"): 3}, 4.0
-    root = {w: (c + 1) / (10 + 3 + 1) for w, c in uni.items()}
-    total = sum((bi.get(("a", w), 0) + mu * p) / (5 + mu) for w, p in root.items())
-    assert abs(total + mu * (1 / 14) / (5 + mu) - 1) < 1e-12
+    texts = ["a b a c", "b a b", "c c a b a", "z"]
+    block = lm.Block(pa.chunked_array([pa.array(texts)]))
+    training = np.array([True, True, True, False])[block.row]
+    counts = [np.bincount(at[at >= 0], weights=training[at >= 0], minlength=len(k)) for k, at in block.kinds()]
+    machine = lm.Automaton(block, *counts, int(counts[0].sum()), int((counts[0] > 0).sum()), 3, (3.0, 2.0))
+    for state in range(len(machine.fail)):
+        _, weight = machine.step(np.full(len(block.words), state), np.arange(len(block.words)))
+        # Nothing follows the end of a text, so states that end with it are never left.
+        end = machine.of_word[block.words == lm.END][0]
+        assert end in (state, machine.fail[state]) or abs((10**weight).sum() - 1) < 1e-9
 
 
 def test_language_id(spark, empty):
@@ -285,6 +467,48 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", df.lang.substr(1, 0))).where("doc_id >= 500").collect()} <= {"und", ""}
 
 
+def test_language_sample_holds_every_language(spark):
+    """A language with few rows among very many others is learned; repeated rows are one; the sample keeps its bound."""
+    rows = [(i, f"the text {i}", "en") for i in range(9000)] + [(10_000 + i, f"y testun {i}", "cy") for i in range(5)] + [(10_000, "y testun 0", "cy")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r.lang for r in langid.choose(df, "text", "lang", "doc_id").collect()]
+    assert got.count("cy") == 5 and abs(got.count("en") - langid.SAMPLE / 2) < 5 * langid.SAMPLE**0.5
+
+
+def test_language_margins_are_the_machines(spark):
+    """Predictions off running sums against the machines' votes by plain products, text by text."""
+    import pyarrow as pa
+
+    say = {"en": "the cat and the dog went to the house", "de": "der hund und die katze gingen nach hause", "nl": "de hond en de kat gingen naar huis", "fr": "le chat et les chiens sont dans la maison"}
+    texts = [" ".join(np.random.default_rng(i).permutation((say[c] * 2).split())) for i, c in enumerate(list(say) * 12)]
+    langs = np.array(list(say) * 12, dtype=object)
+    column = pa.array(texts)
+    x = langid.vectors(column)
+    model = langid.Identifier(x, langs)
+    names, score = model.predict(column)
+
+    def vote(machine, row):
+        confidence = dict.fromkeys(machine.classes, 0.0)
+        for w, (i, j) in zip(machine.weights, machine.pairs):
+            p = 1 / (1 + np.exp(np.clip(-3.0 * float(w.astype(float) @ row), -60, 60)))
+            confidence[machine.classes[i]] += p
+            confidence[machine.classes[j]] += 1 - p
+        best = max(machine.classes, key=lambda c: confidence[c])
+        return best, confidence[best] / (len(machine.classes) - 1) if machine.pairs else 1.0
+
+    for i, row in enumerate(x.astype(float)):
+        family, sure = vote(model.family, row)
+        lang, inner = vote(model.within[model.family.classes.index(family)], row)
+        assert names[i] == lang and abs(score[i] - sure * inner) < 1e-4
+    assert (names == langs).mean() > 0.95
+
+
+def test_language_of_repeated_rows_and_long_texts(spark):
+    rows = [(i, "the cat and the dog ", "en") for i in range(20)] + [(20 + i, "le chat et le chien ", "fr") for i in range(20)] + [(7, "le chat ", None)] * 3 + [(99, "le chat et le chien " * 20_000, None), (None, None, None)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == len(rows) and {r.lang_pred for r in out if r.lang is None and r.text} == {"fr"} and [r.lang_pred for r in out if r.text is None] == ["und"]
+
+
 def test_mixing(spark, empty):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 30))), ["en", "de", None][int(rng.integers(0, 3))], f"s{int(rng.integers(0, 4) ** 2 % 5)}", 0, *EXTRA) for i in range(3000)]
@@ -303,6 +527,49 @@ def test_mixing(spark, empty):
     assert abs(w["s0", "en"] * w["s1", "de"] / (w["s0", "de"] * w["s1", "en"]) - 1) < 1e-9
     kept = mixing.mix_documents(df, targets).toPandas()
     assert kept.doc_id.is_unique and not set(kept.doc_id) & {9000, 9001} and kept.probability.max() <= 1
+    assert abs(kept.n_tokens.sum() / sum(cells.values()) - mixing.SIZE) < 0.05
     assert abs(kept[kept.source == "s1"].n_tokens.sum() / kept.n_tokens.sum() - 0.5) < 0.08
     assert mixing.mix_documents(df, mixing.TARGETS, keep=df.columns).columns[: len(df.columns)] == df.columns
     assert mixing.mix_documents(empty, mixing.TARGETS).count() == 0
+    odd = [(None, "w w", "en", "s0", 0, *EXTRA)] * 2 + [(7, "w " * 5, None, None, 0, *EXTRA)] * 3 + [(8, "w " * 200_000, "en", "s1", 0, *EXTRA)]
+    got = mixing.mix_documents(spark.createDataFrame(odd, SCHEMA), {"source": 1.0}, size=1.0).toPandas()
+    assert len(got) == 6 and got.n_tokens.max() == 200_000 and got[got.doc_id == 7].source.isna().all()
+
+
+def rake_brute(cells, targets, size, rounds=400):
+    """Bounded raking on a dict (categories -> tokens), margin after margin; targets are shares by category."""
+    total = sum(cells.values())
+    weight = dict.fromkeys(cells, size)
+    for _ in range(rounds):
+        for m, shares in enumerate(targets):
+            have = Counter()
+            for c, n in cells.items():
+                have[c[m]] += n * weight[c]
+            for c in cells:
+                weight[c] = min(1.0, weight[c] * shares[c[m]] * size * total / have[c[m]])
+    return weight
+
+
+@pytest.mark.parametrize("size", [0.3, 0.6])
+def test_bounded_raking(spark, size):
+    """Against brute force, where a rare category can and can't give what its target asks for."""
+    rng = np.random.default_rng(4)
+    cells = {(f"s{i}", f"l{j}"): int(rng.integers(50, 5000)) for i in range(6) for j in range(3)}
+    cells |= {("rare", "l0"): 40, ("rare", "l2"): 3}
+    total = sum(cells.values())
+    have = [Counter(), Counter()]
+    for c, n in cells.items():
+        for m in (0, 1):
+            have[m][c[m]] += n
+    powers = (0.5, 0.7)
+    targets = [{k: n**p / sum(x**p for x in have[m].values()) for k, n in have[m].items()} for m, p in enumerate(powers)]
+    want = rake_brute(cells, targets, size)
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, tokens long")
+    fitted = mixing.rake(df, {"source": 0.5, "lang": 0.7}, size)
+    got = {(r.source, r.lang): r.weight for r in fitted.collect()}
+    assert max(got.values()) <= 1.0 and want["rare", "l2"] == got["rare", "l2"] == 1.0
+    assert all(abs(got[c] - w) < 0.01 for c, w in want.items())
+    kept = sum(n * got[c] for c, n in cells.items()) / total
+    assert abs(kept - size) < 0.02
+    shares = {(r.margin, r.category): (r.target, r.share) for r in mixing.reached(fitted, {"source": 0.5, "lang": 0.7}).collect()}
+    assert shares["source", "rare"][1] < shares["source", "rare"][0] and abs(shares["lang", "l1"][0] - shares["lang", "l1"][1]) < 0.01
