@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,35 +17,79 @@ CODES = ("unreadable", "ambiguous", "missing", "unsupported", "conflict")
 STATUSES = ("complete", "partial", "failed")
 
 
+#: JSON Schema (2020-12): names of types; keywords whose value is a schema, an array or an object of schemas; and keywords
+#: with a value of one kind.
+TYPES = ("array", "boolean", "integer", "null", "number", "object", "string")
+ONE = ("additionalProperties", "contains", "contentSchema", "else", "if", "items", "not", "propertyNames", "then", "unevaluatedItems", "unevaluatedProperties")
+MANY = ("allOf", "anyOf", "oneOf", "prefixItems")
+NAMED = ("$defs", "definitions", "dependentSchemas", "patternProperties", "properties")
+COUNTS = ("maxContains", "maxItems", "maxLength", "maxProperties", "minContains", "minItems", "minLength", "minProperties")
+NUMBERS = ("exclusiveMaximum", "exclusiveMinimum", "maximum", "minimum", "multipleOf")
+STRINGS = ("$anchor", "$comment", "$id", "$schema", "contentEncoding", "contentMediaType", "description", "format", "pattern", "title")
+
+
+def _keyword_problem(name: str, value: object) -> str | None:
+    """What is wrong with the value of one keyword, by itself."""
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if name == "type":
+        kinds = value if isinstance(value, list) else [value]
+        fine = bool(kinds) and all(isinstance(k, str) and k in TYPES for k in kinds) and len(set(map(str, kinds))) == len(kinds)
+        return None if fine else "type must name known types"
+    if name == "required":
+        fine = isinstance(value, list) and all(isinstance(x, str) for x in value) and len(set(value)) == len(value)
+        return None if fine else "required must list distinct names"
+    tests = {
+        "enum": isinstance(value, list),
+        **dict.fromkeys(ONE, isinstance(value, (dict, bool))),
+        **dict.fromkeys(MANY, isinstance(value, list) and bool(value)),
+        **dict.fromkeys(NAMED, isinstance(value, dict)),
+        **dict.fromkeys(COUNTS, number and value >= 0 and value == int(value)),
+        **dict.fromkeys(NUMBERS, number and (name != "multipleOf" or value > 0)),
+        **dict.fromkeys(STRINGS, isinstance(value, str)),
+    }
+    return None if tests.get(name, True) else f"{name} has a value of the wrong kind"
+
+
+def _subschemas(schema: dict) -> Iterator[tuple[str, object]]:
+    for name in ONE:
+        yield from [(name, schema[name])] if name in schema else []
+    for name in MANY:
+        yield from ((f"{name}/{i}", x) for i, x in enumerate(schema.get(name) if isinstance(schema.get(name), list) else []))
+    for name in NAMED:
+        yield from ((f"{name}/{k}", x) for k, x in (schema.get(name) if isinstance(schema.get(name), dict) else {}).items())
+
+
+def _closed(schema: dict) -> list[str]:
+    """What keeps an object's schema from being closed."""
+    own = schema.get("properties", {})
+    own = set(own) if isinstance(own, dict) else set()
+    required = schema.get("required", [])
+    missing = own != {x for x in required if isinstance(x, str)} if isinstance(required, list) else True
+    return ["additionalProperties must be false"] * (schema.get("additionalProperties") is not False) + ["every property must be required"] * missing
+
+
 def schema_problems(schema: object) -> list[str]:
-    """What keeps a user's JSON Schema from being the strict subset: an object at the root, closed objects whose
-    properties are all required, no references, at most 100 KiB."""
+    """What keeps a user's JSON Schema from being the strict subset: a valid schema of an object, of at most 100 KiB, whose
+    objects are closed and require all their properties, without references anywhere."""
     if not isinstance(schema, dict):
         return ["the schema must be an object"]
-    problems = [] if len(json.dumps(schema).encode()) <= SCHEMA_BYTES else ["the schema is larger than 100 KiB"]
-    if schema.get("type") != "object":
-        problems.append("the root must be of type object")
-    waiting: list[tuple[str, object]] = [("#", schema)]
-    while waiting:
-        at, node = waiting.pop()
-        if isinstance(node, list):
-            waiting += [(f"{at}/{i}", x) for i, x in enumerate(node)]
-        if not isinstance(node, dict):
-            continue
-        if "$ref" in node:
-            problems.append(f"{at}: references are not supported")
-        kinds = node.get("type")
-        if kinds == "object" or (isinstance(kinds, list) and "object" in kinds) or "properties" in node:
-            own = node.get("properties", {})
-            if not isinstance(own, dict):
-                problems.append(f"{at}: properties must be an object")
-                own = {}
-            if node.get("additionalProperties") is not False:
-                problems.append(f"{at}: additionalProperties must be false")
-            if set(node.get("required", [])) != set(own):
-                problems.append(f"{at}: every property must be required")
-            waiting += [(f"{at}/properties/{k}", v) for k, v in own.items()]
-        waiting += [(f"{at}/{k}", v) for k, v in node.items() if k in ("items", "anyOf", "allOf", "oneOf", "prefixItems", "$defs")]
+    problems = ["the schema is larger than 100 KiB"] * (len(json.dumps(schema).encode()) > SCHEMA_BYTES) + ["the root must be of type object"] * (schema.get("type") != "object")
+    level: list[tuple[str, object]] = [("#", schema)]
+    while level:  # all schemas of one depth
+        below: list[tuple[str, object]] = []
+        for at, one in level:
+            if isinstance(one, bool):
+                continue
+            if not isinstance(one, dict):
+                problems.append(f"{at}: not a schema")
+                continue
+            kinds = one.get("type")
+            found = ["references are not supported"] * any(k in one for k in ("$ref", "$dynamicRef"))
+            found += [x for x in (_keyword_problem(k, v) for k, v in one.items()) if x]
+            found += _closed(one) if "properties" in one or "object" in (kinds if isinstance(kinds, list) else [kinds]) else []
+            problems += [f"{at}: {x}" for x in found]
+            below += [(f"{at}/{name}", x) for name, x in _subschemas(one)]
+        level = below
     return problems
 
 

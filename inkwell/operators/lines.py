@@ -39,7 +39,7 @@ def line_catalog(items: DataFrame, ocr: DataFrame) -> DataFrame:
 
 def catalog_text(lines: DataFrame) -> DataFrame:
     """The catalog of each page as text, a line each: id, page, box, text."""
-    row = F.format_string("%s | p%d | [%s] | %s", "id", "page", F.array_join(F.transform(F.array("x1", "y1", "x2", "y2"), lambda v: F.round(v, 2).cast("string")), ", "), "text")
+    row = F.format_string("%s | p%d | [%s] | %s", "id", "page", F.concat_ws(", ", *[X.two_places(F.col(c)) for c in ("x1", "y1", "x2", "y2")]), "text")
     return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", row.alias("row")))), lambda s: s["row"]), "\n").alias("catalog"))
 
 

@@ -25,8 +25,16 @@ def bag_matches(candidate: DataFrame, reference: DataFrame, keys: list[str], val
     return both.groupBy(*keys).agg(F.sum(F.least("c", "r")).alias("matched"), F.sum("c").alias("candidate"), F.sum("r").alias("reference"))
 
 
+def _iou(a: tuple, b: tuple) -> float:
+    wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if wide <= 0 or high <= 0:
+        return 0.0
+    return wide * high / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - wide * high)
+
+
 def greedy_matches(candidate: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
-    """Pair the lines of one text on one page: each reference line in order takes the unused candidate of greatest overlap.
+    """Pair the lines of one text on one page: each candidate in order takes the unused reference line of greatest overlap,
+    the first of equals; a reference line is used once.
 
     Both: keys, text (normalised), line_no, box.  Gives keys, text, ref_no, cand_no, iou.  Lines of one text on one page are
     one small group.
@@ -35,27 +43,20 @@ def greedy_matches(candidate: DataFrame, reference: DataFrame, keys: list[str])
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reference.select(*group).schema.fields)
     box = ["x1", "y1", "x2", "y2"]
 
-    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
-        free, out = [r for r in rows if r[0] == 0], []
-        for r in (r for r in rows if r[0] == 1):
-            best, at = -1.0, -1
-            for i, c in enumerate(free):
-                wide, high = min(r[4], c[4]) - max(r[2], c[2]), min(r[5], c[5]) - max(r[3], c[3])
-                both = wide * high if wide > 0 and high > 0 else 0.0
-                iou = both / ((r[4] - r[2]) * (r[5] - r[3]) + (c[4] - c[2]) * (c[5] - c[3]) - both) if both else 0.0
-                if iou > best:
-                    best, at = iou, i
-            if at >= 0:
-                out.append((*key, r[1], free.pop(at)[1], best))
+    def pair(key: tuple, rows: list[tuple]) -> list[tuple]:
+        free = [r for r in rows if r[0] == 1]
+        out = []
+        for _, number, *own in (r for r in rows if r[0] == 0):
+            if not free:
+                break
+            overlaps = [_iou(own, r[2:]) for r in free]
+            best = max(overlaps)
+            out.append((*key, free.pop(overlaps.index(best))[1], number, best))
         return out
 
-    both = candidate.select(*group, F.lit(0).alias("side"), F.col("line_no").cast("int").alias("line_no"), *box).unionByName(reference.select(*group, F.lit(1).alias("side"), F.col("line_no").cast("int").alias("line_no"), *box))
-    return map_groups(both, group, ["side", "line_no"], one, f"{kinds}, ref_no int, cand_no int, iou double", ["side", "line_no", *box])
-
-
-def weighted_iou(pages: DataFrame, keys: list[str], matched: str = "matched", mean: str = "mean_iou") -> DataFrame:
-    """Mean overlap weighted by matches; null without any."""
-    return pages.groupBy(*keys).agg((F.sum(F.col(mean) * F.col(matched)) / F.nullif(F.sum(matched), F.lit(0))).alias("grounding_iou"))
+    side = lambda df, n: df.select(*group, F.lit(n).alias("side"), F.col("line_no").cast("int").alias("line_no"), *box)
+    both = side(candidate, 0).unionByName(side(reference, 1))
+    return map_groups(both, group, ["side", "line_no"], pair, f"{kinds}, ref_no int, cand_no int, iou double", ["side", "line_no", *box])
 
 
 def truth_pages(truth: DataFrame) -> DataFrame:
@@ -78,52 +79,92 @@ def missing_pages(selected: DataFrame, present: DataFrame) -> DataFrame:
     return selected.join(present, ["document", "page"], "left_anti")
 
 
-def evaluate_pages(candidate: DataFrame, reference: DataFrame, compose: bool = True) -> DataFrame:
-    """A row for each reference page: status (failed if the candidate lacks it), character errors, and counts for headings,
-    table shapes, table cells and lines.  Both: document, page, markdown."""
+def grounding_pages(candidate: DataFrame, reference: DataFrame, sizes: DataFrame, compose: bool = True) -> DataFrame:
+    """Line text and grounding of each page: document, page, lines (matched, candidate, reference) and grounding (matched,
+    mean_iou).
 
-    def sides(df: DataFrame, name: str) -> DataFrame:
+    candidate: document, page, line_no, text and box of the line catalog, in points; sizes: document, page, width, height of
+    the pages in points; reference: as ``truth_lines`` gives it, boxes as shares of the page.  Texts are compared composed,
+    with white space collapsed.  Pages without a size are not grounded.
+    """
+    keys = ["document", "page"]
+    plain = lambda df: df.withColumn("text", X.normalize_inline(F.col("text"), compose)).where("text <> ''")
+    own = plain(candidate)
+    truth = plain(reference.withColumnsRenamed({"xmin": "x1", "ymin": "y1", "xmax": "x2", "ymax": "y2"}))
+    bags = bag_matches(own, truth, keys, "text").select(*keys, F.struct("matched", "candidate", "reference").alias("lines"))
+    scaled = own.join(sizes.select(*keys, F.col("width").alias("_w"), F.col("height").alias("_h")).where("_w > 0 AND _h > 0"), keys)
+    scaled = scaled.withColumns({c: F.col(c) / F.col("_w" if c[0] == "x" else "_h") for c in ("x1", "y1", "x2", "y2")})
+    pairs = greedy_matches(scaled, truth, keys).groupBy(*keys).agg(F.struct(F.count(F.lit(1)).alias("matched"), F.avg("iou").alias("mean_iou")).alias("grounding"))
+    return bags.join(pairs, keys, "left")
+
+
+def evaluate_pages(candidate: DataFrame, reference: DataFrame, compose: bool = True, grounded: DataFrame | None = None) -> DataFrame:
+    """A row for each reference page: status (failed if the candidate lacks it), raw and normalised character errors, and
+    counts for headings, table shapes, table cells and lines, and the grounding.
+
+    Both: document, page, markdown; reference also seq, the place of the page in the structure (by default its number).
+    ``grounded`` comes from ``grounding_pages``; without it lines are those of the Markdown, and there is no grounding.
+    """
+    if "seq" not in reference.columns:
+        reference = reference.withColumn("seq", F.col("page"))
+
+    def sides(df: DataFrame, name: str, *more: str) -> DataFrame:
         md = X.normalize_markdown(F.col("markdown"), compose)
-        out = df.select("document", "page", md.alias(f"{name}_md"))
-        return out.withColumn(f"{name}_tables", X.tables(f"{name}_md")).withColumn(f"{name}_heads", X.headings(F.col(f"{name}_md"))).withColumn(f"{name}_lines", F.filter(F.transform(F.split(f"{name}_md", "\n"), lambda x: X.collapse(x)), lambda x: x != ""))
+        out = df.select("document", "page", *more, F.col("markdown").alias(f"{name}_raw"), md.alias(f"{name}_md"))
+        return out.withColumn(f"{name}_tables", X.tables(f"{name}_raw")).withColumn(f"{name}_heads", X.headings(F.col(f"{name}_raw"))).withColumn(f"{name}_lines", F.filter(F.transform(F.split(f"{name}_md", "\n"), lambda x: X.collapse(x)), lambda x: x != ""))
 
-    both = sides(reference, "ref").join(sides(candidate, "cand"), ["document", "page"], "left")
+    both = sides(reference, "ref", "seq").join(sides(candidate, "cand"), ["document", "page"], "left")
     ok = F.col("cand_md").isNotNull()
 
     def bag(c: Column, r: Column) -> Column:
-        """Matches of two arrays as bags, within the row."""
-        each = F.array_distinct(r)
-        times = lambda a, v: F.size(F.filter(a, lambda x: x.eqNullSafe(v)))
-        matched = F.aggregate(each, F.lit(0), lambda s, v: s + F.least(times(c, v), times(r, v)))
-        return F.when(ok, F.struct(matched.alias("matched"), F.size(c).alias("candidate"), F.size(r).alias("reference")))
+        """Matches of two arrays as bags, within the row: values that both hold, numbered among their likes."""
+        each = lambda a: F.transform(F.array_sort(a), lambda x, i: F.struct(x.alias("v"), (i - F.array_position(F.array_sort(a), x)).alias("n")))
+        return F.when(ok, F.struct(F.size(F.array_intersect(each(c), each(r))).alias("matched"), F.size(c).alias("candidate"), F.size(r).alias("reference")))
 
     shapes = lambda t: F.transform(t, lambda x: F.to_json(X.table_shape(x)))
+    if grounded is None:
+        both = both.withColumn("lines", bag(F.col("cand_lines"), F.col("ref_lines"))).withColumn("grounding", F.lit(None).cast("struct<matched:bigint,mean_iou:double>"))
+    else:
+        none = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("matched", "candidate", "reference")])
+        both = both.join(grounded, ["document", "page"], "left").withColumn("lines", F.when(ok, F.coalesce("lines", none))).withColumn("grounding", F.when(ok, F.col("grounding")))
     return both.select(
         "document",
         "page",
+        "seq",
         F.when(ok, "ok").otherwise("failed").alias("status"),
-        F.col("ref_md"),
-        F.col("cand_md"),
+        F.col("ref_raw"),
+        F.col("cand_raw"),
+        F.when(ok, X.cer(F.col("cand_raw"), F.col("ref_raw"))).alias("raw_cer"),
         F.when(ok, X.cer(F.col("cand_md"), F.col("ref_md"))).alias("cer"),
         bag(F.transform("cand_heads", lambda h: F.to_json(h)), F.transform("ref_heads", lambda h: F.to_json(h))).alias("headings"),
         bag(shapes(F.col("cand_tables")), shapes(F.col("ref_tables"))).alias("shapes"),
         bag(X.table_cells(F.col("cand_tables")), X.table_cells(F.col("ref_tables"))).alias("cells"),
-        bag(F.col("cand_lines"), F.col("ref_lines")).alias("lines"),
+        "lines",
+        "grounding",
     )
 
 
-def evaluate_documents(pages: DataFrame) -> DataFrame:
-    """A row for each document: success rate, character errors of the joined pages, and micro-averaged scores."""
-    micro = lambda c: precision_recall(F.coalesce(F.sum(f"{c}.matched"), F.lit(0)), F.coalesce(F.sum(f"{c}.candidate"), F.lit(0)), F.coalesce(F.sum(f"{c}.reference"), F.lit(0))).alias(f"{c}_score")
-    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("page", F.col(c).alias("md"))))), lambda s: s["md"]), "\n\n")
+def evaluate_documents(pages: DataFrame, compose: bool = True) -> DataFrame:
+    """A row for each document: success rate, raw and normalised character errors of the joined pages, micro-averaged scores
+    of the pages that are there, and the mean overlap of grounded lines.
+
+    Reference pages are joined in the order of the structure, candidate pages by their numbers.
+    """
+    ok = F.col("status") == "ok"
+    total = lambda c, part: F.coalesce(F.sum(F.when(ok, F.col(f"{c}.{part}"))), F.lit(0))
+    micro = lambda c: precision_recall(*[total(c, part) for part in ("matched", "candidate", "reference")]).alias(f"{c}_score")
+    joined = lambda c, by: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(by).alias("at"), F.col(c).alias("md"))))), lambda s: s["md"]), "\n\n")
+    matched = F.sum(F.when(F.col("grounding.mean_iou").isNotNull(), F.col("grounding.matched")))
     out = pages.groupBy("document").agg(
         F.count(F.lit(1)).alias("pages"),
-        (F.count_if(F.col("status") == "ok") / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("success_rate"),
-        joined("ref_md").alias("ref"),
-        joined("cand_md").alias("cand"),
+        (F.count_if(ok) / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("success_rate"),
+        joined("ref_raw", "seq").alias("ref"),
+        joined("cand_raw", "page").alias("cand"),
         *[micro(c) for c in ("headings", "shapes", "cells", "lines")],
+        (F.sum(F.col("grounding.mean_iou") * F.col("grounding.matched")) / F.nullif(matched, F.lit(0))).alias("grounding_iou"),
     )
-    return out.withColumn("cer", X.cer(F.col("cand"), F.col("ref"))).drop("ref", "cand")
+    plain = lambda c: X.normalize_markdown(F.col(c), compose)
+    return out.withColumn("raw_cer", X.cer(F.col("cand"), F.col("ref"))).withColumn("cer", X.cer(plain("cand"), plain("ref"))).drop("ref", "cand")
 
 
 def policy_report(results: DataFrame, metrics: list[str]) -> DataFrame:

@@ -19,6 +19,8 @@ from .providers import Provider, call_provider
 
 STAGES, POLICIES, BODY_BYTES = ["base", "repair", "final"], ["legacy", "accuracy"], 30 * 1024 * 1024
 PADDING = 0.02
+#: Means in the report of an evaluation.
+METRICS = ["cer", "table_f1", "line_f1"]
 _BOX = ["x1", "y1", "x2", "y2"]
 _LINE = "struct<text:string,bbox:array<double>,confidence:double,polygon:array<array<double>>,source_kind:string>"
 RESPONSE = f"width double, height double, lines array<{_LINE}>, hard_regions array<struct<bbox:array<double>,reason:string>>"
@@ -51,7 +53,9 @@ def _opened(answers: DataFrame, keys: list[str]) -> DataFrame:
 def _exploded(read: DataFrame, keys: list[str]) -> DataFrame:
     each = read.select(*keys, F.col("width").alias("shot_w"), F.col("height").alias("shot_h"), F.posexplode("lines").alias("line_no", "l"))
     out = each.select(*keys, "shot_w", "shot_h", "line_no", "l.text", *[F.col("l.bbox")[i].alias(c) for i, c in enumerate(_BOX)], "l.confidence", "l.polygon", "l.source_kind")
-    return regions.bounded_lines(out)
+    # Numbered once lines without text or area are gone, so that reads align.
+    order = Window.partitionBy(*keys).orderBy("line_no")
+    return regions.bounded_lines(out).withColumn("line_no", F.row_number().over(order) - 1)
 
 
 def read_pages(shots: DataFrame, provider: Provider) -> tuple[DataFrame, DataFrame]:
@@ -86,10 +90,10 @@ def read_regions(kept: DataFrame, provider: Provider, policy: str) -> tuple[Data
     answers = ask(crop, [1, 2] if policy == "accuracy" else [1])
     lines = _exploded(answers, ["key", "read_no"])
     if policy == "accuracy":
-        agreed = consensus.resolve_reads(lines, "key").where("accepted").select("key")
+        agreed = consensus.resolve_reads(lines, "key", made=answers).where("accepted").select("key")
         third = ask(crop.join(agreed, "key", "left_anti"), [3])
         answers, lines = answers.unionByName(third), lines.unionByName(_exploded(third, ["key", "read_no"]))
-        verdict = consensus.resolve_reads(lines, "key").select("key", "status", "accepted", "calls", F.transform("lines", lambda x: x["line_no"]).alias("numbers"))
+        verdict = consensus.resolve_reads(lines, "key", made=answers).select("key", "status", "accepted", "calls", F.transform("lines", lambda x: x["line_no"]).alias("numbers"))
         norm = lines.withColumn("norm", X.normalize_inline(F.col("text")))
         votes = norm.groupBy("key", "line_no", "norm").agg(F.count(F.lit(1)).alias("votes"), F.min("read_no").alias("first"))
         best = votes.withColumn("nth", F.row_number().over(Window.partitionBy("key", "line_no").orderBy(F.desc("votes"), "first"))).where("nth = 1").select("key", "line_no", F.col("first").alias("read_no"))
@@ -153,13 +157,25 @@ def process_documents(sources: DataFrame, pages: DataFrame, parsed: dict[str, Da
     return L.envelope(docs.withColumn("evidence", F.get_json_object("data", "$.evidence")).withColumn("data", F.get_json_object("data", "$.data")))
 
 
-def run_evaluation(truth: DataFrame, parsed_by_policy: dict[str, DataFrame], names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(results by policy and document, report by policy): candidate pages (document, page, markdown) of each policy against
-    the ground truth's pages."""
-    reference = metrics.truth_pages(truth).select("document", "page", "markdown")
+def run_evaluation(truth: DataFrame, parsed_by_policy: dict[str, dict[str, DataFrame]], names: list[str] = METRICS) -> tuple[DataFrame, DataFrame]:
+    """(results by policy and document, report by policy) of parsed documents against the ground truth.
+
+    truth: document, markdown, structure and (for lines and grounding) children, as ``truth_pages`` and ``truth_lines`` take
+    them.  Parsed, by policy: ``pages`` (document, page, markdown and, for grounding, width and height in points); optionally
+    ``lines`` (the catalog: document, page, line_no, text, box) and what ``parse_documents`` gives as ``repairs`` and ``issues``
+    with doc_id.  A document of which a page is missing counts as failed.
+    """
+    reference = metrics.truth_pages(truth)
     out = None
-    for policy, candidate in parsed_by_policy.items():
-        scored = metrics.evaluate_documents(metrics.evaluate_pages(candidate, reference))
-        flat = scored.select(F.lit(policy).alias("policy"), "document", F.when(F.col("success_rate") == 1, "complete").otherwise("failed").alias("status"), F.col("cer.score").alias("text_score"), F.col("cells_score.f1").alias("table_f1"), F.col("lines_score.f1").alias("line_f1"), F.lit(0).alias("repairs"), F.lit(0).alias("repair_disagreements"))
+    for policy, parsed in parsed_by_policy.items():
+        grounded = metrics.grounding_pages(parsed["lines"], metrics.truth_lines(truth), parsed["pages"]) if "lines" in parsed and "children" in truth.columns else None
+        scored = metrics.evaluate_documents(metrics.evaluate_pages(parsed["pages"], reference, grounded=grounded))
+        for name, rows in (("repairs", parsed.get("repairs")), ("repair_disagreements", parsed["issues"].where("code = 'repair_disagreement'") if "issues" in parsed else None)):
+            if rows is None:
+                scored = scored.withColumn(name, F.lit(0).cast("long"))
+            else:
+                scored = scored.join(rows.groupBy(F.col("doc_id").alias("document")).agg(F.count(F.lit(1)).alias(name)), "document", "left").na.fill(0, [name])
+        status = F.when(F.col("success_rate") == 1, "complete").otherwise("failed")
+        flat = scored.select(F.lit(policy).alias("policy"), "document", status.alias("status"), F.col("raw_cer.rate").alias("raw_cer"), F.col("cer.rate").alias("cer"), F.col("cells_score.f1").alias("table_f1"), F.col("lines_score.f1").alias("line_f1"), "grounding_iou", "repairs", "repair_disagreements")
         out = flat if out is None else out.unionByName(flat)
     return out, metrics.policy_report(out, names)

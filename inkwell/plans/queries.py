@@ -74,7 +74,7 @@ def doc_status(spark, sf_dir):
 @query(f"""WITH {LINES_SQL} SELECT doc_id || '/' || page AS region_id, CASE WHEN bool_or((doc_id + pos) % 211 = 0) THEN 'disagreement' ELSE 'consensus' END AS status,
 CAST(2 AS INTEGER) AS calls, CASE WHEN NOT bool_or((doc_id + pos) % 211 = 0) THEN count(*) ELSE 0 END AS agreed_lines FROM lines GROUP BY doc_id, page""")
 def consensus_two(spark, sf_dir):
-    found = consensus.resolve_reads(_wide(reads(spark, sf_dir)), compose=False)
+    found = consensus.resolve_reads(_wide(reads(spark, sf_dir)))
     return found.select("region_id", "status", "calls", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("agreed_lines"))
 
 
@@ -87,10 +87,21 @@ def _wide(df: DataFrame) -> DataFrame:
 SELECT doc_id || '/' || page AS region_id, CASE WHEN bool_or(lost) THEN 'disagreement' ELSE 'majority' END AS status, CAST(3 AS INTEGER) AS calls,
 CASE WHEN bool_or(lost) THEN NULL ELSE string_agg(text, chr(10) ORDER BY idx) END AS text FROM v GROUP BY doc_id, page""")
 def consensus_majority(spark, sf_dir):
-    found = consensus.resolve_reads(_wide(reads(spark, sf_dir, third=True)), compose=False)
+    found = consensus.resolve_reads(_wide(reads(spark, sf_dir, third=True)))
     return found.select("region_id", "status", "calls", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"))
 
 
+@query(f"""WITH {LINES_SQL}, r AS (SELECT doc_id || '/' || page AS region_id, doc_id, page, bool_or((doc_id + pos) % 211 = 0) AS torn FROM lines GROUP BY doc_id, page)
+SELECT region_id, CASE WHEN torn OR (doc_id + page) % 5 < 2 THEN 'disagreement' ELSE 'consensus' END AS status, CAST(2 AS INTEGER) AS calls FROM r""")
+def consensus_empty_reads(spark, sf_dir):
+    """Two reads of each page; of some pages the first, of others the second, found nothing."""
+    two = _wide(reads(spark, sf_dir))
+    made = two.select("region_id", "read_no").distinct()
+    place = (F.split_part("region_id", F.lit("/"), F.lit(1)).cast("long") + F.split_part("region_id", F.lit("/"), F.lit(2)).cast("long")) % 5
+    found = consensus.resolve_reads(two.where(place != F.col("read_no") - 1), made=made)
+    return found.select("region_id", "status", "calls")
+
+
 @query(f"""WITH {LINES_SQL}, r AS (SELECT doc_id, CAST(1 + (page - 1) // 4 AS INTEGER) AS page, pos, x1, y1 + CAST((page - 1) % 4 AS DOUBLE) * 100 AS y1 FROM lines WHERE confidence < 0.9::DOUBLE),
 a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y1, x1) AS page_rank FROM r),
 b AS (SELECT *, CASE WHEN page_rank <= 8 THEN row_number() OVER (PARTITION BY doc_id, page_rank <= 8 ORDER BY page, y1, x1) END AS doc_rank FROM a)
@@ -136,12 +147,17 @@ def iou_top_match(spark, sf_dir):
     return metrics.top_overlap(own, moved, ["doc_id", "page"]).select("doc_id", "page", "line_no", "other_no", "overlap")
 
 
-@query(f"""WITH {LINES_SQL}, seen AS (SELECT doc_id, page, text, min(idx) AS n FROM lines WHERE (doc_id + pos) % 3 <> 0 AND text <> '' GROUP BY doc_id, page, text)
-SELECT l.doc_id, l.id, CASE WHEN s.n IS NULL THEN 'native' WHEN l.doc_id % 4 = 0 THEN 'repair_400' ELSE 'ocr_300' END AS source
-FROM lines l LEFT JOIN seen s ON l.doc_id = s.doc_id AND l.page = s.page AND l.text = s.text
-WHERE l.text <> '' AND (l.doc_id, l.page, l.text) IN (SELECT doc_id, page, text FROM lines GROUP BY doc_id, page, text HAVING count(*) = 1)""")
+#: The overlap of boxes a and b, as both lines and their boxes are named in the SQL of a query.
+IOU_SQL = """CASE WHEN least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1) THEN
+(least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))
+/ ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) ELSE 0 END"""
+
+
+@query(f"""WITH {LINES_SQL}, whole AS (SELECT * FROM lines WHERE text <> ''), ocr AS (SELECT * FROM whole WHERE (doc_id + pos) % 3 <> 0),
+o AS (SELECT a.doc_id, a.id, coalesce(max({IOU_SQL}), -1) AS overlap FROM whole a LEFT JOIN ocr b ON a.doc_id = b.doc_id AND a.page = b.page AND trim(a.text) = trim(b.text) GROUP BY 1, 2)
+SELECT doc_id, id, CASE WHEN overlap < 0.35 THEN 'native' WHEN doc_id % 4 = 0 THEN 'repair_400' ELSE 'ocr_300' END AS source FROM o""")
 def catalog_provenance(spark, sf_dir):
-    """All lines with text; the SQL beside it still leaves out texts that repeat on their page."""
+    """All lines with text, those that repeat on their page too."""
     whole = lines(spark, sf_dir).where("text <> ''")
     items = whole.select("doc_id", "page", "idx", "text", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), "id")
     ocr = whole.where("(doc_id + pos) % 3 <> 0").select("doc_id", "page", F.col("idx").alias("line_no"), "text", "x1", "y1", "x2", "y2", "confidence", (F.col("doc_id") % 4 == 0).alias("repaired"))
@@ -151,11 +167,9 @@ def catalog_provenance(spark, sf_dir):
     return L.line_catalog(items, ocr).join(ids, ["doc_id", "id"]).select("doc_id", F.col("line").alias("id"), "source")
 
 
-@query("""WITH a AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents WHERE length(text) = strlen(text))
-SELECT x.doc_id, CAST(levenshtein(x.t, y.t) AS INTEGER) AS edits, levenshtein(x.t, y.t) / CAST(greatest(1, length(y.t)) AS DOUBLE) AS rate,
-greatest(0, 1 - levenshtein(x.t, y.t) / CAST(greatest(1, length(y.t)) AS DOUBLE)) AS score FROM a x JOIN a y ON y.doc_id = x.doc_id + 1""")
+@query()
 def cer_pairs(spark, sf_dir):
-    """Whole texts of all documents, by code points; the SQL beside it still takes ASCII texts' first 200 characters."""
+    """Rows only: DuckDB's distance counts bytes, and takes too long on whole texts."""
     a = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
     return a.join(b, "doc_id").select("doc_id", X.cer(F.col("t"), F.col("u")).alias("c")).select("doc_id", "c.edits", "c.rate", "c.score")
@@ -196,9 +210,16 @@ def html_table_cells(spark, sf_dir):
     return _cells(md.select("r_name", X.tables("md").alias("t")))
 
 
-@query()
+#: Pages as visible text: unseen parts out, a line break after each block, bullets, tags out, the entities of these pages.
+VISIBLE_SQL = """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b.*?</script\\s*>', '', 'gis'), '<style\\b.*?</style\\s*>', '', 'gis'), '<head\\b.*?</head\\s*>', '', 'gis'), '<!--.*?-->', '', 'gs'), '<![^>]*>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<li(\\s[^<>]*)?>', '• ', 'gi'), '<br(\\s[^<>]*)?/?>', chr(10), 'gi'), '</(td|th)\\s*>', chr(9), 'gi'), '</(tr|blockquote|div|h[1-6]|li|ol|p|pre|table|ul)\\s*>', chr(10), 'gi') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(t, '</?[A-Za-z][^<>]*>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&copy;', '©'), '&amp;', '&') AS t FROM c)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g') AS text FROM d"""
+
+
+@query(VISIBLE_SQL)
 def html_visible_text(spark, sf_dir):
-    """Rows only: a state machine over HTML events."""
     return table(spark, sf_dir, "pages").select("page_id", X.visible_text("html").alias("text"))
 
 
@@ -247,12 +268,18 @@ def policy_delta(spark, sf_dir):
     return metrics.policy_delta(metrics.policy_report(_runs(spark, sf_dir), ["size"]), ["size"])
 
 
-@query(f"""WITH {LINES_SQL}, once AS (SELECT doc_id, page, text, min(idx) AS idx FROM lines WHERE text <> '' GROUP BY 1, 2, 3 HAVING count(*) = 1)
-SELECT doc_id, page, text, idx AS ref_no, idx AS cand_no FROM once""")
+@query(f"""WITH RECURSIVE {LINES_SQL}, own AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, text ORDER BY idx) AS n FROM lines WHERE text <> ''),
+moved AS (SELECT doc_id, page, text, idx, n, x1, y1 + 12 AS y1, x2, y2 + 12 AS y2 FROM own),
+o AS (SELECT a.doc_id, a.page, a.text, a.n, a.idx AS cand_no, list({{'ref': b.idx, 'iou': {IOU_SQL}}} ORDER BY {IOU_SQL} DESC, b.idx) AS choice
+FROM own a JOIN moved b ON a.doc_id = b.doc_id AND a.page = b.page AND a.text = b.text GROUP BY ALL),
+f AS (SELECT doc_id, page, text, n, cand_no, choice[1] AS pick, [choice[1].ref] AS used FROM o WHERE n = 1
+UNION ALL SELECT o.doc_id, o.page, o.text, o.n, o.cand_no, list_filter(o.choice, lambda c: NOT list_contains(f.used, c.ref))[1], list_append(f.used, list_filter(o.choice, lambda c: NOT list_contains(f.used, c.ref))[1].ref)
+FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.text = f.text AND o.n = f.n + 1)
+SELECT doc_id, page, text, pick.ref AS ref_no, cand_no, CAST(pick.iou AS DOUBLE) AS iou FROM f""")
 def greedy_grounding(spark, sf_dir):
-    """All lines with text; the SQL beside it still leaves out texts that repeat on their page."""
+    """Lines against the same lines one place down, so that repeated lines compete."""
     own = lines(spark, sf_dir).where("text <> ''").select("doc_id", "page", "text", F.col("idx").alias("line_no"), "x1", "y1", "x2", "y2")
-    return metrics.greedy_matches(own, own.withColumn("y1", F.col("y1") + 2), ["doc_id", "page"]).drop("iou")
+    return metrics.greedy_matches(own, own.withColumns({"y1": F.col("y1") + 12, "y2": F.col("y2") + 12}), ["doc_id", "page"])
 
 
 @query(f"WITH {LINES_SQL} SELECT text, idx FROM lines WHERE doc_id % 2 = 0 INTERSECT ALL SELECT text, idx FROM lines WHERE doc_id % 2 = 1")
@@ -261,11 +288,14 @@ def bag_intersect(spark, sf_dir):
     return own.where("doc_id % 2 = 0").select("text", "idx").intersectAll(own.where("doc_id % 2 = 1").select("text", "idx"))
 
 
-EVIDENCE = f"""WITH {LINES_SQL}, e AS (SELECT doc_id, CAST(idx - 1 AS INTEGER) AS ev_no, id, text, CASE WHEN doc_id % 5 = 0 THEN 'zzz' ELSE upper(substr(text, 3, 20)) END AS quote, doc_id % 7 <> 0 AS known_ids FROM lines WHERE page = 1 AND length(text) = strlen(text) AND length(text) > 30)"""
+#: NFC and case folding of the texts at hand: beside lower case, only the sharp s folds to something else.
+FOLD_SQL = "lower(replace(nfc_normalize(trim(regexp_replace({}, '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+', ' ', 'g'))), 'ß', 'ss'))"
+EVIDENCE = f"""WITH {LINES_SQL}, e AS (SELECT doc_id, '/data/' || (pos + 1) AS path, text, CASE WHEN doc_id % 5 = 0 THEN 'zzz' ELSE upper(replace(substr(text, 3, 20), 'ß', 'SS')) END AS quote, doc_id % 7 <> 0 AS known_ids FROM lines),
+g AS (SELECT doc_id, path, known_ids, known_ids AND {FOLD_SQL.format("quote")} <> '' AND contains({FOLD_SQL.format("text")}, {FOLD_SQL.format("quote")}) AS trusted FROM e)"""
 
 
 def _extractions(spark, sf_dir):
-    """Evidence for every line of every page; the SQL beside it still takes long ASCII lines of first pages."""
+    """Evidence for every line of every page."""
     own = lines(spark, sf_dir)
     quote = F.when(F.col("doc_id") % 5 == 0, "zzz").otherwise(F.upper(F.substring("text", 3, 20)))
     cited = F.when(F.col("doc_id") % 7 != 0, F.col("id")).otherwise("p9-l9999")
@@ -274,13 +304,13 @@ def _extractions(spark, sf_dir):
     return read, own.select("doc_id", "id", "text")
 
 
-@query(EVIDENCE + " SELECT doc_id, '/data/' || (ev_no + 1) AS path, known_ids, coalesce(known_ids AND regexp_replace(quote, '\\s+', ' ', 'g') <> '' AND contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(quote, '\\s+', ' ', 'g')))), false) AS trusted FROM e")
+@query(EVIDENCE + " SELECT doc_id, path, known_ids, trusted FROM g")
 def evidence_grounding(spark, sf_dir):
     read, own = _extractions(spark, sf_dir)
     return evidence.check_evidence(read, own).select("doc_id", "path", "known_ids", "trusted")
 
 
-@query(EVIDENCE + " SELECT doc_id, '/data/' || (ev_no + 1) AS path FROM e WHERE NOT (known_ids AND trim(quote) <> '' AND contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(quote, '\\s+', ' ', 'g')))))")
+@query(EVIDENCE + " SELECT doc_id, path FROM g WHERE NOT trusted")
 def uncovered_leaves(spark, sf_dir):
     read, own = _extractions(spark, sf_dir)
     return evidence.uncovered_leaves(read, evidence.check_evidence(read, own), generic=False)
@@ -346,12 +376,13 @@ def merge_levels(spark, sf_dir):
     return chunking.merge_levels(lines(spark, sf_dir).groupBy("doc_id").agg(F.max("page").alias("n")))
 
 
-@query("""WITH src AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text FROM documents),
-s AS (SELECT DISTINCT doc_id, source, text FROM src WHERE length(text) = strlen(text) AND length(text) >= 8 AND trim(text) = text AND NOT regexp_matches(text, '[0-9]') AND NOT contains(text, '  ') AND NOT regexp_matches(text, '[\\x00-\\x1f]')),
-c AS (SELECT text, count(DISTINCT doc_id) - 1 AS peers FROM s GROUP BY text)
-SELECT doc_id, text AS signature, peers FROM s JOIN c USING (text) WHERE peers >= 2""")
+@query("""WITH src AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents),
+n AS (SELECT DISTINCT doc_id, nfc_normalize(trim(regexp_replace(text, '[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]+', ' ', 'g'))) AS signature FROM src),
+s AS (SELECT * FROM n WHERE length(signature) >= 8 AND NOT regexp_matches(signature, '[\\p{Nd}\\p{No}☐☑☒□■✓✗✔✘]')),
+c AS (SELECT signature, count(*) - 1 AS peers FROM s GROUP BY signature)
+SELECT doc_id, signature, peers FROM s JOIN c USING (signature) WHERE peers >= 2""")
 def peer_blocks(spark, sf_dir):
-    """Every line, normalised as blocks are; the SQL beside it still takes ASCII lines that are normal as they stand."""
+    """Every line, normalised as blocks are."""
     each = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
     plain = each.select("doc_id", X.normalize_inline(F.col("text")).alias("signature")).distinct()
     signed = plain.where(peers.is_safe_signature(F.col("signature"))).select(F.lit("corpus").alias("doc_id"), F.lit("line").alias("kind"), F.col("doc_id").alias("page"), "signature")
@@ -437,9 +468,9 @@ def annotation_boxes(spark, sf_dir):
     return sinks.annotations(own, pages).select("doc_id", "id", "colour", F.col("frame.x1").alias("left_edge"), "width")
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, page, count(*) AS n FROM lines WHERE page <= 3 AND doc_id % 2 = 0 GROUP BY 1, 2")
+@query(f"WITH {LINES_SQL} SELECT doc_id, page, count(*) AS n FROM lines WHERE page <= 3 GROUP BY 1, 2")
 def selected_pages(spark, sf_dir):
-    """The first three pages of every document; the SQL beside it still takes even documents."""
+    """The first three pages of every document."""
     own = lines(spark, sf_dir).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
     total = own.groupBy("doc_id").agg(F.max("page").alias("m"))
     wanted = total.select("doc_id", F.sequence(F.lit(1), F.least(F.lit(3), "m")).cast("array<bigint>").alias("selected"))
@@ -456,8 +487,7 @@ def page_evaluation(spark, sf_dir):
     return metrics.evaluate_documents(pages).select("document", "pages", "success_rate", "cer", "lines_score")
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, page, x1 * 2 AS x1, y1 * 2 AS y1 FROM lines WHERE idx = 1")
+@query(f"WITH {LINES_SQL} SELECT doc_id, page, x1 * 2 AS x1, y1 * 2 AS y1 FROM lines")
 def point_to_pixel(spark, sf_dir):
-    """Every line; the SQL beside it still takes the first of each page."""
     moved = G.rescale(G.box("x1", "y1", "x2", "y2"), F.lit(612.0), F.lit(792.0), F.lit(1224.0), F.lit(1584.0))
     return lines(spark, sf_dir).select("doc_id", "page", moved["x1"].alias("x1"), moved["y1"].alias("y1"))

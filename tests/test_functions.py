@@ -36,6 +36,28 @@ def test_tables():
     assert X.parse_tables(text) == [[["x & y"]], [["A", "B"], ["1", "2"]]]
 
 
+def test_tables_keep_empty_parts_and_compose_entities():
+    html = "<TABLE><tr></tr><tr><td>e&#769;  x</td><th>b</tr></table><table></table><td>stray</td>"
+    assert X.parse_tables(html) == [[[], ["é x"]], []]
+    nested = "<table><tr><td>outer<table><tr><td>inner</td></tr></table></td></tr></table>"
+    assert X.parse_tables(nested) == [[["inner"]]]
+    pipes = "|a|b|\n|--|---|\n| c | d\n:---|:---:\n e\u0301 | f |\n   \n|x|\n|---|\n|g|h|\n|---|---|"
+    assert X.parse_tables(pipes) == [[["c", "d"], ["é", "f"]], [["g", "h"]]]
+    again = "|a|b|\n|---|---|\n|c|d|\n|---|---|\n|e|f|"
+    assert X.parse_tables(again) == [[["a", "b"], ["c", "d"], ["---", "---"], ["e", "f"]]]
+
+
+def test_visible_text():
+    md = "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n\n- x\n- y\n\n```\nfew    blanks\n```\n<script>alert(\"x\")</script>"
+    assert X.visible(X.markdown_html(md)) == 'a\tb\n1\t2\n3\t4\n\n• x\n\n• y\n\nfew    blanks\n\n<script>alert("x")</script>'
+    assert X.visible("<head><title>t</title></head><script>var a='<p>'</script><!-- c --><p>a &amp; b<br>c</p>") == "a & b\nc"
+
+
+def test_two_places(spark):
+    got = values(spark, [(2.675, 0.125), (72.0, 1e-3)], "a double, b double", X.two_places(F.col("a")), X.two_places(F.col("b")))
+    assert [tuple(r) for r in got] == [("2.67", "0.12"), ("72.0", "0.0")]
+
+
 def test_clipboard(spark):
     md = "# Title\n\n**Bold** and <b>raw</b> [link](http://x)\n\n- one\n- two\n\n| A | B |\n|---|---|\n| 1 | 2 |\n\n```\ncode\n```"
     (got,) = values(spark, [(md,)], "m string", X.clipboard("m"))[0]

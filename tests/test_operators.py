@@ -68,6 +68,15 @@ def test_consensus(spark):
     assert consensus.needs_third_read(reads(spark, ["a"], ["b"])).count() == 1
 
 
+def test_consensus_counts_reads_without_lines(spark):
+    """A read that found nothing was made all the same, so it disagrees with one that found lines."""
+    made = lambda n: spark.createDataFrame([("r", i) for i in range(1, n + 1)], "region_id string, read_no int")
+    for texts in (["a"], [], ["a"]), ([], ["a"], ["a"]), (["a"], []), ([], []):
+        got = consensus.resolve_reads(reads(spark, *texts), made=made(len(texts))).first()
+        assert (got.status, got.accepted, got.calls, got.lines) == ("disagreement", False, len(texts), None)
+    assert consensus.resolve_reads(reads(spark, ["a"], ["a"]), made=made(2)).first().status == "consensus"
+
+
 def test_catalog(spark):
     items = spark.createDataFrame([("d", 1, i, t, 0.0, 10.0 * i, 50.0, 8.0) for i, t in enumerate([" A ", "B", "C"])], "doc_id string, page int, idx int, text string, x double, y double, width double, height double")
     ocr = spark.createDataFrame([("d", 1, 1, "A", 0.0, 0.0, 50.0, 8.0, 0.9, False), ("d", 1, 2, "B", 0.0, 10.0, 50.0, 18.0, 0.8, True), ("d", 1, 3, "C", 500.0, 500.0, 550.0, 508.0, 0.7, False)], f"doc_id string, page int, line_no int, text string, {BOX}, confidence double, repaired boolean")
@@ -94,6 +103,13 @@ def test_schema_rules():
     assert evidence.schema_problems(good) == [] and evidence.schema_problems(evidence.generic_schema()) == []
     for bad in ([], {"type": "array"}, {**good, "required": []}, {**good, "additionalProperties": True}, {**good, "properties": {"a": {"$ref": "#"}}}, {**good, "properties": []}):
         assert evidence.schema_problems(bad)
+    more = [{"not": {"$ref": "#"}}, {"type": "nonsense"}, {"type": []}, {"items": 3}, {"minLength": -1}, {"anyOf": []}, {"enum": 1}, {"patternProperties": []}, {"additionalProperties": {"type": "object"}}, {"$defs": {"x": {"type": ["object", "null"]}}}]
+    for part in more:
+        assert evidence.schema_problems({**good, "properties": {**good["properties"], "z": part}, "required": [*good["required"], "z"]}), part
+    deep = {"type": "string"}
+    for _ in range(200):
+        deep = {"anyOf": [deep]}
+    assert evidence.schema_problems({**good, "properties": {**good["properties"], "z": deep}, "required": [*good["required"], "z"]}) == []
 
 
 SCHEMA = {"type": "object", "additionalProperties": False, "required": ["a"], "properties": {"a": {"type": ["string", "null"]}}}
@@ -148,9 +164,11 @@ def test_metrics(spark):
     truth = spark.createDataFrame([("d", 1, "# H\nabc"), ("d", 2, "| A | B |\n|---|---|\n| 1 | 2 |")], md)
     pages = metrics.evaluate_pages(truth.where("page = 1"), truth)
     got = {r.page: r for r in pages.collect()}
-    assert got[2].status == "failed" and got[1].cer.edits == 0 and got[1].headings.matched == 1
+    assert got[2].status == "failed" and got[1].cer.edits == got[1].raw_cer.edits == 0 and got[1].headings.matched == 1
     doc = metrics.evaluate_documents(pages).first()
-    assert doc.success_rate == 0.5 and doc.cells_score.f1 == 1.0 and doc.cer.edits > 0
+    assert doc.success_rate == 0.5 and doc.cells_score.f1 == 1.0 and doc.cer.edits > 0 and doc.lines_score.f1 == 1.0
+    twice = spark.createDataFrame([("d", 1, "a\na\na\nb")], md), spark.createDataFrame([("d", 1, "a\nb\na\nb")], md)
+    assert tuple(metrics.evaluate_pages(*twice).first().lines) == (3, 4, 4)
     full = metrics.evaluate_documents(metrics.evaluate_pages(truth, truth)).first()
     assert full.cells_score.f1 == 1.0 and full.cer.edits == 0
 
@@ -160,7 +178,8 @@ def test_greedy(spark):
     ref = spark.createDataFrame([(1, "a", 1, 0.0, 0.0, 10.0, 10.0), (1, "a", 2, 0.0, 1.0, 10.0, 11.0)], kind)
     cand = spark.createDataFrame([(1, "a", 1, 0.0, 1.0, 10.0, 11.0), (1, "a", 2, 50.0, 50.0, 60.0, 60.0)], kind)
     got = metrics.greedy_matches(cand, ref, ["p"]).orderBy("ref_no").collect()
-    assert [(r.ref_no, r.cand_no) for r in got] == [(1, 1), (2, 2)] and got[1].iou == 0.0
+    # The first candidate takes the second line, which it overlaps wholly; the other is left with the first.
+    assert [(r.ref_no, r.cand_no, r.iou) for r in got] == [(1, 2, 0.0), (2, 1, 1.0)]
 
 
 def test_report(spark):

@@ -66,8 +66,20 @@ def test_requests(spark):
 
 
 def test_evaluation(spark):
-    truth = spark.createDataFrame([("d", "# H\nabc", [(1, 0, 7)])], "document string, markdown string, structure array<struct<page:int,start:int,end:int>>")
-    good = spark.createDataFrame([("d", 1, "# H\nabc")], "document string, page int, markdown string")
-    results, report = process.run_evaluation(truth, {"legacy": good, "accuracy": good.withColumn("markdown", F.lit("# H\nabx"))}, ["line_f1"])
-    assert {r.policy: round(r.text_score, 3) for r in results.collect()} == {"legacy": 1.0, "accuracy": 0.857}
-    assert {r.policy: r.successful for r in report.collect()} == {"legacy": 1, "accuracy": 1}
+    kind = "document string, markdown string, structure array<struct<page:int,start:int,end:int>>, children array<struct<page:int,atoms:array<struct<start:int,end:int,box:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>>>"
+    atoms = [(0, 3, (0.0, 0.0, 0.5, 0.1)), (4, 7, (0.0, 0.1, 0.5, 0.2))]
+    truth = spark.createDataFrame([("d", "# H\nabcxy", [(2, 7, 9), (1, 0, 7)], [(1, atoms)])], kind)
+    pages = spark.createDataFrame([("d", 1, "# H \nabc", 100.0, 100.0), ("d", 2, "xy", 100.0, 100.0)], "document string, page int, markdown string, width double, height double")
+    lines = spark.createDataFrame([("d", 1, 1, "# H", 0.0, 0.0, 50.0, 10.0), ("d", 1, 2, "abc", 0.0, 10.0, 50.0, 15.0)], "document string, page int, line_no int, text string, x1 double, y1 double, x2 double, y2 double")
+    repairs = spark.createDataFrame([("d", "r1"), ("d", "r2"), ("e", "r1")], "doc_id string, region_id string")
+    issues = spark.createDataFrame([("d", "repair_disagreement"), ("d", "page_budget")], "doc_id string, code string")
+    whole = {"pages": pages, "lines": lines, "repairs": repairs, "issues": issues}
+    part = {"pages": pages.where("page = 1").withColumn("markdown", F.lit("# H\nabx"))}
+    results, report = process.run_evaluation(truth, {"accuracy": whole, "legacy": part})
+    got = {r.policy: r for r in results.collect()}
+    # Reference pages stand in the order of the structure (2, 1), the candidate's by number.
+    a = got["accuracy"]
+    assert (a.status, a.repairs, a.repair_disagreements, a.line_f1) == ("complete", 2, 1, 1.0)
+    assert a.grounding_iou == 0.75 and a.cer == 8 / 11 and a.raw_cer == 9 / 11
+    assert got["legacy"].status == "failed" and got["legacy"].grounding_iou is None and got["legacy"].repairs == 0
+    assert {r.policy: (r.successful, r.repair_disagreements) for r in report.collect()} == {"legacy": (0, 0), "accuracy": (1, 1)}

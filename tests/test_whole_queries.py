@@ -132,10 +132,10 @@ def test_greedy_grounding(spark, sf_dir):
     want = set()
     for d, p, x in {(d, p, x) for d, _, p, _, x in text_lines()}:
         free = [i for e, _, q, i, y in text_lines() if (e, q, y) == (d, p, x)]
-        for ref in list(free):
-            best = max(free, key=lambda c: (overlap(12 * ref + 2, 12 * c), -c))
+        for cand in list(free):
+            best = max(free, key=lambda r: (overlap(12 * r + 12, 12 * cand), -r))
             free.remove(best)
-            want.add((d, p, x, ref, best))
+            want.add((d, p, x, best, cand, overlap(12 * best + 12, 12 * cand)))
     got = [tuple(r) for r in Q.greedy_grounding(spark, sf_dir).collect()]
     assert len(got) == len(want) and set(got) == want
 
