@@ -22,9 +22,9 @@ from .common import drop_written, table, written
 NONE = "\0"
 #: Part of all tokens that a mixture keeps.
 SIZE = 0.5
-#: Fitting ends when no share is further from its target than this, relative to the target, when a round of SWEEPS over all
-#: margins brings the worst one no nearer than this, or after ROUNDS rounds.
-TOLERANCE, ROUNDS, SWEEPS = 1e-4, 10, 4
+#: Fitting ends when no share is further from its target than this, relative to the target; when a round of SWEEPS over all
+#: margins takes less than the part GAIN off the worst one's distance (it can't be met then); or after ROUNDS rounds.
+TOLERANCE, GAIN, ROUNDS, SWEEPS = 1e-4, 0.1, 10, 5
 #: Target shares of the query's margins; a number tempers the actual shares (share ** number, normalised).
 TARGETS: dict[str, Mapping[str, float] | float] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
@@ -90,7 +90,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], s
         now = written(now.drop("_have"), "cells")
         drop_written(held)
         off = now.agg(F.max("_off")).first()[0] or 0.0
-        if off < tolerance or (before is not None and before - off < tolerance):
+        if off < tolerance or (before is not None and before - off < GAIN * before):
             break
         before = off
     if off >= tolerance:
