@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400
@@ -12,6 +13,42 @@ CONTENT = ["artifact_id", "source_name", "source_hash", "status", "processing_op
 SCHEMA = "artifact_id string, source_name string, source_hash string, status string, processing_options string, markdown string, output_json string, error string, created_at bigint, expires_at bigint, retained_bytes bigint"
 
 
+STATUSES = ("complete", "partial", "failed")
+#: Version of the stored schema; no other can be read.
+VERSION = 1
+
+
+def violations(rows: DataFrame) -> DataFrame:
+    """artifact_id, problem of rows that must not be stored: a missing value, an unknown status, a size below 0, or a
+    second row of an artifact."""
+    needed = [c for c in (x.split()[0] for x in SCHEMA.split(", ")) if c not in ("artifact_id", "error")]
+    missing = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in ["artifact_id", *needed]])
+    problem = F.when(missing.isNotNull(), missing).when(~F.col("status").isin(*STATUSES), "unknown status").when(F.col("retained_bytes") < 0, "retained_bytes is below 0")
+    own = rows.select("artifact_id", problem.alias("problem")).where("problem IS NOT NULL")
+    twice = rows.groupBy("artifact_id").count().where("count > 1").select("artifact_id", F.lit("more than one row").alias("problem"))
+    return own.unionByName(twice)
+
+
+def open_history(spark: SparkSession, path: str) -> DataFrame:
+    """The rows stored below ``path`` (none yet: an empty table); an error if they have another version of the schema."""
+    try:
+        version = spark.read.schema("version int").json(f"{path}/version").first()
+    except AnalysisException:  # no such folder
+        return spark.createDataFrame([], SCHEMA)
+    if version is None or version["version"] != VERSION:
+        raise ValueError("the stored history has a version that is not supported")
+    return spark.read.schema(SCHEMA).parquet(f"{path}/rows")
+
+
+def save_history(rows: DataFrame, path: str) -> None:
+    """Store ``rows`` in a new folder; an error names what ``violations`` finds."""
+    bad = violations(rows).sort("artifact_id", "problem").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.artifact_id}: {r.problem}" for r in bad))
+    rows.select(*[x.split()[0] for x in SCHEMA.split(", ")]).write.parquet(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(VERSION,)], "version int").write.json(f"{path}/version")
+
+
 @dataclass(frozen=True)
 class Limits:
     retention_days: int = 30

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators import lines as L
 from inkwell.operators.chunking import FAN_IN
 from inkwell.operators.evidence import validate_extractions
 
@@ -48,28 +49,63 @@ def extract_chunks(chunks: DataFrame, lines: DataFrame, provider: Provider, sche
     return request.select("doc_id", "chunk_no", "unit").join(done, "unit").drop("unit")
 
 
-def merge_tree(results: DataFrame, merge: Provider, fan_in: int = FAN_IN) -> DataFrame:
-    """One result a document: groups of ``fan_in`` neighbours are merged, level by level; groups of one pass through, and a
-    failed merge keeps its first result and marks the document partial.
+ISSUE = "struct<code:string,message:string,stage:string>"
 
-    results: doc_id, chunk_no, result, status.  The levels grow with the logarithm of the most chunks of a document.
+
+def _own_issues(result: Column) -> Column:
+    """The issues that a result itself reports."""
+    own = F.coalesce(F.from_json(F.get_json_object(result, "$.issues"), "array<struct<code:string,message:string>>"), F.array().cast("array<struct<code:string,message:string>>"))
+    return F.transform(own, lambda i: L.issue(i["code"], F.coalesce(i["message"], F.lit("Unspecified extraction issue")), "extraction"))
+
+
+def _merge_requests(groups: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests, lines by unit) of groups (doc_id, unit, parts): the partial results and the lines that they cite."""
+    evidence = "array<struct<line_ids:array<string>>>"
+    cited = groups.select("doc_id", "unit", F.explode("parts").alias("p")).select("doc_id", "unit", F.explode(F.from_json(F.get_json_object("p.result", "$.evidence"), evidence)).alias("e"))
+    cited = cited.select("doc_id", "unit", F.explode("e.line_ids").alias("id")).distinct().join(lines.select("doc_id", "id", "text"), ["doc_id", "id"])
+    own = stored(cited.select(F.col("unit").alias("doc_id"), "id", "text"), "cited")
+    told = own.groupBy(F.col("doc_id").alias("unit")).agg(F.sort_array(F.collect_list(F.struct("id", "text"))).alias("lines"))
+    results = F.array_join(F.transform("parts", lambda p: p["result"]), ",")
+    body = F.concat(F.lit('{"results":['), results, F.lit('],"lines":'), F.to_json(F.coalesce("lines", F.array().cast("array<struct<id:string,text:string>>"))), F.lit("}"))
+    return groups.join(told, "unit", "left").select("unit", body.alias("request")), own
+
+
+def merge_tree(results: DataFrame, merge: Provider, lines: DataFrame, schema: dict | None = None, fan_in: int = FAN_IN) -> DataFrame:
+    """One result a document (doc_id, result, status, issues): groups of ``fan_in`` neighbours are merged, level by level;
+    groups of one pass through.
+
+    A merge is told the lines that its parts cite, and its answer is checked like an extraction, with one retry.  A merge that
+    fails keeps its first part.  Failed chunks and merges are issues, and so is what results report themselves; a document
+    with issues is partial at best.
+
+    results: doc_id, chunk_no, result, status, code; lines: doc_id, id, text.  The levels grow with the logarithm of the most
+    chunks of a document.
     """
     results = stored(results, "results")
-    usable = results.where("status <> 'failed'").select("doc_id", F.row_number().over(_by_chunk()).alias("n"), "result", F.lit(False).alias("degraded"))
+    none = F.array().cast(f"array<{ISSUE}>")
+    usable = results.where("status <> 'failed'").select("doc_id", F.row_number().over(_by_chunk()).alias("n"), "result", none.alias("issues"))
     most = usable.agg(F.max("n")).first()[0] or 0
     now = usable
     while most > 1:
-        grouped = now.withColumn("g", F.floor((F.col("n") - 1) / fan_in).cast("int") + 1).groupBy("doc_id", "g").agg(F.sort_array(F.collect_list(F.struct("n", "result"))).alias("parts"), F.max("degraded").alias("degraded"))
+        grouped = now.withColumn("g", F.floor((F.col("n") - 1) / fan_in).cast("int") + 1).groupBy("doc_id", "g").agg(F.sort_array(F.collect_list(F.struct("n", "result"))).alias("parts"), F.flatten(F.collect_list("issues")).alias("issues"))
         grouped = grouped.withColumn("unit", F.concat_ws("#", "doc_id", "g"))
         grouped = stored(grouped, "groups")
-        body = F.concat(F.lit('{"results":['), F.array_join(F.transform("parts", lambda p: p["result"]), ","), F.lit("]}"))
-        merged = call_provider(grouped.where(F.size("parts") > 1).select("unit", body.alias("request")), merge, "unit")
-        now = grouped.join(merged, "unit", "left").select("doc_id", F.col("g").alias("n"), F.coalesce("response", F.col("parts")[0]["result"]).alias("result"), (F.col("degraded") | F.col("error").isNotNull()).alias("degraded"))
-        now = stored(now.withColumn("degraded", F.coalesce("degraded", F.lit(False))), "merged")
+        requests, own = _merge_requests(grouped.where(F.size("parts") > 1), lines)
+        merged = call_checked(stored(requests, "requests"), merge, own, schema).select("unit", F.when(F.col("status") != "failed", F.col("result")).alias("merged"), F.col("code").alias("merge_code"))
+        failed = F.when((F.size("parts") > 1) & F.col("merged").isNull(), F.array(L.issue(F.lit("extraction_merge_failed"), F.lit("a group of partial results could not be merged"), "extraction")))
+        weak = F.when(F.col("merged").isNotNull() & F.col("merge_code").isNotNull(), F.array(L.issue(F.col("merge_code"), F.lit("a merged result failed its checks twice"), "extraction")))
+        now = grouped.join(merged, "unit", "left").select("doc_id", F.col("g").alias("n"), F.coalesce("merged", F.col("parts")[0]["result"]).alias("result"), F.concat("issues", F.coalesce(failed, none), F.coalesce(weak, none)).alias("issues"))
+        now = stored(now, "merged")
         most = -(-most // fan_in)
-    whole = results.groupBy("doc_id").agg(F.bool_and(F.col("status") == "complete").alias("clean"))
-    out = whole.join(now.select("doc_id", "result", "degraded"), "doc_id", "left")
-    return out.select("doc_id", "result", F.when(F.col("result").isNull(), "failed").when(F.col("clean") & ~F.col("degraded"), "complete").otherwise("partial").alias("status"))
+    lost = F.when(F.col("status") == "failed", L.issue(F.lit("extraction_chunk_failed"), F.lit("a part of the document could not be extracted"), "extraction"))
+    unproved = F.when((F.col("status") != "failed") & F.col("code").isNotNull(), L.issue(F.col("code"), F.lit("evidence failed its checks after a retry"), "extraction"))
+    told = F.concat(_own_issues(F.col("result")), F.filter(F.array(lost, unproved), lambda i: i.isNotNull()))
+    whole = results.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", told.alias("i")))), lambda s: s["i"])).alias("chunk_issues"))
+    out = whole.join(now.select("doc_id", "result", "issues"), "doc_id", "left")
+    issues = F.array_distinct(F.concat("chunk_issues", F.coalesce("issues", none), F.when(F.col("result").isNotNull(), _own_issues(F.col("result"))).otherwise(none)))
+    out = out.withColumn("issues", issues)
+    own = F.coalesce(F.get_json_object("result", "$.status"), F.lit("failed"))
+    return out.select("doc_id", "result", F.when((own == "complete") & (F.size("issues") > 0), "partial").otherwise(own).alias("status"), "issues")
 
 
 def _by_chunk():

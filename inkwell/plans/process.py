@@ -12,9 +12,10 @@ from inkwell.functions import text as X
 from inkwell.operators import consensus, metrics, regions
 from inkwell.operators import lines as L
 from inkwell.operators.chunking import chunk_documents
+from inkwell.sources.files import MOST_PAGES
 from inkwell.sources.store import stored
 
-from .extract import extract_chunks, merge_tree
+from .extract import ISSUE, extract_chunks, merge_tree
 from .providers import Provider, call_provider
 
 STAGES, POLICIES, BODY_BYTES = ["base", "repair", "final"], ["legacy", "accuracy"], 30 * 1024 * 1024
@@ -23,7 +24,7 @@ PADDING = 0.02
 METRICS = ["cer", "table_f1", "line_f1"]
 _BOX = ["x1", "y1", "x2", "y2"]
 _LINE = "struct<text:string,bbox:array<double>,confidence:double,polygon:array<array<double>>,source_kind:string>"
-RESPONSE = f"width double, height double, lines array<{_LINE}>, hard_regions array<struct<bbox:array<double>,reason:string>>"
+RESPONSE = f"width double, height double, lines array<{_LINE}>, hard_regions array<struct<bbox:array<double>,reason:string>>, prompt_hashes array<string>"
 
 
 def check_requests(requests: DataFrame, runs: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def reading_request(digest: Column, stage: str, read_no: Column | int, box: Colu
 
 
 def _opened(answers: DataFrame, keys: list[str]) -> DataFrame:
-    return answers.withColumn("r", F.from_json("response", RESPONSE)).select(*keys, "error", "r.width", "r.height", "r.lines", "r.hard_regions")
+    return answers.withColumn("r", F.from_json("response", RESPONSE)).select(*keys, "error", "r.width", "r.height", "r.lines", "r.hard_regions", "r.prompt_hashes")
 
 
 def _exploded(read: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,15 +59,45 @@ def _exploded(read: DataFrame, keys: list[str]) -> DataFrame:
     return regions.bounded_lines(out).withColumn("line_no", F.row_number().over(order) - 1)
 
 
-def read_pages(shots: DataFrame, provider: Provider) -> tuple[DataFrame, DataFrame]:
-    """(lines, hard regions) of page images (doc_id, page, digest, width, height): each distinct image is read once, and pages
-    with the same pixels share what was read."""
+def read_pages(shots: DataFrame, provider: Provider) -> dict[str, DataFrame]:
+    """lines, hard regions, errors and prompt hashes of page images (doc_id, page, digest, width, height): each distinct image
+    is read once, and pages with the same pixels share what was read."""
     once = shots.select(F.col("digest").alias("request_id"), reading_request(F.col("digest"), "base", 1).alias("request"))
     answers = stored(_opened(call_provider(once, provider), ["request_id"]), "pages").withColumnRenamed("request_id", "digest")
     own = shots.select("doc_id", "page", "digest")
     lines = own.join(_exploded(answers, ["digest"]), "digest")
     hard = own.join(answers.select("digest", F.explode("hard_regions").alias("h")), "digest")
-    return lines, hard.select("doc_id", "page", *[F.col("h.bbox")[i].alias(c) for i, c in enumerate(_BOX)], F.substring("h.reason", 1, regions.REASON_LENGTH).alias("reason"))
+    hard = hard.select("doc_id", "page", *[F.col("h.bbox")[i].alias(c) for i, c in enumerate(_BOX)], F.substring("h.reason", 1, regions.REASON_LENGTH).alias("reason"))
+    errors = own.join(answers.where("error IS NOT NULL").select("digest", "error"), "digest").select("doc_id", "page", "error")
+    prompts = own.join(answers.select("digest", F.explode("prompt_hashes").alias("hash")), "digest").groupBy("doc_id").agg(F.array_sort(F.collect_set("hash")).alias("prompt_hashes"))
+    return {"lines": lines, "hard": hard, "errors": errors, "prompts": prompts}
+
+
+def preflight(counts: DataFrame, wanted: DataFrame, most: int = MOST_PAGES) -> DataFrame:
+    """doc_id, problem (null if there is none) before any page is read: a selection that goes beyond the document, or no
+    selection of a document with more than ``most`` pages.
+
+    counts: doc_id, total_pages, from a cheap look at the files; wanted: doc_id, selected (array or null).
+    """
+    beyond = F.array_max("selected") > F.col("total_pages")
+    problem = F.when(beyond, "the selection goes beyond the document").when(F.col("selected").isNull() & (F.col("total_pages") > most), F.lit(f"the document has more than {most} pages; select some"))
+    return counts.join(wanted, "doc_id", "left").select("doc_id", problem.alias("problem"))
+
+
+def finish_pages(pages: DataFrame, lines: DataFrame, shots: DataFrame, repaired: DataFrame, provider: Provider) -> tuple[DataFrame, DataFrame]:
+    """(new Markdown of pages, failed documents): the pages of repaired documents are parsed once more from their repaired
+    lines; a document of which one page fails keeps its first Markdown.
+
+    repaired: doc_id; the provider gets digest, stage ``final`` and lines, and answers with markdown.
+    """
+    texts = lines.groupBy("doc_id", "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("y1", "x1", "text"))), lambda s: s["text"]).alias("texts"))
+    own = pages.select("doc_id", "page").join(repaired, "doc_id", "left_semi").join(shots.select("doc_id", "page", "digest"), ["doc_id", "page"]).join(texts, ["doc_id", "page"], "left")
+    body = F.to_json(F.struct("digest", F.lit("final").alias("stage"), F.coalesce("texts", F.array().cast("array<string>")).alias("lines")))
+    asked = own.select(F.concat_ws("/", "doc_id", "page").alias("request_id"), body.alias("request"))
+    got = stored(call_provider(asked, provider), "final").withColumn("markdown", F.get_json_object("response", "$.markdown"))
+    keyed = own.select("doc_id", "page", F.concat_ws("/", "doc_id", "page").alias("request_id")).join(got, "request_id")
+    failed = keyed.where("error IS NOT NULL OR markdown IS NULL").select("doc_id").distinct()
+    return keyed.select("doc_id", "page", "markdown").join(failed, "doc_id", "left_anti"), failed
 
 
 def read_regions(kept: DataFrame, provider: Provider, policy: str) -> tuple[DataFrame, DataFrame]:
@@ -109,8 +140,11 @@ def read_regions(kept: DataFrame, provider: Provider, policy: str) -> tuple[Data
     return regions.to_base_pixels(placed), outcome.select("doc_id", "page", "region_id", *_BOX, "reason", "status", F.coalesce("calls", F.lit(0)).alias("ocr_calls"))
 
 
-def parse_documents(pages: DataFrame, shots: DataFrame, items: DataFrame, blocks: DataFrame, provider: Provider, policy: str = "accuracy") -> dict[str, DataFrame]:
-    """lines (the catalog), repairs and issues of documents.
+def parse_documents(pages: DataFrame, shots: DataFrame, items: DataFrame, blocks: DataFrame, provider: Provider, policy: str = "accuracy", finisher: Provider | None = None) -> dict[str, DataFrame]:
+    """lines (the catalog), pages (doc_id, page, markdown), repairs, issues and prompts (hashes by doc_id) of documents.
+
+    With a ``finisher`` the pages of repaired documents are parsed once more; where that fails, the document keeps its first
+    Markdown and lines, and none of its repairs count.
 
     pages: doc_id, page, markdown, width, height (points); shots: doc_id, page, digest, width, height (pixels); items:
     doc_id, page, idx, text, x, y, width, height (points); blocks: doc_id, page, block_no, kind, text, x, y, width, height.
@@ -118,7 +152,8 @@ def parse_documents(pages: DataFrame, shots: DataFrame, items: DataFrame, blocks
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
     sized = pages.select("doc_id", "page", F.col("width").alias("page_w"), F.col("height").alias("page_h")).join(shots.select("doc_id", "page", "digest", F.col("width").alias("shot_w"), F.col("height").alias("shot_h")), ["doc_id", "page"])
-    read, hard = read_pages(shots, provider)
+    first = read_pages(shots, provider)
+    read, hard = first["lines"], first["hard"]
     grid = blocks.withColumnsRenamed({"width": "block_w", "height": "block_h"}).join(sized.withColumnsRenamed({"page_w": "width", "page_h": "height"}), ["doc_id", "page"])
     found = regions.candidate_regions(hard, read, grid, policy).join(sized.select("doc_id", "page", "shot_w", "shot_h"), ["doc_id", "page"])
     ranked = stored(regions.budget(regions.merge_regions(found)), "regions")
@@ -126,11 +161,24 @@ def parse_documents(pages: DataFrame, shots: DataFrame, items: DataFrame, blocks
     fresh, outcome = read_regions(kept, provider, policy)
     fresh, outcome = stored(fresh, "fresh"), stored(outcome, "outcome")
     whole = stored(regions.repair_pages(read, fresh), "repaired")
+    accepted = outcome.where(~F.col("status").isin("failed", "disagreement"))
+    texts, undone = pages.select("doc_id", "page", "markdown"), None
+    if finisher is not None:
+        fresh_text, undone = finish_pages(pages, whole, shots, accepted.select("doc_id").distinct(), finisher)
+        undone = stored(undone, "undone")
+        texts = texts.join(fresh_text.withColumnRenamed("markdown", "final"), ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("final", "markdown").alias("markdown"))
+        accepted = accepted.join(undone, "doc_id", "left_anti")
+        plain = regions.repair_pages(read, fresh.limit(0)).join(undone, "doc_id", "left_semi")
+        whole = whole.join(undone, "doc_id", "left_anti").unionByName(plain)
     points = whole.join(sized, ["doc_id", "page"]).withColumn("b", G.rescale(G.box(*_BOX), F.col("shot_w"), F.col("shot_h"), F.col("page_w"), F.col("page_h")))
     numbered = points.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("y1", "x1")))
     catalog = L.line_catalog(items, numbered.select("doc_id", "page", "line_no", "text", *[F.col("b")[c].alias(c) for c in _BOX], "confidence", "repaired"))
     failed = outcome.where(F.col("status").isin("failed", "disagreement")).select("doc_id", F.when(F.col("status") == "failed", "repair_failed").otherwise("repair_disagreement").alias("code"), F.concat(F.lit("region "), "region_id").alias("message"), F.lit("repair").alias("stage"))
-    return {"lines": catalog, "repairs": outcome.where(~F.col("status").isin("failed", "disagreement")), "issues": regions.budget_issues(ranked).unionByName(failed)}
+    unread = first["errors"].select("doc_id", F.lit("page_error").alias("code"), F.substring("error", 1, L.MESSAGE_LENGTH).alias("message"), F.lit("parsing").alias("stage"))
+    issues = regions.budget_issues(ranked).unionByName(failed).unionByName(unread)
+    if undone is not None:
+        issues = issues.unionByName(undone.select("doc_id", F.lit("final_parse_failed").alias("code"), F.lit("the repaired document could not be parsed; its first Markdown is kept").alias("message"), F.lit("repair").alias("stage")))
+    return {"lines": catalog, "pages": texts, "repairs": accepted, "issues": issues, "prompts": first["prompts"]}
 
 
 def process_documents(sources: DataFrame, pages: DataFrame, parsed: dict[str, DataFrame], extractor: Provider | None = None, merger: Provider | None = None, schema: dict | None = None) -> DataFrame:
@@ -147,11 +195,12 @@ def process_documents(sources: DataFrame, pages: DataFrame, parsed: dict[str, Da
         own = parsed["lines"].groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("id", "text"))).alias("lines"))
         catalog = L.catalog_text(parsed["lines"])
         chunks = chunk_documents(pages.select("doc_id", "page", "markdown").join(catalog, ["doc_id", "page"], "left").join(own, ["doc_id", "page"], "left"))
-        merged = merge_tree(extract_chunks(chunks, parsed["lines"], extractor, schema), merger or (lambda request: request["results"][0]))
-        docs = docs.join(merged.select("doc_id", F.col("result").alias("data"), F.col("status").alias("extraction")), "doc_id", "left")
+        merged = merge_tree(extract_chunks(chunks, parsed["lines"], extractor, schema), merger or (lambda request: request["results"][0]), parsed["lines"], schema)
+        docs = docs.join(merged.select("doc_id", F.col("result").alias("data"), F.col("status").alias("extraction"), F.col("issues").alias("more")), "doc_id", "left")
     else:
-        docs = docs.withColumns({"data": F.lit(None).cast("string"), "extraction": F.lit(None).cast("string")})
-    docs = docs.withColumn("issues", F.coalesce("issues", F.array().cast("array<struct<code:string,message:string,stage:string>>")))
+        docs = docs.withColumns({"data": F.lit(None).cast("string"), "extraction": F.lit(None).cast("string"), "more": F.lit(None).cast(f"array<{ISSUE}>")})
+    none = F.array().cast(f"array<{ISSUE}>")
+    docs = docs.withColumn("issues", F.concat(F.coalesce("issues", none), F.coalesce("more", none))).drop("more")
     docs = docs.withColumn("status", L.overall_status(F.col("markdown"), F.col("extraction"), F.size("issues")))
     docs = docs.withColumn("stages", L.stage_statuses(F.col("markdown"), F.col("issues"), F.coalesce(F.size("repairs"), F.lit(0)), F.lit(False), F.col("extraction")))
     return L.envelope(docs.withColumn("evidence", F.get_json_object("data", "$.evidence")).withColumn("data", F.get_json_object("data", "$.data")))

@@ -214,7 +214,7 @@ def html_table_cells(spark, sf_dir):
 VISIBLE_SQL = """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\\b.*?</script\\s*>', '', 'gis'), '<style\\b.*?</style\\s*>', '', 'gis'), '<head\\b.*?</head\\s*>', '', 'gis'), '<!--.*?-->', '', 'gs'), '<![^>]*>', '', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<li(\\s[^<>]*)?>', '• ', 'gi'), '<br(\\s[^<>]*)?/?>', chr(10), 'gi'), '</(td|th)\\s*>', chr(9), 'gi'), '</(tr|blockquote|div|h[1-6]|li|ol|p|pre|table|ul)\\s*>', chr(10), 'gi') AS t FROM a),
 c AS (SELECT page_id, regexp_replace(t, '</?[A-Za-z][^<>]*>', '', 'g') AS t FROM b),
-d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&copy;', '©'), '&amp;', '&') AS t FROM c)
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&copy;', '©'), '&amp;', '&') AS t FROM c)
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g') AS text FROM d"""
 
 
@@ -366,7 +366,7 @@ def chunk_documents(spark, sf_dir):
 def extract_and_merge(spark, sf_dir):
     """Rows only: calls to a provider (the deterministic stand-in), checks, a retry and the merge tree."""
     chunks, own = _chunks(spark, sf_dir)
-    return merge_tree(extract_chunks(chunks, own, providers.echo_lines), providers.join_results)
+    return merge_tree(extract_chunks(chunks, own, providers.echo_lines), providers.join_results, own).select("doc_id", "result", "status")
 
 
 @query(f"""WITH RECURSIVE {LINES_SQL}, n AS (SELECT doc_id, max(page) AS n FROM lines GROUP BY doc_id), t AS (SELECT doc_id, 1 AS level, CAST(n AS BIGINT) AS inputs FROM n

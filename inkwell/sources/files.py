@@ -77,7 +77,7 @@ def range_text(scope: Column, first: Column, last: Column) -> Column:
 
 def select_pages(pages: DataFrame, wanted: DataFrame, most: int = MOST_PAGES) -> DataFrame:
     """Pages of documents in their selection (doc_id, selected array or null); a document without selection must have at
-    most ``most`` pages, a selection must not go beyond the document."""
+    most ``most`` pages, a selection must not go beyond the document (``plans.process.preflight`` names those that fail)."""
     total = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
     chosen = wanted.join(total, "doc_id").where(F.when(F.col("selected").isNull(), F.col("total") <= most).otherwise(F.array_max("selected") <= F.col("total")))
     return pages.join(chosen.select("doc_id", "selected"), "doc_id").where(F.col("selected").isNull() | F.array_contains("selected", F.col("page").cast("long"))).drop("selected")

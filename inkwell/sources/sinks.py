@@ -45,6 +45,47 @@ def write_run(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").partitionBy("policy", "document").json(path)
 
 
+def candidates(policy: str, pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """policy, document, markdown, json of what each document was parsed to: its pages in order and its line catalog.
+
+    pages: doc_id, page, markdown; lines: the catalog.  A document's pages and lines are limited.
+    """
+    text = F.transform(F.sort_array(F.collect_list(F.struct("page", "markdown"))), lambda p: F.struct(p["page"].alias("page"), p["markdown"].alias("markdown")))
+    own = pages.groupBy("doc_id").agg(text.alias("pages"))
+    box = F.array("x1", "y1", "x2", "y2").alias("bbox")
+    catalog = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "id", "text", box, "source", "confidence"))).alias("lines"))
+    both = own.join(catalog, "doc_id", "left")
+    body = F.to_json(F.struct(F.array_join(F.transform("pages", lambda p: p["markdown"]), "\n\n").alias("markdown"), "pages", F.coalesce("lines", F.array()).alias("lines")))
+    return both.select(F.lit(policy).alias("policy"), F.col("doc_id").alias("document"), F.array_join(F.transform("pages", lambda p: p["markdown"]), "\n\n").alias("markdown"), body.alias("json"))
+
+
+def write_evaluation(path: str, parsed: DataFrame, results: DataFrame, report: DataFrame) -> None:
+    """An evaluation run as files below ``path``: ``candidates`` and ``results`` by policy and document, and ``report`` as
+    Markdown.
+
+    parsed: rows of ``candidates``; report: one row with the column markdown.
+    """
+    parsed.write.partitionBy("policy", "document").json(f"{path}/candidates")
+    write_run(results, f"{path}/results")
+    report.select("markdown").coalesce(1).write.text(f"{path}/report")
+
+
+def run_zips(parsed: DataFrame, results: DataFrame) -> DataFrame:
+    """policy, files, content: the candidates and results of each policy of an evaluation (of a fixed, small suite) as ZIP."""
+    both = parsed.join(results.select("policy", "document", F.to_json(F.struct(*[c for c in results.columns if c not in ("policy", "document")])).alias("metrics")), ["policy", "document"], "left")
+
+    def pack(batch: pd.DataFrame) -> pd.DataFrame:
+        out, files = io.BytesIO(), 0
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in batch.sort_values("document").itertuples():
+                for name, body in (("candidate.md", r.markdown), ("candidate.json", r.json), ("metrics.json", r.metrics)):
+                    z.writestr(zipfile.ZipInfo(f"{r.policy}/{r.document}/{name}"), body or "")
+                    files += 1
+        return pd.DataFrame({"policy": [batch["policy"].iloc[0]], "files": [files], "content": [out.getvalue()]})
+
+    return both.groupBy("policy").applyInPandas(pack, "policy string, files int, content binary")
+
+
 def annotations(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """Frames to draw on each page's image: doc_id, page, id, frame (pixels), width, colour; pages without size have none."""
     sized = pages.where((F.col("width") > 0) & (F.col("height") > 0)).select("doc_id", "page", (F.col("shot_w") / F.col("width")).alias("across"), (F.col("shot_h") / F.col("height")).alias("down"))

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only a session without one gets a temporary folder of its own."""
+    """The folder that ``spark.checkpoint.dir`` names; only a session on one machine may go without, and
+    gets a temporary folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -147,7 +147,7 @@ def test_extract_and_merge(spark):
     lines = spark.createDataFrame([("d", f"l{i}", f"name{i}: value{i}") for i in range(12)] + [("e", "l0", "nothing")], "doc_id string, id string, text string")
     chunks = spark.createDataFrame([("d", i, [f"l{i}"]) for i in range(12)] + [("e", 0, ["l0"])], "doc_id string, chunk_no int, line_ids array<string>")
     done = extract.extract_chunks(chunks, lines, providers.echo_lines)
-    merged = {r.doc_id: r for r in extract.merge_tree(done, providers.join_results).collect()}
+    merged = {r.doc_id: r for r in extract.merge_tree(done, providers.join_results, lines).collect()}
     assert merged["d"].status == "complete" and [f["value"] for f in json.loads(merged["d"].result)["data"]["fields"]] == [f"value{i}" for i in range(12)]
 
     def broken(request):
@@ -155,8 +155,38 @@ def test_extract_and_merge(spark):
 
     failed = extract.extract_chunks(chunks, lines, broken)
     assert {(r.status, r.code) for r in failed.collect()} == {("failed", "unsupported")}
-    assert {r.status for r in extract.merge_tree(failed, providers.join_results).collect()} == {"failed"}
-    assert {r.doc_id: r.status for r in extract.merge_tree(done, broken).collect()} == {"d": "partial", "e": "complete"}
+    assert {r.status for r in extract.merge_tree(failed, providers.join_results, lines).collect()} == {"failed"}
+    torn = {r.doc_id: r for r in extract.merge_tree(done, broken, lines).collect()}
+    assert {d: r.status for d, r in torn.items()} == {"d": "partial", "e": "complete"} and [i.code for i in torn["d"].issues] == ["extraction_merge_failed"]
+
+
+def test_merges_are_told_lines_and_checked(spark):
+    """A merge sees the lines its parts cite; an answer with bad evidence is asked for once more, then counts as partial."""
+    lines = spark.createDataFrame([("d", f"l{i}", f"name{i}: value{i}") for i in range(3)], "doc_id string, id string, text string")
+    chunks = spark.createDataFrame([("d", i, [f"l{i}"]) for i in range(3)], "doc_id string, chunk_no int, line_ids array<string>")
+    done = extract.extract_chunks(chunks, lines, providers.echo_lines)
+
+    def wrong_once(request):
+        assert [x["id"] for x in request["lines"]] == ["l0", "l1", "l2"]
+        out = providers.join_results(request)
+        if "feedback" not in request:
+            out["evidence"][0]["quote"] = "not there"
+        return out
+
+    def wrong(request):
+        out = providers.join_results(request)
+        out["evidence"][0]["line_ids"] = ["l9"]
+        return out
+
+    assert extract.merge_tree(done, wrong_once, lines).first().status == "complete"
+    bad = extract.merge_tree(done, wrong, lines).first()
+    assert bad.status == "partial" and [i.code for i in bad.issues] == ["unsupported"] and json.loads(bad.result)["data"]
+
+    def secret(request):
+        raise RuntimeError("password")
+
+    rows = spark.createDataFrame([("a", "{}")], "request_id string, request string")
+    assert providers.call_provider(rows, secret).first().error == "the service failed"
 
 
 def test_metrics(spark):
@@ -216,6 +246,23 @@ def test_history(spark):
         history.Limits(max_bytes=0)
 
 
+def test_history_gates(spark, tmp_path):
+    kind = history.SCHEMA
+    good = ("a", "n", "h", "complete", "{}", "m", "{}", None, 1, 2, 3)
+    path = f"{tmp_path}/history"
+    assert history.open_history(spark, path).count() == 0
+    history.save_history(spark.createDataFrame([good], kind), path)
+    assert history.open_history(spark, path).first().artifact_id == "a"
+    bad = [("b", *good[1:3], "odd", *good[4:]), ("c", None, *good[2:]), ("d", *good[1:10], -1), good, good]
+    found = {(r.artifact_id, r.problem) for r in history.violations(spark.createDataFrame(bad, kind)).collect()}
+    assert found == {("b", "unknown status"), ("c", "source_name is missing"), ("d", "retained_bytes is below 0"), ("a", "more than one row")}
+    with pytest.raises(ValueError, match="unknown status"):
+        history.save_history(spark.createDataFrame(bad, kind), f"{tmp_path}/other")
+    spark.createDataFrame([(9,)], "version int").write.mode("overwrite").json(f"{path}/version")
+    with pytest.raises(ValueError, match="version"):
+        history.open_history(spark, path)
+
+
 def test_prune_equals_eviction(spark):
     rng = np.random.default_rng(6)
     for _ in range(3):

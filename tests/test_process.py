@@ -52,6 +52,52 @@ def test_parse_and_process(spark):
     assert json.loads(bare.output_json)["stages"]["extraction"] == "not_requested"
 
 
+def test_final_parse_and_failed_pages(spark):
+    pages, shots, items, blocks = inputs(spark)
+    shots = shots.unionByName(spark.createDataFrame([("f", 1, "lost", 100, 100)], shots.schema))
+    pages = pages.unionByName(spark.createDataFrame([("f", 1, "first", 50.0, 50.0)], PAGE))
+    base = make_reader()
+
+    def reader(request):
+        if request["digest"] == "lost":
+            raise ValueError("cannot be read")
+        return {**base(request), "prompt_hashes": ["p1" if request["stage"] == "base" else "p2"]}
+
+    def finisher(request):
+        if request["digest"] == "third":
+            raise RuntimeError("broken")
+        return {"markdown": "|".join(request["lines"])}
+
+    parsed = process.parse_documents(pages, shots, items, blocks, reader, finisher=finisher)
+    # b was repaired, but its final parse fails: first Markdown, first lines, no repairs.
+    assert {r.doc_id: r.markdown for r in parsed["pages"].collect()} == {"a": "Total: 42|Date: x", "e": "Total: 42|Date: x", "b": "Total: 42\nDate: x", "c": "Total: 42\nDate: x", "d": "Total: 42\nDate: x", "f": "first"}
+    assert {r.doc_id for r in parsed["repairs"].collect()} == {"a", "e"}
+    assert {(r.doc_id, r.source) for r in parsed["lines"].where("id = 'p1-l0002'").collect()} == {("a", "repair_400"), ("e", "repair_400"), ("b", "native"), ("c", "native"), ("d", "native")}
+    assert {(r.doc_id, r.code) for r in parsed["issues"].collect()} == {("b", "final_parse_failed"), ("c", "repair_disagreement"), ("d", "repair_failed"), ("f", "page_error")}
+    assert {r.doc_id: r.prompt_hashes for r in parsed["prompts"].collect()} == {d: ["p1"] for d in "abcde"}
+
+
+def test_preflight(spark):
+    counts = spark.createDataFrame([("a", 3), ("b", 3), ("c", 101), ("d", 101)], "doc_id string, total_pages int")
+    wanted = spark.createDataFrame([("a", [1, 3]), ("b", [4]), ("c", None), ("d", [101])], "doc_id string, selected array<int>")
+    got = {r.doc_id: r.problem for r in process.preflight(counts, wanted).collect()}
+    assert got["a"] is None and got["d"] is None and "beyond" in got["b"] and "100" in got["c"]
+
+
+def test_reads_align_once_lines_without_text_are_gone(spark):
+    pages, shots, items, blocks = inputs(spark)
+    base = make_reader()
+
+    def reader(request):
+        out = base(request)
+        if request["stage"] == "repair" and request["read_no"] == 2:
+            return {**out, "lines": [{"text": "  ", "bbox": [0, 0, 9, 9], "confidence": 0.1, "source_kind": "printed"}, *out["lines"]]}
+        return out
+
+    parsed = process.parse_documents(pages.where("doc_id = 'a'"), shots.where("doc_id = 'a'"), items.where("doc_id = 'a'"), blocks, reader)
+    assert [(r.status, r.ocr_calls) for r in parsed["repairs"].collect()] == [("consensus", 2)]
+
+
 def test_legacy_leaves_uncertain_lines(spark):
     pages, shots, items, blocks = inputs(spark)
     parsed = process.parse_documents(pages, shots, items, blocks, make_reader(), "legacy")
