@@ -145,17 +145,22 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def write_tokens(docs: DataFrame, path: str, *, folder: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, leading_space: bool = False, shards: int | None = None) -> DataFrame:
     """Encode whole texts and write them as shards in ``folder``; gives the manifest, a stored table with a row a shard:
-    shard (path without suffix), first_key, last_key, n_rows, n_ids, base (ids in all shards before it).
+    part (its place), shard (path without suffix), first_key, last_key, n_rows, n_ids, base (ids in all shards before it).
 
-    Rows are dealt by ranges of keys, so shards follow one another in key order.  Null keys come first, under a key of
-    their own; null texts count as empty (only the end id); repeated keys are all kept.
+    Rows are dealt by ranges of keys, so shards follow one another in key order; the rows of a key that very many have go to
+    as many shards as they need.  Null keys come first, under a key of their own; null texts count as empty (only the end
+    id); a text of any length is encoded whole; repeated keys are all kept.  An empty table has no shards.  Other columns
+    are not looked at.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias(key), text)
-    rows = (rows.repartitionByRange(shards, key) if shards else rows.repartitionByRange(key)).sortWithinPartitions(key, text)
-    schema = "shard string, first_key long, last_key long, n_rows long, n_ids long"
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias(key), text).withColumns({"_h": F.xxhash64(text), "_i": F.monotonically_increasing_id()})
+    by = [key, "_h", "_i"]
+    rows = (rows.repartitionByRange(shards, *by) if shards else rows.repartitionByRange(*by)).sortWithinPartitions(*by).select(key, text)
+    schema = "part int, shard string, first_key long, last_key long, n_rows long, n_ids long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
         vocabulary, name = encoder(path, leading_space), f"{root}/{uuid.uuid4().hex}"
@@ -174,34 +179,42 @@ def write_tokens(docs: DataFrame, path: str, *, folder: str, key: str = "doc_id"
         keys, offsets = np.concatenate(keys), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         with files.open_output_stream(f"{name}.idx") as out:
             out.write(index_bytes(keys, offsets, width))
-        yield pa.RecordBatch.from_pydict({"shard": [name], "first_key": [keys[0]], "last_key": [keys[-1]], "n_rows": [len(keys)], "n_ids": [offsets[-1]]}, schema=pa.schema([("shard", pa.string()), *[(x, pa.int64()) for x in ("first_key", "last_key", "n_rows", "n_ids")]]))
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "shard": [name], "first_key": [keys[0]], "last_key": [keys[-1]], "n_rows": [len(keys)], "n_ids": [offsets[-1]]}, schema=pa.schema([("part", pa.int32()), ("shard", pa.string()), *[(x, pa.int64()) for x in ("first_key", "last_key", "n_rows", "n_ids")]]))
 
     made = written(rows.mapInArrow(run, schema), "manifest")
     # A row a shard: small enough to be numbered by one task.
-    before = Window.orderBy("first_key", "last_key").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written(made.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "manifest")
 
 
 def read_tokens(keys: DataFrame, manifest: DataFrame, *, folder: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Look every key up in the shards: key, start, n_tokens, ids_crc32 (and the ids), a row for each stored row.
 
-    Keys that no shard holds give no row.  Keys are dealt to shards by their range, so each shard's index is read once.
+    Keys that no shard holds give no row.  Keys are dealt to the shards that may hold them, by the shards' ranges, so each
+    shard's index is read once.
     """
-    shards = manifest.select("shard", "first_key", "last_key", "base").sort("first_key", "last_key").collect()  # a row a shard
+    shards = manifest.select("part", "shard", "first_key", "last_key", "base").sort("part").collect()  # a row a shard
     spark = keys.sparkSession
-    known = spark.sparkContext.broadcast([tuple(s) for s in shards])
-    last = np.array([s["last_key"] for s in shards], np.int64)
+    known = spark.sparkContext.broadcast([(s["shard"], s["base"]) for s in shards])
+    first_key, last_key = (np.array([s[c] for s in shards], np.int64) for c in ("first_key", "last_key"))
     kind = keys.schema[key].dataType.simpleString()
     wanted = keys.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key")).distinct()
     schema = "key long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column("key").to_numpy(zero_copy_only=False)
+            low = np.searchsorted(last_key, asked, side="left")
+            number = np.maximum(0, np.searchsorted(first_key, asked, side="right") - low)
+            shard = np.repeat(low, number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(np.repeat(asked, number))], names=["shard", "key"])
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = filesystem(folder)
         opened: tuple[int, Shard | None] = (-1, None)
         for batch in batches:
-            asked = np.sort(batch.column("key").to_numpy(zero_copy_only=False))
-            at = np.searchsorted(last, asked, side="left")
-            for shard in np.unique(at[at < len(last)]).tolist():
+            asked, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "shard"))
+            for shard in np.unique(at).tolist():
                 if opened[0] != shard:
                     opened = (shard, Shard(files, known.value[shard][0]))
                 here, own = opened[1], asked[at == shard]
@@ -220,11 +233,12 @@ def read_tokens(keys: DataFrame, manifest: DataFrame, *, folder: str, key: str =
                     block = memoryview(here.read(int(begin[i]), int(end[j - 1]))).cast("B")
                     out += [block[4 * int(a - begin[i]) : 4 * int(b - begin[i])] for a, b in zip(begin[i:j], end[i:j], strict=True)]
                     i = j
-                columns = [pa.array(np.repeat(own, number)), pa.array(begin + known.value[shard][3]), pa.array(end - begin), pa.array([zlib.crc32(x) for x in out], pa.int64())]
+                columns = [pa.array(np.repeat(own, number)), pa.array(begin + known.value[shard][1]), pa.array(end - begin), pa.array([zlib.crc32(x) for x in out], pa.int64())]
                 columns += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in out], pa.list_(pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
-    found = wanted.repartitionByRange(max(1, len(shards)), "key").sortWithinPartitions("key").mapInArrow(look, schema)
+    placed = wanted.mapInArrow(place, "shard int, key long").repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "key")
+    found = placed.mapInArrow(look, schema)
     return found.withColumn("key", F.when(F.col("key") != NULL_KEY, F.col("key")).cast(kind)).withColumnRenamed("key", key)
 
 

@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from inkwell.llm import fingerprints, html_text, langid, lm, mixing, packing, setjoin, token_store, topk, url_filter
@@ -124,6 +125,24 @@ def test_token_files(spark, docs, empty):
     assert token_store.read_tokens(empty, manifest, folder=folder).count() == 0
 
 
+def test_token_files_split_a_hot_key(spark):
+    """The rows of one key go to several shards, and all are found again, in order."""
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "t")
+    rows = [(5, f"text {i % 40}") for i in range(400)] + [(None, "none")] * 60 + [(1, "first"), (9, "last " * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit("x"), "part": F.lit(1)})
+    manifest = token_store.write_tokens(df, path, folder=folder, shards=6)
+    assert manifest.where("first_key = 5 OR last_key = 5").count() > 1
+    out = token_store.read_tokens(df, manifest, folder=folder, with_ids=True).collect()
+    assert len(out) == len(rows) and Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
+    tokenizer, start = Tokenizer.from_file(path), 0
+    for r in sorted(out, key=lambda r: r.start):
+        assert r.start == start and r.n_tokens == len(r.ids)
+        start += r.n_tokens
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    want = Counter(tuple([*tokenizer.encode(t, add_special_tokens=False).ids, 2]) for _, t in rows)
+    assert Counter(tuple(r.ids) for r in out) == want
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
     assert sorted(token_store.PerfectHash.build(keys).slots(keys).tolist()) == list(range(len(keys)))
