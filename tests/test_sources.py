@@ -43,8 +43,25 @@ def test_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "artifact_id string, created_at long, status string").write.parquet(source)
     stream = spark.readStream.schema("artifact_id string, created_at long, status string").parquet(source)
-    ingest.keep_latest(spark, stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert {r.artifact_id: r.status for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {"a": "y", "b": "z"}
+    ingest.keep_latest(spark, stream, str(tmp_path / "out"), str(tmp_path / "cp"), 4).awaitTermination()
+    assert {r.artifact_id: r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": "y", "b": "z"}
+    spark.createDataFrame([("a", 3, "new"), ("c", 1, "w")], "artifact_id string, created_at long, status string").write.mode("append").parquet(source)
+    ingest.keep_latest(spark, stream, str(tmp_path / "out"), str(tmp_path / "cp"), 4).awaitTermination()
+    assert {r.artifact_id: r.status for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": "new", "b": "z", "c": "w"}
+
+
+def test_evaluation_files(spark, tmp_path):
+    pages = spark.createDataFrame([("d", 2, "two"), ("d", 1, "one"), ("e", 1, "x")], "doc_id string, page int, markdown string")
+    lines = spark.createDataFrame([("d", "p1-l0001", 1, "one", 0.0, 0.0, 1.0, 1.0, "native", None)], "doc_id string, id string, page int, text string, x1 double, y1 double, x2 double, y2 double, source string, confidence double")
+    parsed = sinks.candidates("legacy", pages, lines)
+    got = {r.document: r for r in parsed.collect()}
+    assert got["d"].markdown == "one\n\ntwo" and json.loads(got["d"].json)["lines"][0]["id"] == "p1-l0001" and json.loads(got["e"].json)["lines"] == []
+    results = spark.createDataFrame([("legacy", "d", 0.5), ("legacy", "e", 0.25)], "policy string, document string, cer double")
+    sinks.write_evaluation(str(tmp_path / "run"), parsed, results, spark.createDataFrame([("# report",)], "markdown string"))
+    assert spark.read.json(str(tmp_path / "run/results")).count() == 2 and spark.read.text(str(tmp_path / "run/report")).first()[0] == "# report"
+    zipped = sinks.run_zips(parsed, results).first()
+    with zipfile.ZipFile(io.BytesIO(zipped.content)) as z:
+        assert zipped.files == 6 and json.loads(z.read("legacy/d/metrics.json")) == {"cer": 0.5}
 
 
 def test_windows(spark):
