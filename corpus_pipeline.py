@@ -19,25 +19,28 @@ SIMILARITY, SHINGLE = 80, 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language can be told: texts that are null or have no letters go."""
+    """Keep the documents whose language can be told: texts that are null or have no letters go.  Null keys and repeated rows
+    are kept; an empty table stays empty."""
     return identify(docs).where(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, that with the smallest doc_id; a row that repeats a doc_id goes
-    with it.  Documents without key are kept."""
+    with it.  Documents without key or without words are kept."""
     groups = jaccard_components(docs, width=SHINGLE, percent=SIMILARITY)
     drop = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents so that tokens meet the target shares of sources, languages and topics."""
+    """Sample documents so that half of the tokens stay and meet the target shares of sources, languages and topics.  Null is
+    a category like any other, rows that repeat a key go the same way, and documents without words go."""
     return mix_documents(docs, TARGETS, keep=docs.columns).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences; a row a piece."""
+    """Pack the documents' tokens into sequences; a row a piece.  A null text is its end token; every row is packed, also
+    without key or if it repeats one; texts of any length are packed whole."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
