@@ -106,3 +106,38 @@ def crop_pixels(pixels: pd.Series, height: pd.Series, width: pd.Series, x1: pd.S
         return out.getvalue()
 
     return pd.Series([one(*x) for x in zip(pixels, height, width, x1, y1, x2, y2, strict=True)])
+
+
+@F.pandas_udf(T.DoubleType())
+def crop_clarity(pixels: pd.Series, height: pd.Series, width: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
+    """Clarity of the cut of an image by a pixel box."""
+
+    def one(p, h, w, a, b, c, d):
+        image = np.frombuffer(p, np.uint8).reshape(int(h), int(w), 3)[..., ::-1]
+        a, b = max(0, round(a)), max(0, round(b))
+        return edge_variance(image[b : max(b + 1, min(int(h), round(d))), a : max(a + 1, min(int(w), round(c)))])
+
+    return pd.Series([one(*x) for x in zip(pixels, height, width, x1, y1, x2, y2, strict=True)])
+
+
+def peer_evidence(regions: DataFrame, blocks: DataFrame, ocr: DataFrame, images: DataFrame, least: int = LEAST_PEERS) -> DataFrame:
+    """For each region whose block stands, clearer, on another page too: doc_id, page, region_id, peer_page, peer_clarity and
+    peer, the cut of that page's image as a data URL.
+
+    regions, blocks and ocr in pixels: doc_id, page, region_id and box; doc_id, page, block_no, kind, text, x, y, width, height;
+    doc_id, page, box and source_kind.  images: doc_id, page, image (rows of blue, green, red), height, width.  Only blocks that
+    hold a region, and their likes, are cut.
+    """
+    keys = ["doc_id", "kind", "signature"]
+    signed = peer_blocks(signatures(blocks, ocr), least)
+    targets = target_block(regions, blocks).join(signed, ["doc_id", "page", "block_no"]).select("doc_id", "page", "region_id", "block_no", *keys[1:])
+    box = blocks.select("doc_id", "page", "block_no", F.col("x").alias("bx1"), F.col("y").alias("by1"), (F.col("x") + F.col("width")).alias("bx2"), (F.col("y") + F.col("height")).alias("by2"))
+    likes = signed.join(targets.select(*keys).distinct(), keys, "left_semi").join(box, ["doc_id", "page", "block_no"])
+    edges = ["bx1", "by1", "bx2", "by2"]
+    crops = likes.join(images, ["doc_id", "page"]).select(*keys, "page", "block_no", crop_clarity("image", "height", "width", *edges).alias("clarity"))
+    best = clearest_peer(crops).join(targets, ["doc_id", "page", "block_no"])
+    # The first block of that text on the peer's page.
+    there = likes.groupBy(*keys, F.col("page").alias("peer_page")).agg(F.min_by(F.struct(*edges), "block_no").alias("b"))
+    shown = best.join(there, [*keys, "peer_page"]).join(images.withColumnRenamed("page", "peer_page"), ["doc_id", "peer_page"])
+    cut = crop_pixels("image", "height", "width", *[F.col("b")[e] for e in edges])
+    return shown.select("doc_id", "page", "region_id", "peer_page", "peer_clarity", X.data_url(cut, "image/x-portable-pixmap").alias("peer"))

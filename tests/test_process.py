@@ -77,6 +77,35 @@ def test_final_parse_and_failed_pages(spark):
     assert {r.doc_id: r.prompt_hashes for r in parsed["prompts"].collect()} == {d: ["p1"] for d in "abcde"}
 
 
+def test_peer_evidence(spark):
+    """A region in a block that stands on other pages, too, is read with the clearest of them beside it."""
+    flat, sharp = bytearray([120] * 3 * 100 * 100), bytearray([120] * 3 * 100 * 100)
+    for row in range(30, 60):
+        for column in range(0, 60):
+            at = 3 * (100 * row + column)
+            sharp[at : at + 3] = bytes([255 * ((column // 2) % 2)] * 3)
+    shots = spark.createDataFrame([("a", p, f"x{p}", 100, 100, bytes(sharp if p == 3 else flat)) for p in (1, 2, 3)], "doc_id string, page int, digest string, width int, height int, image binary")
+    pages = spark.createDataFrame([("a", p, "m", 50.0, 50.0) for p in (1, 2, 3)], PAGE)
+    block = "doc_id string, page int, block_no int, kind string, text string, x double, y double, width double, height double"
+    blocks = spark.createDataFrame([("a", p, 1, "text", "Same Header", 0.0, 15.0, 30.0, 15.0) for p in (1, 2, 3)], block)
+    items = spark.createDataFrame([], "doc_id string, page int, idx int, text string, x double, y double, width double, height double")
+
+    def reader(request):
+        if request["stage"] == "base":
+            confidence = 0.99 if request["digest"] == "x3" else 0.5
+            return {"width": 100, "height": 100, "lines": [{"text": "Same Header", "bbox": [0, 40, 50, 50], "confidence": confidence, "source_kind": "printed"}], "hard_regions": []}
+        seen = (request["peer"] or "")[:40]
+        return {"width": 10, "height": 10, "lines": [{"text": f"peer {seen}", "bbox": [3, 3, 6, 6], "confidence": 0.97, "source_kind": "printed"}], "hard_regions": []}
+
+    parsed = process.parse_documents(pages, shots, items, blocks, reader)
+    assert {r.page: r.status for r in parsed["repairs"].collect()} == {1: "consensus", 2: "consensus"}
+    px = blocks.selectExpr("doc_id", "page", "block_no", "kind", "text", "2 * x AS x", "2 * y AS y", "2 * width AS width", "2 * height AS height")
+    regions = spark.createDataFrame([("a", 1, "p1-r001", 0.0, 40.0, 50.0, 50.0)], "doc_id string, page int, region_id string, x1 double, y1 double, x2 double, y2 double")
+    ocr = spark.createDataFrame([("a", p, 0.0, 40.0, 50.0, 50.0, "printed") for p in (1, 2, 3)], "doc_id string, page int, x1 double, y1 double, x2 double, y2 double, source_kind string")
+    got = process.peers.peer_evidence(regions, px, ocr, shots).collect()
+    assert [(r.page, r.peer_page) for r in got] == [(1, 3)] and got[0].peer.startswith("data:image/x-portable-pixmap;base64,UDYgNjAgMzAg")
+
+
 def test_preflight(spark):
     counts = spark.createDataFrame([("a", 3), ("b", 3), ("c", 101), ("d", 101)], "doc_id string, total_pages int")
     wanted = spark.createDataFrame([("a", [1, 3]), ("b", [4]), ("c", None), ("d", [101])], "doc_id string, selected array<int>")
