@@ -184,7 +184,7 @@ def pack_documents(docs: DataFrame, path: str, *, key: str = "doc_id", text: str
     """Pack whole documents into sequences of at most ``capacity`` tokens by best-fit decreasing.
 
     Null texts count as empty: such a document is one piece that holds only the end id.  A null or repeated key is kept:
-    every row is packed on its own.  An empty table gives no rows.  Other columns are not looked at.  Equal lengths are
+    every row is packed on its own.  A text of any length is packed whole.  An empty table gives no rows.  Other columns are not looked at.  Equal lengths are
     placed in any order; which of them goes where has no meaning.
     """
     pieces = written(tokenized_pieces(docs, path, key=key, text=text, capacity=capacity, end_id=end_id, leading_space=leading_space, with_ids=with_ids), "pieces")

@@ -190,7 +190,8 @@ def write_tokens(docs: DataFrame, path: str, *, folder: str, key: str = "doc_id"
 def read_tokens(keys: DataFrame, manifest: DataFrame, *, folder: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Look every key up in the shards: key, start, n_tokens, ids_crc32 (and the ids), a row for each stored row.
 
-    Keys that no shard holds give no row.  Keys are dealt to the shards that may hold them, by the shards' ranges, so each
+    Keys that no shard holds give no row; a repeated key is looked up once, a null key finds the rows without key, and an
+    empty table or manifest gives no rows.  Other columns are not looked at.  Keys are dealt to the shards that may hold them, by the shards' ranges, so each
     shard's index is read once.
     """
     shards = manifest.select("part", "shard", "first_key", "last_key", "base").sort("part").collect()  # a row a shard
