@@ -268,13 +268,18 @@ def policy_delta(spark, sf_dir):
     return metrics.policy_delta(metrics.policy_report(_runs(spark, sf_dir), ["size"]), ["size"])
 
 
-@query(f"""WITH RECURSIVE {LINES_SQL}, own AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, text ORDER BY idx) AS n FROM lines WHERE text <> ''),
-moved AS (SELECT doc_id, page, text, idx, n, x1, y1 + 12 AS y1, x2, y2 + 12 AS y2 FROM own),
-o AS (SELECT a.doc_id, a.page, a.text, a.n, a.idx AS cand_no, list({{'ref': b.idx, 'iou': {IOU_SQL}}} ORDER BY {IOU_SQL} DESC, b.idx) AS choice
+#: Greedy pairing in SQL, as the tables ``own`` (n numbers the lines of one text on one page) and ``moved`` stand: each line of
+#: own in order takes the unused one of moved that it overlaps most.
+GREEDY_SQL = f"""o AS (SELECT a.doc_id, a.page, a.text, a.n, a.idx AS cand_no, list({{'ref': b.idx, 'iou': {IOU_SQL}}} ORDER BY {IOU_SQL} DESC, b.idx) AS choice
 FROM own a JOIN moved b ON a.doc_id = b.doc_id AND a.page = b.page AND a.text = b.text GROUP BY ALL),
 f AS (SELECT doc_id, page, text, n, cand_no, choice[1] AS pick, [choice[1].ref] AS used FROM o WHERE n = 1
 UNION ALL SELECT o.doc_id, o.page, o.text, o.n, o.cand_no, list_filter(o.choice, lambda c: NOT list_contains(f.used, c.ref))[1], list_append(f.used, list_filter(o.choice, lambda c: NOT list_contains(f.used, c.ref))[1].ref)
-FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.text = f.text AND o.n = f.n + 1)
+FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.text = f.text AND o.n = f.n + 1 WHERE len(f.used) < len(o.choice))"""
+OWN_SQL = f"WITH RECURSIVE {LINES_SQL}, own AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, text ORDER BY idx) AS n FROM lines WHERE text <> '')"
+
+
+@query(f"""{OWN_SQL},
+moved AS (SELECT doc_id, page, text, idx, x1, y1 + 12 AS y1, x2, y2 + 12 AS y2 FROM own), {GREEDY_SQL}
 SELECT doc_id, page, text, pick.ref AS ref_no, cand_no, CAST(pick.iou AS DOUBLE) AS iou FROM f""")
 def greedy_grounding(spark, sf_dir):
     """Lines against the same lines one place down, so that repeated lines compete."""
@@ -282,6 +287,23 @@ def greedy_grounding(spark, sf_dir):
     return metrics.greedy_matches(own, own.withColumns({"y1": F.col("y1") + 12, "y2": F.col("y2") + 12}), ["doc_id", "page"])
 
 
+@query(f"""{OWN_SQL},
+moved AS (SELECT doc_id, page, CASE WHEN (doc_id + pos) % 7 = 0 THEN text || '#' ELSE text END AS text, idx, x1, y1 + 3 AS y1, x2, y2 + 3 AS y2 FROM own WHERE (doc_id + pos) % 11 <> 0), {GREEDY_SQL},
+c AS (SELECT doc_id, page, text, count(*) AS c FROM own GROUP BY ALL), r AS (SELECT doc_id, page, text, count(*) AS r FROM moved GROUP BY ALL),
+bags AS (SELECT doc_id, page, CAST(sum(least(coalesce(c, 0), coalesce(r, 0))) AS BIGINT) AS matched, CAST(sum(coalesce(c, 0)) AS BIGINT) AS candidate, CAST(sum(coalesce(r, 0)) AS BIGINT) AS reference FROM c FULL JOIN r USING (doc_id, page, text) GROUP BY ALL),
+g AS (SELECT doc_id, page, count(*) AS grounded, avg(pick.iou) AS mean_iou FROM f GROUP BY ALL)
+SELECT b.doc_id, b.page, matched, candidate, reference, CAST(coalesce(grounded, 0) AS BIGINT) AS grounded, round(mean_iou, 6) AS mean_iou FROM bags b LEFT JOIN g ON b.doc_id = g.doc_id AND b.page = g.page""")
+def page_grounding(spark, sf_dir):
+    """The line catalog against a ground truth that lacks some lines, reads others differently and has all a little lower."""
+    whole = lines(spark, sf_dir).where("text <> ''").withColumn("document", F.col("doc_id"))
+    own = whole.select("document", "page", F.col("idx").alias("line_no"), "text", "x1", "y1", "x2", "y2")
+    text = F.when((F.col("doc_id") + F.col("pos")) % 7 == 0, F.concat("text", F.lit("#"))).otherwise(F.col("text"))
+    truth = whole.where("(doc_id + pos) % 11 <> 0").select("document", "page", F.col("idx").alias("line_no"), text.alias("text"), (F.col("x1") / 612).alias("xmin"), ((F.col("y1") + 3) / 792).alias("ymin"), (F.col("x2") / 612).alias("xmax"), ((F.col("y2") + 3) / 792).alias("ymax"))
+    sizes = own.select("document", "page").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    found = metrics.grounding_pages(own, truth, sizes)
+    return found.select(F.col("document").alias("doc_id"), "page", "lines.*", F.coalesce("grounding.matched", F.lit(0)).alias("grounded"), F.round("grounding.mean_iou", 6).alias("mean_iou"))
+
+
 @query(f"WITH {LINES_SQL} SELECT text, idx FROM lines WHERE doc_id % 2 = 0 INTERSECT ALL SELECT text, idx FROM lines WHERE doc_id % 2 = 1")
 def bag_intersect(spark, sf_dir):
     own = lines(spark, sf_dir)
