@@ -16,6 +16,9 @@ MODULES = {
     "op8_lm_scores": "lm",
     "op9_language_id": "langid",
     "op10_mix_sources": "mixing",
+    "op11_chat_formatting": "chat",
+    "op12_source_divergence": "divergence",
+    "op13_fill_in_middle": "fim",
 }
 
 

@@ -96,5 +96,5 @@ def test_edges(spark, tmp_path):
 
 
 def test_registration():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries() if n.startswith("op")) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries()) and "pipeline" in queries()
