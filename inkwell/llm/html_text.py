@@ -6,18 +6,24 @@ line is smoothed over its neighbours with a Gaussian, and a threshold between th
 The content region is the innermost container that holds nearly all dense text, widened to what belongs to it; a region is
 kept whole, so short paragraphs and sections between long ones stay.
 
-Tags are evidence: lines in an ``article`` or ``main`` count a few times over, so they win unless their text is much
-thinner than text elsewhere.  Containers that the page itself marks as something else (menus, headers, footers, sidebars,
-notices, adverts, forms, comments) never count.
+Tags and names are evidence: lines in an ``article`` or ``main`` count a few times over, and those in elements that the page
+itself marks as something else (menus, headers, footers, sidebars, notices, adverts, forms, comments) a few times less, so
+it is the ratios that decide.  A marked element that holds most of the page's text, or the article, is a wrapper, whatever
+its name; any other is left out of the region.  So are boxes of links.
+
+Containers are numbered in the order in which they open, so those within one are a range of numbers, and all sums over
+containers are differences of running sums: the time grows with the page only, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +33,8 @@ from .common import slices, table
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas select option textarea button head title audio video map datalist".split())
 #: Elements that hold something other than the article.
-ASIDE = frozenset("nav header footer aside form menu dialog".split())
+ASIDE = frozenset("nav header footer aside menu dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -43,9 +50,11 @@ MARKED = re.compile(
 _WHITE = re.compile(r"[ \t\n\r\f\v\x1c-\x1f\x85\xa0  -     　]+")
 
 
-#: How many times over the ratio of a line in an article or main counts, the part of the dense text that a region must hold,
-#: and the part of links from which a container is a list of links.
+#: How many times over the ratio of a line in an article or main counts (and how many times less in a marked element), the
+#: part of the dense text that a region must hold, and the part of links from which a container is a list of links.
 EVIDENCE, HOLDS, LINKS = 4.0, 0.9, 0.5
+#: Lines of a list of links, and lines that a marked element must have to be a wrapper of a page without article.
+MENU_LINES, WRAPPED_LINES = 3, 2
 
 
 @dataclass(frozen=True)
@@ -54,78 +63,92 @@ class Line:
     linked: int
     tags: int
     container: int
+    heading: bool = False
 
 
 @dataclass(frozen=True)
 class Open:
-    """An open element: what holds for the text in it.  ``article``: the outermost article or main around it, or -1."""
+    """An open element: what holds for the text in it.  ``block``: the place in the stack of the innermost block."""
 
     tag: str = ""
     hidden: bool = False
     container: int = 0
-    article: int = -1
     link: bool = False
+    block: int = 0
 
 
 class PageLines(HTMLParser):
-    """Lines of a page, and its containers by number: each one's parent and outermost article or main (-1 for none)."""
+    """Lines of a page, and its containers by number: each one's parent, its outermost article or main (-1 for none), and
+    whether it is marked: 0 not, 1 by a name or as a form, 2 by its tag."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack = [Open()]
-        self.parent, self.article = [-1], [-1]
+        self.places: dict[str, list[int]] = {}  # of the open elements of each tag in the stack
+        self.parent, self.article, self.marked = [-1], [-1], [0]
         self.lines: list[Line] = []
-        self.parts: list[str] = []
-        self.linked = self.tags = 0
+        self.parts: dict[int, list[str]] = {}  # of the current line, by container
+        self.linked: dict[int, int] = {}
+        self.tags = 0
 
     def _end_line(self) -> None:
-        text = _WHITE.sub(" ", "".join(self.parts)).strip(" ")
-        if text:
-            self.lines.append(Line(text, min(self.linked, len(text)), self.tags, self.stack[-1].container))
-        self.parts = []
-        self.linked = self.tags = 0
+        tag = self.stack[self.stack[-1].block].tag
+        for container, parts in self.parts.items():
+            text = _WHITE.sub(" ", "".join(parts)).strip(" ")
+            if text:
+                self.lines.append(Line(text, min(self.linked[container], len(text)), self.tags, container, tag in HEADINGS))
+        self.parts, self.linked = {}, {}
+        self.tags = 0
+
+    def _close(self, place: int) -> None:
+        for i in range(len(self.stack) - 1, place - 1, -1):
+            self.places[self.stack[i].tag].pop()
+        del self.stack[place:]
+
+    def _apart(self) -> None:
+        """What follows must not join the text before it."""
+        for parts in self.parts.values():
+            parts.append(" ")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._end_line()
             # An open paragraph (or item, cell) ends here, with whatever inline elements were left open in it.
-            for i in range(len(self.stack) - 1, 0, -1):
-                open_ = self.stack[i].tag
-                if tag in ENDED_BY.get(open_, ()):
-                    del self.stack[i:]
-                elif open_ in BLOCKS:
-                    break
+            while tag in ENDED_BY.get(self.stack[self.stack[-1].block].tag, ()):
+                self._close(self.stack[-1].block)
         self.tags += 1
         if tag in VOID:
             if tag == "br":
-                self.parts.append(" ")
+                self._apart()
             return
         around = self.stack[-1]
-        hidden, container, article = around.hidden, around.container, around.article
+        hidden, container = around.hidden, around.container
         if not hidden:
-            marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label"))
-            hidden = tag in SILENT or tag in ASIDE or (tag not in ("article", "main", "body", "html") and bool(marks) and bool(MARKED.search(marks))) or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-            # What follows must not join the text before it.
-            if hidden:
-                self.parts.append(" ")
-        if tag in CONTAINERS:
-            article = len(self.parent) if tag in ("article", "main") and article < 0 else article
-            self.parent.append(container)
-            self.article.append(article)
-            container = len(self.parent) - 1
-        self.stack.append(Open(tag, hidden, container, article, around.link or tag == "a"))
+            hidden = tag in SILENT or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+            mark = 0
+            if not hidden and tag not in ("article", "main", "body", "html"):
+                names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label"))
+                mark = 2 if tag in ASIDE else 1 if tag == "form" or (names and MARKED.search(names)) else 0
+            if hidden or mark:
+                self._apart()
+            if not hidden and (mark or tag in CONTAINERS):
+                article = self.article[container]
+                self.parent.append(container)
+                container = len(self.article)
+                self.article.append(container if tag in ("article", "main") and article < 0 else article)
+                self.marked.append(mark)
+        place = len(self.stack)
+        self.places.setdefault(tag, []).append(place)
+        self.stack.append(Open(tag, hidden, container, around.link or tag == "a", place if tag in BLOCKS else around.block))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self._end_line()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                break
-            # An inline end tag does not close the block around it.
-            if tag not in BLOCKS and self.stack[i].tag in BLOCKS:
-                break
+        open_ = self.places.get(tag)
+        # An inline end tag does not close the block around it.
+        if open_ and (tag in BLOCKS or open_[-1] > self.stack[-1].block):
+            self._close(open_[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -135,8 +158,53 @@ class PageLines(HTMLParser):
     def handle_data(self, data: str) -> None:
         now = self.stack[-1]
         if not now.hidden:
-            self.parts.append(data)
-            self.linked += len(data.strip()) * now.link
+            self.parts.setdefault(now.container, []).append(data)
+            self.linked[now.container] = self.linked.get(now.container, 0) + len(data.strip()) * now.link
+
+
+class Tree:
+    """A page's containers: the last one within each, depths, and which are left out as what they are marked as."""
+
+    def __init__(self, page: PageLines):
+        self.page, parent = page, page.parent
+        self.last = list(range(len(parent)))
+        for c in range(len(parent) - 1, 0, -1):
+            self.last[parent[c]] = max(self.last[parent[c]], self.last[c])
+        self.depth = [0] * len(parent)
+        for c in range(1, len(parent)):
+            self.depth[c] = self.depth[parent[c]] + 1
+        self.aside = self._asides()
+
+    def sums(self, values: list[float]) -> Callable[[int], float]:
+        """The sum over a container and all within it, of values of the lines."""
+        own = [0.0] * len(self.last)
+        for x, v in zip(self.page.lines, values, strict=True):
+            own[x.container] += v
+        return self.within(own)
+
+    def within(self, own: list[float]) -> Callable[[int], float]:
+        before = [0.0, *accumulate(own)]
+        return lambda c: before[self.last[c] + 1] - before[c]
+
+    def _asides(self) -> list[bool]:
+        """A marked element is a wrapper, whatever its mark, if at least half of the page's unlinked text is in it (text in
+        an article counts more) and no article is left outside.  Without any article, a tag is what it says, and so is a
+        single line."""
+        page = self.page
+        bare = [float(len(x.text) - x.linked) for x in page.lines]
+        in_article = [b if page.article[x.container] >= 0 else 0.0 for x, b in zip(page.lines, bare, strict=True)]
+        text, articles = self.sums([b + (EVIDENCE - 1) * a for a, b in zip(in_article, bare, strict=True)]), self.sums(in_article)
+        lines = self.sums([1.0] * len(bare))
+        out = [False] * len(page.parent)
+        for c in range(1, len(out)):
+            around = page.parent[c]
+            out[c] = out[around]
+            if page.marked[c] and not out[c]:
+                # Articles within it, if it isn't within one itself.
+                inner = articles(c) if page.article[around] < 0 else 0.0
+                alone = articles(c) >= articles(0) and (articles(0) > 0 or (page.marked[c] == 1 and lines(c) >= WRAPPED_LINES))
+                out[c] = not ((inner > 0 or alone) and 2 * text(c) >= text(0) > 0)
+        return out
 
 
 def smoothed(values: list[float], sigma: float = 1.0, reach: int = 2) -> list[float]:
@@ -167,51 +235,70 @@ def threshold(values: list[float]) -> float:
     return at
 
 
-def line_ratios(page: PageLines) -> list[float]:
-    """Unlinked text to tags of each line; lines in an article or main count EVIDENCE times over."""
-    return [(len(x.text) - x.linked) / max(1, x.tags) * (EVIDENCE if page.article[x.container] >= 0 else 1.0) for x in page.lines]
+def line_ratios(page: PageLines, tree: Tree | None = None) -> list[float]:
+    """Unlinked text to tags of each line; lines in an article or main count EVIDENCE times over, marked ones so much less."""
+    tree = tree or Tree(page)
+    return [(len(x.text) - x.linked) / max(1, x.tags) * weight(tree, x.container) for x in page.lines]
+
+
+def weight(tree: Tree, container: int) -> float:
+    return 1 / EVIDENCE if tree.aside[container] else EVIDENCE if tree.page.article[container] >= 0 else 1.0
 
 
 def dense_lines(ratios: list[float]) -> list[bool]:
     """Which lines belong to the denser cluster, by the logarithms of their smoothed ratios."""
     logs = [math.log1p(r) for r in smoothed(ratios)]
-    least = threshold(logs)
+    least = min(threshold(logs), max(logs))  # the mean of equal numbers may be rounded above them
     return [x >= least for x in logs]
 
 
-def content_lines(page: PageLines, ratios: list[float]) -> list[Line]:
+def content_lines(page: PageLines, ratios: list[float], tree: Tree | None = None) -> list[Line]:
     """The lines of the content region."""
-    lines, chains = page.lines, {}
-    for x in lines:
-        if x.container not in chains:
-            chain, at = [], x.container
-            while at >= 0:
-                chain.append(at)
-                at = page.parent[at]
-            chains[x.container] = chain  # the container and all around it, innermost first
+    tree, lines = tree or Tree(page), page.lines
     # The innermost container that holds nearly all dense text.
-    held: dict[int, int] = {}
-    for x, dense in zip(lines, dense_lines(ratios), strict=True):
-        for c in chains[x.container] if dense else ():
-            held[c] = held.get(c, 0) + len(x.text)
-    depth = {c: len(chain) - i for chain in chains.values() for i, c in enumerate(chain)}
-    region = max((c for c, n in held.items() if n >= HOLDS * held[0]), key=lambda c: depth[c])
+    held = tree.sums([len(x.text) * weight(tree, x.container) if dense else 0.0 for x, dense in zip(lines, dense_lines(ratios), strict=True)])
+    region = max((c for c in range(len(page.parent)) if held(c) >= HOLDS * held(0)), key=lambda c: (tree.depth[c], -c))
+    size, linked, number = tree.sums([float(len(x.text)) for x in lines]), tree.sums([float(x.linked) for x in lines]), tree.sums([1.0] * len(lines))
+    lists = [linked(c) > LINKS * size(c) and number(c) >= MENU_LINES for c in range(len(page.parent))]
+    menus = tree.within([float(x) for x in lists])
     if page.article[region] >= 0:
         region = page.article[region]  # a headline may stand in a box of its own
-    # Widen the region as long as what is added to it isn't mostly links.
-    while page.parent[region] >= 0 and page.article[region] < 0:
-        added = [x for x in lines if page.parent[region] in chains[x.container] and region not in chains[x.container]]
-        if sum(x.linked for x in added) > LINKS * sum(len(x.text) for x in added):
+    # Widen the region until what is added is mostly links or holds a list of them: that is the frame of the page.
+    at = region
+    while page.parent[at] >= 0 and page.article[region] < 0:
+        at = around = page.parent[at]
+        if menus(around) - menus(region) > 0 or linked(around) - linked(region) > LINKS * (size(around) - size(region)):
             break
-        region = page.parent[region]
-    inside = [x for x in lines if region in chains[x.container]]
-    # Lists of links next to the content are menus; within an article they are part of it.
-    size, linked = {}, {}
-    for x in inside:
-        size[x.container] = size.get(x.container, 0) + len(x.text)
-        linked[x.container] = linked.get(x.container, 0) + x.linked
-    menus = {c for c, n in size.items() if c != region and page.article[c] < 0 and linked[c] > LINKS * n}
-    return [x for x in inside if x.container not in menus]
+        region = around if number(around) > number(region) else region
+    # Where the region is the frame of the page: single lines in boxes of their own, if they are thin beside the other boxes.
+    thin = thin_boxes(page, tree, region, ratios, number, lists) if menus(region) - lists[region] > 0 and page.article[region] < 0 else set()
+    # Boxes of links in the region are menus; so is a link that stands alone in a box next to the content.
+    own_size, own_linked = [0] * len(lists), [0] * len(lists)
+    for x in lines:
+        own_size[x.container] += len(x.text)
+        own_linked[x.container] += x.linked
+    out = list(tree.aside)
+    for c in range(region + 1, tree.last[region] + 1):
+        lone = page.article[c] < 0 and own_size[c] > 0 and own_linked[c] > LINKS * own_size[c]
+        out[c] = out[c] or lists[c] or lone or c in thin or (page.parent[c] != region and out[page.parent[c]])
+    return [x for x in lines if region <= x.container <= tree.last[region] and not out[x.container]]
+
+
+def thin_boxes(page: PageLines, tree: Tree, region: int, ratios: list[float], number: Callable, lists: list[bool]) -> set[int]:
+    """Boxes right within a region that hold one line without heading and belong to the thinner cluster of boxes, by the
+    highest ratio of a line in each."""
+    boxes = [c for c in range(region + 1, tree.last[region] + 1) if page.parent[c] == region and not tree.aside[c] and number(c) > 0 and not lists[c]]
+    if len(boxes) < 2:
+        return set()
+    highest, headed = [0.0] * len(boxes), set()
+    for x, r in zip(page.lines, ratios, strict=True):
+        i = bisect_right(boxes, x.container) - 1
+        if i >= 0 and x.container <= tree.last[boxes[i]]:
+            highest[i] = max(highest[i], r)
+            headed |= {boxes[i]} if x.heading else set()
+    logs = [math.log1p(r) for r in highest]
+    least = min(threshold(logs), max(logs))
+    return {c for c, x in zip(boxes, logs, strict=True) if x < least and number(c) == 1 and c not in headed}
 
 
 def page_lines(html: str | None) -> PageLines:
@@ -225,7 +312,10 @@ def page_lines(html: str | None) -> PageLines:
 def main_text(html: str | None) -> str:
     """Blocks of the main text in page order, joined by an empty line; empty if there is none."""
     page = page_lines(html)
-    return "\n\n".join(x.text for x in content_lines(page, line_ratios(page))) if page.lines else ""
+    if not page.lines:
+        return ""
+    tree = Tree(page)
+    return "\n\n".join(x.text for x in content_lines(page, line_ratios(page, tree), tree))
 
 
 def extract_text(pages: DataFrame, *, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
