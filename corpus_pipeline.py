@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import written
-from inkwell.llm.langid import UNDETERMINED, identify
+from inkwell.llm.common import free, written
+from inkwell.llm.langid import ADDED, UNDETERMINED, identify
 from inkwell.llm.mixing import TARGETS, mix_documents
 from inkwell.llm.packing import pack_documents
 from inkwell.llm.setjoin import jaccard_components
@@ -21,7 +21,8 @@ SIMILARITY, SHINGLE = 80, 5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language can be told: texts that are null or have no letters go.  Null keys and repeated rows
     are kept; an empty table stays empty."""
-    return identify(docs).where(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
+    names = free(docs.columns, *ADDED)
+    return identify(docs, names=tuple(names)).where(F.col(names[1]) != UNDETERMINED).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

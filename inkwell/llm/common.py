@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names for added columns: those given, with underscores added as long as a column has that name."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new, unused path in the shared folder."""
     return f"{shared_dir(spark)}/inkwell-{what}-{uuid.uuid4().hex}"

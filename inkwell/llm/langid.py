@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes
+from .common import free, slices, table, text_bytes
 
 #: Labelled rows that the machines are fitted on, about as many of each language (all of a language that has no more), and
 #: the least that a language gets of them when there are very many.  Rows are chosen by a hash; predictions cover all rows.
@@ -139,6 +139,10 @@ class Identifier:
         return names, score
 
 
+#: The columns that ``identify`` adds.
+ADDED = ("held_out", "lang_pred", "score")
+
+
 def choose(labelled: DataFrame, text: str, lang: str, key: str) -> DataFrame | None:
     """lang, text and h of about SAMPLE rows, split evenly over the languages; None if there are no rows.
 
@@ -177,33 +181,35 @@ def fit(labelled: DataFrame, text: str, lang: str, key: str) -> Identifier | Non
     return Identifier(x, np.array(got["lang"].to_pylist(), dtype=object)) if got.num_rows else None
 
 
-def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5) -> DataFrame:
-    """Every row of ``docs`` with held_out, lang_pred and score added.
+def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, names: tuple[str, str, str] = ADDED) -> DataFrame:
+    """Every row of ``docs`` with three columns added: whether it is held out, its language and a score.
 
     Learns from rows with a text, a language and a key whose crc32 (as text) modulo ``folds`` is not 0; a row with a null
     key is held out.  ``und`` with score 0: null texts, texts without letters, and all texts if there is nothing to learn
     from.  A text of any length is read whole.  Repeated rows are kept, and an empty table gives no rows.  Columns of the
-    names that are added are replaced.
+    names that are added are replaced; others are kept, whatever they are called.
     """
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == 0, F.lit(True))
-    docs = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out).withColumn("_has_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    model = fit(docs.where(~F.col("held_out") & F.col("_has_letters") & F.col(lang).isNotNull()).select(key, text, lang), text, lang, key)
+    held, predicted, sure = names
+    (letters,) = free([*docs.columns, *names], "has_letters")
+    docs = docs.drop(*names).withColumn(held, held_out).withColumn(letters, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    model = fit(docs.where(~F.col(held) & F.col(letters) & F.col(lang).isNotNull()).select(key, text, lang), text, lang, key)
     shared = spark.sparkContext.broadcast(model)  # its size depends on the number of languages only
-    names = [c for c in docs.columns if c != "_has_letters"]
+    kept = [c for c in docs.columns if c != letters]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in kept) + f", `{predicted}` string, `{sure}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            found = batch.column("_has_letters").to_numpy(zero_copy_only=False).astype(bool)
+            found = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
             if shared.value is None:
                 found = np.zeros(batch.num_rows, bool)
                 lang_pred, score = np.empty(batch.num_rows, object), np.zeros(batch.num_rows)
             else:
                 lang_pred, score = shared.value.predict(batch.column(text))
             lang_pred[~found], score[~found] = UNDETERMINED, 0.0
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(lang_pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(lang_pred, pa.string()), pa.array(score)], names=[*kept, predicted, sure])
 
     return docs.mapInArrow(run, schema)
 

@@ -1,14 +1,17 @@
 """Language-model scores from a weighted backoff automaton that is learned on Spark.
 
-The model is a trigram model, each order smoothed towards the one below with a Dirichlet prior:
+The model is a trigram model, each order smoothed towards the one below with a Dirichlet prior of weight m1 and m2:
 
     P(w)       = (c(w) + 1) / (N + V + 1)
-    P(w | v)   = (c(v w) + MU[0] P(w)) / (c(v) + MU[0])
-    P(w | u v) = (c(u v w) + MU[1] P(w | v)) / (c(u v) + MU[1])
+    P(w | v)   = (c(v w) + m1 P(w)) / (c(v) + m1)
+    P(w | u v) = (c(u v w) + m2 P(w | v)) / (c(u v) + m2)
+
+The weights come from the training counts alone: with one occurrence left out, the priors must take as much probability as
+there are n-grams that occur once (``prior_weight``).  No held-out text has a part in them.
 
 As an automaton: the root has an arc for every word; each known word v and each known pair u v is a state; its arcs are the
 n-grams seen after it, each with the smoothed log-probability of its word, and they lead to the state of the longest known
-history.  For any other word a state has a failure arc, of weight MU / (c + MU), to the state with one word less.  One
+history.  For any other word a state has a failure arc, of weight m / (c + m), to the state with one word less.  One
 left-to-right traversal of a text carries the state, follows arcs and failure arcs, and adds up log-probabilities.
 
 Counts cover all training documents and are never cut.  Texts are handled in blocks; each gets the whole-corpus counts of
@@ -23,10 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back, mix, table, text_bytes, words
-from .ngram_counts import SHORT, WHOLE, block_counts, numbered, shards_for, told, total_of
+from .ngram_counts import SHORT, WHOLE, block_counts, numbered, prior_weight, shards_for, told, total_of
 
-#: Weights of the priors in histories of one word and of two: about the best for held-out texts of the test data.
-MU = (1000.0, 10.0)
 #: Tokens that one walker reads; a longer text is read by several at once.
 WALK = 512
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -167,10 +168,11 @@ class Automaton:
         return np.bincount(row, weights=total, minlength=len(runs))
 
 
-def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, mu: tuple[float, float] = MU) -> DataFrame:
+def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, mu: tuple[float, float] | None = None) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Learns from rows whose crc32 (of the key as text) modulo ``folds`` is not ``held``; a row with a null key is held out.
+    ``mu``: weights of the priors; worked out from the training counts if they aren't given.
     A null or empty text is its end token alone; a text of any length is read whole.  Repeated rows count as often as they
     stand there.  If nothing is left to learn from, every token has the probability 1 (N = V = 0).  An empty table gives
     no rows.  Other columns are not looked at.  ``docs`` is read twice and must give the same rows in the same order each
@@ -183,6 +185,7 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fol
     kind = docs.schema[key].dataType.simpleString()
     answers = block_counts(docs, text, lambda part: training_counts(part, text), [WHOLE, SHORT, SHORT], shards, "counts")
     vocabulary, tokens = total_of(answers, 0)
+    mu = mu or (prior_weight(answers, 0), prior_weight(answers, 1))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

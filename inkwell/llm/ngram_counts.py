@@ -22,7 +22,9 @@ BLOCK_BYTES, SHARD_ROWS = 4 << 20, 1_500_000
 #: Stored bytes of an n-gram's hash besides its shard.  Two n-grams of a shard are taken for one with a chance of about
 #: SHARD_ROWS / 2**40 for each; ``WHOLE`` stores all eight bytes.
 SHORT, WHOLE = 5, 8
-ANSWERS = "block long, shard int, kind int, totals binary, known long, tokens long"
+ANSWERS = "block long, shard int, kind int, totals binary, known long, tokens long, ones long, spread array<double>"
+#: Weights of a prior for which ``spread`` is worked out.
+WEIGHTS = np.logspace(-2, 7, 73)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.Table]]:
@@ -60,7 +62,8 @@ def _unsqueeze(data: pa.Buffer, n: int) -> np.ndarray:
 
 def block_counts(docs: DataFrame, text: str, distinct: Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray]]], widths: list[int], shards: int, name: str, prepare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter) -> DataFrame:
     """The answers to all blocks of ``docs``, a stored table: block, shard, kind, totals; and in one row of each shard the
-    number of n-grams with a count above 0 (``known``) and the sum of counts (``tokens``).
+    number of n-grams with a count above 0 (``known``) and of 1 (``ones``), the sum of counts (``tokens``), and that of
+    c w / (c - 1 + w) over counts c for each w of WEIGHTS (``spread``).
 
     ``distinct`` gives, for each kind of n-gram, a block's sorted distinct keys and their counts in the block.
     ``prepare`` sees the batches of each partition first, and may add columns to them.
@@ -93,7 +96,10 @@ def block_counts(docs: DataFrame, text: str, distinct: Callable[[pa.Table], list
         answers = [_squeeze(total[at[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         known, tokens = np.zeros(len(answers), np.int64), np.zeros(len(answers), np.int64)
         known[0], tokens[0] = int((total > 0).sum()), int(total.sum())
-        out = pa.table({"block": part["block"], "shard": part["shard"], "kind": part["kind"], "totals": pa.array(answers, pa.binary()), "known": known, "tokens": tokens})
+        ones, spread = np.zeros(len(answers), np.int64), [[] for _ in answers]
+        sizes_, times = np.unique(total[total > 0], return_counts=True)
+        ones[0], spread[0] = int((total == 1).sum()), [float((times * sizes_ * w / (sizes_ - 1 + w)).sum()) for w in WEIGHTS]
+        out = pa.table({"block": part["block"], "shard": part["shard"], "kind": part["kind"], "totals": pa.array(answers, pa.binary()), "known": known, "tokens": tokens, "ones": ones, "spread": pa.array(spread, pa.list_(pa.float64()))})
         del keys, at, counts, total
         give_back()
         return out
@@ -134,3 +140,18 @@ def told(answers: pa.Table, kind: int, keys: np.ndarray, shards: int) -> np.ndar
 def total_of(answers: DataFrame, kind: int) -> tuple[int, int]:
     """(distinct n-grams with a count above 0, sum of counts) of a kind."""
     return tuple(x or 0 for x in answers.where(F.col("kind") == kind).agg(F.sum("known"), F.sum("tokens")).first())
+
+
+def prior_weight(answers: DataFrame, kind: int) -> float:
+    """The weight of the prior in the histories of ``kind``, such that it takes as much of the probability of training n-grams
+    as there are n-grams that nothing else in the training texts foretells: those that occur once.
+
+    With one occurrence left out, a history of count c gives its prior w / (c - 1 + w); summed over all occurrences this must
+    be the number of n-grams of the next kind with the count 1.
+    """
+    ones = answers.where(F.col("kind") == kind + 1).agg(F.sum("ones")).first()[0] or 0
+    sums = answers.where(F.col("kind") == kind).select(F.posexplode("spread").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()  # a row a weight
+    if not sums:
+        return 1.0
+    spread = np.array([r["x"] for r in sorted(sums, key=lambda r: r["i"])])
+    return float(np.exp(np.interp(ones, spread, np.log(WEIGHTS))))

@@ -29,6 +29,8 @@ from .common import mix, scratch, slices, table, written
 from .tokens import encoder, with_end
 
 END_ID = 2
+#: Bytes of text and rows of a shard: its keys and sizes are held in memory.
+SHARD_BYTES, SHARD_ROWS = 256 << 20, 4_000_000
 MAGIC = b"INKTOK02"
 #: Stands for a null key; null keys sort first.
 NULL_KEY = -(1 << 63)
@@ -148,14 +150,16 @@ def write_tokens(docs: DataFrame, path: str, *, folder: str, key: str = "doc_id"
     part (its place), shard (path without suffix), first_key, last_key, n_rows, n_ids, base (ids in all shards before it).
 
     Rows are dealt by ranges of keys, so shards follow one another in key order; the rows of a key that very many have go to
-    as many shards as they need.  Null keys come first, under a key of their own; null texts count as empty (only the end
+    as many shards as they need.  Without a number, a shard has about SHARD_BYTES of text, and SHARD_ROWS rows, at most.  Null keys come first, under a key of their own; null texts count as empty (only the end
     id); a text of any length is encoded whole; repeated keys are all kept.  An empty table has no shards.  Other columns
     are not looked at.
     """
-    spark = docs.sparkSession
+    if not shards:
+        number, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+        shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + (size or 0) // SHARD_BYTES, 1 + number // SHARD_ROWS)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias(key), text).withColumns({"_h": F.xxhash64(text), "_i": F.monotonically_increasing_id()})
     by = [key, "_h", "_i"]
-    rows = (rows.repartitionByRange(shards, *by) if shards else rows.repartitionByRange(*by)).sortWithinPartitions(*by).select(key, text)
+    rows = rows.repartitionByRange(shards, *by).sortWithinPartitions(*by).select(key, text)
     schema = "part int, shard string, first_key long, last_key long, n_rows long, n_ids long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,12 +55,11 @@ HOST_WORDS = {
 }
 #: Paths that hold no text of a site: programs, archives, logins, search results, feeds, endless calendars.
 PATHS = {
-    r"\.(?:apk|exe|msi)$": (),
-    r"\.(?:gz|iso|rar|zip)$": (),
+    **{rf"\.{suffix}$": (suffix,) for suffix in "apk exe msi gz iso rar zip".split()},
     r"/wp-(?:admin|login)": ("wp",),
     r"/cgi-bin/": ("cgi", "bin"),
     r"/xmlrpc\.php$": ("xmlrpc", "php"),
-    r"/(?:search|suche|recherche|buscar)/?$": (),
+    **{rf"/{word}/?$": (word,) for word in "search suche recherche buscar".split()},
     r"/feed/?$": ("feed",),
     r"/calendar/[0-9]{4}/[0-9]{1,2}/": ("calendar",),
     r";jsessionid=": ("jsessionid",),

@@ -594,3 +594,83 @@ def test_bounded_raking(spark, size):
     assert abs(kept - size) < 0.02
     shares = {(r.margin, r.category): (r.target, r.share) for r in mixing.reached(fitted, {"source": 0.5, "lang": 0.7}).collect()}
     assert shares["source", "rare"][1] < shares["source", "rare"][0] and abs(shares["lang", "l1"][0] - shares["lang", "l1"][1]) < 0.01
+
+
+def test_targets_within_reach(spark):
+    """No tempered target passes what its category has; what is missing goes to the others in proportion."""
+    rng = np.random.default_rng(3)
+    for size in (0.1, 0.5, 0.9, 1.0):
+        held = {f"c{i}": int(x) for i, x in enumerate(rng.zipf(1.4, 9) * 10)}
+        total = sum(held.values())
+        share = {k: n**0.3 for k, n in held.items()}
+        most = {k: n / total / size for k, n in held.items()}
+        full = set()
+        while True:  # give all to whoever asks for more, until nobody does
+            rest = (1 - sum(most[k] for k in full)) / max(1e-300, sum(s for k, s in share.items() if k not in full))
+            more = {k for k in share if k not in full and share[k] * rest > most[k] * (1 + 1e-12)}
+            if not more:
+                break
+            full |= more
+        want = {k: most[k] if k in full else share[k] * rest for k in share}
+        df = spark.createDataFrame([(k, n) for k, n in held.items()], "m string, tokens long")
+        got = {r.m: r.target for r in mixing.target_shares(df, "m", 0.3, size).collect()}
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want) and abs(sum(got.values()) - 1) < 1e-9
+
+
+def test_topics_are_clusters(spark):
+    """Centres and clusters against a plain version, in whole numbers."""
+    rng = np.random.default_rng(5)
+    kinds = ["plain words go on and on here. ", "12 34 5678 90 figures 7 ", "a | b | c\t| d | ", "<p>{x}=[y]#&% </p> ", "LOUD WORDS ARE HERE ", "Item\nOther\nThird\n"]
+    texts = [kinds[int(i)] * int(rng.integers(1, 20)) + kinds[0] * int(rng.integers(0, 3)) for i in rng.integers(0, 6, 300)] + [None, "", " "]
+    marks = list(mixing.FORM.values())
+    python = [m.replace(r"\p{Lu}", "[A-Z]") for m in marks]
+    points = [None if t is None else [int(np.floor(1000 * (len(re.findall(m, t)) / max(1, len(t))) ** 0.5 + 0.5)) for m in python] for t in texts]
+    centres = {k: tuple(map(float, v)) for k, v in mixing.TOPICS.items()}
+    near = lambda p: min(centres, key=lambda k: (sum((a - b) ** 2 for a, b in zip(p, centres[k])), k))
+    for _ in range(mixing.MOVES):
+        groups = {}
+        for p in points:
+            if p is not None:
+                groups.setdefault(near(p), []).append(p)
+        centres = centres | {k: tuple(sum(c) / len(ps) for c in zip(*ps)) for k, ps in groups.items()}
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("form", mixing.form_of(F.col("text")))
+    assert [r.form for r in df.sort("i").collect()] == points
+    got = mixing.topic_centres(df)
+    assert all(np.allclose(got[k], centres[k]) for k in centres)
+    named = [r.t for r in df.sort("i").select(mixing.nearest(F.col("form"), got).alias("t")).collect()]
+    assert named[:-3] == [near(p) for p in points[:-3]] and len(set(named[:-3])) >= 5
+
+
+def test_slow_fitting_goes_on_and_contradictions_are_told(spark):
+    """A chain of cells through which shares travel slowly is fitted to the end; targets that contradict each other end early."""
+    rows = [(f"a{i}", f"b{j}", 1000) for i in range(8) for j in (i, i + 1) if j < 8]
+    df = spark.createDataFrame(rows, "a string, b string, tokens long")
+    targets = {"a": {f"a{i}": (1 + i) / 36 for i in range(8)}, "b": {f"b{i}": (1.3 if i % 2 else 0.7) * (1 + i) / 36.6 for i in range(8)}}
+    with pytest.warns(UserWarning, match="can't be met|had not ended"):
+        mixing.rake(spark.createDataFrame([("x", "u", 10), ("y", "v", 10)], "a string, b string, tokens long"), {"a": {"x": 0.9, "y": 0.1}, "b": {"u": 0.1, "v": 0.9}}, 0.5)
+    fitted = mixing.rake(df, {"a": 0.5, "b": 0.3}, 0.4)
+    off = [abs(r.share / r.target - 1) for r in mixing.reached(fitted, {"a": 0.5, "b": 0.3}, 0.4).collect()]
+    assert max(off) < 2 * mixing.TOLERANCE and targets
+
+
+def test_prior_weights_solve_their_equation(spark):
+    """Against counters: with one occurrence left out, priors take as much as there are n-grams that occur once."""
+    rng = np.random.default_rng(21)
+    texts = [(i, " ".join(f"v{int(x) % 60}" for x in rng.zipf(1.4, 40))) for i in range(80)]
+    uni, bi, tri, seen = Counter(), Counter(), Counter(), []
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w = [*word_list(t), "</>"]
+            uni.update(w)
+            bi.update(zip(["<>", *w], w))
+            tri.update(zip(["<>", *w], w, w[1:]))
+    real = lm.prior_weight
+    lm.prior_weight = lambda answers, kind: seen.append(real(answers, kind)) or seen[-1]
+    try:
+        lm.score_texts(make(spark, texts)).count()
+    finally:
+        lm.prior_weight = real
+    for weight, history, grams in zip(seen, (uni, bi), (bi, tri)):
+        ones = sum(n == 1 for n in grams.values())
+        mass = sum(c * weight / (c - 1 + weight) for c in history.values())
+        assert len(seen) == 2 and abs(mass / ones - 1) < 0.02
