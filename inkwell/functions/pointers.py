@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def escape(part: Column) -> Column:
@@ -45,18 +42,49 @@ def resolve(value, pointer: str):
     return value
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("path", "string").add("value", "string")))
-def leaf_pointers(text: pd.Series) -> pd.Series:
-    """Pointers of all leaves of a JSON text; null for text that isn't JSON."""
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
 
-    def one(x):
-        try:
-            found = leaves(json.loads(x))
-        except (TypeError, ValueError):
-            return None
-        return [{"path": p, "value": v if isinstance(v, str) else json.dumps(v)} for p, v in found]
 
-    return text.map(one)
+def nodes(docs: DataFrame, variant: str, root: str = "/data", depth: int | None = None) -> DataFrame:
+    """The rows of ``docs`` (other columns than ``variant``) with path and node: one for each value in a VARIANT column, the
+    whole, its members, theirs and so on.
+
+    Each level is a lateral ``variant_explode`` of the containers of the level above, so all is one chain of generators
+    without a shuffle.  ``depth`` is the number of levels below the root; if it isn't given, levels are added until one
+    holds no containers, which looks at the table once a level.  A null variant has no nodes.
+    """
+    keep = [c for c in docs.columns if c != variant]
+    level = docs.where(F.col(variant).isNotNull()).select(*keep, F.lit(root).alias("path"), F.col(variant).alias("node"))
+    out, below = level, 0
+    while depth is None or below < depth:
+        held = level.where(_kind(F.col("node")).rlike("^(OBJECT|ARRAY)"))
+        if depth is None and held.isEmpty():
+            break
+        part = F.coalesce(escape(F.col("key")), F.col("pos").cast("string"))
+        level = held.lateralJoin(held.sparkSession.tvf.variant_explode(F.col("node").outer())).select(*keep, F.concat("path", F.lit("/"), part).alias("path"), F.col("value").alias("node"))
+        out, below = out.unionByName(level), below + 1
+    return out
+
+
+def leaf_pointers(docs: DataFrame, variant: str, depth: int | None = None) -> DataFrame:
+    """The other columns of ``docs``, path and value (as text) of every scalar in a VARIANT column that isn't null."""
+    return nodes(docs, variant, depth=depth).where(~_kind(F.col("node")).rlike("^(OBJECT|ARRAY|VOID)")).withColumn("value", F.col("node").cast("string")).drop("node")
+
+
+def resolved(value: Column, pointer: Column) -> Column:
+    """The VARIANT that a pointer below /data names in a VARIANT; null if nothing is there (a JSON null is a VARIANT).
+
+    One step for each part of the pointer: a member by its name, or an element by its number.
+    """
+    def step(at: Column, raw: Column) -> Column:
+        part = F.replace(F.replace(raw, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+        member = F.try_element_at(F.try_variant_get(at, "$", "map<string,variant>"), part)
+        number = F.when(part.rlike("^[0-9]{1,9}$"), part).cast("int")
+        return F.coalesce(member, F.get(F.try_variant_get(at, "$", "array<variant>"), number))
+
+    parts = F.slice(F.split(pointer, "/"), 3, F.greatest(F.size(F.split(pointer, "/")) - 2, F.lit(0)))
+    return F.when(F.startswith(pointer, F.lit("/data/")), F.aggregate(parts, value, step))
 
 
 def is_generic_metadata(path: Column) -> Column:

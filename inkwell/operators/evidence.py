@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import pointers as P
 from inkwell.functions import text as X
+from inkwell.operators import schemas as S
 
 SCHEMA_BYTES = 100 * 1024
 CODES = ("unreadable", "ambiguous", "missing", "unsupported", "conflict")
@@ -38,8 +40,16 @@ def _keyword_problem(name: str, value: object) -> str | None:
     if name == "required":
         fine = isinstance(value, list) and all(isinstance(x, str) for x in value) and len(set(value)) == len(value)
         return None if fine else "required must list distinct names"
+    if name == "pattern" and isinstance(value, str) or name == "patternProperties" and isinstance(value, dict):
+        try:
+            [re.compile(x) for x in ([value] if isinstance(value, str) else value)]
+        except re.error:
+            return f"{name} is no regular expression"
+    lists = isinstance(value, dict) and all(isinstance(x, list) and all(isinstance(k, str) for k in x) for x in value.values())
     tests = {
         "enum": isinstance(value, list),
+        "dependentRequired": lists,
+        "uniqueItems": isinstance(value, bool),
         **dict.fromkeys(ONE, isinstance(value, (dict, bool))),
         **dict.fromkeys(MANY, isinstance(value, list) and bool(value)),
         **dict.fromkeys(NAMED, isinstance(value, dict)),
@@ -75,7 +85,11 @@ def schema_problems(schema: object) -> list[str]:
         return ["the schema must be an object"]
     problems = ["the schema is larger than 100 KiB"] * (len(json.dumps(schema).encode()) > SCHEMA_BYTES) + ["the root must be of type object"] * (schema.get("type") != "object")
     level: list[tuple[str, object]] = [("#", schema)]
+    depth = 0
     while level:  # all schemas of one depth
+        if depth > S.DEEPEST:
+            return [*problems, "the schema is nested too deeply"]
+        depth += 1
         below: list[tuple[str, object]] = []
         for at, one in level:
             if isinstance(one, bool):
@@ -101,21 +115,8 @@ def generic_schema() -> dict:
 
 
 def conforms(value: object, schema: dict) -> bool:
-    """Whether a value meets a schema of the strict subset."""
-    if "anyOf" in schema:
-        return any(conforms(value, s) for s in schema["anyOf"])
-    if "enum" in schema and value not in schema["enum"]:
-        return False
-    kinds = schema.get("type", [])
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    tests = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
-    if kinds and not any(isinstance(value, tests[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
-        return False
-    if isinstance(value, dict) and "properties" in schema:
-        return set(value) == set(schema["properties"]) and all(conforms(v, schema["properties"][k]) for k, v in value.items())
-    if isinstance(value, list) and "items" in schema:
-        return all(conforms(v, schema["items"]) for v in value)
-    return True
+    """Whether a value meets a schema (``read_envelopes`` compiles one once in each task instead)."""
+    return not S.problems_of(value, S.compile_schema(schema))
 
 
 def read_envelopes(extractions: DataFrame, schema: dict | None = None) -> DataFrame:
@@ -123,9 +124,9 @@ def read_envelopes(extractions: DataFrame, schema: dict | None = None) -> DataFr
     wanted = schema or generic_schema()
     kind = "status string, evidence array<struct<path:string,line_ids:array<string>,quote:string>>, leaves array<string>, n_issues int, errors array<string>, has_data boolean"
 
-    def one(text: str | None) -> tuple:
+    def one(text: str | None, compiled: S.Schema) -> tuple:
         try:
-            x = json.loads(text or "")
+            x = S.read_json(text)
             errors = []
         except ValueError:
             return None, [], [], 0, ["the result is not JSON"], False
@@ -142,8 +143,8 @@ def read_envelopes(extractions: DataFrame, schema: dict | None = None) -> DataFr
         issues = x["issues"] if isinstance(x["issues"], list) else [None]
         if any(not isinstance(i, dict) or i.get("code") not in CODES or not isinstance(i.get("message"), str) for i in issues):
             errors.append("malformed issue")
-        if x["data"] is not None and not conforms(x["data"], wanted):
-            errors.append("data does not meet the schema")
+        if x["data"] is not None:
+            errors += [f"data{path or ' as a whole'} does not meet the schema: {keyword}" for path, keyword in S.problems_of(x["data"], compiled)]
         if x["status"] == "complete" and (x["data"] is None or issues):
             errors.append("a complete result needs data and has no issues")
         if x["status"] == "partial" and not issues:
@@ -153,15 +154,15 @@ def read_envelopes(extractions: DataFrame, schema: dict | None = None) -> DataFr
         return x["status"], evidence, [p for p, _ in P.leaves(x["data"])], len(issues), errors, x["data"] is not None
 
     def run(batches):
-        names = ["status", "evidence", "leaves", "n_issues", "errors", "has_data"]
+        names, compiled = ["status", "evidence", "leaves", "n_issues", "errors", "has_data"], S.compile_schema(wanted)
         for batch in batches:
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame([one(t) for t in batch.result], columns=names)], axis=1)
+            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame([one(t, compiled) for t in batch.result], columns=names)], axis=1)
 
     return extractions.select("doc_id", "result").mapInPandas(run, "doc_id string, " + kind)
 
 
 def check_evidence(read: DataFrame, lines: DataFrame, generic: bool = True, fold: bool = True) -> DataFrame:
-    """Check each evidence: doc_id, ev_no, path, quote, known_ids, path_ok, quote_ok, trusted.
+    """Check each evidence: doc_id, ev_no, path, line_ids, quote, known_ids, path_ok, quote_ok, trusted.
 
     Lines are joined by one blank in the order cited; the quote must occur in them, white space and case aside
     (``fold=False``: lower case stays in the JVM, for ASCII).  No evidence refers to what its document does not hold.
@@ -176,7 +177,7 @@ def check_evidence(read: DataFrame, lines: DataFrame, generic: bool = True, fold
     )
     lower = X.casefold if fold else F.lower
     plain = lambda c: lower(X.normalize_inline(c, compose=fold))
-    checked = each.join(joined, ["doc_id", "ev_no"]).select("doc_id", "ev_no", "path", "quote", "known_ids", "path_ok", (plain(F.col("cited")).contains(plain(F.col("quote"))) & (plain(F.col("quote")) != "")).alias("quote_ok"))
+    checked = each.join(joined, ["doc_id", "ev_no"]).select("doc_id", "ev_no", "path", "line_ids", "quote", "known_ids", "path_ok", (plain(F.col("cited")).contains(plain(F.col("quote"))) & (plain(F.col("quote")) != "")).alias("quote_ok"))
     return checked.withColumn("trusted", F.col("known_ids") & F.col("path_ok") & F.col("quote_ok"))
 
 
@@ -194,7 +195,7 @@ def validate_extractions(extractions: DataFrame, lines: DataFrame, schema: dict
     bad = checked.where("not trusted").select("doc_id", F.when(~F.col("known_ids"), F.concat(F.lit("unknown lines: "), "path")).when(~F.col("path_ok"), F.concat(F.lit("no such leaf: "), "path")).otherwise(F.concat(F.lit("quote not found: "), "path")).alias("error"))
     bare = uncovered_leaves(read, checked, schema is None).select("doc_id", F.concat(F.lit("no evidence: "), "path").alias("error"))
     more = bad.unionByName(bare).groupBy("doc_id").agg(F.sort_array(F.collect_list("error")).alias("more"))
-    good = checked.where("trusted").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ev_no", "path", "quote"))).alias("trusted"))
+    good = checked.where("trusted").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ev_no", "path", "line_ids", "quote"))).alias("trusted"))
     none = F.array().cast("array<string>")
     out = read.join(more, "doc_id", "left").join(good, "doc_id", "left")
     return out.select("doc_id", "status", "has_data", "n_issues", F.concat("errors", F.coalesce("more", none)).alias("errors"), "trusted")

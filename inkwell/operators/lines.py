@@ -9,6 +9,8 @@ from inkwell.functions import geometry as G
 from inkwell.functions import text as X
 
 LEAST_IOU, MESSAGE_LENGTH, SCHEMA_VERSION = 0.35, 500, "2.2"
+#: What exported boxes count from.
+SPACE = "viewport_points_top_left_72dpi"
 
 
 def line_catalog(items: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -60,9 +62,9 @@ def page_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
     return pages.join(grouped, ["doc_id", "page"])
 
 
-def issue(code: Column, message: Column, stage: str) -> Column:
+def issue(code: Column, message: Column, stage: str | Column) -> Column:
     """An issue record; an unknown code counts as unsupported, messages are cut."""
-    return F.struct(F.coalesce(code, F.lit("unsupported")).alias("code"), F.substring(F.coalesce(message, F.lit("")), 1, MESSAGE_LENGTH).alias("message"), F.lit(stage).alias("stage"))
+    return F.struct(F.coalesce(code, F.lit("unsupported")).alias("code"), F.substring(F.coalesce(message, F.lit("")), 1, MESSAGE_LENGTH).alias("message"), (stage if isinstance(stage, Column) else F.lit(stage)).alias("stage"))
 
 
 def distinct_issues(issues: DataFrame, fields: list[str], seq: str = "seq") -> DataFrame:
@@ -70,13 +72,15 @@ def distinct_issues(issues: DataFrame, fields: list[str], seq: str = "seq") -> D
     return issues.groupBy("doc_id", *fields).agg(F.min(seq).alias(seq))
 
 
-def stage_statuses(markdown: Column, issues: Column, repairs: Column, annotated: Column, extraction: Column | None) -> Column:
+def stage_statuses(markdown: Column, issues: Column, annotated: Column, wanted: Column, extraction: Column | None) -> Column:
+    """What became of each stage.  ``annotated``: whether there is an annotated document, ``wanted``: whether one was asked
+    for; no extraction was asked for where ``extraction`` is null."""
     has = lambda s: F.exists(issues, lambda i: i["stage"] == s)
     return F.struct(
         F.when(markdown.isNull() | (markdown == ""), "failed").otherwise("complete").alias("parsing"),
-        F.when(has("repair"), "partial").when(repairs > 0, "complete").otherwise("not_needed").alias("repair"),
-        F.when(annotated, "complete").when(has("annotation"), "failed").otherwise("not_requested").alias("annotation"),
-        F.coalesce(extraction, F.lit("not_requested")).alias("extraction") if extraction is not None else F.lit("not_requested").alias("extraction"),
+        F.when(has("repair"), "partial").otherwise("complete").alias("repair"),
+        F.when(annotated, "complete").when(wanted, "failed").otherwise("skipped").alias("annotation"),
+        F.coalesce(extraction if extraction is not None else F.lit(None), F.lit("skipped")).alias("extraction"),
     )
 
 
@@ -86,18 +90,30 @@ def overall_status(markdown: Column, extraction: Column, issue_count: Column) ->
     return F.when(blank, "failed").when((issue_count > 0) | F.coalesce(extraction.isin("partial", "failed"), F.lit(False)), "partial").otherwise("complete")
 
 
+def box_of(box: Column) -> list[Column]:
+    """A box as it is exported: its corners and what they count from."""
+    return [box.alias("bbox"), F.lit(SPACE).alias("coordinate_space")]
+
+
+def evidence_with_sources(evidence: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id and evidence: all evidence of a document in its order, each with the catalog lines that it cites.
+
+    evidence: doc_id, ev_no, path, line_ids, quote; lines: the catalog.  A line that the catalog lacks is left out.
+    """
+    cited = evidence.select("doc_id", "ev_no", F.posexplode("line_ids").alias("pos", "id"))
+    line = F.struct("pos", "id", "page", "text", F.array("x1", "y1", "x2", "y2").alias("bbox"), "source", "confidence")
+    found = cited.join(lines.select("doc_id", "id", "page", "text", "x1", "y1", "x2", "y2", "source", "confidence"), ["doc_id", "id"])
+    one = lambda s: F.struct(s["id"].alias("id"), s["page"].alias("page"), s["text"].alias("text"), *box_of(s["bbox"]), s["source"].alias("source"), s["confidence"].alias("confidence"))
+    sources = found.groupBy("doc_id", "ev_no").agg(F.transform(F.sort_array(F.collect_list(line)), one).alias("sources"))
+    none = F.array().cast(sources.schema["sources"].dataType)
+    whole = evidence.join(sources, ["doc_id", "ev_no"], "left").withColumn("sources", F.coalesce("sources", none))
+    ordered = F.sort_array(F.collect_list(F.struct("ev_no", "path", "line_ids", "quote", "sources")))
+    return whole.groupBy("doc_id").agg(F.transform(ordered, lambda e: F.struct(e["path"].alias("path"), e["line_ids"].alias("line_ids"), e["quote"].alias("quote"), e["sources"].alias("sources"))).alias("evidence"))
+
+
 def envelope(docs: DataFrame) -> DataFrame:
-    """The exported JSON of each document, from columns source_name, source_hash, status, stages, pages, data, evidence,
-    repairs and issues (structs and arrays)."""
-    body = F.struct(
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        F.struct(F.col("source_name").alias("name"), F.col("source_hash").alias("sha256")).alias("source"),
-        "status",
-        "stages",
-        "pages",
-        "data",
-        "evidence",
-        "repairs",
-        "issues",
-    )
+    """The exported JSON of each document, from columns source_name, status, stages, document, data (VARIANT), evidence,
+    repairs and issues (structs and arrays); null lists are empty ones.  Data stay JSON: nothing is a text within a text."""
+    lists = {c: F.coalesce(c, F.array().cast(docs.schema[c].dataType)) for c in ("evidence", "repairs", "issues")}
+    body = F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "status", "stages", "document", "data", *[v.alias(c) for c, v in lists.items()])
     return docs.select("doc_id", "source_name", "status", F.to_json(body, {"ignoreNullFields": "false"}).alias("output_json"))

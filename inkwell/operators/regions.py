@@ -133,27 +133,42 @@ def replace_lines(base: DataFrame, regions: DataFrame, reads: DataFrame) -> Data
     return kept.unionByName(fresh)
 
 
+def _apply_regions(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """(lines, receipts) of one page: its regions applied one after another, each seeing what the earlier ones changed.  A
+    receipt tells a region's number and how many lines it replaced and added; rows are those of ``_with_areas``."""
+    held, receipts = [(*r[1:7], False) for r in rows if r[0] == 0], []
+    for number in sorted({r[0] for r in rows if r[0] > 0}):
+        part = [r for r in rows if r[0] == number]
+        x1, y1, x2, y2 = part[0][7:11]
+        within = lambda b: x1 <= (b[0] + b[2]) / 2 <= x2 and y1 <= (b[1] + b[3]) / 2 <= y2  # noqa: B023, E731
+        new = [(*r[1:7], True) for r in part if within(r[1:6])]
+        left = [b for b in held if not within(b)] if new else held
+        receipts.append((number, len(held) - len(left), len(new)))
+        held = sorted(left + new, key=lambda b: (b[1], b[0])) if new else held
+    return held, receipts
+
+
+_AREA = ["rx1", "ry1", "rx2", "ry2"]
+
+
+def _with_areas(base: DataFrame, reads: DataFrame) -> DataFrame:
+    keys = [F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page")]
+    sure = lambda df: (F.col("confidence") if "confidence" in df.columns else F.lit(None)).cast("double").alias("confidence")
+    old = base.select(*keys, F.lit(0).alias("region_no"), *_BOX, "text", sure(base), "line_no", *[F.lit(None).cast("double").alias(c) for c in _AREA])
+    return old.unionByName(reads.select(*keys, F.col("region_no").cast("int").alias("region_no"), *_BOX, "text", sure(reads), "line_no", *_AREA))
+
+
+def repair_receipts(base: DataFrame, reads: DataFrame) -> DataFrame:
+    """doc_id, page, region_no, replaced_lines and added_lines of each region with reads, as ``repair_pages`` applies them."""
+    one = lambda key, rows: [(*key, *r) for r in _apply_regions(rows)[1]]
+    return map_groups(_with_areas(base, reads), ["doc_id", "page"], ["region_no", "line_no"], one, "doc_id string, page int, region_no int, replaced_lines int, added_lines int", ["region_no", *_BOX, "text", "confidence", *_AREA])
+
+
 def repair_pages(base: DataFrame, reads: DataFrame) -> DataFrame:
     """As ``replace_lines``, but a page's regions are applied one after another, each seeing what the earlier ones changed.
 
     reads carry the region's box (rx1..ry2) and region_no (from 1).  A page's lines are one small group.
     """
     schema = "doc_id string, page int, x1 double, y1 double, x2 double, y2 double, text string, confidence double, repaired boolean"
-    area = ["rx1", "ry1", "rx2", "ry2"]
-
-    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
-        held = [(*r[1:7], False) for r in rows if r[0] == 0]
-        for number in sorted({r[0] for r in rows if r[0] > 0}):
-            part = [r for r in rows if r[0] == number]
-            x1, y1, x2, y2 = part[0][7:11]
-            within = lambda b: x1 <= (b[0] + b[2]) / 2 <= x2 and y1 <= (b[1] + b[3]) / 2 <= y2  # noqa: B023, E731
-            new = [(*r[1:7], True) for r in part if within(r[1:6])]
-            if new:
-                held = sorted([b for b in held if not within(b)] + new, key=lambda b: (b[1], b[0]))
-        return [(*key, *b) for b in held]
-
-    keys = [F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page")]
-    sure = lambda df: (F.col("confidence") if "confidence" in df.columns else F.lit(None)).cast("double").alias("confidence")
-    old = base.select(*keys, F.lit(0).alias("region_no"), *_BOX, "text", sure(base), "line_no", *[F.lit(None).cast("double").alias(c) for c in area])
-    new = reads.select(*keys, F.col("region_no").cast("int").alias("region_no"), *_BOX, "text", sure(reads), "line_no", *area)
-    return map_groups(old.unionByName(new), ["doc_id", "page"], ["region_no", "line_no"], one, schema, ["region_no", *_BOX, "text", "confidence", *area])
+    one = lambda key, rows: [(*key, *b) for b in _apply_regions(rows)[0]]
+    return map_groups(_with_areas(base, reads), ["doc_id", "page"], ["region_no", "line_no"], one, schema, ["region_no", *_BOX, "text", "confidence", *_AREA])

@@ -26,7 +26,8 @@ def call_checked(units: DataFrame, provider: Provider, lines: DataFrame, schema:
     """unit, result, status, issue code for each unit (unit, request as JSON); ``lines`` name the unit as doc_id.
 
     An answer with errors is asked for once more, with the errors told; if that fails too, what has data counts as
-    partial and all else as failed, with the code ``unsupported``.  Only units with errors are asked again.
+    partial and all else as failed, with the code ``unsupported``, which the result then names among its issues.  Only units
+    with errors are asked again.  A result holds only evidence that passed its checks.
     """
     first = stored(_answers(units, provider, lines, schema), "checked")
     again = first.where(F.size("errors") > 0).select("unit", "errors").join(units, "unit")
@@ -35,7 +36,27 @@ def call_checked(units: DataFrame, provider: Provider, lines: DataFrame, schema:
     final = first.where(F.size("errors") == 0).unionByName(second)
     clean = F.size("errors") == 0
     status = F.when(clean, F.get_json_object("result", "$.status")).when(F.col("has_data"), "partial").otherwise("failed")
-    return final.select("unit", "result", status.alias("status"), F.when(~clean, "unsupported").alias("code"), "errors", "trusted")
+    final = final.withColumns({"status": status, "code": F.when(~clean, "unsupported")})
+    return final.withColumn("result", trusted_result(F.col("result"), F.col("status"), F.col("trusted"), F.col("code"))).select("unit", "result", "status", "code", "errors", "trusted")
+
+
+#: What a result says of itself where its evidence failed twice.
+UNPROVED = "evidence failed its checks after a retry"
+
+
+def trusted_result(result: Column, status: Column, trusted: Column, code: Column) -> Column:
+    """The result (JSON text) with its status, the trusted evidence instead of its own, and an issue if there is a code.
+
+    Data and issues go through VARIANT, so whatever JSON they hold stays as it is.  What is no JSON object stays so.
+    """
+    whole = F.try_parse_json(result)
+    part = lambda name, kind: F.try_variant_get(whole, f"$.{name}", kind)
+    evidence = F.transform(F.coalesce(trusted, F.array().cast("array<struct<ev_no:int,path:string,line_ids:array<string>,quote:string>>")), lambda e: F.struct(e["path"].alias("path"), e["line_ids"].alias("line_ids"), e["quote"].alias("quote")))
+    own = F.to_variant_object(F.struct(code.alias("code"), F.lit(UNPROVED).alias("message")))
+    none = F.array().cast("array<variant>")
+    issues = F.concat(F.coalesce(part("issues", "array<variant>"), none), F.when(code.isNotNull(), F.array(own)).otherwise(none))
+    body = F.to_json(F.struct(status.alias("status"), part("data", "variant").alias("data"), evidence.alias("evidence"), issues.alias("issues")), {"ignoreNullFields": "false"})
+    return F.when(F.try_variant_get(whole, "$", "map<string,variant>").isNotNull(), body).otherwise(result)
 
 
 def extract_chunks(chunks: DataFrame, lines: DataFrame, provider: Provider, schema: dict | None = None) -> DataFrame:
@@ -93,12 +114,12 @@ def merge_tree(results: DataFrame, merge: Provider, lines: DataFrame, schema: di
         requests, own = _merge_requests(grouped.where(F.size("parts") > 1), lines)
         merged = call_checked(stored(requests, "requests"), merge, own, schema).select("unit", F.when(F.col("status") != "failed", F.col("result")).alias("merged"), F.col("code").alias("merge_code"))
         failed = F.when((F.size("parts") > 1) & F.col("merged").isNull(), F.array(L.issue(F.lit("extraction_merge_failed"), F.lit("a group of partial results could not be merged"), "extraction")))
-        weak = F.when(F.col("merged").isNotNull() & F.col("merge_code").isNotNull(), F.array(L.issue(F.col("merge_code"), F.lit("a merged result failed its checks twice"), "extraction")))
+        weak = F.when(F.col("merged").isNotNull() & F.col("merge_code").isNotNull(), F.array(L.issue(F.col("merge_code"), F.lit(UNPROVED), "extraction")))
         now = grouped.join(merged, "unit", "left").select("doc_id", F.col("g").alias("n"), F.coalesce("merged", F.col("parts")[0]["result"]).alias("result"), F.concat("issues", F.coalesce(failed, none), F.coalesce(weak, none)).alias("issues"))
         now = stored(now, "merged")
         most = -(-most // fan_in)
     lost = F.when(F.col("status") == "failed", L.issue(F.lit("extraction_chunk_failed"), F.lit("a part of the document could not be extracted"), "extraction"))
-    unproved = F.when((F.col("status") != "failed") & F.col("code").isNotNull(), L.issue(F.col("code"), F.lit("evidence failed its checks after a retry"), "extraction"))
+    unproved = F.when((F.col("status") != "failed") & F.col("code").isNotNull(), L.issue(F.col("code"), F.lit(UNPROVED), "extraction"))
     told = F.concat(_own_issues(F.col("result")), F.filter(F.array(lost, unproved), lambda i: i.isNotNull()))
     whole = results.groupBy("doc_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk_no", told.alias("i")))), lambda s: s["i"])).alias("chunk_issues"))
     out = whole.join(now.select("doc_id", "result", "issues"), "doc_id", "left")

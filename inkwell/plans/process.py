@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from inkwell.sources.store import stored
 from .extract import ISSUE, extract_chunks, merge_tree
 from .providers import Provider, call_provider
 
-STAGES, POLICIES, BODY_BYTES = ["base", "repair", "final"], ["legacy", "accuracy"], 30 * 1024 * 1024
+POLICIES = ["legacy", "accuracy"]
 PADDING = 0.02
 #: Means in the report of an evaluation.
 METRICS = ["cer", "table_f1", "line_f1"]
@@ -27,14 +28,6 @@ _LINE = "struct<text:string,bbox:array<double>,confidence:double,polygon:array<a
 RESPONSE = f"width double, height double, lines array<{_LINE}>, hard_regions array<struct<bbox:array<double>,reason:string>>, prompt_hashes array<string>"
 
 
-def check_requests(requests: DataFrame, runs: DataFrame) -> DataFrame:
-    """Adds ``http_status`` to reading requests (remote, run_id, size, stage, policy): 403 for callers from elsewhere or
-    unknown runs, 413 for large bodies, 400 for anything malformed, else 200."""
-    known = requests.join(runs.select("run_id").distinct().withColumn("_known", F.lit(True)), "run_id", "left")
-    status = F.when(~F.col("remote").isin("127.0.0.1", "::1", "localhost") | F.col("_known").isNull(), 403).when(F.col("size") > BODY_BYTES, 413).when((F.col("size") <= 0) | ~F.col("stage").isin(STAGES) | ~F.col("policy").isin(POLICIES), 400).otherwise(200)
-    return known.withColumn("http_status", status).drop("_known")
-
-
 def response_json(lines: Column) -> Column:
     """What a caller gets of the lines that were read: text, box, confidence and polygon, without nulls."""
     return F.to_json(F.struct(F.transform(lines, lambda x: F.struct(x["text"].alias("text"), x["bbox"].alias("bbox"), x["confidence"].alias("confidence"), x["polygon"].alias("polygon"))).alias("results")))
@@ -170,6 +163,10 @@ def parse_documents(pages: DataFrame, shots: DataFrame, items: DataFrame, blocks
     fresh, outcome = stored(fresh, "fresh"), stored(outcome, "outcome")
     whole = stored(regions.repair_pages(read, fresh), "repaired")
     accepted = outcome.where(~F.col("status").isin("failed", "disagreement"))
+    counts = regions.repair_receipts(read, fresh).join(ranked.where("verdict = 'kept'").select(F.col("doc_id").cast("string").alias("doc_id"), "page", "region_no", "region_id"), ["doc_id", "page", "region_no"])
+    accepted = accepted.withColumn("doc_id", F.col("doc_id").cast("string")).join(counts.select("doc_id", "page", "region_id", "replaced_lines", "added_lines"), ["doc_id", "page", "region_id"], "left").na.fill(0, ["replaced_lines", "added_lines"])
+    to_points = G.rescale(G.box(*_BOX), F.col("shot_w"), F.col("shot_h"), F.col("page_w"), F.col("page_h"))
+    accepted = accepted.join(sized.drop("digest"), ["doc_id", "page"]).withColumn("bbox", F.array(*[to_points[c] for c in _BOX])).drop("page_w", "page_h", "shot_w", "shot_h")
     texts, undone = pages.select("doc_id", "page", "markdown"), None
     if finisher is not None:
         fresh_text, undone = finish_pages(pages, whole, shots, accepted.select("doc_id").distinct(), finisher)
@@ -189,29 +186,65 @@ def parse_documents(pages: DataFrame, shots: DataFrame, items: DataFrame, blocks
     return {"lines": catalog, "pages": texts, "repairs": accepted, "issues": issues, "prompts": first["prompts"]}
 
 
-def process_documents(sources: DataFrame, pages: DataFrame, parsed: dict[str, DataFrame], extractor: Provider | None = None, merger: Provider | None = None, schema: dict | None = None) -> DataFrame:
-    """The exported result of each document (doc_id, source_name, source_hash): doc_id, source_name, status, output_json.
+@dataclass(frozen=True)
+class Settings:
+    """What an exported result says of how it was made."""
+
+    model: str = "none"
+    reasoning_effort: str = "medium"
+    parser_version: str = "none"
+    base_dpi: int = 300
+    repair_dpi: int = 400
+    accuracy_policy: str = "accuracy"
+    experimental_peer_evidence: bool = False
+
+
+def process_documents(sources: DataFrame, pages: DataFrame, parsed: dict[str, DataFrame], extractor: Provider | None = None, merger: Provider | None = None, schema: dict | None = None, settings: Settings | None = None, annotated: DataFrame | None = None) -> DataFrame:
+    """The exported result of each document (doc_id, source_name, source_hash and, where known, artifact_id and
+    source_page_count): doc_id, source_name, status, output_json.
 
-    Without an extractor there is no data; a failed extraction never loses the Markdown.
+    Without an extractor there is no data; a failed extraction never loses the Markdown, but is an issue.  ``annotated`` has
+    the doc_id of each document with an annotated copy, if copies were asked for.
     """
     ordered = F.sort_array(F.collect_list(F.struct("page", "markdown")))
-    markdown = pages.groupBy("doc_id").agg(ordered.alias("pages"), F.array_join(F.transform(ordered, lambda p: p["markdown"]), "\n\n").alias("markdown"))
-    issues = parsed["issues"].groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("code", "message", "stage"))).alias("issues"))
-    repairs = parsed["repairs"].groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "region_id", "status", "ocr_calls"))).alias("repairs"))
-    docs = sources.join(markdown, "doc_id", "left").join(issues, "doc_id", "left").join(repairs, "doc_id", "left")
+    markdown = pages.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["markdown"]), "\n\n").alias("markdown"), F.sort_array(F.collect_list("page")).alias("processed_pages"))
+    told = F.transform(F.sort_array(F.collect_list(F.struct("code", "message", "stage"))), lambda i: L.issue(i["code"], i["message"], i["stage"]))
+    issues = parsed["issues"].groupBy("doc_id").agg(told.alias("issues"))
+    receipt = F.struct("page", "region_id", *L.box_of(F.col("bbox")), "reason", "replaced_lines", "added_lines", F.when(F.col("status") == "single", "legacy").otherwise(F.col("status")).alias("verification"), "ocr_calls")
+    repairs = parsed["repairs"].groupBy("doc_id").agg(F.sort_array(F.collect_list(receipt)).alias("repairs"))
+    docs = sources.join(markdown, "doc_id", "left").join(issues, "doc_id", "left").join(repairs, "doc_id", "left").join(parsed["prompts"].withColumnRenamed("prompt_hashes", "ocr_hashes"), "doc_id", "left")
     if extractor is not None:
         own = parsed["lines"].groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("id", "text"))).alias("lines"))
         catalog = L.catalog_text(parsed["lines"])
         chunks = chunk_documents(pages.select("doc_id", "page", "markdown").join(catalog, ["doc_id", "page"], "left").join(own, ["doc_id", "page"], "left"))
-        merged = merge_tree(extract_chunks(chunks, parsed["lines"], extractor, schema), merger or (lambda request: request["results"][0]), parsed["lines"], schema)
-        docs = docs.join(merged.select("doc_id", F.col("result").alias("data"), F.col("status").alias("extraction"), F.col("issues").alias("more")), "doc_id", "left")
+        merged = stored(merge_tree(extract_chunks(chunks, parsed["lines"], extractor, schema), merger or (lambda request: request["results"][0]), parsed["lines"], schema), "merged")
+        whole = merged.withColumn("v", F.try_parse_json("result"))
+        cited = F.try_variant_get("v", "$.evidence", "array<struct<path:string,line_ids:array<string>,quote:string>>")
+        evidence = L.evidence_with_sources(whole.select("doc_id", F.posexplode(cited).alias("ev_no", "e")).select("doc_id", "ev_no", "e.path", "e.line_ids", "e.quote"), parsed["lines"])
+        docs = docs.join(whole.select("doc_id", F.try_variant_get("v", "$.data", "variant").alias("data"), F.col("status").alias("extraction"), F.col("issues").alias("more")), "doc_id", "left").join(evidence, "doc_id", "left")
+        # A document with text of which nothing came back.
+        lost = F.when(F.col("extraction").isNull(), F.array(L.issue(F.lit("extraction_failed"), F.lit("the extraction failed; the Markdown is kept"), "extraction")))
+        docs = docs.withColumns({"more": F.coalesce("more", lost), "extraction": F.coalesce("extraction", F.lit("failed"))})
     else:
-        docs = docs.withColumns({"data": F.lit(None).cast("string"), "extraction": F.lit(None).cast("string"), "more": F.lit(None).cast(f"array<{ISSUE}>")})
+        docs = docs.withColumns({"data": F.lit(None).cast("variant"), "extraction": F.lit(None).cast("string"), "more": F.lit(None).cast(f"array<{ISSUE}>"), "evidence": F.array().cast("array<string>")})
     none = F.array().cast(f"array<{ISSUE}>")
+    has_copy = F.lit(False)
+    if annotated is not None:
+        docs = docs.join(annotated.select("doc_id", F.lit(True).alias("copied")).distinct(), "doc_id", "left")
+        has_copy = F.coalesce("copied", F.lit(False))
+        lost = F.when(~has_copy, F.array(L.issue(F.lit("annotation_failed"), F.lit("the annotated copy could not be made"), "annotation")))
+        docs = docs.withColumn("more", F.concat(F.coalesce("more", none), F.coalesce(lost, none)))
     docs = docs.withColumn("issues", F.concat(F.coalesce("issues", none), F.coalesce("more", none))).drop("more")
     docs = docs.withColumn("status", L.overall_status(F.col("markdown"), F.col("extraction"), F.size("issues")))
-    docs = docs.withColumn("stages", L.stage_statuses(F.col("markdown"), F.col("issues"), F.coalesce(F.size("repairs"), F.lit(0)), F.lit(False), F.col("extraction")))
-    return L.envelope(docs.withColumn("evidence", F.get_json_object("data", "$.evidence")).withColumn("data", F.get_json_object("data", "$.data")))
+    docs = docs.withColumn("stages", L.stage_statuses(F.col("markdown"), F.col("issues"), has_copy, F.lit(annotated is not None), F.col("extraction")))
+    made = settings or Settings()
+    known = lambda c, kind: (F.col(c) if c in sources.columns else F.lit(None)).cast(kind).alias(c)
+    hashes = F.coalesce("ocr_hashes", F.array().cast("array<string>"))
+    document = F.struct(
+        F.col("source_hash").alias("id"), known("artifact_id", "string"), "source_name", F.coalesce(known("source_page_count", "int"), F.size("processed_pages")).alias("source_page_count"), "processed_pages",
+        *[F.lit(getattr(made, f.name)).alias(f.name) for f in fields(Settings)], F.struct(hashes.alias("ocr"), F.array().cast("array<string>").alias("extraction")).alias("prompt_template_hashes"),
+    )
+    return L.envelope(docs.withColumn("document", document))
 
 
 def run_evaluation(truth: DataFrame, parsed_by_policy: dict[str, dict[str, DataFrame]], names: list[str] = METRICS) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import geometry as G
 from inkwell.functions import pointers as P
 from inkwell.functions import text as X
-from inkwell.operators import chunking, consensus, evidence, history, metrics, peers, regions
+from inkwell.operators import chunking, consensus, evidence, history, metrics, peers, regions, schemas
 from inkwell.operators import lines as L
 from inkwell.plans import providers
 from inkwell.plans.adapt import LINES_SQL, lines, low_regions, reads, table
@@ -353,9 +353,86 @@ SELECT o_orderkey, '/data/status~1code' AS path, o_orderstatus AS value FROM ord
 UNION ALL SELECT o_orderkey, '/data/items/' || n || '/no', CAST(l_linenumber AS VARCHAR) FROM orders JOIN i ON l_orderkey = o_orderkey
 UNION ALL SELECT o_orderkey, '/data/items/' || n || '/flag', l_returnflag FROM orders JOIN i ON l_orderkey = o_orderkey""")
 def leaf_pointers(spark, sf_dir):
+    return P.leaf_pointers(order_documents(spark, sf_dir).select("o_orderkey", F.parse_json("body").alias("v")), "v", depth=3)
+
+
+def order_documents(spark, sf_dir):
+    """o_orderkey and a JSON text of each order with its items."""
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))), lambda s: F.struct(s["l_linenumber"].alias("no"), s["l_returnflag"].alias("flag"))).alias("items"))
-    docs = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("status/code"), "items", F.lit(None).cast("string").alias("note"))).alias("body"))
-    return docs.select("o_orderkey", F.inline(P.leaf_pointers("body")))
+    return table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("status/code"), "items", F.lit(None).cast("string").alias("note"))).alias("body"))
+
+
+POINTERS = ["/data/status~1code", "/data/items/0/flag", "/data/items/3/no", "/data/items/x", "/data/nothing", "/other"]
+
+
+@query(f"""WITH i AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS n FROM lineitem),
+p AS (SELECT unnest({POINTERS}) AS path), a AS (SELECT o_orderkey, o_orderstatus, path FROM orders, p)
+SELECT o_orderkey, path, CASE path WHEN '/data/status~1code' THEN o_orderstatus WHEN '/data/items/0/flag' THEN x.l_returnflag WHEN '/data/items/3/no' THEN CAST(y.l_linenumber AS VARCHAR) END AS value
+FROM a LEFT JOIN i x ON x.l_orderkey = o_orderkey AND x.n = 0 LEFT JOIN i y ON y.l_orderkey = o_orderkey AND y.n = 3""")
+def resolve_pointers(spark, sf_dir):
+    docs = order_documents(spark, sf_dir).select("o_orderkey", F.parse_json("body").alias("v"), F.explode(F.array(*map(F.lit, POINTERS))).alias("path"))
+    return docs.select("o_orderkey", "path", P.resolved(F.col("v"), F.col("path")).cast("string").alias("value"))
+
+
+#: What an order may look like, for the checks of all orders: about every keyword is broken by some of them.
+ORDER_SCHEMA = {
+    "type": "object",
+    "required": ["key", "status", "price", "words", "size"],
+    "additionalProperties": False,
+    "properties": {
+        "key": {"type": "integer", "not": {"multipleOf": 7}},
+        "status": {"enum": ["O", "F", 1]},
+        "price": {"type": "number", "minimum": 2000, "exclusiveMaximum": 250000},
+        "priority": {"type": "string", "pattern": "^[1-4]-", "maxLength": 10},
+        "words": {"type": "array", "maxItems": 2, "prefixItems": [{"const": "order"}], "items": {"type": "string", "minLength": 2}, "uniqueItems": True},
+        "size": {"oneOf": [{"type": "number", "minimum": 40}, {"type": "integer", "maximum": 60}]},
+    },
+    "if": {"properties": {"status": {"const": "F"}}},
+    "then": {"required": ["priority"]},
+    "else": {"dependentRequired": {"priority": ["note"]}},
+}
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS price, o_orderpriority AS prio, o_orderkey % 3 <> 0 AS has, o_orderkey % 5 AS five, o_orderkey % 100 AS size FROM orders),
+checks AS (
+  SELECT k, '/key' AS path, 'not' AS keyword, k % 7 = 0 AS hit FROM o
+  UNION ALL SELECT k, '/status', 'enum', s NOT IN ('O', 'F') FROM o
+  UNION ALL SELECT k, '/price', 'minimum', price < 2000 FROM o
+  UNION ALL SELECT k, '/price', 'exclusiveMaximum', price >= 250000 FROM o
+  UNION ALL SELECT k, '/priority', 'pattern', has AND NOT regexp_matches(prio, '^[1-4]-') FROM o
+  UNION ALL SELECT k, '/priority', 'maxLength', has AND length(prio) > 10 FROM o
+  UNION ALL SELECT k, '/words/0', 'const', five = 1 FROM o
+  UNION ALL SELECT k, '/words/1', 'minLength', five = 2 FROM o
+  UNION ALL SELECT k, '/words', 'maxItems', five = 3 FROM o
+  UNION ALL SELECT k, '/words', 'uniqueItems', five = 3 FROM o
+  UNION ALL SELECT k, '/words/1', 'type', five = 4 FROM o
+  UNION ALL SELECT k, '/size', 'oneOf', size BETWEEN 40 AND 60 FROM o
+  UNION ALL SELECT k, '', 'required', s = 'F' AND NOT has FROM o
+  UNION ALL SELECT k, '', 'dependentRequired', s <> 'F' AND has FROM o
+  UNION ALL SELECT k, '', 'additionalProperties', k % 11 = 0 FROM o)
+SELECT k AS o_orderkey, path, keyword FROM checks WHERE hit""")
+def schema_checks(spark, sf_dir):
+    """Orders as JSON, checked against ORDER_SCHEMA: a row for each problem."""
+    k = F.col("o_orderkey")
+    words = F.when(k % 5 == 1, F.lit('["sale","ab"]')).when(k % 5 == 2, F.lit('["order","x"]')).when(k % 5 == 3, F.lit('["order","ab","ab"]')).when(k % 5 == 4, F.lit('["order",5]')).otherwise(F.lit('["order","ab"]'))
+    body = F.struct(
+        F.concat(k.cast("string"), F.lit(".0")).cast("decimal(20,1)").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.when(k % 3 != 0, F.col("o_orderpriority")).alias("priority"),
+        F.parse_json(words).alias("words"), (k % 100).alias("size"), F.when(k % 11 == 0, 1).alias("more"),
+    )
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(body).alias("body"))
+    found = schemas.check_json(docs, ORDER_SCHEMA, json_column="body", keep=["o_orderkey"])
+    return found.select("o_orderkey", F.inline("problems"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_id, k < 10 AS low, k % 7 = 0 AS seventh, event_type = 'error' AND k > 90 AS loud FROM e WHERE k < 10 OR k % 7 = 0 OR (event_type = 'error' AND k > 90)""")
+def event_schema_checks(spark, sf_dir):
+    """The properties of all events with the event's type, by a schema with a condition."""
+    schema = {"properties": {"props": {"properties": {"k": {"type": "integer", "minimum": 10, "not": {"multipleOf": 7}}}}}, "if": {"properties": {"type": {"const": "error"}}}, "then": {"allOf": [{"properties": {"props": {"properties": {"k": {"maximum": 90}}}}}]}}
+    docs = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.parse_json("props").alias("props"))).alias("body"))
+    found = schemas.check_json(docs, schema, json_column="body", keep=["event_id"]).where(F.size("problems") > 0)
+    has = lambda word: F.exists("problems", lambda p: p["keyword"] == word)
+    return found.select("event_id", has("minimum").alias("low"), has("not").alias("seventh"), has("maximum").alias("loud"))
 
 
 @query(f"""WITH RECURSIVE {LINES_SQL}, p AS (SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS size FROM lines GROUP BY doc_id, page),
@@ -472,13 +549,28 @@ def issue_dedup(spark, sf_dir):
     return L.distinct_issues(issues, ["code", "page"])
 
 
-@query("SELECT doc_id, 'doc-' || doc_id AS source_name, CASE WHEN trim(text) = '' THEN 'failed' ELSE 'complete' END AS status, sha256(text) AS digest FROM documents")
+@query(f"""WITH {LINES_SQL}, c AS (SELECT doc_id, count(*) AS n, max(page) AS pages FROM lines GROUP BY doc_id), f AS (SELECT * FROM lines WHERE pos = 0)
+SELECT d.doc_id, 'doc-' || d.doc_id AS source_name, CASE WHEN trim(d.text) = '' THEN 'failed' ELSE 'complete' END AS status, sha256(d.text) AS digest, '2.2' AS version, CAST(c.pages AS INTEGER) AS last_page, CAST(c.n AS INTEGER) AS n_evidence,
+f.text AS first_text, 'p1-l0001' AS first_line, f.y2 AS bottom, 'skipped' AS annotation, 'complete' AS extraction
+FROM documents d JOIN c ON c.doc_id = d.doc_id JOIN f ON f.doc_id = d.doc_id""")
 def envelope_fields(spark, sf_dir):
-    none = F.array().cast("array<string>")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.format_string("doc-%d", "doc_id").alias("source_name"), F.sha2("text", 256).alias("source_hash"), L.overall_status(F.col("text"), F.lit(None).cast("string"), F.lit(0)).alias("status"))
-    full = docs.withColumns({"stages": F.struct(F.lit("complete").alias("parsing")), "pages": none, "data": F.lit(None).cast("string"), "evidence": none, "repairs": none, "issues": none})
-    out = L.envelope(full)
-    return out.select("doc_id", "source_name", F.get_json_object("output_json", "$.status").alias("status"), F.get_json_object("output_json", "$.source.sha256").alias("digest"))
+    """Exported documents with each line as a value with its evidence, read back by paths into their JSON."""
+    own = lines(spark, sf_dir).withColumn("source", F.lit("native"))
+    rows = own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "text"))).alias("l"))
+    data = rows.select("doc_id", F.parse_json(F.to_json(F.struct(F.transform("l", lambda x: F.struct(x["text"].alias("value"))).alias("fields")))).alias("data"))
+    cited = own.select("doc_id", F.col("pos").alias("ev_no"), F.concat(F.lit("/data/fields/"), "pos", F.lit("/value")).alias("path"), F.array("id").alias("line_ids"), F.col("text").alias("quote"))
+    pages = own.groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("processed_pages"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.format_string("doc-%d", "doc_id").alias("source_name"), F.sha2("text", 256).alias("hash"), F.col("text").alias("markdown"))
+    docs = docs.join(data, "doc_id").join(pages, "doc_id").join(L.evidence_with_sources(cited, own), "doc_id")
+    none = F.array().cast("array<struct<code:string,message:string,stage:string>>")
+    docs = docs.withColumns({"issues": none, "repairs": none, "status": L.overall_status(F.col("markdown"), F.lit("complete"), F.lit(0))})
+    docs = docs.withColumn("stages", L.stage_statuses(F.col("markdown"), F.col("issues"), F.lit(False), F.lit(False), F.lit("complete"))).withColumn("document", F.struct(F.col("hash").alias("id"), "source_name", "processed_pages"))
+    out = L.envelope(docs).withColumn("v", F.parse_json("output_json"))
+    at = lambda path, kind="string": F.variant_get("v", path, kind)
+    return out.select(
+        "doc_id", "source_name", at("$.status").alias("status"), at("$.document.id").alias("digest"), at("$.schema_version").alias("version"), F.array_max(at("$.document.processed_pages", "array<int>")).alias("last_page"), F.size(at("$.evidence", "array<variant>")).alias("n_evidence"),
+        at("$.data.fields[0].value").alias("first_text"), at("$.evidence[0].sources[0].id").alias("first_line"), at("$.evidence[0].sources[0].bbox[3]", "double").alias("bottom"), at("$.stages.annotation").alias("annotation"), at("$.stages.extraction").alias("extraction"),
+    )
 
 
 @query(f"""WITH {LINES_SQL} SELECT doc_id, id, CASE WHEN doc_id % 3 = 0 THEN 'red' WHEN doc_id % 3 = 1 THEN 'green' ELSE 'blue' END AS colour, greatest(x1 * 2 - CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END, 0) AS left_edge,
