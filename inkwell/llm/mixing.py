@@ -27,7 +27,7 @@ NONE = "\0"
 SIZE = 0.5
 #: Fitting ends when no share is further from its target than TOLERANCE, relative to the target; when a sweep over all margins
 #: moves no weight by more than SETTLED of itself (then the targets can't be met); or after ROUNDS rounds of SWEEPS.
-TOLERANCE, SETTLED, ROUNDS, SWEEPS = 1e-4, 1e-6, 40, 5
+TOLERANCE, SETTLED, ROUNDS, SWEEPS = 1e-4, 1e-7, 60, 5
 #: Target shares of the query's margins; a number tempers the actual shares (share ** number, normalised).
 TARGETS: dict[str, Mapping[str, float] | float] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Kinds of characters whose shares describe a text.
