@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,8 @@ from inkwell.operators import lines as L
 from inkwell.plans import providers
 from inkwell.plans.adapt import LINES_SQL, lines, low_regions, reads, table
 from inkwell.plans.extract import extract_chunks, merge_tree
-from inkwell.sources import files, sinks
+from inkwell.sources import files, parsed, sinks
+from inkwell.sources.store import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -182,6 +184,45 @@ def headings_html(spark, sf_dir):
     return md.select("page_id", F.inline(X.headings(F.col("md")))).select("page_id", "level", F.col("text").alias("title"))
 
 
+#: White space as one blank, as ``collapse`` has it for the texts at hand.
+BLANKS_SQL = "trim(regexp_replace({}, '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH {LINES_SQL} SELECT doc_id, CAST(1 + pos % 7 AS INTEGER) AS level, nfc_normalize(trim({BLANKS_SQL.format("text")} || ' é')) AS title FROM lines WHERE pos % 7 < 6""")
+def heading_levels(spark, sf_dir):
+    """Headings of all documents' lines, with accents that stand apart and blanks of several kinds; seven signs are none."""
+    title = F.concat(F.regexp_replace(X.collapse(F.col("text")), " ", "  "), F.lit(" \u00a0e\u0301 \t"))
+    md = lines(spark, sf_dir).select("doc_id", "pos", F.concat(F.repeat(F.lit("#"), F.expr("cast(1 + pos % 7 as int)")), F.lit("\u2003"), title).alias("line"))
+    whole = md.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\r\n").alias("md"))
+    return whole.select("doc_id", F.inline(X.headings(F.col("md")))).select("doc_id", "level", F.col("text").alias("title"))
+
+
+@query(f"""WITH {LINES_SQL}, t AS (SELECT doc_id, pos, {BLANKS_SQL.format("text")} AS t FROM lines), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) % 4 AS k FROM t WHERE t <> '')
+SELECT doc_id, string_agg(CASE WHEN k = 3 THEN '• a' || chr(10) || chr(10) || '• ' ELSE '' END || t, chr(10) || chr(10) ORDER BY pos) AS text FROM n GROUP BY doc_id""")
+def clipboard_text(spark, sf_dir):
+    """What a reader sees of all documents' lines as Markdown: headings with emphasis, quotes, nested lists and links."""
+    bare = X.collapse(F.col("text"))
+    marked = F.regexp_replace(bare, r"([!-/:-@\[-`{-~])", r"\\$1")
+    whole = lines(spark, sf_dir).select("doc_id", "pos", marked.alias("t")).where("t <> ''").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("ts"))
+    form = lambda t, i: F.when(i % 4 == 0, F.concat(F.lit("## _"), t, F.lit("_"))).when(i % 4 == 1, F.concat(F.lit("> **"), t, F.lit("**"))).when(i % 4 == 2, F.concat(F.lit("- a\n  - "), t)).otherwise(F.concat(F.lit("["), t, F.lit('](u "t")')))
+    return whole.select("doc_id", X.clipboard(F.array_join(F.transform("ts", form), "\n\n")).getField("text").alias("text"))
+
+
+@query(f"WITH {LINES_SQL} SELECT CAST(doc_id AS VARCHAR) AS doc_id, page, count(*) AS items, CAST(sum(length(text)) AS BIGINT) AS chars, min(y1) AS top FROM lines WHERE page IN (1, 2, 4) GROUP BY 1, 2")
+def parsed_pages(spark, sf_dir):
+    """All documents as a folder of parsed pages, of which a selection is read back."""
+    own = lines(spark, sf_dir)
+    box = F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height")
+    items = own.select("doc_id", "page", "idx", "text", *box)
+    pages = own.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n").alias("markdown")).withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    sources = own.groupBy("doc_id").agg(F.max("page").alias("total_pages")).select("doc_id", F.format_string("doc-%d", "doc_id").alias("source_name"), F.lit("h").alias("source_hash"), "total_pages")
+    blocks, shots = (spark.createDataFrame([], parsed.TABLES[t]) for t in ("blocks", "screenshots"))
+    folder = f"{shared_dir(spark)}/inkwell-parsed-{uuid.uuid4().hex}"
+    parsed.write_parsed(parsed.pack_pages(sources, pages, items, blocks, shots), folder)
+    read = parsed.read_parsed(spark, folder, "items", pages="1-2,4")
+    return read.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("items"), F.sum(F.char_length("text")).cast("long").alias("chars"), F.min("y").alias("top"))
+
+
 def _nation_tables(spark, sf_dir, row, cell, head, tail):
     both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.concat(*row(F.col("n_nationkey").cast("string"), F.col("n_name")))

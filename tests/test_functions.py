@@ -107,3 +107,9 @@ def test_pointers_resolve_what_they_enumerate(value):
 def test_generic_metadata(spark):
     rows = [("/data/fields/0/name",), ("/data/fields/0/value",), ("/data/fields/0/value_type",), ("/data/x",)]
     assert [r[0] for r in values(spark, rows, "p string", P.is_generic_metadata(F.col("p")))] == [True, False, True, False]
+
+
+def test_headings_are_composed_and_collapsed(spark):
+    rows = [("#  a  b\r\n##\u2003e\u0301\u00a0 x \t\n### \n#no\n\u2028#### z",)]
+    (h,) = values(spark, rows, "t string", X.headings(F.col("t")))[0]
+    assert [tuple(x) for x in h] == [(1, "a b"), (2, "\u00e9 x"), (4, "z")]
