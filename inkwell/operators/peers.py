@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from inkwell.functions import geometry as G
 from inkwell.functions import text as X
+from inkwell.functions.png import write_png
 
 LEAST_LENGTH, CLEARER, LEAST_PEERS = 8, 1.05, 2
 CHECKBOXES = "☐☑☒□■✓✗✔✘"
@@ -93,17 +93,21 @@ def pixel_digest(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.S
     return pd.Series([one(*x) for x in zip(pixels, height, width, strict=True)])
 
 
+@F.pandas_udf(T.BinaryType())
+def png_pixels(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    """A raw image as PNG."""
+    return pd.Series([write_png(np.frombuffer(p, np.uint8).reshape(int(h), int(w), 3)[..., ::-1]) for p, h, w in zip(pixels, height, width, strict=True)])
+
+
 @F.pandas_udf(T.BinaryType())
 def crop_pixels(pixels: pd.Series, height: pd.Series, width: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
-    """The cut of an image by a pixel box (rounded, and clamped to the image), as portable pixmap."""
+    """The cut of an image by a pixel box (rounded, and clamped to the image), as PNG."""
 
     def one(p, h, w, a, b, c, d):
         image = np.frombuffer(p, np.uint8).reshape(int(h), int(w), 3)[..., ::-1]
         a, b = max(0, round(a)), max(0, round(b))
         cut = image[b : max(b + 1, min(int(h), round(d))), a : max(a + 1, min(int(w), round(c)))]
-        out = io.BytesIO()
-        out.write(b"P6 %d %d 255\n" % (cut.shape[1], cut.shape[0]) + np.ascontiguousarray(cut).tobytes())
-        return out.getvalue()
+        return write_png(cut)
 
     return pd.Series([one(*x) for x in zip(pixels, height, width, x1, y1, x2, y2, strict=True)])
 
@@ -140,4 +144,4 @@ def peer_evidence(regions: DataFrame, blocks: DataFrame, ocr: DataFrame, images:
     there = likes.groupBy(*keys, F.col("page").alias("peer_page")).agg(F.min_by(F.struct(*edges), "block_no").alias("b"))
     shown = best.join(there, [*keys, "peer_page"]).join(images.withColumnRenamed("page", "peer_page"), ["doc_id", "peer_page"])
     cut = crop_pixels("image", "height", "width", *[F.col("b")[e] for e in edges])
-    return shown.select("doc_id", "page", "region_id", "peer_page", "peer_clarity", X.data_url(cut, "image/x-portable-pixmap").alias("peer"))
+    return shown.select("doc_id", "page", "region_id", "peer_page", "peer_clarity", X.data_url(cut).alias("peer"))

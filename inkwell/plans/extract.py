@@ -9,30 +9,31 @@ from inkwell.operators import lines as L
 from inkwell.operators.chunking import FAN_IN
 from inkwell.operators.evidence import validate_extractions
 
+from inkwell.sources.answers import AnswerLog
 from inkwell.sources.store import stored
 
 from .providers import Provider, call_provider
 
 
-def _answers(requests: DataFrame, provider: Provider, lines: DataFrame, schema: dict | None) -> DataFrame:
+def _answers(requests: DataFrame, provider: Provider, lines: DataFrame, schema: dict | None, log: AnswerLog | None) -> DataFrame:
     """unit, result, errors for requests (unit, request)."""
-    got = stored(call_provider(requests.withColumnRenamed("unit", "doc_id"), provider, "doc_id"), "answers")
+    got = stored(call_provider(requests.withColumnRenamed("unit", "doc_id"), provider, "doc_id", log), "answers")
     checked = validate_extractions(got.select("doc_id", F.col("response").alias("result")), lines, schema)
     both = got.join(checked, "doc_id").withColumn("errors", F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.col("errors")))
     return both.select(F.col("doc_id").alias("unit"), F.col("response").alias("result"), "errors", "trusted", "has_data")
 
 
-def call_checked(units: DataFrame, provider: Provider, lines: DataFrame, schema: dict | None = None) -> DataFrame:
+def call_checked(units: DataFrame, provider: Provider, lines: DataFrame, schema: dict | None = None, log: AnswerLog | None = None) -> DataFrame:
     """unit, result, status, issue code for each unit (unit, request as JSON); ``lines`` name the unit as doc_id.
 
     An answer with errors is asked for once more, with the errors told; if that fails too, what has data counts as
     partial and all else as failed, with the code ``unsupported``, which the result then names among its issues.  Only units
     with errors are asked again.  A result holds only evidence that passed its checks.
     """
-    first = stored(_answers(units, provider, lines, schema), "checked")
+    first = stored(_answers(units, provider, lines, schema, log), "checked")
     again = first.where(F.size("errors") > 0).select("unit", "errors").join(units, "unit")
     told = again.withColumn("request", F.concat(F.lit('{"feedback":'), F.to_json("errors"), F.lit(","), F.substring("request", 2, 1 << 30))).drop("errors")
-    second = _answers(told, provider, lines, schema)
+    second = _answers(told, provider, lines, schema, log)
     final = first.where(F.size("errors") == 0).unionByName(second)
     clean = F.size("errors") == 0
     status = F.when(clean, F.get_json_object("result", "$.status")).when(F.col("has_data"), "partial").otherwise("failed")
@@ -59,14 +60,14 @@ def trusted_result(result: Column, status: Column, trusted: Column, code: Column
     return F.when(F.try_variant_get(whole, "$", "map<string,variant>").isNotNull(), body).otherwise(result)
 
 
-def extract_chunks(chunks: DataFrame, lines: DataFrame, provider: Provider, schema: dict | None = None) -> DataFrame:
+def extract_chunks(chunks: DataFrame, lines: DataFrame, provider: Provider, schema: dict | None = None, log: AnswerLog | None = None) -> DataFrame:
     """Results of each chunk (doc_id, chunk_no, line_ids): doc_id, chunk_no, result, status, code."""
     cited = chunks.select("doc_id", "chunk_no", F.posexplode("line_ids").alias("pos", "id")).join(lines.select("doc_id", "id", "text"), ["doc_id", "id"])
     unit = F.concat_ws("#", "doc_id", "chunk_no")
     own = cited.withColumn("unit", unit)
     request = own.groupBy("doc_id", "chunk_no", "unit").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id", "text"))), lambda s: F.struct(s["id"].alias("id"), s["text"].alias("text"))).alias("lines"))).alias("request"))
     request = stored(request, "requests")
-    done = call_checked(request.select("unit", "request"), provider, own.select(F.col("unit").alias("doc_id"), "id", "text"), schema)
+    done = call_checked(request.select("unit", "request"), provider, own.select(F.col("unit").alias("doc_id"), "id", "text"), schema, log)
     return request.select("doc_id", "chunk_no", "unit").join(done, "unit").drop("unit")
 
 
@@ -91,7 +92,7 @@ def _merge_requests(groups: DataFrame, lines: DataFrame) -> tuple[DataFrame, Dat
     return groups.join(told, "unit", "left").select("unit", body.alias("request")), own
 
 
-def merge_tree(results: DataFrame, merge: Provider, lines: DataFrame, schema: dict | None = None, fan_in: int = FAN_IN) -> DataFrame:
+def merge_tree(results: DataFrame, merge: Provider, lines: DataFrame, schema: dict | None = None, fan_in: int = FAN_IN, log: AnswerLog | None = None) -> DataFrame:
     """One result a document (doc_id, result, status, issues): groups of ``fan_in`` neighbours are merged, level by level;
     groups of one pass through.
 
@@ -112,7 +113,7 @@ def merge_tree(results: DataFrame, merge: Provider, lines: DataFrame, schema: di
         grouped = grouped.withColumn("unit", F.concat_ws("#", "doc_id", "g"))
         grouped = stored(grouped, "groups")
         requests, own = _merge_requests(grouped.where(F.size("parts") > 1), lines)
-        merged = call_checked(stored(requests, "requests"), merge, own, schema).select("unit", F.when(F.col("status") != "failed", F.col("result")).alias("merged"), F.col("code").alias("merge_code"))
+        merged = call_checked(stored(requests, "requests"), merge, own, schema, log).select("unit", F.when(F.col("status") != "failed", F.col("result")).alias("merged"), F.col("code").alias("merge_code"))
         failed = F.when((F.size("parts") > 1) & F.col("merged").isNull(), F.array(L.issue(F.lit("extraction_merge_failed"), F.lit("a group of partial results could not be merged"), "extraction")))
         weak = F.when(F.col("merged").isNotNull() & F.col("merge_code").isNotNull(), F.array(L.issue(F.col("merge_code"), F.lit(UNPROVED), "extraction")))
         now = grouped.join(merged, "unit", "left").select("doc_id", F.col("g").alias("n"), F.coalesce("merged", F.col("parts")[0]["result"]).alias("result"), F.concat("issues", F.coalesce(failed, none), F.coalesce(weak, none)).alias("issues"))

@@ -13,6 +13,7 @@ from inkwell.functions import text as X
 from inkwell.operators import consensus, metrics, peers, regions
 from inkwell.operators import lines as L
 from inkwell.operators.chunking import chunk_documents
+from inkwell.sources.answers import AnswerLog
 from inkwell.sources.files import MOST_PAGES
 from inkwell.sources.store import stored
 
@@ -20,6 +21,8 @@ from .extract import ISSUE, extract_chunks, merge_tree
 from .providers import Provider, call_provider
 
 POLICIES = ["legacy", "accuracy"]
+#: A rendered prompt and the digest of its template.
+Prompt = tuple[str, str]
 PADDING = 0.02
 #: Means in the report of an evaluation.
 METRICS = ["cer", "table_f1", "line_f1"]
@@ -33,11 +36,12 @@ def response_json(lines: Column) -> Column:
     return F.to_json(F.struct(F.transform(lines, lambda x: F.struct(x["text"].alias("text"), x["bbox"].alias("bbox"), x["confidence"].alias("confidence"), x["polygon"].alias("polygon"))).alias("results")))
 
 
-def reading_request(digest: Column, stage: str, read_no: Column | int, box: Column | None = None, peer: Column | None = None, prompts: Iterable[str] = ()) -> Column:
-    """The JSON request for one reading; a peer image is context only, never a vote."""
+def reading_request(digest: Column, stage: str, read_no: Column | int, box: Column | None = None, peer: Column | None = None, prompts: Iterable[Prompt] = ()) -> Column:
+    """The JSON request for one reading; a peer image is context only, never a vote.  Prompts are rendered texts with the digests
+    of their templates, as ``load_prompt`` gives them."""
     number = read_no if isinstance(read_no, Column) else F.lit(read_no)
     empty = F.lit(None).cast("string")
-    return F.to_json(F.struct(digest.alias("digest"), F.lit(stage).alias("stage"), number.alias("read_no"), (box if box is not None else empty).alias("region"), (peer if peer is not None else empty).alias("peer"), F.array(*map(F.lit, prompts)).cast("array<string>").alias("prompt_hashes")))
+    return F.to_json(F.struct(digest.alias("digest"), F.lit(stage).alias("stage"), number.alias("read_no"), (box if box is not None else empty).alias("region"), (peer if peer is not None else empty).alias("peer"), *[F.array(*[F.lit(p[i]) for p in prompts]).cast("array<string>").alias(n) for i, n in enumerate(("prompts", "prompt_hashes"))]))
 
 
 def _opened(answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,11 +56,14 @@ def _exploded(read: DataFrame, keys: list[str]) -> DataFrame:
     return regions.bounded_lines(out).withColumn("line_no", F.row_number().over(order) - 1)
 
 
-def read_pages(shots: DataFrame, provider: Provider) -> dict[str, DataFrame]:
+def read_pages(shots: DataFrame, provider: Provider, prompts: Iterable[Prompt] = (), log: AnswerLog | None = None) -> dict[str, DataFrame]:
     """lines, hard regions, errors and prompt hashes of page images (doc_id, page, digest, width, height): each distinct image
-    is read once, and pages with the same pixels share what was read."""
-    once = shots.select(F.col("digest").alias("request_id"), reading_request(F.col("digest"), "base", 1).alias("request"))
-    answers = stored(_opened(call_provider(once, provider), ["request_id"]), "pages").withColumnRenamed("request_id", "digest")
+    is read once, and pages with the same pixels share what was read.  Images (rows of blue, green, red), where shots have
+    them, go along as PNG."""
+    once = shots.select(F.col("digest").alias("request_id"), reading_request(F.col("digest"), "base", 1, prompts=prompts).alias("request"), *([X.data_url(peers.png_pixels("image", "height", "width")).alias("image")] if "image" in shots.columns else []))
+    answers = stored(_opened(call_provider(once, provider, log=log), ["request_id"]), "pages").withColumnRenamed("request_id", "digest")
+    told = F.array(*[F.lit(p[1]) for p in prompts]).cast("array<string>")
+    answers = answers.withColumn("prompt_hashes", F.array_union(F.coalesce("prompt_hashes", F.array().cast("array<string>")), told))
     own = shots.select("doc_id", "page", "digest")
     lines = own.join(_exploded(answers, ["digest"]), "digest")
     hard = own.join(answers.select("digest", F.explode("hard_regions").alias("h")), "digest")
@@ -77,7 +84,7 @@ def preflight(counts: DataFrame, wanted: DataFrame, most: int = MOST_PAGES) -> D
     return counts.join(wanted, "doc_id", "left").select("doc_id", problem.alias("problem"))
 
 
-def finish_pages(pages: DataFrame, lines: DataFrame, shots: DataFrame, repaired: DataFrame, provider: Provider) -> tuple[DataFrame, DataFrame]:
+def finish_pages(pages: DataFrame, lines: DataFrame, shots: DataFrame, repaired: DataFrame, provider: Provider, log: AnswerLog | None = None) -> tuple[DataFrame, DataFrame]:
     """(new Markdown of pages, failed documents): the pages of repaired documents are parsed once more from their repaired
     lines; a document of which one page fails keeps its first Markdown.
 
@@ -87,18 +94,18 @@ def finish_pages(pages: DataFrame, lines: DataFrame, shots: DataFrame, repaired:
     own = pages.select("doc_id", "page").join(repaired, "doc_id", "left_semi").join(shots.select("doc_id", "page", "digest"), ["doc_id", "page"]).join(texts, ["doc_id", "page"], "left")
     body = F.to_json(F.struct("digest", F.lit("final").alias("stage"), F.coalesce("texts", F.array().cast("array<string>")).alias("lines")))
     asked = own.select(F.concat_ws("/", "doc_id", "page").alias("request_id"), body.alias("request"))
-    got = stored(call_provider(asked, provider), "final").withColumn("markdown", F.get_json_object("response", "$.markdown"))
+    got = stored(call_provider(asked, provider, log=log), "final").withColumn("markdown", F.get_json_object("response", "$.markdown"))
     keyed = own.select("doc_id", "page", F.concat_ws("/", "doc_id", "page").alias("request_id")).join(got, "request_id")
     failed = keyed.where("error IS NOT NULL OR markdown IS NULL").select("doc_id").distinct()
     return keyed.select("doc_id", "page", "markdown").join(failed, "doc_id", "left_anti"), failed
 
 
-def read_regions(kept: DataFrame, provider: Provider, policy: str) -> tuple[DataFrame, DataFrame]:
+def read_regions(kept: DataFrame, provider: Provider, policy: str, prompts: Iterable[Prompt] = (), log: AnswerLog | None = None) -> tuple[DataFrame, DataFrame]:
     """(new lines in base pixels, outcome of each region) for regions with digest and image size.
 
     The accuracy policy reads twice, and a third time only where the two don't agree; the legacy policy takes one read.
     A region that can't be read, or whose reads disagree, is an issue and changes nothing.  A column ``peer`` (an image of the
-    same block on another page) goes along with the request.
+    same block on another page) goes along with the request, and so does the cut of the page where ``kept`` has an image.
     """
     size = F.col("shot_w"), F.col("shot_h")
     pad = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most.cast("double"))
@@ -110,8 +117,9 @@ def read_regions(kept: DataFrame, provider: Provider, policy: str) -> tuple[Data
         each = which.withColumn("read_no", F.explode(F.array(*map(F.lit, numbers))))
         box = F.to_json(F.array("crop_x", "crop_y", "crop_w", "crop_h"))
         peer = F.col("peer") if "peer" in which.columns else None
-        requests = each.select(F.concat_ws("@", "key", "read_no").alias("request_id"), reading_request(F.col("digest"), "repair", F.col("read_no"), box, peer).alias("request"))
-        return stored(_opened(call_provider(requests, provider), ["request_id"]).withColumns({"key": F.split_part("request_id", F.lit("@"), F.lit(1)), "read_no": F.split_part("request_id", F.lit("@"), F.lit(-1)).cast("int")}), "reads")
+        cut = [X.data_url(peers.crop_pixels("image", "shot_h", "shot_w", "crop_x", "crop_y", F.col("crop_x") + F.col("crop_w"), F.col("crop_y") + F.col("crop_h"))).alias("image")] if "image" in which.columns else []
+        requests = each.select(F.concat_ws("@", "key", "read_no").alias("request_id"), reading_request(F.col("digest"), "repair", F.col("read_no"), box, peer, prompts).alias("request"), *cut)
+        return stored(_opened(call_provider(requests, provider, log=log), ["request_id"]).withColumns({"key": F.split_part("request_id", F.lit("@"), F.lit(1)), "read_no": F.split_part("request_id", F.lit("@"), F.lit(-1)).cast("int")}), "reads")
 
     answers = ask(crop, [1, 2] if policy == "accuracy" else [1])
     lines = _exploded(answers, ["key", "read_no"])
@@ -135,11 +143,12 @@ def read_regions(kept: DataFrame, provider: Provider, policy: str) -> tuple[Data
     return regions.to_base_pixels(placed), outcome.select("doc_id", "page", "region_id", *_BOX, "reason", "status", F.coalesce("calls", F.lit(0)).alias("ocr_calls"))
 
 
-def parse_documents(pages: DataFrame, shots: DataFrame, items: DataFrame, blocks: DataFrame, provider: Provider, policy: str = "accuracy", finisher: Provider | None = None) -> dict[str, DataFrame]:
+def parse_documents(pages: DataFrame, shots: DataFrame, items: DataFrame, blocks: DataFrame, provider: Provider, policy: str = "accuracy", finisher: Provider | None = None, prompts: Iterable[Prompt] = (), log: AnswerLog | None = None) -> dict[str, DataFrame]:
     """lines (the catalog), pages (doc_id, page, markdown), repairs, issues and prompts (hashes by doc_id) of documents.
 
     With a ``finisher`` the pages of repaired documents are parsed once more; where that fails, the document keeps its first
-    Markdown and lines, and none of its repairs count.
+    Markdown and lines, and none of its repairs count.  ``prompts`` go along with each reading; with a ``log`` answers outlive
+    the run.
 
     pages: doc_id, page, markdown, width, height (points); shots: doc_id, page, digest, width, height (pixels) and, for the
     accuracy policy to show the same block where it is clearer, image (rows of blue, green, red); items:
@@ -148,7 +157,8 @@ def parse_documents(pages: DataFrame, shots: DataFrame, items: DataFrame, blocks
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
     sized = pages.select("doc_id", "page", F.col("width").alias("page_w"), F.col("height").alias("page_h")).join(shots.select("doc_id", "page", "digest", F.col("width").alias("shot_w"), F.col("height").alias("shot_h")), ["doc_id", "page"])
-    first = read_pages(shots, provider)
+    prompts = list(prompts)
+    first = read_pages(shots, provider, prompts, log)
     read, hard = first["lines"], first["hard"]
     grid = blocks.withColumnsRenamed({"width": "block_w", "height": "block_h"}).join(sized.withColumnsRenamed({"page_w": "width", "page_h": "height"}), ["doc_id", "page"])
     found = regions.candidate_regions(hard, read, grid, policy).join(sized.select("doc_id", "page", "shot_w", "shot_h"), ["doc_id", "page"])
@@ -159,7 +169,9 @@ def parse_documents(pages: DataFrame, shots: DataFrame, items: DataFrame, blocks
         pixels = blocks.join(sized, ["doc_id", "page"]).select("doc_id", "page", "block_no", "kind", "text", (F.col("x") * scale_x).alias("x"), (F.col("y") * scale_y).alias("y"), (F.col("width") * scale_x).alias("width"), (F.col("height") * scale_y).alias("height"))
         evidence = peers.peer_evidence(kept.select("doc_id", "page", "region_id", *_BOX), pixels, read, shots.select("doc_id", "page", "image", "height", "width"))
         kept = kept.join(evidence.select("doc_id", "page", "region_id", "peer"), ["doc_id", "page", "region_id"], "left")
-    fresh, outcome = read_regions(kept, provider, policy)
+    if "image" in shots.columns:
+        kept = kept.join(shots.select("doc_id", "page", "image"), ["doc_id", "page"])
+    fresh, outcome = read_regions(kept, provider, policy, prompts, log)
     fresh, outcome = stored(fresh, "fresh"), stored(outcome, "outcome")
     whole = stored(regions.repair_pages(read, fresh), "repaired")
     accepted = outcome.where(~F.col("status").isin("failed", "disagreement"))
@@ -169,7 +181,7 @@ def parse_documents(pages: DataFrame, shots: DataFrame, items: DataFrame, blocks
     accepted = accepted.join(sized.drop("digest"), ["doc_id", "page"]).withColumn("bbox", F.array(*[to_points[c] for c in _BOX])).drop("page_w", "page_h", "shot_w", "shot_h")
     texts, undone = pages.select("doc_id", "page", "markdown"), None
     if finisher is not None:
-        fresh_text, undone = finish_pages(pages, whole, shots, accepted.select("doc_id").distinct(), finisher)
+        fresh_text, undone = finish_pages(pages, whole, shots, accepted.select("doc_id").distinct(), finisher, log)
         undone = stored(undone, "undone")
         texts = texts.join(fresh_text.withColumnRenamed("markdown", "final"), ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("final", "markdown").alias("markdown"))
         accepted = accepted.join(undone, "doc_id", "left_anti")
@@ -199,7 +211,7 @@ class Settings:
     experimental_peer_evidence: bool = False
 
 
-def process_documents(sources: DataFrame, pages: DataFrame, parsed: dict[str, DataFrame], extractor: Provider | None = None, merger: Provider | None = None, schema: dict | None = None, settings: Settings | None = None, annotated: DataFrame | None = None) -> DataFrame:
+def process_documents(sources: DataFrame, pages: DataFrame, parsed: dict[str, DataFrame], extractor: Provider | None = None, merger: Provider | None = None, schema: dict | None = None, settings: Settings | None = None, annotated: DataFrame | None = None, log: AnswerLog | None = None) -> DataFrame:
     """The exported result of each document (doc_id, source_name, source_hash and, where known, artifact_id and
     source_page_count): doc_id, source_name, status, output_json.
 
@@ -217,7 +229,7 @@ def process_documents(sources: DataFrame, pages: DataFrame, parsed: dict[str, Da
         own = parsed["lines"].groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("id", "text"))).alias("lines"))
         catalog = L.catalog_text(parsed["lines"])
         chunks = chunk_documents(pages.select("doc_id", "page", "markdown").join(catalog, ["doc_id", "page"], "left").join(own, ["doc_id", "page"], "left"))
-        merged = stored(merge_tree(extract_chunks(chunks, parsed["lines"], extractor, schema), merger or (lambda request: request["results"][0]), parsed["lines"], schema), "merged")
+        merged = stored(merge_tree(extract_chunks(chunks, parsed["lines"], extractor, schema, log), merger or (lambda request: request["results"][0]), parsed["lines"], schema, log=log), "merged")
         whole = merged.withColumn("v", F.try_parse_json("result"))
         cited = F.try_variant_get("v", "$.evidence", "array<struct<path:string,line_ids:array<string>,quote:string>>")
         evidence = L.evidence_with_sources(whole.select("doc_id", F.posexplode(cited).alias("ev_no", "e")).select("doc_id", "ev_no", "e.path", "e.line_ids", "e.quote"), parsed["lines"])

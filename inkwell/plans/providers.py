@@ -1,7 +1,7 @@
 """Calls to outside models (OCR, extraction, merging) behind one interface, with a deterministic stand-in.
 
 A provider is any picklable callable from a request (dict) to a response (dict); it is called inside tasks, once for each
-distinct request, and its errors come back as values.
+distinct request, and its errors come back as values.  A log keeps answers across runs.
 """
 
 from __future__ import annotations
@@ -13,27 +13,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.sources.answers import AnswerLog
+from inkwell.sources.store import stored
+
 Provider = Callable[[dict], dict]
 
 
-def call_provider(requests: DataFrame, provider: Provider, key: str = "request_id") -> DataFrame:
-    """key, response (JSON) and error for each distinct request (column ``request``: JSON)."""
+def call_provider(requests: DataFrame, provider: Provider, key: str = "request_id", log: AnswerLog | None = None) -> DataFrame:
+    """key, response (JSON) and error for each distinct request (column ``request``: JSON; a column ``image``, a data URL, goes
+    along with it).
+
+    With a log only requests that it lacks are made, each once whatever its key is, and their answers are added to it before
+    they are used.  An error is an answer to nobody: it is told, and the request is made again in the next run.
+    """
+    kind = requests.schema[key].dataType.simpleString()
+    once = requests.dropDuplicates([key])
+    if log is None:
+        return _made(once, provider, key, kind)
+    keyed = log.keyed(once)
+    fresh = stored(_made(log.missing(keyed), provider, "digest", "string"), "asked")
+    log.add(fresh)
+    answers = log.known(requests.sparkSession).withColumn("error", F.lit(None).cast("string")).unionByName(fresh.where("error IS NOT NULL"))
+    return keyed.select(key, "digest").join(answers, "digest").select(key, "response", "error")
+
 
+def _made(requests: DataFrame, provider: Provider, key: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, text in zip(batch[key], batch.request, strict=True):
+            images = batch.image if "image" in batch else [None] * len(batch)
+            for k, text, image in zip(batch[key], batch.request, images, strict=True):
                 try:
-                    rows.append((k, json.dumps(provider(json.loads(text)), ensure_ascii=False), None))
+                    request = json.loads(text) | ({"image": image} if image is not None else {})
+                    rows.append((k, json.dumps(provider(request), ensure_ascii=False), None))
                 except ValueError as e:  # said on purpose, so its text may be told
                     rows.append((k, None, str(e)[:500] or "invalid value"))
                 except Exception:  # an outside service may fail in any way; what it says may hold secrets
                     rows.append((k, None, "the service failed"))
             yield pd.DataFrame(rows, columns=[key, "response", "error"])
 
-    kind = requests.schema[key].dataType.simpleString()
-    once = requests.select(key, "request").dropDuplicates([key])
-    return once.mapInPandas(run, f"{key} {kind}, response string, error string")
+    asked = requests.select(key, "request", *[c for c in ("image",) if c in requests.columns])
+    return asked.mapInPandas(run, f"{key} {kind}, response string, error string")
 
 
 def echo_lines(request: dict) -> dict:
@@ -62,8 +82,3 @@ def join_results(request: dict) -> dict:
             evidence.append({**e, "path": "/".join(parts)})
     status = "complete" if all(r["status"] == "complete" for r in request["results"]) else "partial"
     return {"status": status, "data": {"document_type": None, "fields": fields}, "evidence": evidence, "issues": issues}
-
-
-def once_per_image(reads: DataFrame) -> DataFrame:
-    """Distinct images of a run: pages with the same pixels are read once."""
-    return reads.select("run_id", "digest", F.col("image")).dropDuplicates(["run_id", "digest"])

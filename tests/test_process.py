@@ -1,8 +1,13 @@
+import base64
 import json
+import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from inkwell.functions.png import read_png, write_png
 from inkwell.plans import process, providers
+from inkwell.sources.answers import AnswerLog
 
 PAGE = "doc_id string, page int, markdown string, width double, height double"
 
@@ -140,7 +145,9 @@ def test_peer_evidence(spark):
     regions = spark.createDataFrame([("a", 1, "p1-r001", 0.0, 40.0, 50.0, 50.0)], "doc_id string, page int, region_id string, x1 double, y1 double, x2 double, y2 double")
     ocr = spark.createDataFrame([("a", p, 0.0, 40.0, 50.0, 50.0, "printed") for p in (1, 2, 3)], "doc_id string, page int, x1 double, y1 double, x2 double, y2 double, source_kind string")
     got = process.peers.peer_evidence(regions, px, ocr, shots).collect()
-    assert [(r.page, r.peer_page) for r in got] == [(1, 3)] and got[0].peer.startswith("data:image/x-portable-pixmap;base64,UDYgNjAgMzAg")
+    assert [(r.page, r.peer_page) for r in got] == [(1, 3)] and got[0].peer.startswith("data:image/png;base64,")
+    shown = read_png(base64.b64decode(got[0].peer.partition(",")[2]))
+    assert shown.shape == (30, 60, 3) and (shown[:, :, 0] == [255 * (x // 2 % 2) for x in range(60)]).all()
 
 
 def test_preflight(spark):
@@ -188,3 +195,83 @@ def test_evaluation(spark):
     assert a.grounding_iou == 0.75 and a.cer == 8 / 11 and a.raw_cer == 9 / 11
     assert got["legacy"].status == "failed" and got["legacy"].grounding_iou is None and got["legacy"].repairs == 0
     assert {r.policy: (r.successful, r.repair_disagreements) for r in report.collect()} == {"legacy": (0, 0), "accuracy": (1, 1)}
+
+
+def test_png_keeps_pixels():
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1), (7, 5), (20, 33)):
+        for image in (rng.integers(0, 256, (*shape, 3)), np.full((*shape, 3), 200), np.add.outer(np.arange(shape[0]) * 3, np.arange(shape[1]))[..., None] + np.zeros(3, int)):
+            image = (image % 256).astype(np.uint8)
+            assert (read_png(write_png(image)) == image).all()
+    flat = write_png(np.full((100, 100, 3), 7, np.uint8))
+    assert len(flat) < 300
+
+
+def counted(reader, folder):
+    """A provider that leaves a file for each call."""
+
+    def call(request):
+        with open(f"{folder}/{os.getpid()}-{os.urandom(8).hex()}", "w") as f:
+            f.write(json.dumps({k: v for k, v in request.items() if k != "image"}) + "\n" + request.get("image", ""))
+        return reader(request)
+
+    return call
+
+
+def test_answers_outlive_a_run(spark, tmp_path):
+    """A second run makes no calls but those that failed; a new prompt or another provider asks anew."""
+    pages, shots, items, blocks = inputs(spark)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    base, folder = make_reader(), str(calls)
+    log = AnswerLog(f"file://{tmp_path}/log", "reader-1")
+    sources = pages.select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("source_name"), F.lit("h").alias("source_hash"))
+
+    def run(log, prompts=()):
+        before = len(os.listdir(folder))
+        parsed = process.parse_documents(pages, shots, items, blocks, counted(base, folder), finisher=counted(lambda r: {"markdown": "|".join(r["lines"])}, folder), prompts=prompts, log=log)
+        out = process.process_documents(sources, parsed["pages"], parsed, counted(providers.echo_lines, folder), providers.join_results, log=log)
+        return sorted((r.doc_id, r.status, r.output_json) for r in out.collect()), len(os.listdir(folder)) - before
+
+    first, made = run(log)
+    # Four images; two or three reads of three regions, of which documents a and e share one; "broken" fails in each of three reads.
+    assert made > 4 + 2 + 3 + 3
+    again, more = run(log)
+    assert again == first and more == 3
+    log.compact(spark)
+    assert len(log._batches(spark)) == 1 and run(log) == (first, 3)
+    asked, more = run(log, [("Read this page.", "hash-1")])
+    assert more > 10 and all(json.loads(x[2])["document"]["prompt_template_hashes"]["ocr"] == ["hash-1"] for x in asked)
+    assert run(AnswerLog(f"file://{tmp_path}/log", "reader-2"))[1] == made
+    told = [json.loads(open(f"{folder}/{f}").readline()) for f in os.listdir(folder)]
+    assert any(t.get("prompts") == ["Read this page."] and t["stage"] == "repair" for t in told)
+
+
+def test_a_batch_counts_once_it_is_whole(spark, tmp_path):
+    log = AnswerLog(f"file://{tmp_path}/log", "p")
+    assert log.known(spark).count() == 0
+    log.add(spark.createDataFrame([("a", "1"), ("b", None)], AnswerLog.SCHEMA))
+    log.add(spark.createDataFrame([("a", "2"), ("c", "3")], AnswerLog.SCHEMA))
+    torn = spark.createDataFrame([("d", "4")], AnswerLog.SCHEMA)
+    torn.write.parquet(f"file://{tmp_path}/log/batch-torn")
+    os.remove(f"{tmp_path}/log/batch-torn/_SUCCESS")
+    got = {r.digest: r.response for r in log.known(spark).collect()}
+    assert set(got) == {"a", "c"} and got["a"] in "12"
+
+
+def test_requests_carry_images(spark, tmp_path):
+    pages, shots, items, blocks = inputs(spark)
+    image = bytes(range(250)) * 120
+    shots = shots.where("doc_id = 'a'").withColumn("image", F.lit(image))
+    folder = str(tmp_path)
+    process.parse_documents(pages.where("doc_id = 'a'"), shots, items.where("doc_id = 'a'"), blocks, counted(make_reader(), folder), "accuracy")
+    shown = {}
+    for f in os.listdir(folder):
+        with open(f"{folder}/{f}") as lines:
+            request, url = json.loads(lines.readline()), lines.read()
+        shown[request["stage"]] = read_png(base64.b64decode(url.partition(",")[2])), request.get("region")
+    whole = np.frombuffer(image, np.uint8).reshape(100, 100, 3)[..., ::-1]
+    assert (shown["base"][0] == whole).all()
+    cut, region = shown["repair"]
+    x, y, w, h = (round(v) for v in json.loads(region))
+    assert (cut == whole[y : y + h, x : x + w]).all()
