@@ -40,12 +40,21 @@ def open_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(f"{path}/rows")
 
 
-def save_history(rows: DataFrame, path: str) -> None:
-    """Store ``rows`` in a new folder; an error names what ``violations`` finds."""
+def columns() -> list[str]:
+    return [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def refuse(rows: DataFrame) -> None:
+    """An error that names the first things that ``violations`` finds, if it finds any."""
     bad = violations(rows).sort("artifact_id", "problem").limit(5).collect()
     if bad:
         raise ValueError("; ".join(f"{r.artifact_id}: {r.problem}" for r in bad))
-    rows.select(*[x.split()[0] for x in SCHEMA.split(", ")]).write.parquet(f"{path}/rows")
+
+
+def save_history(rows: DataFrame, path: str) -> None:
+    """Store ``rows`` in a new folder; an error names what ``violations`` finds."""
+    refuse(rows)
+    rows.select(*columns()).write.parquet(f"{path}/rows")
     rows.sparkSession.createDataFrame([(VERSION,)], "version int").write.json(f"{path}/version")
 
 

@@ -23,11 +23,45 @@ def bounded_lines(lines: DataFrame, width: str = "shot_w", height: str = "shot_h
     return cut.withColumns({c: F.col("_box")[c] for c in _BOX}).drop("_box")
 
 
-def valid_lines(lines: DataFrame, kinds: tuple[str, ...] = ("printed", "handwritten", "mixed", "unknown")) -> tuple[DataFrame, DataFrame]:
-    """(lines that meet the contract, quarantined ones)."""
-    ok = (F.col("text") != "") & G.is_valid(G.box(*_BOX)) & F.col("confidence").between(0, 1) & F.col("source_kind").isin(*kinds)
-    ok = F.coalesce(ok, F.lit(False))
-    return lines.where(ok), lines.where(~ok)
+#: What a line of a reading may hold; fixed values.
+LINE_KEYS = ("text", "bbox", "confidence", "polygon", "source_kind")
+SOURCE_KINDS = ("printed", "handwritten", "uncertain")
+
+
+def line_problem(line: Column) -> Column:
+    """What is wrong with a line of a reading (VARIANT) as it came; null for a good one.  The first of: its kind, keys that
+    are unknown, text, box, confidence, polygon, kind of source."""
+    whole = F.try_variant_get(line, "$", "map<string,variant>")
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    part = lambda name: F.try_element_at(whole, F.lit(name))
+    number = lambda v: kind(v).isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
+    numbers = lambda v, n: (kind(v) == "ARRAY") & F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")) == n, F.lit(False)) & F.coalesce(F.forall(F.try_variant_get(v, "$", "array<variant>"), number), F.lit(False))
+    given = lambda v: v.isNotNull() & (kind(v) != "VOID")
+    unknown = F.array_except(F.map_keys(whole), F.array(*map(F.lit, LINE_KEYS)))
+    at = lambda i: F.try_variant_get(part("bbox"), f"$[{i}]", "double")
+    bad = lambda test: F.coalesce(~test, F.lit(True))
+    points = F.try_variant_get(part("polygon"), "$", "array<variant>")
+    return (
+        F.when(whole.isNull(), "not an object")
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown key: "), F.array_min(unknown)))
+        .when(bad((kind(part("text")) == "STRING") & (F.try_variant_get(part("text"), "$", "string") != "")), "no text")
+        .when(bad(numbers(part("bbox"), 4)), "no box of four numbers")
+        .when(bad((at(0) >= 0) & (at(1) >= 0) & (at(2) > at(0)) & (at(3) > at(1))), "the box is not an ordered rectangle")
+        .when(bad(number(part("confidence")) & F.try_variant_get(part("confidence"), "$", "double").between(0, 1)), "confidence is not from 0 to 1")
+        .when(given(part("polygon")) & bad(F.forall(points, lambda p: kind(p) == "ARRAY") & F.forall(points, lambda p: F.forall(F.try_variant_get(p, "$", "array<variant>"), number))), "polygon is not a list of points")
+        .when(given(part("source_kind")) & bad(F.try_variant_get(part("source_kind"), "$", "string").isin(*SOURCE_KINDS)), "unknown kind of source")
+    )
+
+
+def quarantine_lines(raw: DataFrame, column: str = "line") -> tuple[DataFrame, DataFrame]:
+    """(lines with text, box, confidence, polygon and source_kind, quarantined lines with reason) of JSON texts in ``column``; what
+    is no JSON has the reason ``not an object``."""
+    others = [c for c in raw.columns if c != column]
+    read = raw.withColumn("_v", F.try_parse_json(column)).withColumn("reason", line_problem(F.col("_v")))
+    part = lambda path, kind: F.try_variant_get("_v", path, kind)
+    box = [part(f"$.bbox[{i}]", "double").alias(c) for i, c in enumerate(_BOX)]
+    good = read.where("reason IS NULL").select(*others, part("$.text", "string").alias("text"), *box, part("$.confidence", "double").alias("confidence"), part("$.polygon", "array<array<double>>").alias("polygon"), F.coalesce(part("$.source_kind", "string"), F.lit("uncertain")).alias("source_kind"))
+    return good, read.where("reason IS NOT NULL").select(*others, column, "reason")
 
 
 def candidate_regions(hard: DataFrame, lines: DataFrame, blocks: DataFrame, policy: str = "accuracy") -> DataFrame:

@@ -45,6 +45,11 @@ def reading_request(digest: Column, stage: str, read_no: Column | int, box: Colu
 
 
 def _opened(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """Answers of readings as columns.  An answer with a line that breaks the contract is refused as a whole."""
+    lines = F.try_variant_get(F.try_parse_json("response"), "$.lines", "array<variant>")
+    wrong = F.array_compact(F.transform(lines, regions.line_problem))
+    refused = F.when(F.size(wrong) > 0, F.concat(F.lit("a line was refused: "), F.get(wrong, F.lit(0))))
+    answers = answers.withColumn("error", F.coalesce("error", refused)).withColumn("response", F.when(F.col("error").isNull(), F.col("response")))
     return answers.withColumn("r", F.from_json("response", RESPONSE)).select(*keys, "error", "r.width", "r.height", "r.lines", "r.hard_regions", "r.prompt_hashes")
 
 

@@ -16,7 +16,7 @@ from inkwell.operators import lines as L
 from inkwell.plans import providers
 from inkwell.plans.adapt import LINES_SQL, lines, low_regions, reads, table
 from inkwell.plans.extract import extract_chunks, merge_tree
-from inkwell.sources import files, parsed, sinks
+from inkwell.sources import files, parsed, sinks, snapshots
 from inkwell.sources.store import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -573,6 +573,19 @@ def history_prune(spark, sf_dir):
     return history.prune(history_upsert(spark, sf_dir), 600)
 
 
+@query(HISTORY + ", l AS (SELECT * FROM u WHERE created_at + 86400 > 1706500000), t AS (SELECT *, sum(retained_bytes) OVER (ORDER BY created_at DESC, artifact_id DESC ROWS UNBOUNDED PRECEDING) AS total FROM l) SELECT artifact_id, event_id, created_at, retained_bytes FROM t WHERE total <= 400")
+def history_commits(spark, sf_dir):
+    """The history as snapshots: the earlier and the later half as commits, then a purge and a prune."""
+    whole = _history(spark, sf_dir).withColumn("expires_at", F.col("created_at") + history.DAY)
+    middle = whole.agg((F.min("created_at") + F.max("created_at")) / 2).first()[0]
+    table_ = snapshots.History(spark, f"{shared_dir(spark)}/inkwell-history-{uuid.uuid4().hex}", "artifact_id string, event_id bigint, created_at bigint, retained_bytes bigint, expires_at bigint")
+    for late in (False, True):
+        half = whole.where(F.coalesce(F.col("created_at") >= F.lit(middle), F.lit(False)) == F.lit(late))
+        table_.upsert(history.upsert(half.limit(0), half, ["created_at", "event_id"]), ["created_at", "event_id"])
+    table_.purge(1706500000)
+    return table_.read(table_.prune(400)).drop("expires_at")
+
+
 @query(HISTORY + " SELECT artifact_id, created_at FROM u ORDER BY created_at DESC, artifact_id DESC LIMIT 20")
 def history_recent(spark, sf_dir):
     rows = history_upsert(spark, sf_dir).withColumns({"source_name": F.lit("x"), "status": F.lit("complete"), "expires_at": F.lit(0)})
@@ -632,6 +645,21 @@ def selected_pages(spark, sf_dir):
     return files.select_pages(own, wanted)
 
 
+@query(f"""WITH {LINES_SQL}, k AS (SELECT *, (doc_id + pos) % 12 AS k FROM lines)
+SELECT doc_id, pos, CASE WHEN k = 0 THEN 'not an object' WHEN k = 1 THEN 'unknown key: note' WHEN k = 2 OR text = '' THEN 'no text' WHEN k IN (3, 4) THEN 'no box of four numbers' WHEN k = 5 OR x2 <= x1 THEN 'the box is not an ordered rectangle'
+WHEN k = 6 THEN 'confidence is not from 0 to 1' WHEN k = 7 THEN 'polygon is not a list of points' WHEN k = 8 THEN 'unknown kind of source' END AS reason, k.confidence AS was FROM k WHERE k < 9 OR text = '' OR x2 <= x1""")
+def quarantined_lines(spark, sf_dir):
+    """All lines as JSON as a reader might send them, three quarters of them broken in some way."""
+    k = (F.col("doc_id") + F.col("pos")) % 12
+    none = F.lit(None).cast("variant")
+    box = F.when(k == 3, F.parse_json(F.lit("[1, 2, 3]"))).when(k == 4, F.parse_json(F.lit('[1, 2, 3, "4"]'))).when(k == 5, F.parse_json(F.lit("[5, 0, 5, 9]"))).otherwise(F.parse_json(F.to_json(F.array("x1", "y1", "x2", "y2"))))
+    body = F.to_json(F.struct(F.when(k == 2, F.parse_json(F.lit("7"))).otherwise(F.to_variant_object(F.array("text"))).alias("t"), box.alias("bbox"), F.when(k == 6, 1.5).otherwise(F.col("confidence")).alias("confidence"), F.when(k == 7, F.parse_json(F.lit('[[1, "x"]]'))).when(k == 9, F.parse_json(F.lit("[[1, 2], [3, 4.5]]"))).otherwise(none).alias("polygon"), F.when(k == 8, "painted").when(k == 10, "printed").alias("source_kind"), F.when(k == 1, 1).alias("note")))
+    # The text is put in as it is: a member of an array came out as one.
+    sent = F.regexp_replace(F.regexp_replace(body, r'^\{"t":\["', '{"text":"'), r'"\],"bbox"', '","bbox"')
+    raw = lines(spark, sf_dir).select("doc_id", "pos", F.col("confidence").alias("was"), F.when(k == 0, F.lit("[1]")).otherwise(F.regexp_replace(sent, r'^\{"t":7', '{"text":7')).alias("line"))
+    return regions.quarantine_lines(raw)[1].select("doc_id", "pos", "reason", "was")
+
+
 @query()
 def page_evaluation(spark, sf_dir):
     """Rows only: edit distances, headings and tables of Unicode Markdown."""
