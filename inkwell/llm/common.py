@@ -156,14 +156,24 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Bytes of text that are hashed at a time; each takes some 50 bytes while it is.
+PIECE = 1 << 20
+
+
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of rows of text, A-Z lower-cased: (hash of each, row of each, words per row)."""
-    rows = len(offsets) - 1
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(rows, np.int64)
-    begin, end = word_spans(raw, offsets)
-    row = np.searchsorted(offsets, begin, side="right") - 1
-    return span_hashes(_LOWER[raw], begin, end), row, np.bincount(row, minlength=rows)
+    rows, i = len(offsets) - 1, 0
+    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    while i < rows:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, side="right")) - 1)
+        part, own = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if len(part):
+            begin, end = word_spans(part, own)
+            hashes.append(span_hashes(_LOWER[part], begin, end))
+            owners.append(np.searchsorted(own, begin, side="right") - 1 + i)
+        i = j
+    row = np.concatenate(owners)
+    return np.concatenate(hashes), row, np.bincount(row, minlength=rows)
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
