@@ -124,9 +124,9 @@ def repair_lines(spark, sf_dir):
     return regions.replace_lines(base, areas, fresh).select("doc_id", "page", "text", "repaired")
 
 
-@query()
+@query(f"""WITH {LINES_SQL} SELECT CAST(doc_id AS VARCHAR) AS doc_id, page, x1, y1, greatest(x2, x1 + 1) AS x2, y2, CASE WHEN idx IN (2, 3) THEN upper(replace(text, 'ß', 'SS')) ELSE text END AS text, CAST(NULL AS DOUBLE) AS confidence, idx IN (2, 3) AS repaired FROM lines""")
 def repair_in_order(spark, sf_dir):
-    """Rows only: regions of a page are applied one after another (state)."""
+    """Regions of a page are applied one after another, each seeing what the earlier ones changed."""
     base = _wide(lines(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("doc_id"), "page", "x1", "y1", "x2", "y2", "text", F.col("idx").alias("line_no"))
     fresh = base.where("line_no IN (2, 3)").select("*", (F.col("line_no") - 1).alias("region_no"), F.lit(0.0).alias("rx1"), (F.col("y1") - 1).alias("ry1"), F.lit(612.0).alias("rx2"), (F.col("y2") + 1).alias("ry2")).withColumn("text", F.upper("text"))
     return regions.repair_pages(base, fresh)
@@ -231,12 +231,13 @@ def _nation_tables(spark, sf_dir, row, cell, head, tail):
 
 
 def _cells(tables: DataFrame) -> DataFrame:
-    one = tables.select("r_name", F.posexplode(F.col("t")[0]).alias("row_no", "cells")).where("row_no > 0")
+    one = tables.select("r_name", F.explode("t").alias("rows")).select("r_name", F.posexplode("rows").alias("row_no", "cells"))
     return one.select("r_name", "row_no", F.posexplode("cells").alias("col_no", "value"))
 
 
 NATION_CELLS = """WITH n AS (SELECT r_name, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS INTEGER) AS row_no, CAST(n_nationkey AS VARCHAR) AS k, n_name FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT r_name, row_no, CAST(0 AS INTEGER) AS col_no, k AS value FROM n UNION ALL SELECT r_name, row_no, CAST(1 AS INTEGER), n_name FROM n"""
+SELECT r_name, row_no, CAST(0 AS INTEGER) AS col_no, k AS value FROM n UNION ALL SELECT r_name, row_no, CAST(1 AS INTEGER), n_name FROM n
+UNION ALL SELECT DISTINCT r_name, CAST(0 AS INTEGER), CAST(0 AS INTEGER), 'key' FROM n UNION ALL SELECT DISTINCT r_name, CAST(0 AS INTEGER), CAST(1 AS INTEGER), 'name' FROM n"""
 
 
 @query(NATION_CELLS)
