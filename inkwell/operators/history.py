@@ -125,10 +125,34 @@ def recent(rows: DataFrame, limit: int = 100) -> DataFrame:
     return rows.select("artifact_id", "source_name", "status", "created_at", "expires_at", "retained_bytes").orderBy(F.desc("created_at"), F.desc("artifact_id")).limit(limit)
 
 
+#: The options of a run, and what holds for those that a stored row lacks; fixed values.
+OPTIONS = "instructions string, schema variant, language string, target_pages string, keep_headers_footers boolean, image_mode string, extract_data boolean, generate_annotated_pdf boolean, accuracy_policy string, experimental_peer_evidence boolean"
+DEFAULTS = {"instructions": "", "language": "auto", "keep_headers_footers": False, "image_mode": "placeholder", "extract_data": False, "generate_annotated_pdf": False, "accuracy_policy": "accuracy", "experimental_peer_evidence": False}
+POLICIES = ("legacy", "accuracy")
+
+
+def typed_options(text: Column) -> Column:
+    """The stored options (JSON) by their kinds, with defaults; null if they are no JSON object, hold an option that isn't
+    known or of another kind, or an unknown policy."""
+    whole = F.try_parse_json(text)
+    held = F.try_variant_get(whole, "$", "map<string,variant>")
+    kinds = dict(x.split() for x in OPTIONS.split(", "))
+    get = lambda name: F.try_variant_get(whole, f"$.{name}", kinds[name])
+    value = {name: F.coalesce(get(name), F.lit(DEFAULTS[name])) if name in DEFAULTS else get(name) for name in kinds}
+    # As a string anything can be had, so the kind is looked at; JSON's null stands for a missing value.
+    shown = lambda name: F.coalesce(F.regexp_extract(F.schema_of_variant(F.try_element_at(held, F.lit(name))), "^[A-Z]+", 0), F.lit("VOID"))
+    fine = F.size(F.array_except(F.map_keys(held), F.array(*map(F.lit, kinds)))) == 0
+    for name, kind in kinds.items():
+        if kind != "variant":
+            fine &= shown(name).isin("VOID", kind.upper())
+    return F.when(fine & value["accuracy_policy"].isin(*POLICIES), F.struct(*[v.alias(n) for n, v in value.items()]))
+
+
 def restore(rows: DataFrame, artifact_id: str) -> DataFrame:
-    """One stored result with its output parsed; ``corrupt`` tells that the stored JSON isn't JSON."""
+    """One stored result with its output parsed and its options typed; ``corrupt`` tells that one of them can't be read."""
     one = rows.where(F.col("artifact_id") == F.lit(artifact_id))
-    return one.withColumn("output", F.try_parse_json("output_json")).withColumn("corrupt", F.col("output").isNull() | F.try_parse_json("processing_options").isNull())
+    read = one.withColumns({"output": F.try_parse_json("output_json"), "options": typed_options(F.col("processing_options"))})
+    return read.withColumn("corrupt", F.col("output").isNull() | F.col("options").isNull())
 
 
 def delete(rows: DataFrame, artifact_id: str) -> tuple[DataFrame, bool]:

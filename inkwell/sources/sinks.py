@@ -45,18 +45,26 @@ def write_run(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").partitionBy("policy", "document").json(path)
 
 
-def candidates(policy: str, pages: DataFrame, lines: DataFrame) -> DataFrame:
-    """policy, document, markdown, json of what each document was parsed to: its pages in order and its line catalog.
+def candidates(policy: str, pages: DataFrame, lines: DataFrame, repairs: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
+    """policy, document, markdown, json of what each document was parsed to: its pages in order, its line catalog, repairs and
+    issues.
 
-    pages: doc_id, page, markdown; lines: the catalog.  A document's pages and lines are limited.
+    pages: doc_id, page, markdown; lines: the catalog; repairs and issues as ``parse_documents`` gives them.  All that a
+    document has is limited.
     """
     text = F.transform(F.sort_array(F.collect_list(F.struct("page", "markdown"))), lambda p: F.struct(p["page"].alias("page"), p["markdown"].alias("markdown")))
     own = pages.groupBy("doc_id").agg(text.alias("pages"))
     box = F.array("x1", "y1", "x2", "y2").alias("bbox")
     catalog = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "id", "text", box, "source", "confidence"))).alias("lines"))
     both = own.join(catalog, "doc_id", "left")
-    body = F.to_json(F.struct(F.array_join(F.transform("pages", lambda p: p["markdown"]), "\n\n").alias("markdown"), "pages", F.coalesce("lines", F.array()).alias("lines")))
-    return both.select(F.lit(policy).alias("policy"), F.col("doc_id").alias("document"), F.array_join(F.transform("pages", lambda p: p["markdown"]), "\n\n").alias("markdown"), body.alias("json"))
+    parts = [F.coalesce("lines", F.array()).alias("lines")]
+    for name, rows, columns in (("repairs", repairs, ("page", "region_id", "bbox", "reason", "replaced_lines", "added_lines", "status", "ocr_calls")), ("issues", issues, ("code", "message", "stage"))):
+        if rows is not None:
+            both = both.join(rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name)), "doc_id", "left")
+        parts.append((F.coalesce(name, F.array()) if rows is not None else F.array()).alias(name))
+    whole = F.array_join(F.transform("pages", lambda p: p["markdown"]), "\n\n").alias("markdown")
+    body = F.to_json(F.struct(whole, "pages", *parts, F.transform("pages", lambda p: p["page"]).alias("processed_pages")))
+    return both.select(F.lit(policy).alias("policy"), F.col("doc_id").alias("document"), whole, body.alias("json"))
 
 
 def write_evaluation(path: str, parsed: DataFrame, results: DataFrame, report: DataFrame) -> None:

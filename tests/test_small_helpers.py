@@ -56,3 +56,25 @@ def test_missing_pages_and_runs(spark):
 def test_total_of_stored_bytes(spark):
     rows = spark.createDataFrame([("a", 5), ("b", 7)], "artifact_id string, retained_bytes bigint")
     assert history.total_bytes(rows).first()[0] == 12 and history.total_bytes(rows.limit(0)).first()[0] == 0
+
+
+def test_options_are_typed_again(spark):
+    texts = ["{}", '{"extract_data": true, "schema": {"type": "object"}, "target_pages": "1-2", "accuracy_policy": "legacy", "instructions": null}', '{"extract_data": "yes"}', '{"unknown": 1}', '{"accuracy_policy": "other"}', "[]", "no json", None, '{"language": 3}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", history.typed_options(F.col("t")).alias("o"))
+    got = {r.i: r.o for r in df.select("i", F.when(F.col("o").isNotNull(), F.struct("o.extract_data", "o.target_pages", "o.accuracy_policy", "o.language", "o.instructions", F.to_json("o.schema").alias("schema"))).alias("o")).collect()}
+    assert tuple(got[0]) == (False, None, "accuracy", "auto", "", None) and tuple(got[1]) == (True, "1-2", "legacy", "auto", "", '{"type":"object"}')
+    assert all(got[i] is None for i in range(2, 9))
+
+
+def test_candidates_hold_repairs_and_issues(spark):
+    from inkwell.sources import sinks
+
+    pages = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a")], "doc_id string, page int, markdown string")
+    own = spark.createDataFrame([("d", 1, "l1", "t", 0.0, 1.0, 2.0, 3.0, "native", None)], "doc_id string, page int, id string, text string, x1 double, y1 double, x2 double, y2 double, source string, confidence double")
+    repairs = spark.createDataFrame([("d", 1, "p1-r001", [0.0, 0.0, 1.0, 1.0], "low confidence", 1, 2, "majority", 3)], "doc_id string, page int, region_id string, bbox array<double>, reason string, replaced_lines int, added_lines int, status string, ocr_calls int")
+    issues = spark.createDataFrame([("d", "page_error", "m", "parsing")], "doc_id string, code string, message string, stage string")
+    body = json.loads(sinks.candidates("accuracy", pages, own, repairs, issues).first().json)
+    assert body["repairs"][0]["added_lines"] == 2 and body["issues"] == [{"code": "page_error", "message": "m", "stage": "parsing"}]
+    assert body["processed_pages"] == [1, 2] and body["markdown"] == "a\n\nb"
+    bare = json.loads(sinks.candidates("accuracy", pages, own).first().json)
+    assert bare["repairs"] == bare["issues"] == []
