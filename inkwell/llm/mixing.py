@@ -28,6 +28,8 @@ SIZE = 0.5
 #: Fitting ends when no share is further from its target than TOLERANCE, relative to the target; when a sweep over all margins
 #: moves no weight by more than SETTLED of itself (then the targets can't be met); or after ROUNDS rounds of SWEEPS.
 TOLERANCE, SETTLED, ROUNDS, SWEEPS = 1e-4, 1e-7, 60, 5
+#: Cells that one task fits; more are dealt out.
+TASK_CELLS = 100_000
 #: Target shares of the query's margins; a number tempers the actual shares (share ** number, normalised).
 TARGETS: dict[str, Mapping[str, float] | float] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Kinds of characters whose shares describe a text.
@@ -117,7 +119,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], s
     empty cells, or ask for more tokens than there are) are met as nearly as fitting brings them, with a warning.
     """
     cells = written(cells, "cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    total, number = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    total = total or 0
     now = cells.withColumn("weight", F.when(F.col("tokens") > 0, float(size or 1.0)).otherwise(0.0))
     if not total:
         return now
@@ -127,7 +130,7 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], s
     now = written(now, "cells")
     have = lambda m: F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(m))
     for _ in range(rounds):
-        held = now
+        held, now = now, now.coalesce(1 + number // TASK_CELLS)  # few cells in one partition need no shuffle for any margin
         for sweep in range(SWEEPS):
             if sweep == SWEEPS - 1:
                 now = now.withColumns({"_off": F.lit(0.0), "_was": F.col("weight")})
