@@ -53,6 +53,10 @@ def test_visible_text():
     assert X.visible("<head><title>t</title></head><script>var a='<p>'</script><!-- c --><p>a &amp; b<br>c</p>") == "a & b\nc"
 
 
+def test_only_whole_references_are_decoded():
+    assert X.visible("<p>ver&amp</p><p>a&ltb &notit; &copy;&#39;&#x27;&eacute;&amp;lt; &nope;</p>") == "ver&amp\na&ltb &notit; ©''é&lt; &nope;"
+
+
 def test_two_places(spark):
     got = values(spark, [(2.675, 0.125), (72.0, 1e-3)], "a double, b double", X.two_places(F.col("a")), X.two_places(F.col("b")))
     assert [tuple(r) for r in got] == [("2.67", "0.12"), ("72.0", "0.0")]
