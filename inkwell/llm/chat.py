@@ -1,9 +1,8 @@
 """Chat formatting by prefix-target expansion: every assistant turn is an example of its own.
 
-An example's context are all turns before its target, and only the target's text is trainable.  Written out, the contexts
-of a conversation of T turns hold T² / 4 turns, so examples share them: a conversation is formatted once, a row a turn, and
-an example is a row that names a piece of it: its context is the conversation up to ``loss_begin``, its target goes from
-there to ``loss_end``.  ``expand_examples`` writes examples out for whoever wants their texts.
+An example's context are all turns before its target, and only the target's text is trainable.  A conversation is formatted
+once, a row a turn, and stored; ``expand_examples`` makes of it an example for each target, with its whole context.  The
+contexts of a conversation of T turns hold T² / 4 turns, so examples are streamed and not stored.
 
 Template: ``### role: text</turn>`` and a line feed.  In texts and roles a backslash is put before each backslash, between
 two signs of ``##`` and into ``</turn>``, so neither ``###`` nor ``</turn>`` stands in an escaped text; in roles also before
@@ -23,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import PIECE, slices, table, written
 
 HEAD, TAIL, TARGET = "### ", "</turn>", "assistant"
+END = f"{TAIL}\n"
 _TURN = re.compile(r"### ((?:[^\\:]|\\.)*): (.*)</turn>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 #: The turns of the conversation that is added to the query's table.
@@ -57,7 +57,7 @@ def format_turns(conversations: DataFrame, *, conv: str = "conv_id", turn: str =
     target = F.col("r") == TARGET
     lead = F.concat(F.lit(HEAD), F.replace(escaped(F.col("r")), F.lit(":"), F.lit("\\:")), F.lit(": "))
     made = dealt.withColumns({"head": F.char_length(lead).cast("long"), "inner": escaped(F.col("x")), "lead": lead})
-    made = made.select("part", "c", "t", "r", "d", "i", "head", F.char_length("inner").cast("long").alias("size"), F.concat("lead", "inner", F.lit(f"{TAIL}\n")).alias("formatted"))
+    made = made.select("part", "c", "t", "r", "d", "i", "head", F.char_length("inner").cast("long").alias("size"), F.concat("lead", "inner", F.lit(END)).alias("formatted"))
     made = made.withColumn("chars", F.char_length("formatted").cast("long"))
     # Within a range: no group is larger than its range.
     within = Window.partitionBy("part", "c").orderBy("t", "r", "d", "i").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,23 +89,45 @@ def in_order(turns: DataFrame, conv: str) -> DataFrame:
     return turns.repartition(conv).sortWithinPartitions(conv, "place")
 
 
-def expand_examples(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
+def expand_examples(turns: DataFrame, conv: str = "conv_id", rest: bool = False) -> DataFrame:
     """conv, example, text (context, target and the end of its turn), loss_begin, loss_end: examples with their whole texts.
 
-    A task streams over its conversations and holds the text of one; what comes out grows with the square of the turns.
+    With ``rest`` a conversation that goes on after its last target ends with a row of all its turns, without target (example,
+    loss_begin and loss_end null).  Rows come conversation by conversation and in order.  A task streams over its
+    conversations and holds the text of one and about a megabyte of examples; what comes out grows with the square of the turns.
     """
     kind = turns.schema[conv].dataType.simpleString()
+    names = [conv, "example", "text", "loss_begin", "loss_end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts = None, []
-        for batch in batches:
+        own, parts, done, size, ended = None, [], [], 0, True
+
+        def rows() -> pa.RecordBatch:
+            columns = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        kinds = None
+        for batch in slices(batches, "formatted"):
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.int64()]
             for name, place, formatted, example, begin, end in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if place == 0 or name != own:
+                if place == 0:
+                    if rest and not ended:
+                        done.append((own, None, "".join(parts), None, None))
+                        size += len(done[-1][2])
                     own, parts = name, []
                 parts.append(formatted)
-                if example is not None:
+                ended = example is not None
+                if ended:
                     parts = ["".join(parts)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name], batch.schema.field(0).type), pa.array([example]), pa.array(parts), pa.array([begin]), pa.array([end])], names=[conv, "example", "text", "loss_begin", "loss_end"])
+                    done.append((name, example, parts[0], begin, end))
+                    size += len(parts[0])
+                if size >= PIECE:
+                    yield rows()
+                    done, size = [], 0
+        if rest and not ended:
+            done.append((own, None, "".join(parts), None, None))
+        if done:
+            yield rows()
 
     return in_order(turns.select(conv, "place", "formatted", "example", "loss_begin", "loss_end"), conv).mapInArrow(run, f"`{conv}` {kind}, example long, text string, loss_begin long, loss_end long")
 
@@ -118,60 +140,80 @@ def parse_turn(formatted: str) -> tuple[str, str]:
     return unescaped(found[1]), unescaped(found[2])
 
 
-def read_turns(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """What formatted turns hold, a row a conversation: n_turns, the digest of its roles and texts, characters and digest of
-    all text under the masks of its examples, its formatted characters, its examples and the characters that these would
-    have written out.
+def parse_turns(text: str) -> Iterator[tuple[str, str]]:
+    """(role, text) of each turn of a formatted conversation: neither ends before its ``</turn>``, which no text holds."""
+    begin = 0
+    while begin < len(text):
+        end = text.index(END, begin) + len(END)
+        yield parse_turn(text[begin:end])
+        begin = end
+
+
+def read_examples(examples: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """What expanded examples (with ``rest``) hold, a row a conversation: n_turns, the digest of its roles and texts,
+    characters and digest of all text under the masks of its examples, its formatted characters, its examples and their
+    characters.
 
-    Digests go over a conversation in order, so a task streams over its turns and holds none but the current one.
+    Turns are read from the last text of a conversation, which holds them all; each text has to go on with the one before.
+    Digests go over a conversation in order, so a task streams over its examples and holds two of them.
     """
-    kind = turns.schema[conv].dataType.simpleString()
+    kind = examples.schema[conv].dataType.simpleString()
     names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "example_chars"]
 
     class Sums:
         def __init__(self, name):
-            self.name, self.turns, self.loss = name, hashlib.sha256(), hashlib.sha256()
-            self.n = self.loss_chars = self.chars = self.examples = self.example_chars = 0
+            self.name, self.last, self.loss = name, "", hashlib.sha256()
+            self.loss_chars = self.examples = self.example_chars = 0
+
+        def add(self, text: str, begin: int, end: int) -> None:
+            trained = unescaped(text[begin:end])
+            self.loss.update(trained.encode())
+            self.loss_chars += len(trained)
+            self.examples += 1
+            self.example_chars += len(text)
 
         def row(self) -> list:
-            return [self.name, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.examples, self.example_chars]
+            turns, n = hashlib.sha256(), 0
+            for n, (role, text) in enumerate(parse_turns(self.last), 1):
+                turns.update(f"{role}\n{text}\n".encode())
+            return [self.name, n, turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), len(self.last), self.examples, self.example_chars]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
-        for batch in batches:
-            done = []
-            for name, place, begin, formatted, loss_begin, loss_end in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if own is None or place == 0:
+        own, kind = None, None
+        for batch in slices(batches, "text"):
+            done, kind = [], batch.schema.field(0).type
+            for name, example, text, begin, end in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if own is None or example == 0 or not (own.name == name or own.name != own.name and name != name):  # NaN is one name
                     done += [own.row()] if own else []
                     own = Sums(name)
-                role, text = parse_turn(formatted)
-                own.turns.update(f"{role}\n{text}\n".encode())
-                own.n += 1
-                own.chars += len(formatted)
-                if loss_begin is not None:
-                    trained = unescaped(formatted[loss_begin - begin : loss_end - begin])
-                    own.loss.update(trained.encode())
-                    own.loss_chars += len(trained)
-                    own.examples += 1
-                    own.example_chars += begin + len(formatted)
+                if not text.startswith(own.last):
+                    raise ValueError("an example does not go on with the one before")
+                own.last = text
+                if example is not None:
+                    own.add(text, begin, end)
             if done:
-                yield rows(done, batch.schema.field(0).type)
+                yield rows(done, kind)
         if own:
-            yield rows([own.row()], batch.schema.field(0).type)
+            yield rows([own.row()], kind)
 
     def rows(done: list[list], kind: pa.DataType) -> pa.RecordBatch:
         columns = list(zip(*done, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *map(pa.array, columns[1:])], names=[conv, *names])
 
     kinds = ["long", "string", "long", "string", "long", "long", "long"]
-    streamed = in_order(turns.select(conv, "place", "begin", "formatted", "loss_begin", "loss_end"), conv)
+    streamed = examples.select(conv, "example", "text", "loss_begin", "loss_end")
     return streamed.mapInArrow(run, f"`{conv}` {kind}, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
+def read_turns(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """What formatted turns hold, read back from their expanded examples."""
+    return read_examples(expand_examples(turns, conv, rest=True), conv)
+
+
 def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(TARGET).alias("role"), F.lit(PLANTED).alias("text"))
-    return read_turns(format_turns(conversations.unionByName(planted)))
+    return read_examples(expand_examples(format_turns(conversations.unionByName(planted)), rest=True))
 
 
 ORACLE_SQL = r"""

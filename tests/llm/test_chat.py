@@ -98,3 +98,28 @@ def test_no_control_string_in_escaped_texts(spark):
 def test_empty(spark):
     turns = chat.format_turns(make(spark, []))
     assert chat.read_turns(turns).count() == 0 and chat.expand_examples(turns).count() == 0
+
+
+def test_query_reads_expanded_examples(spark, tmp_path, monkeypatch):
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(NASTY)] + [(2, 0, "user", "never answered"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (3, 3, "tool", "d")]
+    make(spark, rows).write.parquet(f"{tmp_path}/conversations.parquet")
+    seen, expand = [], chat.expand_examples
+    monkeypatch.setattr(chat, "expand_examples", lambda *a, **k: seen.append(expand(*a, **k)) or seen[-1])
+    got = {r.conv_id: r for r in chat.op11_chat_formatting(spark, str(tmp_path)).collect()}
+    (examples,) = seen
+    texts = {}
+    for r in examples.collect():
+        texts.setdefault(r.conv_id, []).append((r.example, r.text, r.loss_begin, r.loss_end))
+    want = brute([*rows, (-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)])
+    for conv, (own, text, whole) in want.items():
+        tail = [] if own[-1][0] == "assistant" else [(None, text, None, None)]
+        assert texts[conv] == [(i, *e) for i, e in enumerate(whole)] + tail
+        assert (got[conv].n_turns, got[conv].formatted_chars, got[conv].example_chars) == (len(own), len(text), sum(len(t) for t, _, _ in whole))
+        assert list(chat.parse_turns(text)) == own
+
+
+def test_examples_without_their_context_are_refused(spark):
+    turns = chat.format_turns(make(spark, [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d")]))
+    cut = chat.expand_examples(turns, rest=True).withColumn("text", F.expr("substring(text, 1 + cast(example AS int))"))
+    with pytest.raises(Exception, match="does not go on"):
+        chat.read_examples(cut).collect()
