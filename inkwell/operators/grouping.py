@@ -36,3 +36,12 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[t
 
     dealt = df.select(*names, *[o for o in order if o not in names]).repartition(*keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInPandas(run, schema)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over as many tasks as a session has for a shuffle, or four for each core.
+
+    For what takes much more time than its bytes tell: the number is given, so small parts are not put together again.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import geometry as G
 from inkwell.functions import text as X
-from inkwell.operators.grouping import map_groups
+from inkwell.operators.grouping import map_groups, spread
 
 
 def precision_recall(matched: Column, candidate: Column, reference: Column) -> Column:
@@ -155,7 +155,7 @@ def evaluate_documents(pages: DataFrame, compose: bool = True) -> DataFrame:
     micro = lambda c: precision_recall(*[total(c, part) for part in ("matched", "candidate", "reference")]).alias(f"{c}_score")
     joined = lambda c, by: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(by).alias("at"), F.col(c).alias("md"))))), lambda s: s["md"]), "\n\n")
     matched = F.sum(F.when(F.col("grounding.mean_iou").isNotNull(), F.col("grounding.matched")))
-    out = pages.groupBy("document").agg(
+    out = spread(pages, "document").groupBy("document").agg(
         F.count(F.lit(1)).alias("pages"),
         (F.count_if(ok) / F.greatest(F.lit(1), F.count(F.lit(1)))).alias("success_rate"),
         joined("ref_raw", "seq").alias("ref"),

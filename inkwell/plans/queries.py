@@ -13,6 +13,7 @@ from inkwell.functions import pointers as P
 from inkwell.functions import text as X
 from inkwell.operators import chunking, consensus, evidence, history, metrics, peers, regions, schemas
 from inkwell.operators import lines as L
+from inkwell.operators.grouping import spread
 from inkwell.plans import providers
 from inkwell.plans.adapt import LINES_SQL, lines, low_regions, reads, table
 from inkwell.plans.extract import extract_chunks, merge_tree
@@ -174,7 +175,7 @@ def cer_pairs(spark, sf_dir):
     """Rows only: DuckDB's distance counts bytes, and takes too long on whole texts."""
     a = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
-    return a.join(b, "doc_id").select("doc_id", X.cer(F.col("t"), F.col("u")).alias("c")).select("doc_id", "c.edits", "c.rate", "c.score")
+    return spread(a, "doc_id").join(spread(b, "doc_id"), "doc_id").select("doc_id", X.cer(F.col("t"), F.col("u")).alias("c")).select("doc_id", "c.edits", "c.rate", "c.score")
 
 
 @query("SELECT page_id, CAST(1 + page_id % 6 AS INTEGER) AS level, trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) AS title FROM pages WHERE trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) <> ''")

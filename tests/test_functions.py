@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,3 +119,30 @@ def test_headings_are_composed_and_collapsed(spark):
     rows = [("#  a  b\r\n##\u2003e\u0301\u00a0 x \t\n### \n#no\n\u2028#### z",)]
     (h,) = values(spark, rows, "t string", X.headings(F.col("t")))[0]
     assert [tuple(x) for x in h] == [(1, "a b"), (2, "\u00e9 x"), (4, "z")]
+
+
+def test_edit_distances_by_band_and_by_columns(monkeypatch):
+    """Pairs of all lengths together and one by one, near and far ones, against the plain matrix; a near pair needs no whole columns."""
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abé\U0001f600") for _ in range(n))
+    pairs = [("", ""), ("", "a"), ("abc", "abc"), ("ab", "ba")]
+    for n in (1, 5, 63, 64, 65, 130, 300):
+        far = word(n)
+        pairs += [(far, word(n)), (far, word(n // 3)), (far, far[: n // 2] + "x" + far[n // 2 + n // 9 :]), ("x" + far[3:] + "y", far), (far[::-1], far)]
+    want = [plain(a, b) for a, b in pairs]
+    assert X.edit_distances(pairs) == want
+    monkeypatch.setattr(X, "TOGETHER", 1)
+    assert X.edit_distances(pairs) == want and X.edit_distances([]) == []
+
+    monkeypatch.setattr(X, "_by_columns", lambda held: [] if not held else pytest.fail("whole columns for near texts"))
+    text = word(20_000)
+    near = text[:5000] + text[5400:12_000] + "x" + text[12_000:] + "x"
+    assert X.edit_distance("y" + text, near) == 403

@@ -78,3 +78,9 @@ def test_candidates_hold_repairs_and_issues(spark):
     assert body["processed_pages"] == [1, 2] and body["markdown"] == "a\n\nb"
     bare = json.loads(sinks.candidates("accuracy", pages, own).first().json)
     assert bare["repairs"] == bare["issues"] == []
+
+
+def test_edit_distances_are_spread_over_tasks(spark):
+    from inkwell.plans import queries
+
+    assert queries.cer_pairs(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
