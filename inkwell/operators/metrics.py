@@ -164,7 +164,9 @@ def evaluate_documents(pages: DataFrame, compose: bool = True) -> DataFrame:
         (F.sum(F.col("grounding.mean_iou") * F.col("grounding.matched")) / F.nullif(matched, F.lit(0))).alias("grounding_iou"),
     )
     plain = lambda c: X.normalize_markdown(F.col(c), compose)
-    return out.withColumn("raw_cer", X.cer(F.col("cand"), F.col("ref"))).withColumn("cer", X.cer(plain("cand"), plain("ref"))).drop("ref", "cand")
+    # As rows of their own, or whole documents would be normalised anew at each place where their error rate names them.
+    normal = out.select("*", F.inline(F.array(F.struct(plain("cand").alias("cand_md"), plain("ref").alias("ref_md")))))
+    return normal.withColumn("raw_cer", X.cer(F.col("cand"), F.col("ref"))).withColumn("cer", X.cer(F.col("cand_md"), F.col("ref_md"))).drop("ref", "cand", "cand_md", "ref_md")
 
 
 def policy_report(results: DataFrame, metrics: list[str]) -> DataFrame:

@@ -33,3 +33,14 @@ def test_groups_are_cut_from_pieces(spark, monkeypatch):
     seen = lambda key, held: [(*key, len(held), [x["id"] for x in held[-1][1]], [r[0] for r in held] == list(range(700)), held[1][2] if held[1][2] == held[1][2] else float("nan"))]
     got = grouping.map_groups(df, ["k"], ["i"], seen, "k string, n int, ids array<string>, fine boolean, d double", ["i", "own", "d"]).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(k, 700, ["699"], True, None) for k in ("a", "b", None)], key=str)
+
+
+def test_documents_are_normalised_once_for_their_error_rate(spark):
+    from inkwell.operators import metrics
+
+    read = spark.createDataFrame([(1, 1, "é  \nb"), (1, 2, "x" * 300), (2, 1, "same")], "document long, page int, markdown string")
+    truth = spark.createDataFrame([(1, 1, "é\nb"), (1, 2, "y" + "x" * 300), (2, 1, "same"), (2, 2, "gone")], "document long, page int, markdown string")
+    found = metrics.evaluate_documents(metrics.evaluate_pages(read, truth)).select("document", "cer").where("cer.edits IS NOT NULL")
+    assert {r.document: (r.cer.edits, r.cer.rate) for r in found.collect()} == {1: (1, 1 / 306), 2: (6, 0.6)}
+    plan = metrics.evaluate_documents(metrics.evaluate_pages(read, truth)).select("cer")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction(regexp_replace(") <= 4
