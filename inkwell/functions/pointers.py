@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -87,6 +88,9 @@ def resolved(value: Column, pointer: Column) -> Column:
     return F.when(F.startswith(pointer, F.lit("/data/")), F.aggregate(parts, value, step))
 
 
+GENERIC_METADATA = re.compile(r"/data/fields/[^/]*/(name|value_type)")
+
+
 def is_generic_metadata(path: Column) -> Column:
     """Names and kinds of the generic schema's fields need no evidence."""
-    return path.rlike(r"^/data/fields/[^/]*/(name|value_type)$")
+    return path.rlike(f"^{GENERIC_METADATA.pattern}$")

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from inkwell.functions import pointers as P
 from inkwell.functions import text as X
 from inkwell.operators import schemas as S
+from inkwell.operators.grouping import pieces
 
 SCHEMA_BYTES = 100 * 1024
 CODES = ("unreadable", "ambiguous", "missing", "unsupported", "conflict")
@@ -119,44 +125,46 @@ def conforms(value: object, schema: dict) -> bool:
     return not S.problems_of(value, S.compile_schema(schema))
 
 
+def read_envelope(text: str | None, compiled: S.Schema) -> tuple[str | None, list[dict], list[str], int, list[str], bool]:
+    """Status, evidence, leaves, number of issues, errors of shape and whether there is data, of one result (JSON text)."""
+    try:
+        x = S.read_json(text)
+        errors = []
+    except ValueError:
+        return None, [], [], 0, ["the result is not JSON"], False
+    if not isinstance(x, dict) or set(x) != {"status", "data", "evidence", "issues"}:
+        return None, [], [], 0, ["the result must hold status, data, evidence and issues"], False
+    if x["status"] not in STATUSES:
+        errors.append("unknown status")
+    evidence = []
+    for e in x["evidence"] if isinstance(x["evidence"], list) else [None]:
+        if isinstance(e, dict) and set(e) == {"path", "line_ids", "quote"} and isinstance(e["path"], str) and isinstance(e["quote"], str) and isinstance(e["line_ids"], list) and all(isinstance(i, str) for i in e["line_ids"]):
+            evidence.append(e)
+        else:
+            errors.append("malformed evidence")
+    issues = x["issues"] if isinstance(x["issues"], list) else [None]
+    if any(not isinstance(i, dict) or i.get("code") not in CODES or not isinstance(i.get("message"), str) for i in issues):
+        errors.append("malformed issue")
+    if x["data"] is not None:
+        errors += [f"data{path or ' as a whole'} does not meet the schema: {keyword}" for path, keyword in S.problems_of(x["data"], compiled)]
+    if x["status"] == "complete" and (x["data"] is None or issues):
+        errors.append("a complete result needs data and has no issues")
+    if x["status"] == "partial" and not issues:
+        errors.append("a partial result needs issues")
+    if x["status"] == "failed" and x["data"] is not None:
+        errors.append("a failed result has no data")
+    return x["status"], evidence, [p for p, _ in P.leaves(x["data"])], len(issues), errors, x["data"] is not None
+
+
 def read_envelopes(extractions: DataFrame, schema: dict | None = None) -> DataFrame:
     """doc_id, status, evidence, leaves, issue count and errors of shape, from doc_id and result (JSON text)."""
     wanted = schema or generic_schema()
     kind = "status string, evidence array<struct<path:string,line_ids:array<string>,quote:string>>, leaves array<string>, n_issues int, errors array<string>, has_data boolean"
 
-    def one(text: str | None, compiled: S.Schema) -> tuple:
-        try:
-            x = S.read_json(text)
-            errors = []
-        except ValueError:
-            return None, [], [], 0, ["the result is not JSON"], False
-        if not isinstance(x, dict) or set(x) != {"status", "data", "evidence", "issues"}:
-            return None, [], [], 0, ["the result must hold status, data, evidence and issues"], False
-        if x["status"] not in STATUSES:
-            errors.append("unknown status")
-        evidence = []
-        for e in x["evidence"] if isinstance(x["evidence"], list) else [None]:
-            if isinstance(e, dict) and set(e) == {"path", "line_ids", "quote"} and isinstance(e["path"], str) and isinstance(e["quote"], str) and isinstance(e["line_ids"], list) and all(isinstance(i, str) for i in e["line_ids"]):
-                evidence.append(e)
-            else:
-                errors.append("malformed evidence")
-        issues = x["issues"] if isinstance(x["issues"], list) else [None]
-        if any(not isinstance(i, dict) or i.get("code") not in CODES or not isinstance(i.get("message"), str) for i in issues):
-            errors.append("malformed issue")
-        if x["data"] is not None:
-            errors += [f"data{path or ' as a whole'} does not meet the schema: {keyword}" for path, keyword in S.problems_of(x["data"], compiled)]
-        if x["status"] == "complete" and (x["data"] is None or issues):
-            errors.append("a complete result needs data and has no issues")
-        if x["status"] == "partial" and not issues:
-            errors.append("a partial result needs issues")
-        if x["status"] == "failed" and x["data"] is not None:
-            errors.append("a failed result has no data")
-        return x["status"], evidence, [p for p, _ in P.leaves(x["data"])], len(issues), errors, x["data"] is not None
-
     def run(batches):
         names, compiled = ["status", "evidence", "leaves", "n_issues", "errors", "has_data"], S.compile_schema(wanted)
         for batch in batches:
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame([one(t, compiled) for t in batch.result], columns=names)], axis=1)
+            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame([read_envelope(t, compiled) for t in batch.result], columns=names)], axis=1)
 
     return extractions.select("doc_id", "result").mapInPandas(run, "doc_id string, " + kind)
 
@@ -188,14 +196,56 @@ def uncovered_leaves(read: DataFrame, checked: DataFrame, generic: bool = True)
     return need.join(checked.where("trusted").select("doc_id", "path"), ["doc_id", "path"], "left_anti")
 
 
+#: What ``check_envelopes`` adds to a row.
+FOUND = "status string, has_data boolean, n_issues int, errors array<string>, trusted array<struct<ev_no:int,path:string,line_ids:array<string>,quote:string>>, cited array<struct<id:string,text:string>>"
+
+
+def check_envelope(text: str | None, lines: Callable[[], list[dict] | None], compiled: S.Schema, generic: bool) -> tuple:
+    """FOUND for one result and the lines that it may cite (only asked for if there is evidence); the rules are those of
+    ``check_evidence`` and ``uncovered_leaves``."""
+    status, evidence, leaves, n_issues, errors, has_data = read_envelope(text, compiled)
+    fold = lambda s: " ".join(unicodedata.normalize("NFC", s).split()).casefold()
+    known: dict[str, list[str]] = defaultdict(list)
+    for x in (lines() or []) if evidence else []:
+        if x["text"] is not None:
+            known[x["id"]].append(x["text"])
+    there, trusted, more = set(leaves), [], []
+    for no, e in enumerate(evidence):
+        ids, quote = e["line_ids"], fold(e["quote"])
+        if not ids or any(i not in known for i in ids):
+            more.append(f"unknown lines: {e['path']}")
+        elif e["path"] not in there:
+            more.append(f"no such leaf: {e['path']}")
+        elif not quote or quote not in fold(" ".join(t for i in ids for t in sorted(known[i]))):
+            more.append(f"quote not found: {e['path']}")
+        else:
+            trusted.append({"ev_no": no, **e})
+    proved = {e["path"] for e in trusted}
+    more += [f"no evidence: {p}" for p in leaves if p not in proved and not (generic and P.GENERIC_METADATA.fullmatch(p))]
+    cited = sorted({(i, t) for e in trusted for i in e["line_ids"] for t in known[i]})
+    return status, has_data, n_issues, errors + sorted(more), trusted or None, [{"id": i, "text": t} for i, t in cited]
+
+
+def check_envelopes(rows: DataFrame, schema: dict | None = None) -> DataFrame:
+    """The rows with FOUND: each result (JSON text) is checked against the lines (array of id, text) in its own row, so
+    nothing is shuffled.  ``cited`` are the lines of the trusted evidence, each once, in order."""
+    wanted, found = schema or generic_schema(), StructType.fromDDL(FOUND)
+    made = StructType([*(StructField(f.name, f.dataType) for f in rows.schema), *found])
+    kinds = to_arrow_schema(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = S.compile_schema(wanted)
+        for batch in batches:
+            for piece in pieces(batch):
+                own = piece.column("lines")
+                out = [check_envelope(t, lambda i=i: own[i].as_py(), compiled, schema is None) for i, t in enumerate(piece.column("result").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True))], names=made.names)
+
+    return rows.mapInArrow(run, made)
+
+
 def validate_extractions(extractions: DataFrame, lines: DataFrame, schema: dict | None = None) -> DataFrame:
     """doc_id, status, errors (array), trusted evidence: all checks together."""
-    read = read_envelopes(extractions, schema)
-    checked = check_evidence(read, lines)
-    bad = checked.where("not trusted").select("doc_id", F.when(~F.col("known_ids"), F.concat(F.lit("unknown lines: "), "path")).when(~F.col("path_ok"), F.concat(F.lit("no such leaf: "), "path")).otherwise(F.concat(F.lit("quote not found: "), "path")).alias("error"))
-    bare = uncovered_leaves(read, checked, schema is None).select("doc_id", F.concat(F.lit("no evidence: "), "path").alias("error"))
-    more = bad.unionByName(bare).groupBy("doc_id").agg(F.sort_array(F.collect_list("error")).alias("more"))
-    good = checked.where("trusted").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ev_no", "path", "line_ids", "quote"))).alias("trusted"))
-    none = F.array().cast("array<string>")
-    out = read.join(more, "doc_id", "left").join(good, "doc_id", "left")
-    return out.select("doc_id", "status", "has_data", "n_issues", F.concat("errors", F.coalesce("more", none)).alias("errors"), "trusted")
+    own = lines.groupBy("doc_id").agg(F.collect_list(F.struct("id", "text")).alias("lines"))
+    rows = extractions.select("doc_id", "result").join(own, "doc_id", "left")
+    return check_envelopes(rows, schema).select("doc_id", "status", "has_data", "n_issues", "errors", "trusted")

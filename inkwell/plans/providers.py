@@ -9,10 +9,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from inkwell.operators.grouping import pieces
 from inkwell.sources.answers import AnswerLog
 from inkwell.sources.store import stored
 
@@ -26,34 +28,46 @@ def call_provider(requests: DataFrame, provider: Provider, key: str = "request_i
     With a log only requests that it lacks are made, each once whatever its key is, and their answers are added to it before
     they are used.  An error is an answer to nobody: it is told, and the request is made again in the next run.
     """
-    kind = requests.schema[key].dataType.simpleString()
     once = requests.dropDuplicates([key])
     if log is None:
-        return _made(once, provider, key, kind)
+        return _made(once, provider, [key])
     keyed = log.keyed(once)
-    fresh = stored(_made(log.missing(keyed), provider, "digest", "string"), "asked")
+    fresh = stored(_made(log.missing(keyed), provider, ["digest"]), "asked")
     log.add(fresh)
     answers = log.known(requests.sparkSession).withColumn("error", F.lit(None).cast("string")).unionByName(fresh.where("error IS NOT NULL"))
     return keyed.select(key, "digest").join(answers, "digest").select(key, "response", "error")
 
 
-def _made(requests: DataFrame, provider: Provider, key: str, kind: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def answered(requests: DataFrame, provider: Provider, key: str, log: AnswerLog | None = None) -> DataFrame:
+    """The rows of ``requests``, whose keys are distinct, with response and error.  Without a log a row stays where it is,
+    and nothing is shuffled."""
+    if log is None:
+        return _made(requests, provider, requests.columns)
+    requests = stored(requests, "requests")
+    return requests.join(call_provider(requests.select(key, "request"), provider, key, log), key)
+
+
+def _made(requests: DataFrame, provider: Provider, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with response and error, about a megabyte of requests at a time."""
+    made = StructType([*(StructField(c, requests.schema[c].dataType) for c in keep), StructField("response", StringType()), StructField("error", StringType())])
+
+    def ask(text: str, image: str | None) -> tuple[str | None, str | None]:
+        try:
+            request = json.loads(text) | ({"image": image} if image is not None else {})
+            return json.dumps(provider(request), ensure_ascii=False), None
+        except ValueError as e:  # said on purpose, so its text may be told
+            return None, str(e)[:500] or "invalid value"
+        except Exception:  # an outside service may fail in any way; what it says may hold secrets
+            return None, "the service failed"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            images = batch.image if "image" in batch else [None] * len(batch)
-            for k, text, image in zip(batch[key], batch.request, images, strict=True):
-                try:
-                    request = json.loads(text) | ({"image": image} if image is not None else {})
-                    rows.append((k, json.dumps(provider(request), ensure_ascii=False), None))
-                except ValueError as e:  # said on purpose, so its text may be told
-                    rows.append((k, None, str(e)[:500] or "invalid value"))
-                except Exception:  # an outside service may fail in any way; what it says may hold secrets
-                    rows.append((k, None, "the service failed"))
-            yield pd.DataFrame(rows, columns=[key, "response", "error"])
-
-    asked = requests.select(key, "request", *[c for c in ("image",) if c in requests.columns])
-    return asked.mapInPandas(run, f"{key} {kind}, response string, error string")
+            for piece in pieces(batch):
+                images = piece.column("image").to_pylist() if "image" in piece.schema.names else [None] * piece.num_rows
+                said = [ask(text, image) for text, image in zip(piece.column("request").to_pylist(), images, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *(pa.array([x[i] for x in said], pa.string()) for i in (0, 1))], names=made.names)
+
+    return requests.select(*dict.fromkeys([*keep, "request", *[c for c in ("image",) if c in requests.columns]])).mapInArrow(run, made)
 
 
 def echo_lines(request: dict) -> dict:
