@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, slices, table, text_bytes
+from .common import HASHED, free, slices, table, text_bytes
 
 #: Labelled rows that the machines are fitted on, about as many of each language (all of a language that has no more), and
 #: the least that a language gets of them when there are very many.  Rows are chosen by a hash; predictions cover all rows.
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in kept) + f", `{predicted}` string, `{sure}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, HASHED):  # features take some 50 bytes for each of these
             found = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool)
             if shared.value is None:
                 found = np.zeros(batch.num_rows, bool)

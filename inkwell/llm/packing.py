@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices, table, written
+from .common import slices, small_batches, table, written
 from .tokens import encoder, with_end
 
 CAPACITY = 2048
@@ -187,7 +187,8 @@ def pack_documents(docs: DataFrame, path: str, *, key: str = "doc_id", text: str
     every row is packed on its own.  A text of any length is packed whole.  An empty table gives no rows.  Other columns are not looked at.  Equal lengths are
     placed in any order; which of them goes where has no meaning.
     """
-    pieces = written(tokenized_pieces(docs, path, key=key, text=text, capacity=capacity, end_id=end_id, leading_space=leading_space, with_ids=with_ids), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = written(tokenized_pieces(docs, path, key=key, text=text, capacity=capacity, end_id=end_id, leading_space=leading_space, with_ids=with_ids), "pieces")
     return pack_lengths(pieces, capacity)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, give_back, mix, table, text_bytes, words, written
+from .common import HASHED, drop_written, give_back, mix, runs, small_batches, table, text_bytes, words, written
 from .components import components
 from .ngram_counts import SHORT, block_counts, blocks, shards_for, told
 
@@ -43,7 +43,17 @@ COUNTED = np.uint64(1 << 63)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, sorted within the row, and the rows' offsets in them."""
+    """Distinct shingle hashes of each row, sorted within the row, and the rows' offsets in them.
+
+    Rows are taken HASHED bytes at a time: what is worked with weighs several times the hashes that come out.
+    """
+    parts = [_shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width) for i, j in runs(offsets, HASHED)]
+    values = np.concatenate([np.zeros(0, np.uint64), *(v for v, _ in parts)])
+    return values, np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)]))]).astype(np.int64)
+
+
+def _shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``shingle_sets`` gives, with the number in each row instead of offsets, all rows at once."""
     h, row, count = words(raw, offsets)
     rows = len(offsets) - 1
     with np.errstate(over="ignore"):
@@ -69,7 +79,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     value, owner = value[order], owner[order]
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return value[keep], np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=rows))]).astype(np.int64)
+    return value[keep], np.bincount(owner[keep], minlength=rows)
 
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -430,7 +440,16 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     length is one set; a block of texts holds it whole.  An empty table gives no rows.  Other columns are not looked at.
     ``docs`` is read three times and must give the same rows in the same order each time, as stored tables do.
     """
-    rule, store = Rule(percent), Store()
+    with small_batches(docs.sparkSession):
+        sets, found = _components(docs, key, text, width, Rule(percent))
+    out = sets.select(key, F.col("n").alias("n_shingles"))
+    out = out.join(found.withColumnRenamed("node", key), key, "left").withColumn("component_id", F.coalesce("component", key))
+    return out.select(key, "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, key: str, text: str, width: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Stored: the description of each row's set, and the component of each key that is linked with another."""
+    store = Store()
     docs = docs.select(F.col(key).cast("long").alias(key), text, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     sets = written(describe_sets(docs, key, text, width), "sets")
     full = sets.where((F.col("n") > 0) & F.col(key).isNotNull())
@@ -462,9 +481,7 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))).unionByName(again)
     found = components(links)
     store.clear()
-    out = sets.select(key, F.col("n").alias("n_shingles"))
-    out = out.join(found.withColumnRenamed("node", key), key, "left").withColumn("component_id", F.coalesce("component", key))
-    return out.select(key, "n_shingles", "component_id")
+    return sets, found
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
